@@ -170,3 +170,44 @@ chunks AS (
 
 def file_hashes(spark: SparkSession, folder: str) -> DataFrame:
     return files(spark, folder).select("project_id", "file", F.sha2("content", 256).alias("hash"))
+
+
+OUTPUT_TOOLS = ("read", "bash", "grep", "glob", "npm", "test", "git", "ssh", "jest", "rg", "other", "pytest")
+
+
+def tool_outputs(spark: SparkSession, folder: str) -> DataFrame:
+    """Tool logs: every document, with escapes, stack frames, runs and test counters worked in."""
+    doc = F.col("doc_id")
+    text = F.col("text")
+    styled = F.when(doc % 4 == 0, F.replace(text, F.lit(" the "), F.lit(" \x1b[31mthe\x1b[0m "))).otherwise(text)
+    framed = F.when(doc % 3 == 1, F.replace(styled, F.lit("\n"), F.lit("\n    at "))).otherwise(styled)
+    located = F.when(doc % 5 == 2, F.replace(framed, F.lit(". "), F.lit(".ts:12: "))).otherwise(framed)
+    tested = F.when(
+        doc % 2 == 1,
+        F.replace(
+            F.replace(located, F.lit(" of "), F.lit("\n3 passed, 1 failed\nTypeError: bad ")),
+            F.lit(" und "), F.lit("\n2 skipped\nFAIL src/a.ts > works\n"),
+        ),
+    ).otherwise(located)
+    output = F.concat(tested, F.expr("repeat('\\nretry in 5s', cast(doc_id % 7 as int))"))
+    return table(spark, folder, "documents").select(
+        F.concat(F.lit("c"), doc).alias("call_id"),
+        F.concat(F.lit("s"), doc % 50).alias("session_id"),
+        _pick(OUTPUT_TOOLS, doc).alias("tool_id"),
+        F.timestamp_seconds(F.lit(1704067200) + doc * 60).alias("ts"),
+        output.alias("output"),
+    )
+
+
+OUTPUTS_SQL = f"""
+d1 AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0
+    THEN replace(text, ' the ', ' ' || chr(27) || '[31mthe' || chr(27) || '[0m ') ELSE text END AS t FROM documents),
+d2 AS (SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN replace(t, chr(10), chr(10) || '    at ') ELSE t END AS t FROM d1),
+d3 AS (SELECT doc_id, CASE WHEN doc_id % 5 = 2 THEN replace(t, '. ', '.ts:12: ') ELSE t END AS t FROM d2),
+d4 AS (SELECT doc_id, CASE WHEN doc_id % 2 = 1 THEN replace(
+    replace(t, ' of ', chr(10) || '3 passed, 1 failed' || chr(10) || 'TypeError: bad '),
+    ' und ', chr(10) || '2 skipped' || chr(10) || 'FAIL src/a.ts > works' || chr(10)) ELSE t END AS t FROM d3),
+outputs AS (SELECT 'c' || doc_id AS call_id, 's' || (doc_id % 50) AS session_id,
+    {_sql_pick(OUTPUT_TOOLS, 'doc_id')} AS tool_id,
+    t || repeat(chr(10) || 'retry in 5s', CAST(doc_id % 7 AS INT)) AS output FROM d4)
+"""
