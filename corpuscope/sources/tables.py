@@ -19,6 +19,21 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+# Below this size a scan may be a single file with a single row group, hence one task.
+SPREAD_BELOW_BYTES = 512 * 1024 * 1024
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give a small scan that feeds heavy per-row work one partition per core.
+
+    Large inputs have enough splits of their own and are left alone: no shuffle is added there.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= SPREAD_BELOW_BYTES:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def usage_events(spark: SparkSession, folder: str) -> DataFrame:
     k = F.get_json_object("props", "$.k")
     eid, kind = F.col("event_id"), F.col("event_type")
@@ -103,7 +118,7 @@ def files(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("/work/"), F.col("source"), F.lit("/"), _pick(DOC_DIRS, doc), F.lit("/"),
         F.col("lang"), F.lit("/d"), doc, _pick(DOC_EXTS, doc),
     )
-    return table(spark, folder, "documents").select(
+    return spread(table(spark, folder, "documents"), "doc_id").select(
         F.concat(F.lit("p"), F.substring("source", 4, 9)).alias("project_id"),
         path.alias("file"),
         F.octet_length("text").cast("bigint").alias("length"),
@@ -190,7 +205,7 @@ def tool_outputs(spark: SparkSession, folder: str) -> DataFrame:
         ),
     ).otherwise(located)
     output = F.concat(tested, F.expr("repeat('\\nretry in 5s', cast(doc_id % 7 as int))"))
-    return table(spark, folder, "documents").select(
+    return spread(table(spark, folder, "documents"), "doc_id").select(
         F.concat(F.lit("c"), doc).alias("call_id"),
         F.concat(F.lit("s"), doc % 50).alias("session_id"),
         _pick(OUTPUT_TOOLS, doc).alias("tool_id"),
