@@ -246,7 +246,6 @@ def _search_small(
     finds and scores matches inside each chunk row.
     """
     spark = chunks.sparkSession
-    planned = _local(spark, planned)
     live = planned.filter(~F.col("dead") & (F.size("match") > 0))
     term = F.transform(
         "match", lambda t: F.struct(t.alias("term"), _self_overlapping(t).alias("overlap"))
@@ -427,7 +426,12 @@ def search(
     skips scoring (order by place).
     """
     planned = plan_queries(queries)
-    size = batch_terms(planned)
+    head = planned.limit(ARRAY_TERM_LIMIT + 1).toArrow()  # bounded; decides how to run
+    if head.num_rows <= ARRAY_TERM_LIMIT:
+        planned = chunks.sparkSession.createDataFrame(head, planned.schema)
+        size = sum(len(r["match"] or []) + len(r["fallback"] or []) + 1 for r in head.select(["match", "fallback"]).to_pylist())
+    else:
+        size = batch_terms(planned)
     if size > BROADCAST_TERM_LIMIT:
         # Hash buckets well under the limit; every part scans the chunks once.
         parts = 2 * (size // BROADCAST_TERM_LIMIT + 1)
