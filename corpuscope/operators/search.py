@@ -33,7 +33,7 @@ BROADCAST_TERM_LIMIT = 500_000
 CHUNK_KEY = ["project_id", "file", "line", "type", "name"]
 
 # How a query text is split.
-PART_RE = r"""(?:[^\s"']+|"[^"]*"|'[^']*')+"""
+PART_RE = r"""(?:[^\s"']++|"[^"]*+"|'[^']*+')++"""
 FILTER_RE = r"(?is)^(type|file|lang):(.+)$"
 PATH_LIKE_RE = r"(?i)\.[a-z0-9]{1,5}$"
 
