@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("usage", "compaction")
+MODULES = ("usage", "compaction", "search", "code", "calls")
 
 
 def registered() -> dict:
