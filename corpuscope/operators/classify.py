@@ -23,10 +23,13 @@ def _arg(args: C.ColumnLike, *names: str) -> Column:
 
 def _inside(project: Column, path: Column) -> Column:
     """Absolute path if it lies in the project, else null."""
-    full = F.when(path.startswith("/"), path).otherwise(
-        normalize_path(F.concat(project, F.lit("/"), path))
+
+    def full(p: Column) -> Column:
+        return F.when(p.startswith("/"), p).otherwise(normalize_path(F.concat(project, F.lit("/"), p)))
+
+    return C.let(
+        path, lambda p: C.let(full(p), lambda f: F.when(f.startswith(project), f))
     )
-    return F.when(full.startswith(project), full)
 
 
 def words(command: Column) -> Column:
@@ -74,18 +77,21 @@ def classify_calls(
     second = F.get(ops, F.lit(1))
     git_file = _first(later, lambda w: is_path(w) | w.rlike(r"^\S+:\S+"))
     git_path = F.regexp_replace(git_file, r"^[^:]+:", "")
-    read_path = (
-        F.when(head.isin(*dims.READ_COMMANDS), resolve(_first(ops, is_path)))
-        .when((head == "git") & first.isin("show", "diff", "log") & is_path(git_path), resolve(git_path))
+    read_path = resolve(
+        F.when(head.isin(*dims.READ_COMMANDS), _first(ops, is_path)).when(
+            (head == "git") & first.isin("show", "diff", "log"),
+            C.let(git_path, lambda g: F.when(is_path(g), g)),
+        )
     )
     grep_query = (
         F.when(head.isin(*dims.GREP_COMMANDS) & ~first.startswith("-"), first)
         .when((head == "git") & (first == "grep") & ~second.startswith("-"), second)
         .when(head == "jq", first)
     )
-    grep_path = (
-        F.when(head.isin(*dims.GREP_COMMANDS) | (head == "jq"), resolve(_first(later, is_path)))
-        .when((head == "git") & (first == "grep"), resolve(_first(_tail(later), is_path)))
+    grep_path = resolve(
+        F.when(head.isin(*dims.GREP_COMMANDS, "jq"), _first(later, is_path)).when(
+            (head == "git") & (first == "grep"), _first(_tail(later), is_path)
+        )
     )
     df = (
         df.withColumn("_read", read_path if read else F.lit(None).cast("string"))

@@ -93,17 +93,23 @@ def symbol_edges(refs: DataFrame, defs: DataFrame) -> DataFrame:
 
 def normalize_path(path: C.ColumnLike) -> Column:
     """Resolve ``.`` and ``..`` parts; the number of parts of one path is small."""
-    p = C.col(path)
-    parts = F.filter(F.split(p, "/", -1), lambda x: (x != "") & (x != "."))
 
     def step(acc: Column, x: Column) -> Column:
-        up = (x == "..") & (F.size(acc) > 0) & (F.coalesce(F.element_at(F.concat(F.array(F.lit("")), acc), -1), F.lit("")) != "..")
+        last = F.get(acc, F.size(acc) - 1)
+        up = (x == "..") & (F.size(acc) > 0) & (last != "..")
         return F.when(up, F.slice(acc, F.lit(1), F.size(acc) - 1)).otherwise(F.concat(acc, F.array(x)))
 
-    done = F.aggregate(parts, F.array().cast("array<string>"), step)
-    absolute = p.startswith("/")
-    kept = F.when(absolute, F.filter(done, lambda x: x != "..")).otherwise(done)
-    return F.concat(F.when(absolute, "/").otherwise(""), F.array_join(kept, "/"))
+    def resolve(p: Column) -> Column:
+        parts = F.filter(F.split(p, "/", -1), lambda x: (x != "") & (x != "."))
+        absolute = p.startswith("/")
+        return C.let(
+            F.aggregate(parts, F.array().cast("array<string>"), step),
+            lambda done: F.when(
+                absolute, F.concat(F.lit("/"), F.array_join(F.filter(done, lambda x: x != ".."), "/"))
+            ).otherwise(F.array_join(done, "/")),
+        )
+
+    return C.let(C.col(path), resolve)
 
 
 def _directory(path: C.ColumnLike) -> Column:

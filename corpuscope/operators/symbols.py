@@ -16,9 +16,9 @@ partitioning, as does the final join that cuts the bodies out of the text.
 from __future__ import annotations
 
 import re
-from functools import reduce
+from functools import lru_cache, reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuscope.functions import columns as C
@@ -72,23 +72,43 @@ def _markup(lang: str) -> tuple[str, str]:
 
 def _event(**fields: Column) -> Column:
     names = re.findall(r"(\w+):(\w+)", EVENT)
-    return F.struct(*[fields.get(n, F.lit(None)).cast(t).alias(n) for n, t in names])
+    return F.struct(
+        *[fields[n].alias(n) if n in fields else F.lit(None).cast(t).alias(n) for n, t in names]
+    )
 
 
 def _no_events() -> Column:
     return F.array().cast(f"array<{EVENT}>")
 
 
-def line_records(content: Column, lang: str) -> Column:
-    """One marked-up record per line of the text."""
-    pattern, replacement = _markup(lang)
-    clean = F.translate(content, LINE + RULE + FIELD, "   ")
-    marked = F.regexp_replace(clean, F.lit(pattern), F.lit(replacement))
-    return F.split(F.substr(marked, F.lit(2)), LINE, -1)
+def _by_language(langs: tuple[str, ...], value) -> Column:
+    """CASE over the languages; those with the same rules share a branch."""
+    out, seen = F.when(F.lit(False), value(langs[0])), []
+    for lang in langs:
+        if R.LANGUAGES[lang] in seen:
+            continue
+        seen.append(R.LANGUAGES[lang])
+        same = [x for x in langs if R.LANGUAGES[x] == R.LANGUAGES[lang]]
+        out = out.when(F.col("lang").isin(*same), value(same[0]))
+    return out
+
+
+def line_records(langs: tuple[str, ...]) -> Column:
+    """One marked-up record per line of the text, by the rules of the row's language."""
+    clean = F.translate("content", LINE + RULE + FIELD, "   ")
+
+    def marked(lang: str) -> Column:
+        pattern, replacement = _markup(lang)
+        return F.regexp_replace(clean, F.lit(pattern), F.lit(replacement))
+
+    return F.split(F.substr(_by_language(langs, marked), F.lit(2)), LINE, -1)
 
 
-def declaration_events(content: Column, lang: str) -> Column:
-    spec = R.LANGUAGES[lang]
+def declaration_events(langs: tuple[str, ...]) -> Column:
+    first = _by_language(langs, lambda x: F.lit(_FIRST[x]))
+    first_only = _by_language(langs, lambda x: F.lit(R.LANGUAGES[x].first_only))
+    # Lines without a hit end in separators only; they are skipped before any array work.
+    bare = _by_language(langs, lambda x: F.lit((RULE + FIELD * 4) * len(R.LANGUAGES[x].rules)))
 
     def of_line(record: Column, line: Column) -> Column:
         def hits(parts: Column) -> Column:
@@ -97,13 +117,11 @@ def declaration_events(content: Column, lang: str) -> Column:
                 lambda p, k: F.struct(F.split(p, FIELD, -1).alias("f"), k.alias("k")),
             )
             kept = F.filter(found, lambda h: F.get(h.f, F.lit(0)) != "")
-            if spec.first_only:
-                kept = F.slice(kept, 1, 1)
             return F.transform(
-                kept,
+                F.when(first_only, F.slice(kept, 1, 1)).otherwise(kept),
                 lambda h: _event(
                     line=line, ord=F.lit(-1), kind=F.lit("D"), delta=F.lit(0),
-                    rule=h.k + _FIRST[lang], full=F.get(h.f, F.lit(0)), name=F.get(h.f, F.lit(1)),
+                    rule=h.k + first, full=F.get(h.f, F.lit(0)), name=F.get(h.f, F.lit(1)),
                     aux=F.get(h.f, F.lit(2)), alt=F.get(h.f, F.lit(3)), tail=F.get(h.f, F.lit(4)),
                     text=F.get(parts, F.lit(0)),
                 ),
@@ -111,19 +129,19 @@ def declaration_events(content: Column, lang: str) -> Column:
 
         return C.let(F.split(record, RULE, -1), hits)
 
-    # Lines without a hit keep only separators; skip them before any array work.
-    bare = RULE + FIELD * 4
     return F.flatten(
         F.transform(
-            line_records(content, lang),
-            lambda r, i: F.when(r.endswith(bare * len(spec.rules)), _no_events()).otherwise(of_line(r, i)),
+            line_records(langs),
+            lambda r, i: F.when(r.endswith(bare), _no_events()).otherwise(of_line(r, i)),
         )
     )
 
 
-def bracket_lines(content: Column, style: str = "c") -> Column:
+def bracket_lines(content: Column, rust: Column | None = None) -> Column:
     """Per line, its brackets outside strings and comments, in order."""
-    tokens = F.regexp_extract_all(content, F.lit(R.TOKEN_RES[style]), F.lit(0))
+    tokens = F.regexp_extract_all(content, F.lit(R.TOKEN_RES["c"]), F.lit(0))
+    if rust is not None:
+        tokens = F.when(rust, F.regexp_extract_all(content, F.lit(R.TOKEN_RES["rust"]), F.lit(0))).otherwise(tokens)
     kept = F.transform(
         tokens,
         lambda t: F.when(F.length(t) == 1, t).otherwise(F.regexp_replace(t, r"[^\n]+", "")),
@@ -131,17 +149,17 @@ def bracket_lines(content: Column, style: str = "c") -> Column:
     return F.split(F.array_join(kept, ""), "\n", -1)
 
 
-def brace_counts(content: C.ColumnLike, style: str = "c") -> Column:
+def brace_counts(content: C.ColumnLike, rust: Column | None = None) -> Column:
     """Real braces per line: ``array<struct<open, close>>``."""
     return F.transform(
-        bracket_lines(C.col(content), style),
+        bracket_lines(C.col(content), rust),
         lambda b: F.struct(
             F.regexp_count(b, F.lit(r"\{")).alias("open"), F.regexp_count(b, F.lit(r"\}")).alias("close")
         ),
     )
 
 
-def bracket_events(content: Column, style: str) -> Column:
+def bracket_events() -> Column:
     def of_line(brackets: Column, line: Column) -> Column:
         return F.transform(
             F.regexp_extract_all(brackets, F.lit("."), F.lit(0)),
@@ -153,7 +171,7 @@ def bracket_events(content: Column, style: str) -> Column:
 
     return F.flatten(
         F.transform(
-            bracket_lines(content, style),
+            bracket_lines(F.col("content"), F.col("lang") == "rust"),
             lambda b, i: F.when(b == "", _no_events()).otherwise(of_line(b, i)),
         )
     )
@@ -219,35 +237,59 @@ def indent_events(lines: Column, declared: Column, kind: str, comments: bool) ->
     return C.let(solid, closers)
 
 
-def file_events(content: Column, lang: str) -> Column:
-    """All events of one file of a block language."""
-    spec = R.LANGUAGES[lang]
-    extents = {r.extent for r in spec.rules}
-    decls = declaration_events(content, lang)
-    if "indent" in extents:
-        def with_indents(d: Column) -> Column:
-            declared = F.array_distinct(F.transform(d, lambda e: _indent(e.text)))
-            leveled = F.transform(d, lambda e: e.withField("level", _indent(e.text)))
-            return C.let(
-                C.lines_of(content),
-                lambda lines: C.let(
-                    declared,
-                    lambda b: F.concat(
-                        leveled,
-                        indent_events(lines, b, "C", comments=True),
-                        indent_events(lines, b, "B", comments=False),
-                    ),
+def _langs_with(test) -> list[str]:
+    return [x for x in BLOCK if test(R.LANGUAGES[x])]
+
+
+@lru_cache(maxsize=1)
+def _file_events(session_id: int) -> Column:
+    indented = _langs_with(lambda x: any(r.extent == "indent" for r in x.rules))
+    keyword = _langs_with(lambda x: x.keyword_ends)
+    statements = _langs_with(lambda x: any(r.extent in ("arrow", "alias") for r in x.rules))
+    lang = F.col("lang")
+
+    def with_indents(d: Column) -> Column:
+        leveled = F.transform(d, lambda e: e.withField("level", _indent(e.text)))
+        return C.let(
+            C.lines_of("content"),
+            lambda lines: C.let(
+                F.array_distinct(F.transform(d, lambda e: _indent(e.text))),
+                lambda declared: F.concat(
+                    leveled,
+                    indent_events(lines, declared, "C", comments=True),
+                    indent_events(lines, declared, "B", comments=False),
                 ),
+            ),
+        )
+
+    def complete(d: Column) -> Column:
+        return (
+            F.when(lang.isin(*indented), with_indents(d))
+            .when(lang.isin(*keyword), F.concat(d, C.let(C.lines_of("content"), keyword_events)))
+            .when(
+                lang.isin(*statements),
+                F.concat(d, bracket_events(), C.let(C.lines_of("content"), statement_events)),
             )
+            .otherwise(F.concat(d, bracket_events()))
+        )
+
+    # A file without declarations needs no brackets.
+    return C.let(
+        declaration_events(BLOCK), lambda d: F.when(F.size(d) == 0, _no_events()).otherwise(complete(d))
+    )
 
-        events = C.let(decls, with_indents)
-    elif spec.keyword_ends:
-        events = F.concat(decls, C.let(C.lines_of(content), keyword_events))
-    else:
-        events = F.concat(decls, bracket_events(content, spec.tokens))
-        if extents & {"arrow", "alias"}:
-            events = F.concat(events, C.let(C.lines_of(content), statement_events))
-    return events
+
+@lru_cache(maxsize=1)
+def _flat_events(session_id: int) -> Column:
+    return declaration_events(FLAT)
+
+
+def file_events() -> Column:
+    """All events of a file of a block language, from ``lang`` and ``content``.
+
+    The expression does not depend on the table, so it is built once per session.
+    """
+    return _file_events(id(SparkSession.getActiveSession()))
 
 
 def _rule_numbers(test) -> list[int]:
@@ -260,7 +302,8 @@ def _extent_is(*extents: str) -> Column:
 
 def _pick_rule(field) -> Column:
     """Per-rule constant of the current row."""
-    return F.element_at(F.array(*[F.lit(field(r)) for r in RULES]), F.col("rule") + 1)
+    values = ", ".join(f"'{field(r)}'" for r in RULES)  # no value holds a quote
+    return F.expr(f"element_at(array({values}), rule + 1)")
 
 
 def with_extents(events: DataFrame) -> DataFrame:
@@ -414,12 +457,8 @@ def block_chunks(corpus: DataFrame, partitions: int | None = None) -> DataFrame:
     """Chunks of the languages whose declarations span blocks."""
     langs = corpus.filter(F.col("lang").isin(*BLOCK)).select(*FILE, "lang", "content")
     by_file = langs.repartition(partitions, *FILE) if partitions else langs.repartition(*FILE)
-    content = F.col("content")
-    events = _no_events()
-    for lang in BLOCK:
-        events = F.when(F.col("lang") == lang, file_events(content, lang)).otherwise(events)
     rows = by_file.select(
-        *FILE, "lang", C.line_count("content").alias("n_lines"), F.explode(events).alias("e")
+        *FILE, "lang", C.line_count("content").alias("n_lines"), F.explode(file_events()).alias("e")
     ).select(*FILE, "lang", "n_lines", "e.*")
     decls = _named(with_scope(with_extents(rows)))
     # Rust: an impl without a name declares nothing; a bodiless type is its own line.
@@ -455,9 +494,7 @@ def block_chunks(corpus: DataFrame, partitions: int | None = None) -> DataFrame:
 def flat_chunks(corpus: DataFrame) -> DataFrame:
     """Chunks of the line-oriented formats: no blocks, hence no shuffle."""
     langs = corpus.filter(F.col("lang").isin(*FLAT))
-    events = _no_events()
-    for lang in FLAT:
-        events = F.when(F.col("lang") == lang, declaration_events(F.col("content"), lang)).otherwise(events)
+    events = _flat_events(id(SparkSession.getActiveSession()))
     rows = langs.select(*FILE, "lang", F.explode(events).alias("e")).select(*FILE, "lang", "e.*")
     named = _named(rows.withColumn("scope", F.lit(None).cast("string")))
     return named.select(

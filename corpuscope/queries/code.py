@@ -61,7 +61,7 @@ def _headings(spark, folder):
 
 
 def _braces(spark, folder):
-    counts = X.brace_counts("content")
+    counts = X.brace_counts("content", C.language("file") == "rust")
     return T.code_corpus(spark, folder).filter(~F.col("file").rlike(r"\.(py|rb|sql)$")).select(
         "file", F.posexplode(counts).alias("pos", "c")
     ).filter((F.col("c.open") > 0) | (F.col("c.close") > 0)).select(
@@ -243,8 +243,8 @@ QUERIES = {
     ),
     "x7_brace_counts": (
         _braces,
-        rf"""WITH {T.CODE_SQL}, l AS (SELECT file, i AS line, regexp_replace(parts[i], '''[^'']*''|//.*', '', 'g') AS t
-          FROM (SELECT file, string_split(content, chr(10)) AS parts FROM code
+        rf"""WITH {T.CODE_SQL}, l AS (SELECT file, i AS line,
+          regexp_replace(parts[i], '''[^'']*''|//.*|^import \{{[^}}]*\}}', '', 'g') AS t FROM (SELECT file, string_split(content, chr(10)) AS parts FROM code
                 WHERE NOT regexp_matches(file, '\.(py|rb|sql)$')), unnest(range(1, len(parts) + 1)) u(i))
         SELECT file, line, length(t) - length(replace(t, '{{', '')) AS n_open,
           length(t) - length(replace(t, '}}', '')) AS n_close FROM l WHERE contains(t, '{{') OR contains(t, '}}')""",
@@ -254,7 +254,7 @@ QUERIES = {
         r"""WITH l AS (SELECT '/web/p' || page_id || '.html' AS file, i AS line, ' ' || parts[i] || ' ' AS t
           FROM (SELECT page_id, string_split(html, chr(10)) AS parts FROM pages), unnest(range(1, len(parts) + 1)) u(i)),
         m AS (SELECT file, line, unnest(regexp_extract_all(t, '<[A-Z]\w*[\s>]')) AS full FROM l
-          UNION ALL SELECT file, line, unnest(regexp_extract_all(t, '\s((?:id|data-testid)=["''][^"'']+["''])', 1)) FROM l)
+          UNION ALL SELECT file, line, unnest(regexp_extract_all(t, '\s((?:id|data-testid)=["''][^"'']+["''])', 1)) AS full FROM l)
         SELECT file, line, trim(full) AS content, CASE WHEN starts_with(full, '<') THEN regexp_extract(full, '<(\w+)', 1)
           ELSE regexp_extract(full, '["'']([^"'']+)["'']', 1) END AS name FROM m""",
     ),
