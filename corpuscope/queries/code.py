@@ -9,6 +9,7 @@ from corpuscope.functions import columns as C
 from corpuscope.operators import corpus, graph, incremental, index_stats
 from corpuscope.operators import rendering as R
 from corpuscope.operators import symbols as X
+from corpuscope.session import cut_lineage
 from corpuscope.sources import tables as T
 
 LONG = ("line", "line_end")
@@ -27,8 +28,10 @@ def _chunk_rows(spark, folder):
 
 
 def _edges(spark, folder):
+    """Edges from a stored chunk table, as the index job derives them: the corpus is parsed once."""
     corpus_rows = T.code_corpus(spark, folder)
-    return graph.extract_edges(X.dedupe_chunks(X.extract_chunks(corpus_rows)), corpus_rows)
+    chunks = cut_lineage(X.dedupe_chunks(X.extract_chunks(corpus_rows)))
+    return graph.extract_edges(chunks, corpus_rows)
 
 
 def _pages(spark, folder):
@@ -156,6 +159,14 @@ def _replaced(spark, folder):
     )
 
 
+def _replaced_edges(spark, folder):
+    """Go and TypeScript files change: the former lose their edges, the latter get them anew."""
+    edges = _edges(spark, folder)
+    changed = T.code_corpus(spark, folder).filter(F.col("file").rlike(r"\.(ts|go)$")).select("project_id", "file")
+    fresh = edges.filter(F.col("source_file").endswith(".ts"))
+    return graph.edge_count(incremental.replace_outbound_edges(edges, fresh, changed))
+
+
 def _predicates(spark, folder):
     f = T.files(spark, folder)
     return f.select(
@@ -253,10 +264,10 @@ QUERIES = {
         _inline,
         r"""WITH l AS (SELECT '/web/p' || page_id || '.html' AS file, i AS line, ' ' || parts[i] || ' ' AS t
           FROM (SELECT page_id, string_split(html, chr(10)) AS parts FROM pages), unnest(range(1, len(parts) + 1)) u(i)),
-        m AS (SELECT file, line, unnest(regexp_extract_all(t, '<[A-Z]\w*[\s>]')) AS full FROM l
-          UNION ALL SELECT file, line, unnest(regexp_extract_all(t, '\s((?:id|data-testid)=["''][^"'']+["''])', 1)) AS full FROM l)
-        SELECT file, line, trim(full) AS content, CASE WHEN starts_with(full, '<') THEN regexp_extract(full, '<(\w+)', 1)
-          ELSE regexp_extract(full, '["'']([^"'']+)["'']', 1) END AS name FROM m""",
+        m AS (SELECT file, line, unnest(regexp_extract_all(t, '<[A-Z]\w*[\s>]'))  AS hit FROM l
+          UNION ALL SELECT file, line, unnest(regexp_extract_all(t, '\s((?:id|data-testid)=["''][^"'']+["''])', 1)) AS hit FROM l)
+        SELECT file, line, trim(hit) AS content, CASE WHEN starts_with(hit, '<') THEN regexp_extract(hit, '<(\w+)', 1)
+          ELSE regexp_extract(hit, '["'']([^"'']+)["'']', 1) END AS name FROM m""",
     ),
     "x24_markdown_headings": (
         _headings,
@@ -375,12 +386,7 @@ QUERIES = {
         CAST(length(replace(content, chr(10), '')) AS BIGINT) AS chars FROM files WHERE doc_id % 11 <> 3""",
     ),
     "d4_replace_edges": (
-        lambda s, d: graph.edge_count(
-            incremental.replace_outbound_edges(
-                _edges(s, d), _edges(s, d).filter(F.col("source_file").endswith(".ts")),
-                T.code_corpus(s, d).filter(F.col("file").rlike(r"\.(ts|go)$")).select("project_id", "file"),
-            )
-        ),
+        _replaced_edges,
         f"WITH {T.CODE_SQL} SELECT CAST(sum(n) AS BIGINT) AS edges FROM code_edges WHERE NOT ends_with(source_file, '.go')",
     ),
     "d5_prune_indexed": (
