@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuscope import dims
@@ -25,6 +25,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def pinned(df: DataFrame, **new: Column) -> DataFrame:
+    """Add costly columns so that they are worked out once per row.
+
+    A filter on a projected column is pushed below the projection, which copies the column's
+    expression, and those it builds on, into the filter. It cannot be pushed below a generator.
+    """
+    kept = [c for c in df.columns if c not in new]
+    return df.select(*kept, F.inline(F.array(F.struct(*[v.alias(k) for k, v in new.items()]))))
+
+
 def estimate_tokens(chars: ColumnLike) -> Column:
     """Four characters per token, halves rounded up, never negative."""
     return F.greatest(F.lit(0).cast("bigint"), F.floor((col(chars) + 2) / 4))

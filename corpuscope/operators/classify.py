@@ -17,8 +17,20 @@ FILE_NAME_RE = r"\.\w+$"
 REDUCED_READ_RE = r"^(?:cat|head|tail)\s+(\S+)"
 
 
-def _arg(args: C.ColumnLike, *names: str) -> Column:
-    return F.coalesce(C.json_text(args, *names), F.lit(""))
+# Argument names of tool calls.
+ARGUMENTS = (
+    "command", "cmd", "filePath", "path", "file_path", "pattern", "query", "glob", "url", "link", "term", "q",
+)
+
+
+def _with_arguments(calls: DataFrame) -> DataFrame:
+    """Adds ``_a``, the call's known arguments: the JSON text is read once."""
+    return calls.withColumn("_a", F.from_json("args", ", ".join(f"`{n}` STRING" for n in ARGUMENTS)))
+
+
+def _arg(*names: str) -> Column:
+    """First non-empty of the named arguments, or an empty text."""
+    return F.coalesce(*[F.nullif(F.col(f"_a.{n}"), F.lit("")) for n in names], F.lit(""))
 
 
 def _inside(project: Column, path: Column) -> Column:
@@ -59,93 +71,96 @@ def classify_calls(
 ) -> DataFrame:
     """Adds ``kind``, ``path`` and ``query``; all null where the index cannot serve the call.
 
-    calls(tool, args JSON, project_dir, ...).
+    calls(tool, args JSON, project_dir, ...). Each step is a column of its own, so that no
+    expression is worked out twice.
     """
-    tool, args, project = F.col("tool"), F.col("args"), F.col("project_dir")
-    command = F.regexp_replace(_arg(args, "command", "cmd"), r"^\s+|\s+$", "")
-    df = calls.withColumn("_cmd", F.when(tool.isin(*dims.SHELL_TOOLS), command))
+    tool, project = F.col("tool"), F.col("project_dir")
+    command = F.regexp_replace(_arg("command", "cmd"), r"^\s+|\s+$", "")
+    df = _with_arguments(calls).withColumn("_cmd", F.when(tool.isin(*dims.SHELL_TOOLS), command))
     df = df.withColumn("_head", F.regexp_extract("_cmd", r"^(\S*)", 1))
     rest = F.regexp_replace(F.substr("_cmd", F.length("_head") + 1), r"^\s+|\s+$", "")
-    df = df.withColumn("_ops", F.filter(words(rest), lambda w: ~_is_flag(w)))
-
-    def resolve(word: Column) -> Column:
-        clean = F.regexp_replace(F.regexp_replace(word, "^~", home), r"^[\"']|[\"']$", "")
-        return _inside(project, clean)
+    served = F.col("_head").isin(*dims.READ_COMMANDS, *dims.GREP_COMMANDS, "git", "jq")
+    df = df.withColumn("_ops", F.when(served, F.filter(words(rest), lambda w: ~_is_flag(w))))
 
     head, ops = F.col("_head"), F.col("_ops")
-    first, later = F.get(ops, F.lit(0)), _tail(ops)
-    second = F.get(ops, F.lit(1))
-    git_file = _first(later, lambda w: is_path(w) | w.rlike(r"^\S+:\S+"))
-    git_path = F.regexp_replace(git_file, r"^[^:]+:", "")
-    read_path = resolve(
-        F.when(head.isin(*dims.READ_COMMANDS), _first(ops, is_path)).when(
-            (head == "git") & first.isin("show", "diff", "log"),
-            C.let(git_path, lambda g: F.when(is_path(g), g)),
-        )
+    first, second = F.get(ops, F.lit(0)), F.get(ops, F.lit(1))
+    git_read = (head == "git") & first.isin("show", "diff", "log")
+    git_grep = (head == "git") & (first == "grep")
+    searches = head.isin(*dims.GREP_COMMANDS)
+    nothing = F.lit(None).cast("string")
+    git_file = F.regexp_replace(
+        _first(_tail(ops), lambda w: is_path(w) | w.rlike(r"^\S+:\S+")), r"^[^:]+:", ""
+    )
+    read_word = F.when(head.isin(*dims.READ_COMMANDS), _first(ops, is_path)).when(
+        git_read, C.let(git_file, lambda g: F.when(is_path(g), g))
+    )
+    grep_word = F.when(searches | (head == "jq"), _first(_tail(ops), is_path)).when(
+        git_grep, _first(_tail(_tail(ops)), is_path)
     )
     grep_query = (
-        F.when(head.isin(*dims.GREP_COMMANDS) & ~first.startswith("-"), first)
-        .when((head == "git") & (first == "grep") & ~second.startswith("-"), second)
+        F.when(searches & ~first.startswith("-"), first)
+        .when(git_grep & ~second.startswith("-"), second)
         .when(head == "jq", first)
     )
-    grep_path = resolve(
-        F.when(head.isin(*dims.GREP_COMMANDS, "jq"), _first(later, is_path)).when(
-            (head == "git") & (first == "grep"), _first(_tail(later), is_path)
-        )
-    )
+    word = F.when(tool == "read", _arg("filePath", "path") if read else nothing)
     df = (
-        df.withColumn("_read", read_path if read else F.lit(None).cast("string"))
-        .withColumn("_gpath", grep_path if grep else F.lit(None).cast("string"))
-        .withColumn("_gquery", F.when(F.col("_gpath").isNotNull(), grep_query))
+        df.withColumn("_rword", read_word if read else nothing)
+        .withColumn("_gquery", grep_query if grep else nothing)
+        .withColumn("_gword", F.when(F.col("_gquery").isNotNull(), grep_word))
+        .withColumn("_word", F.coalesce(word, "_rword", "_gword"))
     )
-    nothing = F.lit(None).cast("string")
-    file = _inside(project, _arg(args, "filePath", "path"))
-    pattern = F.nullif(_arg(args, "pattern", "query"), F.lit(""))
-    glob = F.nullif(_arg(args, "pattern", "glob"), F.lit(""))
-    url = F.nullif(_arg(args, "url", "link"), F.lit(""))
-    web = F.nullif(_arg(args, "query", "term", "q"), F.lit(""))
+    unquoted = F.regexp_replace(F.regexp_replace("_word", "^~", home), r"^[\"']|[\"']$", "")
+    df = df.withColumn(
+        "_path", _inside(project, F.when(tool == "read", F.col("_word")).otherwise(unquoted))
+    )
+    # A read command whose path lies elsewhere is not a search, so the order below is safe.
+    asked = F.nullif(
+        F.when(tool == "grep", _arg("pattern", "query")).when(tool == "glob", _arg("pattern", "glob"))
+        .when(tool == "websearch", _arg("query", "term", "q")).when(tool == "webfetch", _arg("url", "link")),
+        F.lit(""),
+    )
+    df = df.withColumn("_asked", asked)
+    has_path, has_text = F.col("_path").isNotNull(), F.col("_asked").isNotNull()
     kind = (
-        F.when((tool == "read") & F.lit(read) & file.isNotNull(), "read")
-        .when((tool == "grep") & F.lit(grep) & pattern.isNotNull(), "grep")
-        .when((tool == "glob") & F.lit(grep) & glob.isNotNull(), "glob")
-        .when(F.col("_read").isNotNull(), "bash-read")
-        .when(F.col("_gquery").isNotNull(), "bash-grep")
-        .when((tool == "webfetch") & url.isNotNull(), "webfetch")
-        .when((tool == "websearch") & web.isNotNull(), "websearch")
+        F.when((tool == "read") & has_path, "read")
+        .when(tool.isin("grep", "glob") & F.lit(grep) & has_text, tool)
+        .when(tool.isin("webfetch", "websearch") & has_text, tool)
+        .when(has_path & F.col("_rword").isNotNull(), "bash-read")
+        .when(has_path & F.col("_gword").isNotNull(), "bash-grep")
     )
     df = df.withColumn("kind", F.when(F.coalesce(project, F.lit("")) != "", kind))
-    path = (
-        F.when(F.col("kind") == "read", file).when(F.col("kind") == "bash-read", F.col("_read"))
-        .when(F.col("kind") == "bash-grep", F.col("_gpath")).when(F.col("kind") == "webfetch", url)
-        .otherwise(nothing)
+    path = F.when(F.col("kind") == "webfetch", F.col("_asked")).when(
+        F.col("kind").isin("read", "bash-read", "bash-grep"), F.col("_path")
     )
-    query = (
-        F.when(F.col("kind") == "grep", pattern).when(F.col("kind") == "glob", glob)
-        .when(F.col("kind") == "bash-grep", F.col("_gquery")).when(F.col("kind") == "websearch", web)
-        .otherwise(nothing)
-    )
-    return df.withColumn("path", path).withColumn("query", query).drop(
-        "_cmd", "_head", "_ops", "_read", "_gpath", "_gquery"
+    query = F.when(F.col("kind") == "bash-grep", F.col("_gquery")).when(
+        F.col("kind").isin("grep", "glob", "websearch"), F.col("_asked")
     )
+    done = C.pinned(df, kind=F.col("kind"), path=path, query=query)
+    return done.select(*calls.columns, "kind", "path", "query")
 
 
 def classify_reduced(calls: DataFrame, home: str = "/root") -> DataFrame:
     """The stricter classifier: Read and Bash only, sensitive paths never."""
-    tool, args, cwd = F.col("tool"), F.col("args"), F.col("project_dir")
-    file = F.nullif(_arg(args, "file_path"), F.lit(""))
-    command = F.regexp_replace(_arg(args, "command"), r"^\s+|\s+$", "")
-    raw = F.regexp_replace(F.regexp_extract(command, REDUCED_READ_RE, 1), "^~", home)
-    shell_path = F.when(raw.startswith("/"), raw).when(
-        raw != "", normalize_path(F.concat(cwd, F.lit("/"), raw))
-    )
-    head = F.regexp_extract(command, r"^(\S*)", 1)
-    path = F.when(tool == "Read", file).when(tool == "Bash", shell_path)
+    tool, cwd = F.col("tool"), F.col("project_dir")
+    command = F.regexp_replace(_arg("command"), r"^\s+|\s+$", "")
+    df = _with_arguments(calls).withColumn("_cmd", F.when(tool == "Bash", command))
+    df = df.withColumn(
+        "_raw", F.regexp_replace(F.regexp_extract("_cmd", REDUCED_READ_RE, 1), "^~", home)
+    )
+    shell_path = F.when(F.col("_raw").startswith("/"), F.col("_raw")).when(
+        F.col("_raw") != "", normalize_path(F.concat(cwd, F.lit("/"), "_raw"))
+    )
+    df = df.withColumn(
+        "_path", F.when(tool == "Read", F.nullif(_arg("file_path"), F.lit(""))).when(tool == "Bash", shell_path)
+    )
+    head = F.regexp_extract("_cmd", r"^(\S*)", 1)
     known = F.coalesce(cwd, F.lit("")) != ""
-    kind = F.when(known & path.isNotNull() & ~is_sensitive(path), "read").when(
-        known & (tool == "Bash") & shell_path.isNull() & head.isin(*dims.REDUCED_TOOLS), "compress"
+    kind = F.when(known & F.col("_path").isNotNull() & ~is_sensitive("_path"), "read").when(
+        known & (tool == "Bash") & F.col("_path").isNull() & head.isin(*dims.REDUCED_TOOLS), "compress"
     )
-    return (
-        calls.withColumn("kind", kind)
-        .withColumn("path", F.when(F.col("kind") == "read", path))
-        .withColumn("tool_id", F.when(F.col("kind") == "compress", head))
+    df = df.withColumn("kind", kind)
+    done = C.pinned(
+        df, kind=F.col("kind"), path=F.when(F.col("kind") == "read", F.col("_path")),
+        tool_id=F.when(F.col("kind") == "compress", head),
     )
+    return done.select(*calls.columns, "kind", "path", "tool_id")

@@ -256,17 +256,13 @@ def compact(
         df = df.drop("_summary")
     else:
         df = df.withColumn("compacted", F.col("out")).withColumn("method", F.col("out_method"))
-    return (
-        df.drop("clean", "pre_saved", "out", "out_method")
-        .withColumn("original_len", F.length(text))
-        .withColumn("compressed_len", F.length("compacted"))
-        .withColumn(
-            "tokens_saved",
-            F.when(F.col("method") == "none", F.lit(0).cast("bigint")).otherwise(
-                C.estimate_tokens(F.col("original_len") - F.col("compressed_len"))
-            ),
-        )
+    df = df.withColumn("original_len", F.length(text)).withColumn("compressed_len", F.length("compacted"))
+    saved = F.when(F.col("method") == "none", F.lit(0).cast("bigint")).otherwise(
+        C.estimate_tokens(F.col("original_len") - F.col("compressed_len"))
     )
+    results = {c: F.col(c) for c in ("compacted", "method", "original_len", "compressed_len")}
+    kept = [c for c in outputs.columns if c not in (*results, "tokens_saved")]
+    return C.pinned(df, **results, tokens_saved=saved).select(*kept, *results, "tokens_saved")
 
 
 def substitute(df: DataFrame, original: str, replacement: str) -> DataFrame:

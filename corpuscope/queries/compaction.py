@@ -163,9 +163,9 @@ QUERIES = {
         f"WITH {STRUCT_CTES} {RESULT_SQL} FROM structural",
     ),
     "c8_c10_summaries": (
-        lambda s, d: T.tool_outputs(s, d).select(
-            "call_id", K.semantic_summary("tool_id", K.strip_ansi("output")).alias("summary")
-        ).filter(F.col("summary").isNotNull()),
+        lambda s, d: C.pinned(
+            T.tool_outputs(s, d), summary=C.let(K.strip_ansi("output"), lambda t: K.semantic_summary("tool_id", t))
+        ).select("call_id", "summary").filter(F.col("summary").isNotNull()),
         f"WITH {T.OUTPUTS_SQL}, {SUMMARY_CTES} SELECT call_id, summary FROM summaries WHERE summary IS NOT NULL",
     ),
     "c11_compact_semantic": (

@@ -359,7 +359,7 @@ def tool_calls(spark: SparkSession, folder: str) -> DataFrame:
         .when(tool == "webfetch", F.to_json(F.struct(F.concat(F.lit("https://e.org/"), k).alias("url"))))
         .otherwise(F.to_json(F.struct(F.concat(F.lit("what is "), k).alias("q"))))
     )
-    return table(spark, folder, "events").select(
+    return spread(table(spark, folder, "events"), "event_id").select(
         F.concat(F.lit("k"), e).alias("call_id"), F.concat(F.lit("s"), F.col("user_id")).alias("session_id"),
         F.col("ts").cast("timestamp").alias("ts"), tool.alias("tool"), args.alias("args"),
         F.lit("/home/p").alias("project_dir"), e.alias("event_id"), k.alias("k"),
