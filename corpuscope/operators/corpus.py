@@ -67,7 +67,7 @@ def read_corpus(
             .filter(listing_filter(max_bytes))
             .select(
                 F.lit(project_id).alias("project_id"), "file", "length",
-                F.decode("content", F.lit("UTF-8")).alias("content"),
+                F.make_valid_utf8(F.col("content").cast("string")).alias("content"),
             )
         )
         out = files if out is None else out.unionByName(files)
