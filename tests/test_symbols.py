@@ -197,7 +197,7 @@ def test_index_runs_are_idempotent(spark, tmp_path):
     })
     projects = spark.createDataFrame([("p", "/w")], "project_id string, path string")
     registry = spark.createDataFrame([("p", "/w", "w", datetime(2024, 1, 1), 0, 0)], schemas.PROJECTS)
-    events = spark.createDataFrame([("p", 1, "search", 5, 0, '{"query":"a"}', datetime(2024, 1, 1))], schemas.USAGE_EVENTS)
+    events = spark.createDataFrame([("p", 1, "search", 5, 0, '{"query":"a"}', datetime(2024, 1, 5))], schemas.USAGE_EVENTS)
     ws = Workspace(store, registry, events)
     first = ws.analyze(files, projects, ts="2024-01-02 00:00:00").first()
     again = ws.analyze(files, projects, ts="2024-01-03 00:00:00").first()
