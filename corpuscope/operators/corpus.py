@@ -81,21 +81,24 @@ def scan_corpus(
 
     The cap is a feature of the index (the first ``max_files`` paths); ``capped`` of
     ``corpus_summary`` tells where it applied. ``None`` switches it off. Only paths travel
-    through the ranking; contents join back for kept files.
+    through the ranking, and only those of projects over the cap; what comes out of it is the
+    last kept path per such project, so contents are read once.
     """
     kept = files.filter(listing_filter(max_bytes))
     if max_files is None:
         return kept
-    counts = kept.groupBy("project_id").agg(F.count(F.lit(1)).alias("_n"))
-    over = counts.filter(F.col("_n") > max_files).select("project_id")
-    ranked = top_k_per_group(
-        kept.select("project_id", "file").join(over, "project_id", "left_semi"),
-        ["project_id"], [F.asc("file")], max_files, salt_by=["file"],
-    ).select("project_id", "file")
-    small = kept.join(over, "project_id", "left_anti")
-    return small.unionByName(
-        kept.join(over, "project_id", "left_semi").join(ranked, ["project_id", "file"], "left_semi")
+    paths = kept.select("project_id", "file")
+    over = paths.groupBy("project_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_files)
+    last = (
+        top_k_per_group(
+            paths.join(over.select("project_id"), "project_id", "left_semi"),
+            ["project_id"], [F.asc("file")], max_files, salt_by=["file"],
+        )
+        .groupBy("project_id").agg(F.max("file").alias("_last"))
     )
+    return kept.join(last, "project_id", "left").filter(
+        F.col("_last").isNull() | (F.col("file") <= F.col("_last"))
+    ).select(*files.columns)
 
 
 def corpus_summary(files: DataFrame, max_files: int = dims.MAX_FILES) -> DataFrame:

@@ -226,11 +226,6 @@ def _matches(query: Column) -> Column:
     )
 
 
-def _local(spark, df: DataFrame) -> DataFrame:
-    """A bounded table as a literal relation, so that plans that use it stay small."""
-    return spark.createDataFrame(df.toArrow(), df.schema)
-
-
 def _lowered(chunks: DataFrame, body: bool = False) -> DataFrame:
     out = chunks.withColumn("_name", F.lower("name")).withColumn("_content", F.lower("content"))
     return out.withColumn("_body", F.lower("body")) if body else out
@@ -268,11 +263,17 @@ def _search_small(
             F.transform(F.filter("_qs", _matches), lambda q: F.concat(F.lit("q:"), q.query_id.cast("string"))), empty
         ),
     )
-    stats = _local(
-        spark,
+    counted = (
         lean.select("project_id", F.explode(keys).alias("key"), _doc_length().cast("bigint").alias("len"))
-        .groupBy("project_id", "key").agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("len")),
+        .groupBy("project_id", "key").agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("len"))
     )
+    counts = counted.toArrow()
+    stats = spark.createDataFrame(counts, counted.schema)
+    found_ids = {k[2:] for k in counts.column("key").to_pylist() if k.startswith("q:")}
+    open_ids = [
+        r.query_id for r in planned.filter(F.size("fallback") > 0).select("query_id").collect()
+        if str(r.query_id) not in found_ids
+    ]
     totals = stats.filter(F.col("key") == "n:").select(
         "project_id", F.col("n").alias("n_docs"), (F.col("len") / F.col("n")).alias("avg_len")
     )
@@ -294,7 +295,7 @@ def _search_small(
         .agg(F.collect_list(F.struct("term", "idf", _self_overlapping(F.col("term")).alias("overlap"))).alias("terms"))
         .join(totals, "project_id")
     )
-    if not weighted.isEmpty():
+    if found_ids:
         by_project = weighted.groupBy("project_id", "avg_len").agg(
             F.collect_list(
                 F.struct("query_id", "n", "any_mode", "type_filter", "file_filter", "lang_filter", "terms")
@@ -317,7 +318,7 @@ def _search_small(
         )
         out.append(base.withColumn("_hit", F.explode(scored)))
     unanswered = planned.filter(F.size("fallback") > 0).join(answered, is_answered, "left_anti")
-    if not unanswered.isEmpty():
+    if open_ids:
         by_project = unanswered.groupBy("project_id").agg(
             F.collect_list(
                 F.struct("query_id", "n", "type_filter", "file_filter", "lang_filter", F.col("fallback").alias("words"))

@@ -18,7 +18,7 @@ from __future__ import annotations
 import re
 from functools import lru_cache, reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuscope.functions import columns as C
@@ -242,7 +242,7 @@ def _langs_with(test) -> list[str]:
 
 
 @lru_cache(maxsize=1)
-def _file_events(session_id: int) -> Column:
+def _file_events(application: str) -> Column:
     indented = _langs_with(lambda x: any(r.extent == "indent" for r in x.rules))
     keyword = _langs_with(lambda x: x.keyword_ends)
     statements = _langs_with(lambda x: any(r.extent in ("arrow", "alias") for r in x.rules))
@@ -280,16 +280,16 @@ def _file_events(session_id: int) -> Column:
 
 
 @lru_cache(maxsize=1)
-def _flat_events(session_id: int) -> Column:
+def _flat_events(application: str) -> Column:
     return declaration_events(FLAT)
 
 
-def file_events() -> Column:
+def file_events(table: DataFrame) -> Column:
     """All events of a file of a block language, from ``lang`` and ``content``.
 
-    The expression does not depend on the table, so it is built once per session.
+    The expression does not depend on the table, so it is built once per application.
     """
-    return _file_events(id(SparkSession.getActiveSession()))
+    return _file_events(table.sparkSession.sparkContext.applicationId)
 
 
 def _rule_numbers(test) -> list[int]:
@@ -458,7 +458,7 @@ def block_chunks(corpus: DataFrame, partitions: int | None = None) -> DataFrame:
     langs = corpus.filter(F.col("lang").isin(*BLOCK)).select(*FILE, "lang", "content")
     by_file = langs.repartition(partitions, *FILE) if partitions else langs.repartition(*FILE)
     rows = by_file.select(
-        *FILE, "lang", C.line_count("content").alias("n_lines"), F.explode(file_events()).alias("e")
+        *FILE, "lang", C.line_count("content").alias("n_lines"), F.explode(file_events(corpus)).alias("e")
     ).select(*FILE, "lang", "n_lines", "e.*")
     decls = _named(with_scope(with_extents(rows)))
     # Rust: an impl without a name declares nothing; a bodiless type is its own line.
@@ -494,7 +494,7 @@ def block_chunks(corpus: DataFrame, partitions: int | None = None) -> DataFrame:
 def flat_chunks(corpus: DataFrame) -> DataFrame:
     """Chunks of the line-oriented formats: no blocks, hence no shuffle."""
     langs = corpus.filter(F.col("lang").isin(*FLAT))
-    events = _flat_events(id(SparkSession.getActiveSession()))
+    events = _flat_events(corpus.sparkSession.sparkContext.applicationId)
     rows = langs.select(*FILE, "lang", F.explode(events).alias("e")).select(*FILE, "lang", "e.*")
     named = _named(rows.withColumn("scope", F.lit(None).cast("string")))
     return named.select(

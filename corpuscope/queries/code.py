@@ -246,7 +246,22 @@ def _paths(spark, folder):
     return T.files(spark, folder).select("file", graph.normalize_path(raw).alias("path"))
 
 
+def _indexed(spark, folder):
+    """Whole index of the code corpus: chunks, hashed files and edges per project."""
+    kept = corpus.scan_corpus(T.code_corpus(spark, folder), max_files=None)
+    chunks = cut_lineage(X.dedupe_chunks(X.extract_chunks(kept)))
+    return index_stats.index_counts(chunks, incremental.hash_files(kept), graph.extract_edges(chunks, kept))
+
+
 QUERIES = {
+    "d6_index_counts": (
+        _indexed,
+        f"""WITH {T.CODE_SQL}, c AS (SELECT project_id, count(*) AS n FROM (
+          SELECT DISTINCT project_id, file, name, type, line FROM code_chunks) GROUP BY 1)
+        SELECT f.project_id, c.n AS chunks, f.n AS files, CAST(coalesce(e.n, 0) AS BIGINT) AS edges
+        FROM (SELECT project_id, count(*) AS n FROM code GROUP BY 1) f JOIN c ON c.project_id = f.project_id
+        LEFT JOIN (SELECT project_id, sum(n) AS n FROM code_edges GROUP BY 1) e ON e.project_id = f.project_id""",
+    ),
     "x_symbol_chunks": (
         _chunk_rows,
         f"""WITH {T.CODE_SQL} SELECT project_id, file, name, type, CAST(line AS BIGINT) AS line,

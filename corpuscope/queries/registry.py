@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("usage", "compaction", "search", "code", "calls")
+MODULES = ("usage", "compaction", "search", "code", "calls", "streams")
 
 
 def registered() -> dict:

@@ -20,21 +20,33 @@ TEMPLATES = (
     (7, "", 10),
     (8, "TYPE:class ther.on", 3),
 )
-# The same, as an SQL reader would decompose them by hand:
+# The same, as a reader of SQL would decompose them by hand:
 # id, match terms, any_mode, dead, fallback words, type, file, lang, n.
-TEMPLATES_SQL = """
-tq(tid, terms, any_mode, dead, words, f_type, f_file, f_lang, n) AS (VALUES
-  (1, ['thing'], false, false, ['thing'], NULL, NULL, NULL, 10),
-  (2, ['that','inth'], false, false, ['that','inth'], NULL, NULL, NULL, 10),
-  (3, ['erea'], false, true, ['un','erea'], NULL, NULL, NULL, 5),
-  (4, ['src','ther','the'], true, false, ['src','ther','the'], NULL, NULL, NULL, 20),
-  (5, ['and','the'], false, false, ['and','the'], 'heading', NULL, 'python', 10),
-  (6, ['with'], false, false, ['with'], NULL, '/en/', NULL, 200),
-  (8, ['ther'], true, false, ['ther','on'], 'class', NULL, NULL, 3)),
+DECOMPOSED = (
+    (1, "['thing']", "false", "false", "['thing']", "NULL", "NULL", "NULL", 10),
+    (2, "['that','inth']", "false", "false", "['that','inth']", "NULL", "NULL", "NULL", 10),
+    (3, "['erea']", "false", "true", "['un','erea']", "NULL", "NULL", "NULL", 5),
+    (4, "['src','ther','the']", "true", "false", "['src','ther','the']", "NULL", "NULL", "NULL", 20),
+    (5, "['and','the']", "false", "false", "['and','the']", "'heading'", "NULL", "'python'", 10),
+    (6, "['with']", "false", "false", "['with']", "NULL", "'/en/'", "NULL", 200),
+    (8, "['ther']", "true", "false", "['ther','on']", "'class'", "NULL", "NULL", 3),
+)
+
+
+def templates_sql(filters: bool = True, n: int | None = None) -> str:
+    rows = [
+        (*r[:5], *(r[5:8] if filters else ("CAST(NULL AS VARCHAR)",) * 3), n or r[8]) for r in DECOMPOSED
+    ]
+    values = ", ".join("(" + ", ".join(str(v) for v in r) + ")" for r in rows)
+    return f"""
+tq(tid, terms, any_mode, dead, words, f_type, f_file, f_lang, n) AS (VALUES {values}),
 qs AS (SELECT p.project_id || ':' || tid AS query_id, p.project_id, tq.* FROM tq,
   (SELECT DISTINCT project_id FROM files) p)"""
 
 
+TEMPLATES_SQL = templates_sql()
+
+
 def queries_for_all(spark, folder):
     per = F.array(*[F.struct(F.lit(i).alias("tid"), F.lit(q).alias("q"), F.lit(n).alias("n")) for i, q, n in TEMPLATES])
     return (
@@ -195,8 +207,7 @@ QUERIES = {
     ),
     "q6_search_unranked": (
         _ranked(queries_for_all, ranked=False, filters=False),
-        f"""WITH {T.CHUNKS_SQL}, {TEMPLATES_SQL.replace("'heading'", 'NULL').replace("'class'", 'NULL')
-        .replace("'/en/'", 'NULL').replace("'python'", 'NULL')}, {SEARCH_SQL.replace('round(u.score, 12), ', '')}
+        f"""WITH {T.CHUNKS_SQL}, {templates_sql(filters=False)}, {SEARCH_SQL.replace('round(u.score, 12), ', '')}
         {RANKED_COLUMNS.replace('round(CAST(score AS DOUBLE), 6)', 'CAST(0 AS DOUBLE)')}""",
     ),
     "q9_chunks_of_file": (
@@ -241,7 +252,21 @@ QUERIES = {
           ELSE string_agg(type || ' ' || name || ' @ ' || substr(file, 7) || ':' || rng || chr(10) || snip, chr(10) || chr(10) ORDER BY rank)
           END) AS sha FROM r GROUP BY query_id""",
     ),
-    "q14_search_snippets": (_snippet_search, None),
+    "q14_search_snippets": (
+        _snippet_search,
+        f"""WITH {T.CHUNKS_SQL}, {templates_sql(filters=False, n=10)}, {SEARCH_SQL},
+        asked(tid, q) AS (VALUES {", ".join(f"({i}, '{q}')" for i, q, _ in TEMPLATES)}),
+        r AS (SELECT ranked.*, a.q, count(*) OVER (PARTITION BY query_id) AS total,
+          min(rank) OVER (PARTITION BY query_id, file) AS ff,
+          CASE WHEN line_end > line THEN line || '-' || line_end ELSE CAST(line AS VARCHAR) END AS rng
+          FROM ranked JOIN asked a ON a.tid = CAST(string_split(query_id, ':')[2] AS INT))
+        SELECT query_id, '// index search: "' || any_value(q) || '"' || chr(10) || CASE WHEN any_value(total) >= 5 THEN
+          string_agg(CASE WHEN rank = ff THEN substr(file, 7) || chr(10) ELSE '' END || '  ' || type || ' ' || name || ' @ ' || rng,
+            chr(10) ORDER BY ff, rank)
+          ELSE string_agg(type || ' ' || name || ' @ ' || substr(file, 7) || ':' || rng, chr(10) || chr(10) ORDER BY rank) END AS text,
+          CAST(floor((length(any_value(q)) * 10 + 2) / 4.0) AS BIGINT) AS tokens_saved
+        FROM r GROUP BY query_id""",
+    ),
     "q15_files_by_glob": (
         lambda s, d: Q.files_matching(T.text_chunks(s, d), "/work/SRC?/*/en/**_%.md")
         .unionByName(Q.files_matching(T.text_chunks(s, d), "/work/SRC?/**/en/d?1*.md")),
