@@ -10,7 +10,6 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from corpuscope.queries.usage import MECH_SQL
 from corpuscope.session import ensure_checkpoint_dir
-from corpuscope.sources import tables as T
 from corpuscope.streaming import changes, loops, usage
 
 EVENTS = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
