@@ -48,9 +48,12 @@ def publish(spark: SparkSession, name: str, payload: bytes) -> str:
     Returns the name for ``published``. The name holds a digest, so equal payloads share one file.
     """
     name = f"{name}-{hashlib.sha256(payload).hexdigest()[:20]}.bin"
-    uri = f"{fresh_path(spark, 'files')}/{name}"
+    uri = f"{shared_folder(spark)}/llm/files-{spark.sparkContext.applicationId}/{name}"
     path = spark._jvm.org.apache.hadoop.fs.Path(uri)
-    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(path):  # handed out before: one name has one path
+        return name
+    out = fs.create(path, True)
     try:
         for at in range(0, len(payload), CHUNK_BYTES):
             out.write(payload[at:at + CHUNK_BYTES])
