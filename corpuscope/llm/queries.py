@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpuscope.llm import topk, url_filter, warc
+from corpuscope.llm import simhash, topk, url_filter, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -59,14 +60,19 @@ FROM f
 """
 
 
+def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    groups = simhash.near_groups(_table(spark, folder, "documents"))
+    return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op5_topk(spark: SparkSession, folder: str) -> DataFrame:
     return topk.search_every(_table(spark, folder, "embeddings"), step=100, k=10)
 
 
 OP5_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
   SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
@@ -78,5 +84,6 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 QUERIES = {
     "op1_url_filter": (op1_url_filter, OP1_SQL),
     "op3_warc": (op3_warc, OP3_SQL),
+    "op4_simhash": (op4_simhash, None),
     "op5_topk": (op5_topk, OP5_SQL),
 }
