@@ -209,7 +209,7 @@ def write_archives(pages: DataFrame, page_id: str = "page_id", url: str = "url",
 
 def read_archives(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     """Every record of the archives named in ``manifest``; payload is null for revisits. One task reads a file from
-    start to end; files are dealt over the tasks by name."""
+    start to end; there are as many tasks as files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -226,7 +226,7 @@ def read_archives(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                     if rows:
                         yield _as_batch(rows)
 
-    return manifest.select("archive").repartition("archive").mapInArrow(run, _RECORD)
+    return manifest.select("archive").repartition(max(1, manifest.count())).mapInArrow(run, _RECORD)
 
 
 def _as_batch(rows: list[dict]) -> pa.RecordBatch:
