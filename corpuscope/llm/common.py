@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import unicodedata
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -149,3 +151,22 @@ def segment_sum(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     total = np.zeros(len(values) + 1, np.float64 if values.dtype.kind == "f" else np.int64)
     np.cumsum(values, out=total[1:])
     return total[bounds[1:]] - total[bounds[:-1]]
+
+
+@lru_cache(maxsize=1)
+def character_classes() -> np.ndarray:
+    """Class of each code point: 1 letter (L*), 2 number (N*), 3 white space, else 0."""
+    kinds = np.zeros(0x110000, np.uint8)
+    for point in range(0x110000):
+        kind = unicodedata.category(chr(point))[0]
+        if kind == "L":
+            kinds[point] = 1
+        elif kind == "N":
+            kinds[point] = 2
+    kinds[[*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = 3
+    return kinds
+
+
+@lru_cache(maxsize=1)
+def letter_table() -> np.ndarray:
+    return character_classes() == 1

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscope.llm import simhash, topk, url_filter, warc
+from corpuscope.llm import langid, simhash, topk, url_filter, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -81,9 +81,15 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 """
 
 
+def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text", "lang")
+    return langid.predict(docs, langid.train(docs)).select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "language.*")
+
+
 QUERIES = {
     "op1_url_filter": (op1_url_filter, OP1_SQL),
     "op3_warc": (op3_warc, OP3_SQL),
     "op4_simhash": (op4_simhash, None),
     "op5_topk": (op5_topk, OP5_SQL),
+    "op10_language_id": (op10_language_id, None),
 }
