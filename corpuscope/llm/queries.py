@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscope.llm import langid, simhash, topk, url_filter, warc
+from corpuscope.llm import langid, simhash, topk, toxicity, url_filter, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -81,6 +81,12 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 """
 
 
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, _table(spark, folder, "labels").select("doc_id", "toxic"))
+    return toxicity.classify(docs, model).select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "toxicity.*")
+
+
 def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text", "lang")
     return langid.predict(docs, langid.train(docs)).select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "language.*")
@@ -91,5 +97,6 @@ QUERIES = {
     "op3_warc": (op3_warc, OP3_SQL),
     "op4_simhash": (op4_simhash, None),
     "op5_topk": (op5_topk, OP5_SQL),
+    "op9_toxicity": (op9_toxicity, None),
     "op10_language_id": (op10_language_id, None),
 }
