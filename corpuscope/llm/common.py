@@ -11,9 +11,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
+from tokenizers import Regex, pre_tokenizers
 
 CHUNK_BYTES = 4 << 20
 BATCH_BYTES = 8 << 20
@@ -155,18 +157,84 @@ def segment_sum(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 @lru_cache(maxsize=1)
 def character_classes() -> np.ndarray:
-    """Class of each code point: 1 letter (L*), 2 number (N*), 3 white space, else 0."""
+    """Class of each code point: 1 letter (L*), 2 number (N*), 3 white space, else 0.
+
+    Unicode versions differ between libraries; the code points that are new in one follow the installed tokenizers library,
+    whose results have to be matched.
+    """
     kinds = np.zeros(0x110000, np.uint8)
-    for point in range(0x110000):
-        kind = unicodedata.category(chr(point))[0]
-        if kind == "L":
-            kinds[point] = 1
-        elif kind == "N":
-            kinds[point] = 2
-    kinds[[*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = 3
+    every = "".join(map(chr, range(0xD800))) + " " * 0x800 + "".join(map(chr, range(0xE000, 0x110000)))
+    for kind, pattern in ((1, r"\p{L}+"), (2, r"\p{N}+"), (3, r"\s+")):
+        for run in regex.finditer(pattern, every):
+            kinds[run.start():run.end()] = kind
+    kinds[0xD800:0xE000] = 0
+    known = {"L": 1, "N": 2}
+    unsure = [c for c in np.flatnonzero((kinds == 1) | (kinds == 2)).tolist() if known.get(unicodedata.category(chr(c))[0]) != kinds[c]]
+    text = " ".join(map(chr, unsure))
+    kinds[unsure] = 0
+    for kind, pattern in ((1, r"\p{L}+"), (2, r"\p{N}+")):
+        for piece, _ in pre_tokenizers.Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(text):
+            kinds[[ord(c) for c in piece]] = kind
     return kinds
 
 
 @lru_cache(maxsize=1)
 def letter_table() -> np.ndarray:
     return character_classes() == 1
+
+
+def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts, one after another, and the n + 1 bounds of the texts."""
+    bounds = np.zeros(len(texts) + 1, np.int64)
+    np.cumsum([len(t) for t in texts], out=bounds[1:])
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), bounds
+
+
+def row_starts(bounds: np.ndarray, n: int) -> np.ndarray:
+    """Marks the first code point of every text that has one."""
+    first = np.zeros(n, bool)
+    first[bounds[:-1][bounds[:-1] < n]] = True
+    return first
+
+
+#: The contractions that the public tokenizers' patterns split off.
+CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
+
+
+def split_contractions(points: np.ndarray, kinds: np.ndarray, first: np.ndarray, starts: np.ndarray, quotes: np.ndarray) -> None:
+    """Move token starts so that a contraction at each of ``quotes`` (token starts at an apostrophe that a letter follows) is one token."""
+    n = len(points)
+    after = lambda at: (at < n) & ~first[np.minimum(at, n - 1)] & (kinds[np.minimum(at, n - 1)] == 1)
+    one = points[np.minimum(quotes + 1, n - 1)]
+    two = np.where(after(quotes + 2), points[np.minimum(quotes + 2, n - 1)], 0)
+    length = np.zeros(len(quotes), np.int64)
+    for text in CONTRACTIONS:
+        fits = one == ord(text[1])
+        if len(text) == 3:
+            fits &= two == ord(text[2])
+        length[fits & (length == 0)] = len(text)
+    for size in (2, 3):
+        at = quotes[length == size]
+        starts[at + 1] = False
+        if size == 3:
+            starts[at + 2] = False
+        rest = at + size
+        rest = rest[after(rest)]
+        starts[rest] = True
+
+
+def tokens_as_binary(points: np.ndarray, inside: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """Tokens in UTF-8: each runs from a start to the next; code points outside ``inside`` are left out."""
+    kept = points[inside]
+    data = kept.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
+    width = 1 + (kept >= 0x80).astype(np.int64) + (kept >= 0x800) + (kept >= 0x10000)
+    ends = np.append(0, np.cumsum(width))
+    offsets = np.append(ends[np.flatnonzero(starts[inside])], ends[-1]).astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def take_ragged(values: np.ndarray, bounds: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of the given rows of a ragged array, one after another, and their bounds."""
+    sizes = (bounds[1:] - bounds[:-1])[rows]
+    out = np.append(0, np.cumsum(sizes))
+    return values[np.arange(out[-1]) + np.repeat(bounds[:-1][rows] - out[:-1], sizes)], out
