@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscope.llm import langid, packing, simhash, topk, toxicity, url_filter, warc
+from corpuscope.llm import bpe, langid, packing, simhash, topk, toxicity, url_filter, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -86,6 +86,11 @@ def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    docs, path = _table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json")
+    return bpe.round_trip(docs, path, bpe.build_lexicon(docs, path))
+
+
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     model = toxicity.train(docs, _table(spark, folder, "labels").select("doc_id", "toxic"))
@@ -103,6 +108,7 @@ QUERIES = {
     "op4_simhash": (op4_simhash, None),
     "op5_topk": (op5_topk, OP5_SQL),
     "op6_packing": (op6_packing, None),
+    "op8_bpe": (op8_bpe, None),
     "op9_toxicity": (op9_toxicity, None),
     "op10_language_id": (op10_language_id, None),
 }
