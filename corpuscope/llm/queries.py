@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscope.llm import bpe, langid, packing, simhash, topk, toxicity, url_filter, warc
+from corpuscope.llm import bpe, fingerprint, langid, packing, simhash, topk, toxicity, url_filter, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -45,6 +45,10 @@ SELECT page_id, host, path, rule_host || rule_path AS rule, coalesce(rule_verdic
 """
 
 
+def op2_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprint.compare_with_next(_table(spark, folder, "documents"))
+
+
 def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
     manifest = warc.write_archives(_table(spark, folder, "pages"))
     return warc.read_archives(spark, manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -104,6 +108,7 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_url_filter": (op1_url_filter, OP1_SQL),
+    "op2_fingerprint": (op2_fingerprint, None),
     "op3_warc": (op3_warc, OP3_SQL),
     "op4_simhash": (op4_simhash, None),
     "op5_topk": (op5_topk, OP5_SQL),
