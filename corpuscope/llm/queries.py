@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscope.llm import bpe, fingerprint, langid, packing, simhash, topk, toxicity, url_filter, warc
+from corpuscope.llm import bpe, fingerprint, hmm, langid, packing, simhash, topk, toxicity, url_filter, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -90,6 +90,10 @@ def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_hidden_markov(spark: SparkSession, folder: str) -> DataFrame:
+    return hmm.train_and_score(_table(spark, folder, "documents"))
+
+
 def op8_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs, path = _table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json")
     return bpe.round_trip(docs, path, bpe.build_lexicon(docs, path))
@@ -113,6 +117,7 @@ QUERIES = {
     "op4_simhash": (op4_simhash, None),
     "op5_topk": (op5_topk, OP5_SQL),
     "op6_packing": (op6_packing, None),
+    "op7_hidden_markov": (op7_hidden_markov, None),
     "op8_bpe": (op8_bpe, None),
     "op9_toxicity": (op9_toxicity, None),
     "op10_language_id": (op10_language_id, None),
