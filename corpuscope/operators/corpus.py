@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from corpuscope import dims
 from corpuscope.functions import columns as C
@@ -56,31 +61,40 @@ def read_corpus(
 ) -> DataFrame:
     """Source trees (project_id -> directory) as corpus rows.
 
-    The filters on path and length stand on the scan, before any content is decoded.
+    One scan lists all trees; it asks for path and length alone, so no content is opened there. Files that the filters
+    keep are then read where their row is. A file below several roots belongs to each of their projects.
     """
-    out = None
-    for project_id, root in roots.items():
-        files = (
-            spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-            .filter(F.col("length") <= max_bytes)
-            .withColumn("file", F.regexp_replace("path", "^file:/*", "/"))
-            .filter(listing_filter(max_bytes))
-            .select(
-                F.lit(project_id).alias("project_id"), "file", "length",
-                F.make_valid_utf8(F.col("content").cast("string")).alias("content"),
-            )
-        )
-        out = files if out is None else out.unionByName(files)
-    return out
+    if not roots:
+        return spark.createDataFrame([], "project_id STRING, file STRING, length BIGINT, content STRING")
+    listed = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(sorted(set(roots.values())))
+        .select("path", "length").distinct().filter(F.col("length") <= max_bytes)
+        .withColumn("file", F.regexp_replace("path", "^file:/*", "/")).filter(listing_filter(max_bytes))
+    )
+    named = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(re.sub("^file:/*", "/", r).rstrip("/") + "/").alias("r")) for p, r in roots.items()])
+    owner = F.explode(F.filter(named, lambda x: F.col("file").startswith(x["r"])))
+    return listed.withColumn("_content", _read_file("path")).select(owner.alias("o"), "file", "length", "_content").select(
+        F.col("o.p").alias("project_id"), "file", "length", F.make_valid_utf8(F.col("_content").cast("string")).alias("content"),
+    )
+
+
+@F.pandas_udf(BinaryType())
+def _read_file(paths: pd.Series) -> pd.Series:
+    def content(uri: str) -> bytes:
+        fs, path = pafs.FileSystem.from_uri(re.sub("^file:/*", "file:///", uri))
+        with fs.open_input_stream(path, compression=None) as file:
+            return file.read()
+
+    return paths.map(content)
 
 
 def scan_corpus(
-    files: DataFrame, max_bytes: int = dims.MAX_FILE_BYTES, max_files: int | None = dims.MAX_FILES
+    files: DataFrame, max_bytes: int = dims.MAX_FILE_BYTES, max_files: int | None = None
 ) -> DataFrame:
     """Kept files of a listing, capped per project in path order.
 
-    The cap is a feature of the index (the first ``max_files`` paths); ``capped`` of
-    ``corpus_summary`` tells where it applied. ``None`` switches it off. Only paths travel
+    The cap is off unless given (the interactive tool's is ``dims.MAX_FILES``, the first paths of a project); ``capped`` of
+    ``corpus_summary`` tells where it would apply. Only paths travel
     through the ranking, and only those of projects over the cap; what comes out of it is the
     last kept path per such project, so contents are read once.
     """
@@ -110,10 +124,11 @@ def corpus_summary(files: DataFrame, max_files: int = dims.MAX_FILES) -> DataFra
     )
 
 
-def project_roots(paths: DataFrame, parent: str, anchor: str | None = None, limit: int = dims.MAX_DISCOVERED) -> DataFrame:
+def project_roots(paths: DataFrame, parent: str, anchor: str | None = None, limit: int | None = None) -> DataFrame:
     """Directories under ``parent`` that hold a project marker, without the anchor itself.
 
-    paths(path): any recursive listing. A directory counts through its direct entries only.
+    paths(path): any recursive listing. A directory counts through its direct entries only. ``limit`` keeps the first ones
+    by path; ``dims.MAX_DISCOVERED`` is the interactive tool's.
     """
     prefix = parent.rstrip("/") + "/"
     rest = F.substr(F.col("path"), F.lit(len(prefix) + 1))
@@ -130,16 +145,16 @@ def project_roots(paths: DataFrame, parent: str, anchor: str | None = None, limi
     )
     if anchor:
         roots = roots.filter(F.col("path") != anchor.rstrip("/"))
-    return roots.orderBy("path").limit(limit)
+    return roots if limit is None else roots.orderBy("path").limit(limit)
 
 
 def files_of_roots(files: DataFrame, roots: DataFrame, parent: str) -> DataFrame:
-    """Files of discovered projects, all projects in one job; roots are at most MAX_DISCOVERED."""
+    """Files of discovered projects, all projects in one job."""
     depth = len(parent.rstrip("/").split("/")) + 1
     root = F.array_join(F.slice(F.split("file", "/", -1), 1, depth), "/")
     named = roots.select(F.col("path").alias("_root"))
     return (
-        files.withColumn("_root", root).join(F.broadcast(named), "_root")
+        files.withColumn("_root", root).join(named, "_root")
         .withColumn("project_id", C.project_id("_root")).drop("_root")
     )
 

@@ -1,13 +1,17 @@
 """Reference edges between symbols, and one-hop lookups.
 
+Edges are kept factored: a table of references by name, the definitions of names, and unresolved imports. Its size is
+linear in the corpus however often a name is used. Pairs of a reference and a definition are made for the
+symbols or files that are asked for, or by ``symbol_edges`` where all of them are wanted; counts come from aggregates.
+
 An edge row carries ``n``, how often the reference occurs (source occurrences x matching target
-chunks), so repeats cost no rows: edge counts are sums of ``n``. References and definitions are
-combined per name before they meet; hot names, which adaptive execution cannot always split, are
-salted on the reference side against a checked, bounded list.
+chunks), so repeats cost no rows: edge counts are sums of ``n``.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,9 +27,6 @@ EXTENDS_RE = r"(?:^|\n)\s*(?:export\s+)?(?:abstract\s+)?class\s+\w+\s+extends\s+
 IMPLEMENTS_RE = r"(?:^|\n)\s*(?:export\s+)?(?:abstract\s+)?class\s+\w+(?:\s+extends\s+\w+)?\s+implements\s+([\w,\s]+)"
 
 EDGE_KEY = ["project_id", "source_file", "source_symbol", "target_file", "target_symbol", "kind"]
-HOT_NAME_SALTS = 32
-# A name is hot when it holds at least this share of all references; so at most 1/share names are.
-HOT_NAME_SHARE = 0.001
 
 
 def definitions(chunks: DataFrame) -> DataFrame:
@@ -67,23 +68,12 @@ def references(chunks: DataFrame) -> DataFrame:
 
 
 def symbol_edges(refs: DataFrame, defs: DataFrame) -> DataFrame:
-    """References meet definitions of the same name in other files of the project."""
-    join_key = ["project_id", "name"]
-    sizes = refs.groupBy(*join_key).agg(F.count(F.lit(1)).alias("_c"))
-    total = sizes.agg(F.sum("_c")).first()[0] or 0
-    # Bounded by construction: at most 1 / HOT_NAME_SHARE names reach the threshold.
-    hot = sizes.filter(F.col("_c") >= max(100_000, int(total * HOT_NAME_SHARE))).select(*join_key, F.lit(True).alias("_hot"))
-    hot = F.broadcast(hot)
-    salted_refs = refs.join(hot, join_key, "left").withColumn(
-        "_salt",
-        F.when(F.col("_hot"), F.pmod(F.xxhash64("source_file", "source_symbol"), F.lit(HOT_NAME_SALTS)).cast("int"))
-        .otherwise(0),
-    )
-    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(HOT_NAME_SALTS - 1))).otherwise(F.array(F.lit(0)))
-    salted_defs = defs.join(hot, join_key, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
+    """References meet definitions of the same name in other files of the project.
+
+    Both sides are combined per file and name before; a hot name is split by the adaptive skew join.
+    """
     return (
-        salted_refs.drop("_hot").join(salted_defs, [*join_key, "_salt"])
-        .filter(F.col("source_file") != F.col("target_file"))
+        refs.join(defs, ["project_id", "name"]).filter(F.col("source_file") != F.col("target_file"))
         .select(
             "project_id", "source_file", "source_symbol", "target_file", F.col("name").alias("target_symbol"),
             "kind", (F.col("n_refs") * F.col("n_defs")).alias("n"),
@@ -132,8 +122,8 @@ def probe(requests: DataFrame, base: str, listing: DataFrame, suffixes: tuple[st
     )
 
 
-def import_edges(chunks: DataFrame, listing: DataFrame) -> DataFrame:
-    """Relative imports and requires, resolved against the listing of files."""
+def import_references(chunks: DataFrame) -> DataFrame:
+    """Relative imports and requires with the path they name, not yet resolved, counted per source symbol."""
     content = F.col("content")
     imports = chunks.filter(F.col("type") == "import").select(
         "project_id", F.col("file").alias("source_file"),
@@ -146,16 +136,18 @@ def import_edges(chunks: DataFrame, listing: DataFrame) -> DataFrame:
     name = F.when(F.col("_from") == "", F.col("_req_name")).when(F.col("_name") != "", F.col("_name")).otherwise(
         F.element_at(F.split(path, "/"), -1)
     )
-    local = imports.filter(path != "").select(
+    return imports.filter(path != "").select(
         "project_id", "source_file", name.alias("source_symbol"),
-        normalize_path(F.concat(_directory("source_file"), F.lit("/"), path)).alias("_path"),
-    )
-    # Occurrences are counted before the listing is probed.
-    local = local.groupBy(*local.columns).agg(F.count(F.lit(1)).alias("n"))
-    named = C.extension("_path") != ""
-    given = local.filter(named).withColumn("target_file", F.col("_path"))
-    probed = probe(local.filter(~named), "_path", listing, dims.IMPORT_SUFFIXES, "target_file").withColumn(
-        "target_file", F.coalesce("target_file", F.concat("_path", F.lit(".ts")))
+        normalize_path(F.concat(_directory("source_file"), F.lit("/"), path)).alias("path"),
+    ).groupBy("project_id", "source_file", "source_symbol", "path").agg(F.count(F.lit(1)).alias("n"))
+
+
+def resolve_imports(imports: DataFrame, listing: DataFrame) -> DataFrame:
+    """Edges of unresolved imports, against the listing of files."""
+    named = C.extension("path") != ""
+    given = imports.filter(named).withColumn("target_file", F.col("path"))
+    probed = probe(imports.filter(~named), "path", listing, dims.IMPORT_SUFFIXES, "target_file").withColumn(
+        "target_file", F.coalesce("target_file", F.concat("path", F.lit(".ts")))
     )
     return given.unionByName(probed).select(
         "project_id", "source_file", "source_symbol", "target_file", F.col("source_symbol").alias("target_symbol"),
@@ -163,15 +155,65 @@ def import_edges(chunks: DataFrame, listing: DataFrame) -> DataFrame:
     )
 
 
-def extract_edges(chunks: DataFrame, listing: DataFrame, sources: DataFrame | None = None) -> DataFrame:
-    """All edges of a chunk table. ``sources`` (project_id, file) limits the referring files, for
-    incremental runs; targets are always the whole project."""
-    from_chunks = chunks if sources is None else chunks.join(sources, ["project_id", "file"], "left_semi")
-    named = symbol_edges(references(from_chunks), definitions(chunks))
-    return named.unionByName(import_edges(from_chunks, listing))
-
-
-# ---------------------------------------------------------------- lookups
+@dataclass(frozen=True)
+class EdgeTables:
+    """All edges of an index, factored: what each file refers to, what each file defines, and the files there are."""
+
+    references: DataFrame
+    definitions: DataFrame
+    imports: DataFrame
+    listing: DataFrame
+
+    @classmethod
+    def of(cls, chunks: DataFrame, listing: DataFrame) -> EdgeTables:
+        return cls(references(chunks), definitions(chunks), import_references(chunks), listing)
+
+    def expand(self) -> DataFrame:
+        """Every edge as a row."""
+        return symbol_edges(self.references, self.definitions).unionByName(resolve_imports(self.imports, self.listing))
+
+    def counts(self) -> DataFrame:
+        """(project_id, n): edges per project, from aggregates by name; no pair is made.
+
+        All references of a name times all its definitions, less those of the same file.
+        """
+        name = ["project_id", "name"]
+        refs = self.references.groupBy(*name, F.col("source_file").alias("file")).agg(F.sum("n_refs").alias("r"))
+        defs = self.definitions.select(*name, F.col("target_file").alias("file"), F.col("n_defs").alias("d"))
+        every = refs.groupBy(*name).agg(F.sum("r").alias("r")).join(defs.groupBy(*name).agg(F.sum("d").alias("d")), name)
+        own = refs.join(defs, [*name, "file"])
+        parts = (
+            every.select("project_id", (F.col("r") * F.col("d")).alias("n"))
+            .unionByName(own.select("project_id", (-F.col("r") * F.col("d")).alias("n")))
+            .unionByName(self.imports.select("project_id", "n"))
+        )
+        return parts.groupBy("project_id").agg(F.sum("n").alias("n")).filter("n > 0")
+
+    def related(self, symbols: DataFrame, keys: list[str]) -> DataFrame:
+        """Out- and in-edges of symbols(*keys, project_id, file, name); only their references and definitions are paired."""
+        s = symbols.select(*keys, "project_id", "file", "name")
+        source = s.withColumnsRenamed({"file": "source_file", "name": "source_symbol"})
+        asked = self.references.join(source, ["project_id", "source_file", "source_symbol"])
+        out = asked.join(self.definitions, ["project_id", "name"]).filter(F.col("source_file") != F.col("target_file")).select(
+            *keys, F.col("target_file").alias("file"), F.col("name").alias("symbol"), "kind", F.lit("out").alias("direction"),
+            (F.col("n_refs") * F.col("n_defs")).alias("n"))
+        target = s.withColumnRenamed("file", "target_file")
+        into = self.definitions.join(target, ["project_id", "name", "target_file"]).join(self.references, ["project_id", "name"]).filter(
+            F.col("source_file") != F.col("target_file")).select(
+            *keys, F.col("source_file").alias("file"), F.col("source_symbol").alias("symbol"), "kind", F.lit("in").alias("direction"),
+            (F.col("n_refs") * F.col("n_defs")).alias("n"))
+        names = s.select("project_id", F.col("name").alias("source_symbol")).distinct()
+        near = resolve_imports(self.imports.join(names, ["project_id", "source_symbol"], "left_semi"), self.listing)
+        return out.unionByName(into).unionByName(related(near, symbols, keys))
+
+    def impacted(self, files: DataFrame) -> DataFrame:
+        """Dependents of the given files(project_id, file); only their definitions are paired with references."""
+        asked = files.select("project_id", F.col("file").alias("target_file")).distinct()
+        named = symbol_edges(self.references, self.definitions.join(asked, ["project_id", "target_file"], "left_semi"))
+        return impacted(named.unionByName(resolve_imports(self.imports, self.listing)), files)
+
+
+# ---------------------------------------------------------------- lookups in edge rows
 
 
 def related(edges: DataFrame, symbols: DataFrame, keys: list[str]) -> DataFrame:

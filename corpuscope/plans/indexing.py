@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuscope.operators import corpus, graph, incremental, index_stats, symbols
-from corpuscope.session import cut_lineage
 from corpuscope.sources.sinks import IndexStore
 
 SCHEMA_VERSION = 3
@@ -23,62 +22,69 @@ def _meta(projects: DataFrame, ts) -> DataFrame:
     return projects.select("project_id", F.explode(pairs).alias("m")).select("project_id", "m.*", now.alias("ts"))
 
 
-def build_index(files: DataFrame, max_files: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(chunks, edges, hashes) of a listing with contents, as one lazy lineage."""
+def build_index(files: DataFrame, max_files: int | None = None) -> tuple[DataFrame, graph.EdgeTables, DataFrame]:
+    """(chunks, edge tables, hashes) of a listing with contents, as one lazy lineage."""
     kept = corpus.scan_corpus(files, max_files=max_files)
     chunks = symbols.dedupe_chunks(symbols.extract_chunks(kept))
-    return chunks, graph.extract_edges(chunks, kept), incremental.hash_files(kept)
+    return chunks, graph.EdgeTables.of(chunks, kept), incremental.hash_files(kept)
+
+
+def _write_symbols(store: IndexStore, kept: DataFrame, batch: int) -> None:
+    """Chunks of the files, then references and imports of the written chunks: sources are parsed once."""
+    store.write("chunks", symbols.dedupe_chunks(symbols.extract_chunks(kept)), batch)
+    chunks = store.written("chunks", batch)
+    store.write("references", graph.references(chunks), batch)
+    store.write("imports", graph.import_references(chunks), batch)
 
 
 def analyze(
-    store: IndexStore, files: DataFrame, projects: DataFrame, batch: int = 0, ts=None, max_files: int | None = None
+    store: IndexStore, files: DataFrame, projects: DataFrame, batch: int | None = None, ts=None, max_files: int | None = None
 ) -> DataFrame:
     """Index whole projects and return their counts.
 
-    Running it again replaces the batch instead of adding to it. Edges are derived from the
-    written chunks, so the corpus is parsed once.
+    ``batch`` is given to repeat a failed run; else it is the next one. The run closes all earlier ones of its projects: files
+    that are gone leave the index. Other projects are not touched.
     """
+    batch = store.next_batch() if batch is None else batch
     kept = corpus.scan_corpus(files, max_files=max_files)
-    store.write("chunks", symbols.dedupe_chunks(symbols.extract_chunks(kept)), batch)
-    hashes = incremental.hash_files(kept)
-    store.write("files", hashes.withColumn("status", F.lit("add")), batch)
-    chunks = store.chunks()
-    store.write("edges", graph.extract_edges(chunks, hashes), batch)
+    _write_symbols(store, kept, batch)
+    store.write("files", incremental.hash_files(kept).withColumn("status", F.lit("add")), batch)
     store.write("meta", _meta(projects, ts), batch)
-    return index_stats.index_counts(chunks, store.hashes(), store.edges())
+    store.commit(projects.select("project_id").union(store.written("files", batch).select("project_id")), "full", batch)
+    return index_stats.index_counts(store.chunks(), store.hashes(), store.edge_tables().counts())
 
 
-def discover(store: IndexStore, listing: DataFrame, parent: str, anchor: str, batch: int = 0, ts=None) -> DataFrame:
-    """Find sibling projects of ``anchor`` and index them all in one job.
+def discover(store: IndexStore, listing: DataFrame, parent: str, anchor: str, batch: int | None = None, ts=None,
+             limit: int | None = None) -> DataFrame:
+    """Find sibling projects of ``anchor`` and index them all in one job; ``limit`` keeps the first ones by path.
 
     listing(path, length, content): a recursive listing of ``parent``.
     """
-    roots = corpus.project_roots(listing, parent, anchor)
+    roots = corpus.project_roots(listing, parent, anchor, limit)
     files = corpus.files_of_roots(listing.withColumnRenamed("path", "file"), roots, parent)
     projects = roots.select(corpus.C.project_id("path").alias("project_id"), "path")
     return analyze(store, files, projects, batch, ts)
 
 
-def update(store: IndexStore, current: DataFrame, deleted: DataFrame | None, batch: int) -> DataFrame:
+def update(store: IndexStore, current: DataFrame, deleted: DataFrame | None, batch: int | None = None) -> DataFrame:
     """Re-index the given files; unchanged ones are skipped, deleted ones leave the index.
 
-    current(project_id, file, length, content) holds candidate files only, not the whole corpus.
-    Edges of changed files are matched against the symbols of the whole project. Returns the
-    (project_id, file, status) that were applied.
+    current(project_id, file, length, content) holds candidate files only, not the whole corpus; a candidate that no
+    longer belongs to a corpus counts as deleted. Changes are found against the batches before this one, so a retry does the same
+    again. Only the states of the given files are read; edges follow by themselves, as they are derived from
+    references and definitions. Returns the (project_id, file, status) that were applied.
     """
+    batch = store.next_batch() if batch is None else batch
     kept = current.filter(corpus.listing_filter())
-    seen = incremental.hash_files(kept)
-    known = store.hashes()
-    concerned = seen.select("project_id", "file")
+    concerned = current.select("project_id", "file")
     if deleted is not None:
-        concerned = concerned.unionByName(deleted.select("project_id", "file")).distinct()
-    changes = incremental.detect_changes(
-        seen, known.join(concerned, ["project_id", "file"], "left_semi")
-    ).filter(F.col("status") != "unchanged")
-    changes = cut_lineage(changes)  # read several times below, and the store changes in between
-    fresh = kept.join(changes, ["project_id", "file"], "left_semi")
-    store.write("chunks", symbols.dedupe_chunks(symbols.extract_chunks(fresh)), batch)
+        concerned = concerned.unionByName(deleted.select("project_id", "file"))
+    concerned = concerned.distinct()
+    changes = incremental.detect_changes(incremental.hash_files(kept), store.hashes(batch, concerned)).filter(
+        F.col("status") != "unchanged"
+    )
     store.write("files", changes, batch)
-    sources = changes.filter(F.col("status") != "delete").select("project_id", "file")
-    store.write("edges", graph.extract_edges(store.chunks(), store.hashes(), sources), batch)
+    changes = store.written("files", batch)
+    _write_symbols(store, kept.join(changes.select("project_id", "file"), ["project_id", "file"], "left_semi"), batch)
+    store.commit(changes, "update", batch)
     return changes.select("project_id", "file", "status")

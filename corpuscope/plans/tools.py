@@ -22,11 +22,11 @@ class Workspace:
     projects: DataFrame  # schemas.PROJECTS
     events: DataFrame  # schemas.USAGE_EVENTS
 
-    def analyze(self, files: DataFrame, projects: DataFrame, batch: int = 0, ts=None) -> DataFrame:
+    def analyze(self, files: DataFrame, projects: DataFrame, batch: int | None = None, ts=None) -> DataFrame:
         return indexing.analyze(self.store, files, projects, batch, ts)
 
-    def discover(self, listing: DataFrame, parent: str, anchor: str, batch: int = 0, ts=None) -> DataFrame:
-        return indexing.discover(self.store, listing, parent, anchor, batch, ts)
+    def discover(self, listing: DataFrame, parent: str, anchor: str, batch: int | None = None, ts=None, limit: int | None = None) -> DataFrame:
+        return indexing.discover(self.store, listing, parent, anchor, batch, ts, limit)
 
     def search(self, queries: DataFrame) -> DataFrame:
         """queries(query_id, project_id, q, n)."""
@@ -72,11 +72,11 @@ class Workspace:
     def related(self, refs: DataFrame, root: Column) -> DataFrame:
         """refs(ref_id, project_id, ref): ``file:name`` references."""
         symbols = graph.parse_symbol_refs(refs, self.store.hashes(), root)
-        return rendering.reference_text(graph.related(self.store.edges(), symbols, ["ref_id"]), ["ref_id"])
+        return rendering.reference_text(self.store.edge_tables().related(symbols, ["ref_id"]), ["ref_id"])
 
     def impact(self, files: DataFrame) -> DataFrame:
         """files(project_id, file): dependents, rendered per project."""
-        return rendering.reference_text(graph.impacted(self.store.edges(), files), ["project_id"], impact=True)
+        return rendering.reference_text(self.store.edge_tables().impacted(files), ["project_id"], impact=True)
 
     def compress_output(self, outputs: DataFrame, semantic: bool = True, **toggles: bool) -> tuple[DataFrame, DataFrame]:
         """(outputs with results, usage events). Tools that are not eligible pass through."""
@@ -96,7 +96,7 @@ class Workspace:
     def stats(self) -> dict[str, DataFrame]:
         chunks = self.store.chunks()
         return {
-            "counts": index_stats.index_counts(chunks, self.store.hashes(), self.store.edges()),
+            "counts": index_stats.index_counts(chunks, self.store.hashes(), self.store.edge_tables().counts()),
             "breakdown": index_stats.chunks_by_lang_and_type(chunks),
             "top_files": index_stats.top_files(chunks),
             "usage": usage.usage_summary(self.events),

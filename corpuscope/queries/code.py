@@ -27,11 +27,15 @@ def _chunk_rows(spark, folder):
     )
 
 
-def _edges(spark, folder):
+def _edge_tables(spark, folder):
     """Edges from a stored chunk table, as the index job derives them: the corpus is parsed once."""
     corpus_rows = T.code_corpus(spark, folder)
     chunks = cut_lineage(X.dedupe_chunks(X.extract_chunks(corpus_rows)))
-    return graph.extract_edges(chunks, corpus_rows)
+    return graph.EdgeTables.of(chunks, corpus_rows)
+
+
+def _edges(spark, folder):
+    return _edge_tables(spark, folder).expand()
 
 
 def _pages(spark, folder):
@@ -81,9 +85,9 @@ def _sinks(spark, folder):
 
 
 def _targets(spark, folder):
-    """Related symbols are asked for every function of TypeScript files."""
+    """Related symbols are asked for every part; those of TypeScript files exist."""
     k = F.col("p_partkey")
-    return T.table(spark, folder, "part").filter(k % 12 == 0).select(
+    return T.table(spark, folder, "part").select(
         F.concat(F.lit("c"), k % 3).alias("project_id"),
         F.concat(F.lit("s"), k % 2, F.lit("/p"), k, F.lit(".ts:fn"), k).alias("ref"),
         F.concat(F.lit("/repo/c"), k % 3).alias("root"),
@@ -95,7 +99,7 @@ def _parsed_refs(spark, folder):
 
 
 def _related(spark, folder):
-    out = graph.related(_edges(spark, folder), _parsed_refs(spark, folder), ["ref"])
+    out = _edge_tables(spark, folder).related(_parsed_refs(spark, folder), ["ref"])
     return out.select("ref", "file", "symbol", "kind", "direction", "n")
 
 
@@ -104,7 +108,7 @@ def _impact_files(spark, folder):
 
 
 def _impacted(spark, folder):
-    return graph.impacted(_edges(spark, folder), _impact_files(spark, folder))
+    return _edge_tables(spark, folder).impacted(_impact_files(spark, folder))
 
 
 RELATED_SQL = """rel AS (
@@ -250,7 +254,7 @@ def _indexed(spark, folder):
     """Whole index of the code corpus: chunks, hashed files and edges per project."""
     kept = corpus.scan_corpus(T.code_corpus(spark, folder), max_files=None)
     chunks = cut_lineage(X.dedupe_chunks(X.extract_chunks(kept)))
-    return index_stats.index_counts(chunks, incremental.hash_files(kept), graph.extract_edges(chunks, kept))
+    return index_stats.index_counts(chunks, incremental.hash_files(kept), graph.EdgeTables.of(chunks, kept).counts())
 
 
 QUERIES = {
@@ -300,7 +304,7 @@ QUERIES = {
     "g6_related": (_related, f"WITH {T.CODE_SQL}, {RELATED_SQL} SELECT * FROM rel"),
     "g7_impacted": (_impacted, f"WITH {T.CODE_SQL}, {RELATED_SQL} SELECT * FROM imp"),
     "g8_edge_count": (
-        lambda s, d: graph.edge_count(_edges(s, d)),
+        lambda s, d: graph.edge_count(_edge_tables(s, d).counts()),
         f"WITH {T.CODE_SQL} SELECT CAST(sum(n) AS BIGINT) AS edges FROM code_edges",
     ),
     "g9_fan_in": (
@@ -369,7 +373,7 @@ QUERIES = {
         WHERE doc_id % {len(SENSITIVE)} IN (10, 11) AND NOT contains(file, '/.git/')""",
     ),
     "s9_discover_projects": (
-        lambda s, d: corpus.project_roots(_listing(s, d), "/root/all", "/root/all/proj5"),
+        lambda s, d: corpus.project_roots(_listing(s, d), "/root/all", "/root/all/proj5", dims.MAX_DISCOVERED),
         f"""WITH p AS (SELECT CASE WHEN p_partkey % 17 = 0 THEN '.hidden' WHEN p_partkey % 19 = 0 THEN 'vendor'
           ELSE 'proj' || p_partkey % 90 END AS name,
           ((p_partkey // 90) * 5 + p_partkey % 90) % 7 AS m FROM part)

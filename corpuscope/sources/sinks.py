@@ -1,27 +1,32 @@
 """Table sinks.
 
-Index tables are logs: every run or stream batch writes its own ``batch=<id>`` folder, replacing
-that folder if it is retried, and the current state is the latest batch per file. A change of a
-few files therefore never rewrites the whole table. ``compact`` folds the log when it is worth it.
+Index tables are logs: every run writes folders of its own, ``batch=<id>``, and publishes them last, by one commit
+row for each of its projects. Rows of a batch without a commit are not seen, and a retried batch replaces its own
+folders. A full run closes everything before it for its projects; else the latest batch of a file counts. A change
+of a few files therefore never rewrites the whole table. ``compact`` folds the log when it is worth it. One writer works at a time.
 """
 
 from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuscope import schemas
+from corpuscope.operators import graph
 from corpuscope.operators.corpus import is_sensitive
 
 STATE = "project_id STRING, file STRING, hash STRING, status STRING"
 
 
 class IndexStore:
-    """Chunks, edges and file states of an index under one folder."""
+    """Chunks, references, imports and file states of an index under one folder."""
 
-    TABLES = {"chunks": schemas.CHUNKS, "edges": schemas.EDGES, "files": STATE, "meta": schemas.META}
+    TABLES = {
+        "chunks": schemas.CHUNKS, "references": schemas.REFERENCES, "imports": schemas.IMPORTS, "files": STATE,
+        "meta": schemas.META, "commits": schemas.COMMITS,
+    }
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
@@ -36,8 +41,15 @@ class IndexStore:
             f"{self._path(name)}/batch={batch}"
         )
 
+    def commit(self, projects: DataFrame, kind: str, batch: int) -> None:
+        """Publish what the batch has written for projects(project_id); kind is full or update."""
+        self.write("commits", projects.select("project_id", F.lit(kind).alias("kind")).distinct(), batch)
+
+    def next_batch(self) -> int:
+        return (self.log("commits").agg(F.max("batch")).first()[0] or 0) + 1
+
     def log(self, name: str) -> DataFrame:
-        schema = self.TABLES[name] + ", batch INT"
+        schema = self.TABLES[name] + ", batch BIGINT"
         try:
             return self.spark.read.schema(schema).option("basePath", self._path(name)).parquet(self._path(name))
         except Exception as e:  # nothing written yet
@@ -45,13 +57,29 @@ class IndexStore:
                 raise
             return self.spark.createDataFrame([], schema)
 
-    def states(self) -> DataFrame:
-        """Latest state per file, with the batch that wrote it."""
+    def written(self, name: str, batch: int) -> DataFrame:
+        """What one batch wrote, committed or not."""
+        return self.log(name).filter(F.col("batch") == batch).drop("batch")
+
+    def published(self, name: str, before: int | None = None) -> DataFrame:
+        """Log rows of committed batches since the last full run of their project; ``before`` leaves out later batches."""
+        commits = self.log("commits")
+        if before is not None:
+            commits = commits.filter(F.col("batch") < before)
+        full = commits.groupBy("project_id").agg(F.max(F.when(F.col("kind") == "full", F.col("batch"))).alias("_full"))
+        open_ = commits.join(full, "project_id").filter(F.col("_full").isNull() | (F.col("batch") >= F.col("_full")))
+        return self.log(name).join(open_.select("project_id", "batch"), ["project_id", "batch"], "left_semi")
+
+    def states(self, before: int | None = None, concerned: DataFrame | None = None) -> DataFrame:
+        """Latest state per file, with the batch that wrote it; of ``concerned`` (project_id, file) only, if given."""
+        rows = self.published("files", before)
+        if concerned is not None:
+            rows = rows.join(concerned, ["project_id", "file"], "left_semi")
         latest = F.max_by(F.struct("hash", "status", "batch"), "batch").alias("s")
-        return self.log("files").groupBy("project_id", "file").agg(latest).select("project_id", "file", "s.*")
+        return rows.groupBy("project_id", "file").agg(latest).select("project_id", "file", "s.*")
 
-    def hashes(self) -> DataFrame:
-        return self.states().filter(F.col("status") != "delete").select("project_id", "file", "hash")
+    def hashes(self, before: int | None = None, concerned: DataFrame | None = None) -> DataFrame:
+        return self.states(before, concerned).filter(F.col("status") != "delete").select("project_id", "file", "hash")
 
     def _current(self, name: str, file_column: str) -> DataFrame:
         live = self.states().filter(F.col("status") != "delete").select(
@@ -62,26 +90,46 @@ class IndexStore:
     def chunks(self) -> DataFrame:
         return self._current("chunks", "file")
 
+    def edge_tables(self) -> graph.EdgeTables:
+        """References and imports as stored, with the definitions of the current chunks: no edge can go stale."""
+        return graph.EdgeTables(
+            self._current("references", "source_file"), graph.definitions(self.chunks()),
+            self._current("imports", "source_file"), self.hashes(),
+        )
+
     def edges(self) -> DataFrame:
-        return self._current("edges", "source_file")
+        return self.edge_tables().expand()
 
     def meta(self) -> DataFrame:
         latest = F.max_by(F.struct("value", "ts"), F.struct("ts", "batch")).alias("v")
-        return self.log("meta").groupBy("project_id", "key").agg(latest).select("project_id", "key", "v.*")
+        return self.published("meta").groupBy("project_id", "key").agg(latest).select("project_id", "key", "v.*")
 
     def compact(self, target: IndexStore) -> None:
-        """Write the current state as batch 0 of another store."""
-        target.write("chunks", self.chunks(), 0)
-        target.write("edges", self.edges(), 0)
-        target.write("files", self.states().filter(F.col("status") != "delete"), 0)
-        target.write("meta", self.meta(), 0)
+        """Write the current state as one full batch of another store."""
+        target.write("chunks", self.chunks(), 1)
+        target.write("references", self._current("references", "source_file"), 1)
+        target.write("imports", self._current("imports", "source_file"), 1)
+        target.write("files", self.states().filter(F.col("status") != "delete"), 1)
+        target.write("meta", self.meta(), 1)
+        target.commit(self.log("commits"), "full", 1)
 
 
 def append_usage(events: DataFrame, path: str) -> None:
-    """Append usage events, laid out by day so that period filters prune."""
+    """Append usage events, laid out by day; ``read_usage`` prunes by it. Events without a time have the null day."""
     events.withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("day").parquet(path)
 
 
+def read_usage(spark: SparkSession, path: str, since: Column | None = None, until: Column | None = None) -> DataFrame:
+    """Usage events from ``since`` (inclusive) to ``until`` (exclusive); without both, all of them. The scan
+    reads the days of the span only."""
+    rows = spark.read.schema(schemas.USAGE_EVENTS + ", day DATE").parquet(path)
+    if since is not None:
+        rows = rows.filter((F.col("day") >= F.to_date(since)) & (F.col("ts") >= since))
+    if until is not None:
+        rows = rows.filter((F.col("day") <= F.to_date(until)) & (F.col("ts") < until))
+    return rows.drop("day")
+
+
 def append_audit(substitutions: DataFrame, path: str) -> None:
     """One JSON line per substitution; sensitive paths never reach it."""
     substitutions.filter(~is_sensitive("path")).write.mode("append").json(path)

@@ -166,27 +166,67 @@ def test_edges_of_all_kinds(spark):
         _chunk("/r/a.ts", "os", "import", "import os from 'os'"),
     ], schemas.CHUNKS)
     listing = spark.createDataFrame([("p", "/r/a.ts"), ("p", "/r/b.ts"), ("p", "/r/util/index.js")], "project_id string, file string")
-    edges = graph.extract_edges(chunks, listing)
+    tables = graph.EdgeTables.of(chunks, listing)
+    edges = tables.expand()
     got = {(r.source_symbol, r.target_file, r.target_symbol, r.kind, r.n) for r in edges.collect()}
     assert got == {
         ("foo", "/r/b.ts", "bar", "call", 2), ("K", "/r/b.ts", "Base", "extend", 1), ("K", "/r/b.ts", "I", "implement", 1),
         ("b", "/r/b.ts", "b", "import", 1), ("u", "/r/util/index.js", "u", "import", 1),
     }
-    assert graph.edge_count(edges).first().edges == 6
+    assert graph.edge_count(edges).first().edges == graph.edge_count(tables.counts()).first().edges == 6
 
 
-def test_hot_names_are_salted_without_loss(spark, monkeypatch):
-    refs = spark.range(3000).select(
-        F.lit("p").alias("project_id"), F.concat(F.lit("/c"), "id").alias("source_file"), F.lit("s").alias("source_symbol"),
-        F.lit("call").alias("kind"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("n"), "id")).alias("name"),
-        F.lit(1).cast("bigint").alias("n_refs"),
-    )
-    defs = spark.createDataFrame([("p", "hot", "/d1", 1), ("p", "hot", "/d2", 2), ("p", "n1", "/d1", 1)],
-                                 "project_id string, name string, target_file string, n_defs bigint")
-    plain = graph.symbol_edges(refs, defs).count()
-    monkeypatch.setattr(graph, "max", lambda *_: 10, raising=False)
-    salted = graph.symbol_edges(refs, defs)
-    assert salted.count() == plain == 2001
+def test_stored_edges_of_a_hot_name_grow_linearly(spark):
+    """Every file defines and calls one name: stored rows follow the files, lookups and counts see all pairs."""
+    def tables(n):
+        chunks = spark.range(n).select(
+            F.lit("p").alias("project_id"), F.lit("i").alias("id"), F.concat(F.lit("/f"), "id").alias("file"), F.lit("get").alias("name"),
+            F.lit("function").alias("type"), F.lit(1).alias("line"), F.lit(1).alias("line_end"), F.lit("get").alias("content"),
+            F.lit("function get() { get() }").alias("body"), F.lit("typescript").alias("lang"))
+        return graph.EdgeTables.of(chunks, chunks)
+
+    stored = [t.references.count() + t.definitions.count() + t.imports.count() for t in (tables(50), tables(100))]
+    assert stored[1] == 2 * stored[0]
+    assert graph.edge_count(tables(100).counts()).first().edges == tables(100).expand().agg(F.sum("n")).first()[0] == 100 * 99 * 2
+    asked = spark.createDataFrame([("r", "p", "/f1", "get")], "ref string, project_id string, file string, name string")
+    assert tables(100).related(asked, ["ref"]).count() == 2 * 99
+    assert tables(100).impacted(asked.select("project_id", "file")).count() == 99
+
+
+def test_the_store_loses_nothing(spark, tmp_path):
+    store = IndexStore(spark, str(tmp_path / "ix"))
+
+    def corpus(project, files):
+        return _corpus(spark, files).withColumn("project_id", F.lit(project))
+
+    def project(name):
+        return spark.createDataFrame([(name, f"/{name}")], "project_id string, path string")
+
+    def names():
+        return sorted((r.project_id, r.file, r.name) for r in store.chunks().filter("type = 'function'").collect())
+
+    def calls():
+        return sorted((r.source_file, r.target_file) for r in store.edges().filter("kind = 'call'").collect())
+
+    one = {"/a/x.ts": "function x(q) {\n  later()\n}\n", "/a/y.ts": "function y(q) {\n  x()\n}\n"}
+    indexing.analyze(store, corpus("a", one), project("a"))
+    indexing.analyze(store, corpus("b", {"/b/z.ts": "function z(q) {\n}\n"}), project("b"))
+    assert names() == [("a", "/a/x.ts", "x"), ("a", "/a/y.ts", "y"), ("b", "/b/z.ts", "z")]
+    # a new definition that an unchanged file calls, then the same batch once more
+    for _ in range(2):
+        done = indexing.update(store, corpus("a", {"/a/new.ts": "function later(q) {\n}\n", "/a/x.ts": one["/a/x.ts"]}), None, 3)
+        assert [tuple(r) for r in done.collect()] == [("a", "/a/new.ts", "add")]
+        assert calls() == [("/a/x.ts", "/a/new.ts"), ("/a/y.ts", "/a/x.ts")]
+    # what was written but not committed is not seen
+    store.write("files", store.states().withColumn("status", F.lit("delete")), 99)
+    assert len(names()) == 4
+    gone = spark.createDataFrame([("a", "/a/x.ts")], "project_id string, file string")
+    indexing.update(store, corpus("a", {}), gone)
+    assert calls() == [] and len(names()) == 3
+    # a full run closes what was before it: new.ts and y.ts are gone since
+    indexing.analyze(store, corpus("a", {"/a/x.ts": "function x2(q) {\n}\n"}), project("a"))
+    assert names() == [("a", "/a/x.ts", "x2"), ("b", "/b/z.ts", "z")]
+    assert store.hashes().count() == 2
 
 
 def test_index_runs_are_idempotent(spark, tmp_path):
@@ -240,13 +280,13 @@ def test_update_matches_full_run(spark, tmp_path):
     indexing.analyze(store, _corpus(spark, before), projects)
     changed = {"/w/a.ts": "function a(x) {\n  b()\n  d()\n}\n", "/w/b.ts": before["/w/b.ts"], "/w/d.ts": "function d(x) {\n}\n"}
     gone = spark.createDataFrame([("p", "/w/c.ts")], "project_id string, file string")
-    status = {r.file: r.status for r in indexing.update(store, _corpus(spark, changed), gone, 1).collect()}
+    status = {r.file: r.status for r in indexing.update(store, _corpus(spark, changed), gone).collect()}
     assert status == {"/w/a.ts": "change", "/w/d.ts": "add", "/w/c.ts": "delete"}
     full_chunks, full_edges, _ = indexing.build_index(_corpus(spark, changed))
     columns = ["file", "name", "type", "line", "line_end", "body"]
     assert sorted(map(tuple, store.chunks().select(*columns).collect())) == sorted(map(tuple, full_chunks.select(*columns).collect()))
     edge = ["source_file", "source_symbol", "target_file", "target_symbol", "kind", "n"]
-    assert sorted(map(tuple, store.edges().select(*edge).collect())) == sorted(map(tuple, full_edges.select(*edge).collect()))
+    assert sorted(map(tuple, store.edges().select(*edge).collect())) == sorted(map(tuple, full_edges.expand().select(*edge).collect()))
 
 
 def test_event_and_audit_sinks(spark, tmp_path):
