@@ -21,15 +21,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuscope.llm.common import (
-    character_classes, code_points, map_batches, publish, published, regroup, row_starts, split_contractions,
-    take_ragged, tokens_as_binary,
+    character_classes, code_points, map_batches, most_frequent, publish, published, regroup, row_starts, split_contractions,
+    take_ragged, tokens_as_binary, written,
 )
 
 LEXICON_WORDS = 1 << 16
 #: Longer words are merged one at a time, by a heap.
 LONG_WORD = 128
+#: Symbols of the words that are merged together.
+BLOCK_CELLS = 1 << 19
 #: Counts of one task are combined when so many rows are held.
-COUNT_ROWS = 2_000_000
+COUNT_ROWS = 600_000
 _NONE = np.int64(1) << 40
 _MAGIC = b"MAT1"
 
@@ -123,12 +125,10 @@ class Vocabulary:
         for i in order[:lo]:
             out[i] = np.zeros(0, np.int64)
         while lo < len(order):
-            hi = min(len(order), lo + (1 << 16))
+            least = int(sizes[order[lo]])  # words of like sizes go together, as many as fit a block of cells
+            hi = int(np.searchsorted(sizes[order], 2 * least, "right"))
+            hi = min(hi, lo + max(1, BLOCK_CELLS // (2 * least)))
             width = int(sizes[order[hi - 1]])
-            if width > 2 * int(sizes[order[lo]]):  # words of like sizes go together
-                hi = max(lo + 1, int(np.searchsorted(sizes[order], 2 * int(sizes[order[lo]]), "right")))
-                hi = min(hi, lo + (1 << 16))
-                width = int(sizes[order[hi - 1]])
             if width > LONG_WORD:
                 for i in order[lo:hi]:
                     out[i] = self._merge_long(data[bounds[i]:bounds[i + 1]])
@@ -391,7 +391,7 @@ def _between(pieces: list[str], number: int) -> list[str | int]:
 
 
 def build_lexicon(docs: DataFrame, vocabulary_path: str, text: str = "text", size: int = LEXICON_WORDS) -> str:
-    """Count the words of all documents, compile the ``size`` most frequent ones and hand the file out; its name."""
+    """Count the words of all documents, compile the most frequent ones (at most ``size``) and hand the file out; its name."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -403,7 +403,7 @@ def build_lexicon(docs: DataFrame, vocabulary_path: str, text: str = "text", siz
                 held.clear()
                 yield from summed.combine_chunks().to_batches(max_chunksize=1 << 16)
 
-        for table in regroup(batches, 8 << 20):
+        for table in regroup(batches, 2 << 20):
             found, _ = words([t or "" for t in table.column("text").to_pylist()])
             coded = found.dictionary_encode()
             n = np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary)).astype(np.int64)
@@ -415,7 +415,8 @@ def build_lexicon(docs: DataFrame, vocabulary_path: str, text: str = "text", siz
         yield from total()
 
     counts = docs.select(F.col(text).alias("text")).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = [bytes(r["word"]) for r in counts.where(F.length("word") <= LONG_WORD).orderBy(F.desc("n"), "word").limit(size).collect()]
+    counts = written(counts.where(F.length("word") <= LONG_WORD), "words")
+    top = sorted(bytes(r["word"]) for r in most_frequent(counts, "n", size).collect())
     ids, bounds = Codec(vocabulary_path).word_ids(pa.array(top, pa.large_binary()))
     entries = {w: ids[bounds[i]:bounds[i + 1]].tolist() for i, w in enumerate(top)}
     return publish(docs.sparkSession, "lexicon", compile_lexicon(entries))
@@ -441,4 +442,4 @@ def round_trip(docs: DataFrame, vocabulary_path: str, lexicon: str | None, doc_i
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return map_batches(rows, run, kind + (", ids array<int>" if with_ids else ""), most_bytes=4 << 20)
+    return map_batches(rows, run, kind + (", ids array<int>" if with_ids else ""), most_bytes=2 << 20)

@@ -14,6 +14,7 @@ import pyarrow as pa
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from tokenizers import Regex, pre_tokenizers
 
@@ -121,6 +122,21 @@ def text_bytes(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarr
     return flat[lo:hi], (bounds - lo if len(bounds) else np.zeros(1, np.int64))
 
 
+def most_frequent(counts: DataFrame, value: str, most: int) -> DataFrame:
+    """Rows of ``counts`` with the highest values, at most ``most`` of them; rows of the value at the cut are left out together.
+
+    The cut is found from how many rows have each value, so what reaches the driver doesn't grow with the partitions.
+    """
+    sizes = counts.groupBy(value).agg(F.count("*").alias("_rows")).orderBy(F.desc(value)).limit(most).collect()
+    total, cut = 0, None
+    for r in sizes:
+        total += r["_rows"]
+        if total > most:
+            break
+        cut = r[value]
+    return counts.limit(0) if cut is None else counts.where(F.col(value) >= F.lit(cut))
+
+
 #: The bytes that separate words, space and \t \n \v \f \r.
 WORD_BREAKS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 _IS_BREAK = np.zeros(256, bool)
