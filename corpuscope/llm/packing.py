@@ -130,7 +130,7 @@ def pieces(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str =
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
         return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return map_batches(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), run, _PIECE)
+    return map_batches(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), run, _PIECE, most_bytes=4 << 20)
 
 
 class Bins:
