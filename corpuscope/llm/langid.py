@@ -117,20 +117,21 @@ class Model:
         return names, scores
 
 
-def fit(held: np.ndarray, langs: list[str]) -> Model:
-    """Nyström kernel ridge regression on presence rows; ties and order of languages are alphabetical."""
+def fit(packed: np.ndarray, langs: list[str]) -> Model:
+    """Nyström kernel ridge regression on presence rows, eight buckets to a byte; languages in alphabetical order."""
     names = sorted(set(langs))
     if not names:
         return Model([], np.zeros(0, np.int64), np.zeros((0, 0), np.float32), np.zeros(0), np.zeros((0, 0)))
     label = np.array([names.index(x) for x in langs])
     each = max(1, LANDMARKS // len(names))
     chosen = np.concatenate([np.flatnonzero(label == k)[:each] for k in range(len(names))])
-    counts = held[chosen].sum(axis=0, dtype=np.int64)
+    held = np.unpackbits(packed[chosen], axis=1)
+    counts = held.sum(axis=0, dtype=np.int64)
     units = np.sort(np.argsort(-counts, kind="stable")[:min(UNITS, int((counts > 0).sum()) or 1)])
-    marks = held[chosen][:, units].astype(np.float32).T
+    marks = held[:, units].astype(np.float32).T
     scale = 1 / np.sqrt(np.maximum(marks.sum(axis=0), 1))
     model = Model(names, units, marks, scale, np.zeros((len(chosen), len(names))))
-    gram = np.concatenate([model.kernel(held[at:at + 256]) for at in range(0, len(held), 256)]).astype(np.float64)
+    gram = np.concatenate([model.kernel(np.unpackbits(packed[at:at + 128], axis=1)) for at in range(0, len(packed), 128)]).astype(np.float64)
     values, vectors = np.linalg.eigh(gram[chosen])
     root = vectors / np.sqrt(np.maximum(values, 1e-6)) @ vectors.T
     z = gram @ root
@@ -149,7 +150,7 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     known = known.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
     if not counts:
-        return fit(np.zeros((0, BUCKETS), np.uint8), [])
+        return fit(np.zeros((0, BUCKETS // 8), np.uint8), [])
     each = max(LEAST_PER_LANGUAGE, SAMPLE // len(counts))
     rates = known.sparkSession.createDataFrame([(r["lang"], min(1.0, each / r["count"])) for r in counts], "lang string, rate double")
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
@@ -167,10 +168,8 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
 
     rows = sorted((r["lang"], bytes(r["packed"])) for r in map_batches(sample, run, "lang string, packed binary").collect())
     order = np.random.default_rng(0).permutation(len(rows))
-    held = np.zeros((len(rows), BUCKETS), np.uint8)
-    for at, i in enumerate(order):
-        held[at] = np.unpackbits(np.frombuffer(rows[i][1], np.uint8))
-    return fit(held, [rows[i][0] for i in order])
+    packed = np.frombuffer(b"".join(rows[i][1] for i in order), np.uint8).reshape(-1, BUCKETS // 8)
+    return fit(packed, [rows[i][0] for i in order])
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", into: str = "language") -> DataFrame:
