@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
@@ -15,20 +15,36 @@ from corpuscope.streaming import changes, loops, usage
 EVENTS = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 
 
-def _stream(spark: SparkSession, folder: str) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", loops.STATE_STORE)
+TRIGGERS = 4
+
+
+def _stream(spark: SparkSession, folder: str, order: str = "ts", closed: bool = True) -> DataFrame:
+    """The event table as a stream of several micro-batches, in the order of a column; ``closed`` adds a last event, of no user,
+    long after all others, which closes what is open at the end."""
+    base = f"{ensure_checkpoint_dir(spark)}/events-{uuid.uuid4().hex}"
+    events = spark.read.parquet(f"{folder}/events.parquet").select(*[c.split()[0] for c in EVENTS.split(", ")])
+    place = F.unix_micros(F.col(order).cast("timestamp")) if order == "ts" else F.col(order)
+    cuts = events.agg(F.percentile_approx(place, [k / TRIGGERS for k in range(1, TRIGGERS)], 1000)).first()[0] or []
+    for k, (lo, hi) in enumerate(zip([None, *cuts], [*cuts, None], strict=True)):
+        part = events.where((F.lit(True) if lo is None else place > lo) & (F.lit(True) if hi is None else place <= hi))
+        part.write.parquet(f"{base}/slice-{k}")
+    if closed:
+        last = events.agg((F.max("event_id") + 10**9).alias("event_id"), (F.max("ts") + F.expr("INTERVAL 400 DAYS")).alias("ts"))
+        last.select(
+            "event_id", "ts", F.lit(-1).cast("bigint").alias("user_id"), F.lit("view").alias("event_type"), F.lit(0.0).alias("value"),
+            F.lit(None).cast("string").alias("props"),
+        ).write.parquet(f"{base}/slice-{TRIGGERS}")
+    each = max(1, len(spark.read.parquet(f"{base}/*").inputFiles()) // (TRIGGERS + closed))
     return (
-        spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(folder)
+        spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", each).parquet(f"{base}/*")
         .withColumn("ts", F.col("ts").cast("timestamp"))
     )
 
 
-def _drain(stream: DataFrame, mode: str) -> DataFrame:
-    """Rows of all batches (append) or of the last one (complete), through the shared folder."""
+def _drain(stream: DataFrame, mode: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of all batches (append), or the latest row of each key (update), through the shared folder."""
     spark = stream.sparkSession
-    ensure_checkpoint_dir(spark)
-    base = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    base = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
@@ -39,31 +55,53 @@ def _drain(stream: DataFrame, mode: str) -> DataFrame:
     )
     query.awaitTermination()
     out = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", IntegerType())])).parquet(f"{base}/out")
-    if mode == "complete":
-        last = out.agg(F.max("batch")).first()[0]
-        out = out.filter(F.col("batch") == last)
+    if mode == "update":
+        values = [c for c in out.columns if c not in (*keys, "batch")]
+        out = out.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v")).select(*keys, "v.*")
+        return out.select(*stream.columns)
     return out.drop("batch")
 
 
-def _settled(spark, folder):
-    e = _stream(spark, folder).select(
+def _file_changes(events: DataFrame, above: Column | None = None) -> DataFrame:
+    return events.select(
         F.concat(F.lit("p"), F.col("user_id") % 3).alias("project_id"),
-        F.concat(F.lit("/f"), (F.get_json_object("props", "$.k").cast("int") / 20).cast("int"), F.lit(".ts")).alias("file"),
+        F.concat(
+            F.lit("") if above is None else above, F.lit("/f"),
+            (F.get_json_object("props", "$.k").cast("int") / 20).cast("int"), F.lit(".ts"),
+        ).alias("file"),
         F.when(F.col("event_type") == "error", "delete").when(F.col("event_type") == "signup", "add").otherwise("change").alias("action"),
         "ts",
     )
+
+
+def _settled(spark, folder):
+    e = _file_changes(_stream(spark, folder))
     return _drain(changes.settled(e, "10 minutes", "1 hour"), "append").withColumn("ts", F.unix_micros("ts"))
 
 
+def _deletions(spark, folder):
+    e = _file_changes(_stream(spark, folder, closed=False))
+    return _drain(changes.deletions(e), "append").withColumn("ts", F.unix_micros("ts"))
+
+
+def _change_log(spark, folder):
+    """The changes as JSON files, read as the change source reads them; ignored and generated paths drop out."""
+    base = f"{ensure_checkpoint_dir(spark)}/changes-{uuid.uuid4().hex}"
+    events = spark.read.parquet(f"{folder}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    tail = F.when(F.col("event_id") % 5 == 0, "/node_modules").when(F.col("event_id") % 7 == 0, "/dist").otherwise("")
+    _file_changes(events, tail).write.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(base)
+    return _drain(changes.read_changes(spark, base), "append").withColumn("ts", F.unix_micros("ts"))
+
+
 def _live(spark, folder):
     eid, kind = F.col("event_id"), F.col("event_type")
-    e = _stream(spark, folder).select(
+    e = _stream(spark, folder, closed=False).select(
         "ts", F.floor("value").alias("tokens_saved"),
         F.when(kind == "click", "search").when(kind == "view", F.when(eid % 3 == 0, "cache_hit").otherwise("file_read"))
         .when(kind == "purchase", "index_substitute").when(kind == "signup", "compression").otherwise("search_savings")
         .alias("event_type"),
     )
-    return _drain(usage.live_timeline(e), "complete").withColumn("bucket_ts", F.unix_micros("bucket_ts"))
+    return _drain(usage.live_timeline(e), "update", ("bucket_ts", "mechanism")).withColumn("bucket_ts", F.unix_micros("bucket_ts"))
 
 
 def _turns(spark, folder):
@@ -73,13 +111,23 @@ def _turns(spark, folder):
     return _drain(usage.turns(e, "5 minutes", "1 minute"), "append")
 
 
-def _loops(spark, folder):
-    e = _stream(spark, folder).select(
+def _reads(events: DataFrame) -> DataFrame:
+    return events.select(
         F.concat(F.lit("s"), F.col("user_id") % 4).alias("session_id"),
         F.concat(F.lit("/f"), (F.get_json_object("props", "$.k").cast("int") / 50).cast("int")).alias("path"),
         F.timestamp_micros(F.lit(1704067200000000) + F.col("event_id") * 173_000).alias("ts"),
     )
-    return _drain(loops.live_loops(e), "append").withColumn("ts", F.unix_micros("ts"))
+
+
+def _loops(spark, folder):
+    return _drain(loops.live_loops(_reads(_stream(spark, folder, "event_id"))), "append").withColumn("ts", F.unix_micros("ts"))
+
+
+def _recent_edits(spark, folder):
+    """Edits are remembered for a day after the first one."""
+    e = _stream(spark, folder, closed=False).select(
+        F.concat(F.lit("s"), "user_id").alias("session_id"), F.get_json_object("props", "$.k").alias("path"), "ts")
+    return _drain(loops.recent_edits(e, "60 days"), "append").select("session_id", "path")
 
 
 ISLANDS = """
@@ -93,8 +141,22 @@ QUERIES = {
           CASE event_type WHEN 'signup' THEN 'add' ELSE 'change' END AS action, ts FROM events WHERE event_type <> 'error'),
         {ISLANDS.format(name='i', key='project_id, file', gap='10 minutes', src='c')},
         r AS (SELECT project_id, file, arg_max(action, ts) AS action, max(ts) AS last, count(*) AS events FROM i GROUP BY project_id, file, g)
-        SELECT project_id, file, action, epoch_us(last) AS ts, events FROM r
-        WHERE last + INTERVAL 10 minutes <= (SELECT max(ts) FROM c) - INTERVAL 1 hour""",
+        SELECT project_id, file, action, epoch_us(last) AS ts, events FROM r""",
+    ),
+    "r2_deletions": (
+        _deletions,
+        """SELECT 'p' || user_id % 3 AS project_id, '/f' || CAST(json_extract_string(props, '$.k') AS INT) // 20 || '.ts' AS file,
+          'delete' AS action, epoch_us(ts) AS ts FROM events WHERE event_type = 'error'""",
+    ),
+    "r1_change_source": (
+        _change_log,
+        """SELECT 'p' || user_id % 3 AS project_id, '/f' || CAST(json_extract_string(props, '$.k') AS INT) // 20 || '.ts' AS file,
+          CASE event_type WHEN 'error' THEN 'delete' WHEN 'signup' THEN 'add' ELSE 'change' END AS action, epoch_us(ts) AS ts
+          FROM events WHERE event_id % 5 <> 0 AND event_id % 7 <> 0""",
+    ),
+    "r7_recent_edits": (
+        _recent_edits,
+        """SELECT DISTINCT 's' || user_id AS session_id, json_extract_string(props, '$.k') AS path FROM events""",
     ),
     "r4_live_timeline": (
         _live,
@@ -110,7 +172,7 @@ QUERIES = {
         {ISLANDS.format(name='i', key='session_id', gap='5 minutes', src='c')},
         r AS (SELECT session_id, sum(v) AS s, count(*) AS n, min(ts) AS a, max(ts) AS z FROM i GROUP BY session_id, g)
         SELECT session_id, CAST(s AS BIGINT) AS tokens_saved, n AS tools_intercepted, (epoch_us(z) - epoch_us(a)) // 1000 AS duration_ms
-        FROM r WHERE s <> 0 AND z + INTERVAL 5 minutes <= (SELECT max(ts) FROM c) - INTERVAL 1 minute""",
+        FROM r WHERE s <> 0""",
     ),
     "r6_live_loops": (
         _loops,

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def build_session(app: str = "corpuscope", master: str | None = None, **conf: str) -> SparkSession:
     """Session with adaptive execution on; ``conf`` overrides the defaults."""
     builder = SparkSession.builder.appName(app)
@@ -15,6 +17,7 @@ def build_session(app: str = "corpuscope", master: str | None = None, **conf: st
         builder = builder.master(master)
     settings = {
         "spark.sql.session.timeZone": "UTC",
+        "spark.sql.streaming.stateStore.providerClass": STATE_STORE,
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -26,22 +29,32 @@ def build_session(app: str = "corpuscope", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names in ``spark.checkpoint.dir``.
+def prepare(spark: SparkSession) -> SparkSession:
+    """Settings the registered queries rely on, for a session that ``build_session`` did not make.
 
-    Only where neither the setting nor an earlier call names one (local tests) is a
-    temporary folder set.
+    Only a local session that names no shared folder gets a scratch folder for checkpoints.
     """
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    if not checkpoint_folder(spark) and spark.sparkContext.master.startswith("local"):
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return spark
+
+
+def checkpoint_folder(spark: SparkSession) -> str | None:
+    """The folder the cluster names in ``spark.checkpoint.dir``, or one that was set on the context."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if configured:
-        sc.setCheckpointDir(configured)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp")))
-    else:
+    return spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """Folder for checkpoints and written tables; all executors must share it."""
+    folder = checkpoint_folder(spark)
+    if not folder:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -15,22 +15,15 @@ AS_OF = "2024-01-31 00:00:00"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-# Below this size a scan may be a single file with a single row group, hence one task.
-SPREAD_BELOW_BYTES = 512 * 1024 * 1024
-
-
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give a small scan that feeds heavy per-row work one partition per core.
+    """Deal the rows of a scan that feeds heavy per-row work over at least as many tasks as there are cores.
 
-    Large inputs have enough splits of their own and are left alone: no shuffle is added there.
+    The given tables may be one file with one row group, hence one task; the rows that move are those of the
+    selected columns. Readers of large, well split tables leave it out.
     """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size >= SPREAD_BELOW_BYTES:
-        return df
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
 
 

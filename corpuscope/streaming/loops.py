@@ -18,55 +18,74 @@ OUTPUT = "session_id string, path string, ts timestamp, count bigint, looping bo
 class ReadCounter(StatefulProcessor):
     """Per (session, path): time of the first read and the number of reads near it.
 
-    State is two numbers per key; a timer frees them a day after the first read.
+    Reads wait until the watermark has passed them and are then numbered in order of time, so the result doesn't depend on
+    how they fall into micro-batches. State is two numbers for each key and the reads within the lateness;
+    ``keep_ms`` frees the numbers so long after the first read, and the next read then counts as a first one.
     """
 
-    def __init__(self, threshold: int = LOOP_THRESHOLD, keep_ms: int = 24 * 3600 * 1000):
+    def __init__(self, threshold: int = LOOP_THRESHOLD, keep_ms: int | None = None):
         self.threshold, self.keep_ms = threshold, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("reads", "first_ms bigint, seen bigint")
+        self.waiting = handle.getListState("waiting", "us bigint")
+
+    def _rows(self, key, micros: list[int], counts: list[int]) -> pd.DataFrame:
+        return pd.DataFrame({
+            "session_id": pd.Series([key[0]] * len(micros), dtype="object"), "path": pd.Series([key[1]] * len(micros), dtype="object"),
+            "ts": pd.to_datetime(pd.Series(micros, dtype="int64"), unit="us"), "count": pd.Series(counts, dtype="int64"),
+            "looping": pd.Series([c >= self.threshold for c in counts], dtype="bool"),
+        })
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        times = pd.concat([r["ts"] for r in rows]).sort_values(ignore_index=True)
-        millis = times.astype("datetime64[ms]").astype("int64")
-        if self.state.exists():
-            first, seen = self.state.get()
-        else:
-            first, seen = int(millis.iloc[0]), 0
-            self.handle.registerTimer(first + self.keep_ms)
-        near = (millis - first) < WINDOW_MS
-        count = pd.Series(1, index=times.index, dtype="int64").where(~near, near.cumsum() + seen)
-        self.state.update((first, seen + int(near.sum())))
-        yield pd.DataFrame(
-            {"session_id": key[0], "path": key[1], "ts": times, "count": count, "looping": count >= self.threshold}
-        )
+        least = None
+        for part in rows:
+            micros = part["ts"].astype("datetime64[us]").astype("int64").tolist()
+            self.waiting.appendList([(m,) for m in micros])
+            least = min([*micros, *([] if least is None else [least])])
+        if least is not None:
+            self.handle.registerTimer(max(least // 1000, timerValues.getCurrentWatermarkInMs()) + 1)
+        yield self._rows(key, [], [])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.state.clear()
-        yield pd.DataFrame(
-            {"session_id": pd.Series(dtype="str"), "path": pd.Series(dtype="str"),
-             "ts": pd.Series(dtype="datetime64[ns]"), "count": pd.Series(dtype="int64"),
-             "looping": pd.Series(dtype="bool")}
-        )
+        limit = timerValues.getCurrentWatermarkInMs() * 1000
+        held = sorted(r[0] for r in self.waiting.get())
+        due = [m for m in held if m <= limit]
+        rest = held[len(due):]
+        if rest:
+            self.waiting.put([(m,) for m in rest])
+            self.handle.registerTimer(max(rest[0] // 1000, limit // 1000) + 1)
+        else:
+            self.waiting.clear()
+        first, seen = self.state.get() if self.state.exists() else (None, 0)
+        counts = []
+        for micros in due:
+            millis = micros // 1000
+            if first is None or (self.keep_ms is not None and millis - first >= self.keep_ms):
+                first, seen = millis, 0
+            near = millis - first < WINDOW_MS
+            seen += near
+            counts.append(seen if near else 1)
+        if due:
+            self.state.update((first, seen))
+        if self.keep_ms is not None and first is not None and not rest and limit // 1000 - first >= self.keep_ms:
+            self.state.clear()
+        yield self._rows(key, due, counts)
 
     def close(self) -> None:
         pass
 
 
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-def live_loops(reads: DataFrame, late: str = "1 minute", threshold: int = LOOP_THRESHOLD) -> DataFrame:
-    """reads(session_id, path, ts) with their running count near the first read.
+def live_loops(reads: DataFrame, late: str = "1 minute", threshold: int = LOOP_THRESHOLD, keep_ms: int | None = None) -> DataFrame:
+    """reads(session_id, path, ts) with their running count near the first read, once the watermark has passed them.
 
     Needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``).
     """
     return (
         reads.withWatermark("ts", late).groupBy("session_id", "path")
         .transformWithStateInPandas(
-            ReadCounter(threshold), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime",
+            ReadCounter(threshold, keep_ms), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime",
         )
     )
 

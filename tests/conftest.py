@@ -1,4 +1,5 @@
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -17,8 +18,7 @@ def spark():
         **{
             "spark.sql.shuffle.partitions": "4",
             "spark.driver.memory": "8g",
-            "spark.sql.streaming.stateStore.providerClass":
-                "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+            "spark.checkpoint.dir": tempfile.mkdtemp(prefix="spark-"),
         },
     )
     s.sparkContext.setLogLevel("ERROR")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpuscope import schemas
@@ -104,17 +105,22 @@ def test_turns_close_after_idle(spark, tmp_path):
     assert sorted((r.tokens_saved, r.tools_intercepted, r.duration_ms) for r in out) == [(20, 2, 60_000), (30, 3, 240_000)]
 
 
-def test_live_loops_match_batch(spark, tmp_path):
-    minutes = (0, 1, 2, 3, 7, 8)
-    rows = [("s", "/a.ts", T0 + timedelta(minutes=m), i) for i, m in enumerate(minutes)]
-    rows += [("t", "/a.ts", T0, 50), ("s", "/b.ts", T0 + timedelta(minutes=9), 51)]
-    df = spark.createDataFrame(rows, "session_id string, path string, ts timestamp, id bigint")
-    df.coalesce(1).write.parquet(str(tmp_path / "reads"))
-    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "reads"))
-    live = {(r.session_id, r.path, r.ts, r["count"], r.looping) for r in _drain(loops.live_loops(stream.drop("id")), "loops", tmp_path)}
-    batch = {(r.session_id, r.path, r.ts, r["count"], r.looping) for r in sessions.detect_loops(df).collect()}
-    assert live == batch
-    assert sorted(c for s, p, _, c, _ in batch if (s, p) == ("s", "/a.ts")) == [1, 1, 1, 2, 3, 4]
+@pytest.mark.parametrize("files", [1, 100])
+def test_live_loops_match_batch(spark, tmp_path, files):
+    """One file a trigger or all at once: reads that arrive late, but inside the watermark, are numbered by their time."""
+    schema = "session_id string, path string, ts timestamp"
+    parts = [
+        [("s", "/a.ts", 60), ("t", "/a.ts", 60)], [("s", "/a.ts", 20)], [("s", "/a.ts", 130), ("s", "/b.ts", 140), ("s", "/a.ts", 90)],
+        [("s", "/a.ts", 400)], [("s", "/a.ts", 480)], [("end", "/", 90 * 3600)],
+    ]
+    for rows in parts:
+        frame = spark.createDataFrame([(a, b, T0 + timedelta(seconds=t)) for a, b, t in rows], schema)
+        frame.coalesce(1).write.mode("append").parquet(str(tmp_path / "reads"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(str(tmp_path / "reads"))
+    live = {(r.session_id, r.path, r.ts, r["count"], r.looping) for r in _drain(loops.live_loops(stream), f"loops{files}", tmp_path)}
+    batch = spark.read.parquet(str(tmp_path / "reads")).where("session_id <> 'end'").withColumn("id", F.monotonically_increasing_id())
+    assert live == {(r.session_id, r.path, r.ts, r["count"], r.looping) for r in sessions.detect_loops(batch).collect()}
+    assert sorted(c for s, p, _, c, _ in live if (s, p) == ("s", "/a.ts")) == [1, 1, 1, 2, 3, 4]
 
 
 def test_unedited_reads_stream(spark, tmp_path):
