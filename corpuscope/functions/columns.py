@@ -69,7 +69,7 @@ def language(path: ColumnLike) -> Column:
     ext = extension(path)
     table = F.create_map(*[F.lit(x) for kv in dims.LANG_BY_EXT.items() for x in kv])
     return F.coalesce(
-        F.try_element_at(table, ext), F.nullif(F.substring(ext, 2, 64), F.lit("")), F.lit("unknown")
+        F.try_element_at(table, ext), F.nullif(F.substr(ext, F.lit(2)), F.lit("")), F.lit("unknown")
     )
 
 
@@ -82,11 +82,6 @@ def project_name(path: ColumnLike) -> Column:
     return F.when(last == "", col(path)).otherwise(last)
 
 
-def bucket_key(ts: ColumnLike, unit: str) -> Column:
-    fmt = {"month": "yyyy-MM", "day": "yyyy-MM-dd", "hour": "yyyy-MM-dd'T'HH"}[unit]
-    return F.date_format(col(ts), fmt)
-
-
 def json_text(meta: ColumnLike, *keys: str) -> Column:
     """First non-empty of the named top-level JSON fields."""
     return F.coalesce(

@@ -173,7 +173,9 @@ def postings(chunks: DataFrame, pairs: DataFrame) -> DataFrame:
     ``pairs`` holds distinct (project_id, term), at most BROADCAST_TERM_LIMIT of them.
     """
     text = chunks.withColumn("_name", F.lower("name")).withColumn("_content", F.lower("content"))
-    text = text.withColumn("doc_len", _doc_length())
+    # Rows are told apart by a number of their own, as two chunks may share file, line, type and name. It lives
+    # as long as the checkpoint of this result.
+    text = text.withColumn("doc_len", _doc_length()).withColumn("_row", F.monotonically_increasing_id())
     anchors = F.broadcast(
         pairs.withColumn("gram", F.substring("term", 1, 3))
         .withColumn("_overlap", _self_overlapping(F.col("term")))
@@ -279,10 +281,10 @@ def _search_small(
     )
     idf = (
         stats.filter(F.col("key").startswith("t:")).join(totals, "project_id")
-        .select("project_id", F.substring("key", 3, 1_000_000).alias("term"), _idf(F.col("n_docs"), F.col("n")).alias("idf"))
+        .select("project_id", F.substr("key", F.lit(3)).alias("term"), _idf(F.col("n_docs"), F.col("n")).alias("idf"))
     )
     answered = stats.filter(F.col("key").startswith("q:")).select(
-        F.substring("key", 3, 1_000_000).alias("_answered")
+        F.substr("key", F.lit(3)).alias("_answered")
     )
     is_answered = F.col("query_id").cast("string") == F.col("_answered")
     columns = [c for c in payload if c not in CHUNK_KEY]
@@ -371,14 +373,15 @@ def _score_postings(hits: DataFrame, chunks: DataFrame, terms: DataFrame, payloa
     )
     return (
         hits.join(weights, ["project_id", "term"])
-        .groupBy("query_id", "needed", *CHUNK_KEY)
+        .groupBy("query_id", "needed", "_row")
         .agg(
+            *[F.first(c).alias(c) for c in CHUNK_KEY],
             F.sum(-F.col("idf") * _gain(F.col("tf"), F.col("doc_len"), F.col("avg_len"))).alias("score"),
             F.count(F.lit(1)).alias("_found"),
             *[F.first(c).alias(c) for c in payload if c not in CHUNK_KEY],
         )
         .filter(F.col("_found") >= F.col("needed"))
-        .drop("_found", "needed")
+        .drop("_found", "needed", "_row")
     )
 
 
@@ -390,7 +393,7 @@ def _fallback(
     With no such query the join side is empty and adaptive execution skips the scan.
     """
     open_queries = planned.filter(F.size("fallback") > 0).join(answered, "query_id", "left_anti")
-    texts = _lowered(chunks, body=True)
+    texts = _lowered(chunks, body=True).withColumn("_row", F.monotonically_increasing_id())
     inside = _inside(("_name", "_content", "_body"))
     extra = [c for c in payload if c not in CHUNK_KEY]
     anchors = open_queries.select("query_id", "project_id", F.explode("fallback").alias("word"))
@@ -400,8 +403,8 @@ def _fallback(
         texts.withColumn("gram", F.explode(pieces))
         .join(anchors, ["project_id", "gram"])
         .filter(inside(F.col("word")))
-        .groupBy("query_id", *CHUNK_KEY)
-        .agg(F.lit(0.0).alias("score"), *[F.first(c).alias(c) for c in extra])
+        .groupBy("query_id", "_row")
+        .agg(F.lit(0.0).alias("score"), *[F.first(c).alias(c) for c in (*CHUNK_KEY, *extra)])
         .select("query_id", *CHUNK_KEY, "score", *extra)
     )
 
@@ -419,14 +422,25 @@ def search(
     filters: bool = True,
     payload: tuple[str, ...] = ("line_end", "lang"),
     by_gram: bool | None = None,
+    within: str | None = None,
 ) -> DataFrame:
     """Top n chunks per query, best first, with ``score`` and ``rank``.
 
+    Every chunk row counts, also where several share file, line, type and name. The number of terms decides how a batch
+    is run, not what it gives. ``within`` names a column of the queries: part of a path that a result's file must hold
+    (null: any); it takes the place of the filters in the query text.
+
     Type, file and language filters apply before the cut, so a query gets its n results even
     when its best matches are filtered out. Statistics cover the whole project. ``ranked=False``
     skips scoring (order by place).
     """
-    planned = plan_queries(queries)
+    if within is None:
+        planned = plan_queries(queries)
+    else:
+        planned = plan_queries(queries.withColumnRenamed(within, "_within")).withColumns({
+            "file_filter": F.col("_within"), "type_filter": F.lit(None).cast("string"), "lang_filter": F.lit(None).cast("string"),
+        }).drop("_within")
+        filters = True
     head = planned.limit(ARRAY_TERM_LIMIT + 1).toArrow()  # bounded; decides how to run
     if head.num_rows <= ARRAY_TERM_LIMIT:
         planned = chunks.sparkSession.createDataFrame(head, planned.schema)
@@ -447,7 +461,9 @@ def search(
     top = run(chunks, planned, ranked, filters, tuple(c for c in payload if c != "body"))
     if "body" in payload:
         # Bodies are fetched for results only: at most MAX_RESULTS rows per query.
-        top = top.join(chunks.select(*CHUNK_KEY, "body"), CHUNK_KEY)
+        keys = top.select(*CHUNK_KEY).distinct()
+        bodies = chunks.select(*CHUNK_KEY, "body").join(keys, CHUNK_KEY, "left_semi")
+        top = top.join(bodies.groupBy(*CHUNK_KEY).agg(F.min("body").alias("body")), CHUNK_KEY)
     return top
 
 
@@ -480,9 +496,9 @@ def _search_large(
 # ---------------------------------------------------------------- lookups
 
 
-def chunks_of_file(chunks: DataFrame, file: Column | str) -> DataFrame:
-    target = F.lit(file) if isinstance(file, str) else file
-    return chunks.filter(F.col("file") == target).orderBy("line", "name", "type")
+def chunks_of_file(chunks: DataFrame, files: DataFrame) -> DataFrame:
+    """Chunks of files(project_id, file); readers order them by line, name and type."""
+    return chunks.join(files.select("project_id", "file").distinct(), ["project_id", "file"], "left_semi")
 
 
 def chunks_in_range(chunks: DataFrame, requests: DataFrame) -> DataFrame:

@@ -311,7 +311,7 @@ def with_extents(events: DataFrame) -> DataFrame:
 
     Expects the event columns, ``project_id``, ``file`` and ``n_lines``.
     """
-    pos = F.col("line").cast("bigint") * 4_194_304 + F.col("ord")
+    pos = F.col("line").cast("bigint") * 2**32 + F.col("ord")  # both are below 2^31
     df = events.withColumn("pos", pos)
     forward = Window.partitionBy(*FILE).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     backward = Window.partitionBy(*FILE).orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0)

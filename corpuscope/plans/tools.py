@@ -44,20 +44,11 @@ class Workspace:
     def search_snippet(self, queries: DataFrame, root: Column) -> DataFrame:
         """queries(query_id, project_id, q, file_filter): compact pages of the top ten, and savings.
 
-        The filter keeps files equal to, below, or containing it, before the cut to ten.
+        The filter keeps files whose path holds it, which those equal to it or below it do; it applies before the ranking.
         """
-        wanted = F.col("file_filter")
-        absolute = F.when(wanted.startswith("/"), wanted).otherwise(F.concat(root, F.lit("/"), wanted))
-        asked = queries.withColumn("n", F.lit(search.dims.MAX_RESULTS))
-        found = search.search(self.store.chunks(), asked, filters=False, payload=("line_end", "lang", "body"))
-        rows = found.join(F.broadcast(queries.select("query_id", "q", "file_filter")), "query_id").filter(
-            wanted.isNull() | (F.col("file") == absolute) | F.startswith("file", F.concat(absolute, F.lit("/")))
-            | F.contains("file", wanted)
-        )
-        top = search.top_k_per_group(
-            rows.withColumnRenamed("rank", "_rank"), ["query_id"], [F.asc("_rank")], search.dims.DEFAULT_RESULTS
-        )
-        pages = rendering.result_page(top, root, compact=True)
+        asked = queries.select("query_id", "project_id", "q", "file_filter", F.lit(search.dims.DEFAULT_RESULTS).alias("n"))
+        found = search.search(self.store.chunks(), asked, payload=("line_end", "lang", "body"), within="file_filter")
+        pages = rendering.result_page(found, root, compact=True)
         return pages.join(queries.select("query_id", "project_id", "q"), "query_id").select(
             "query_id", "project_id",
             F.concat(F.lit('// index search: "'), "q", F.lit('"\n'), "text").alias("text"),
@@ -79,7 +70,10 @@ class Workspace:
         return rendering.reference_text(self.store.edge_tables().impacted(files), ["project_id"], impact=True)
 
     def compress_output(self, outputs: DataFrame, semantic: bool = True, **toggles: bool) -> tuple[DataFrame, DataFrame]:
-        """(outputs with results, usage events). Tools that are not eligible pass through."""
+        """(outputs with results, usage events of their projects). Tools that are not eligible pass through.
+
+        outputs: schemas.TOOL_OUTPUTS with the project_id of the session.
+        """
         eligible = compaction.compact(
             outputs.filter(compaction.is_compressible("tool_id")), semantic=semantic, **toggles
         )
@@ -88,7 +82,7 @@ class Workspace:
             F.length("output").alias("original_len"), F.length("output").alias("compressed_len"),
             F.lit(0).cast("bigint").alias("tokens_saved"),
         )
-        return eligible.unionByName(other), compaction.compaction_events(eligible, F.col("session_id"), semantic)
+        return eligible.unionByName(other), compaction.compaction_events(eligible, F.col("project_id"), semantic)
 
     def compression(self, results: DataFrame) -> DataFrame:
         return usage.compaction_status(results)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from corpuscope import dims
@@ -9,7 +11,9 @@ from corpuscope.functions import columns as C
 from corpuscope.operators import corpus, graph, incremental, index_stats
 from corpuscope.operators import rendering as R
 from corpuscope.operators import symbols as X
-from corpuscope.session import cut_lineage
+from corpuscope.plans import indexing
+from corpuscope.session import cut_lineage, ensure_checkpoint_dir
+from corpuscope.sources.sinks import IndexStore
 from corpuscope.sources import tables as T
 
 LONG = ("line", "line_end")
@@ -104,7 +108,7 @@ def _related(spark, folder):
 
 
 def _impact_files(spark, folder):
-    return T.code_corpus(spark, folder).filter(F.col("file").rlike(r"/p\d*5\.[a-z]+$")).select("project_id", "file")
+    return T.code_corpus(spark, folder).select("project_id", "file")
 
 
 def _impacted(spark, folder):
@@ -118,7 +122,7 @@ RELATED_SQL = """rel AS (
   SELECT 's' || k % 2 || '/p' || k || '.ts:fn' || k, e.source_file, e.source_symbol, e.kind, 'in', n
   FROM code c JOIN code_edges e ON e.target_file = c.file AND e.target_symbol = 'fn' || c.k WHERE pos = 0),
 imp AS (SELECT e.project_id, target_file AS file, source_file AS dependent, kind, source_symbol AS symbol, n
-  FROM code_edges e JOIN code c ON c.file = e.target_file WHERE regexp_matches(target_file, '/p[0-9]*5\\.[a-z]+$'))"""
+  FROM code_edges e JOIN code c ON c.file = e.target_file)"""
 
 
 def _previous(spark, folder):
@@ -163,12 +167,36 @@ def _replaced(spark, folder):
     )
 
 
-def _replaced_edges(spark, folder):
-    """Go and TypeScript files change: the former lose their edges, the latter get them anew."""
-    edges = _edges(spark, folder)
-    changed = T.code_corpus(spark, folder).filter(F.col("file").rlike(r"\.(ts|go)$")).select("project_id", "file")
-    fresh = edges.filter(F.col("source_file").endswith(".ts"))
-    return graph.edge_count(incremental.replace_outbound_edges(edges, fresh, changed))
+def _stored_index(spark, folder):
+    """The index store after a life of its own: projects indexed one after another from an earlier state, the changes since then,
+    a retry, a full run of one project, deletions. Its chunks and edges are those of the last state.
+
+    Earlier, a fifth of the files was missing and a seventh was different; in the end a thirteenth is gone.
+    """
+    number = F.regexp_extract("file", r"/p(\d+)\.", 1).cast("bigint")
+    now = T.code_corpus(spark, folder).withColumn("k", number)
+    old = now.filter("k % 5 <> 0").withColumn(
+        "content", F.when(F.col("k") % 7 == 0, F.concat("content", F.lit("\n// old"))).otherwise(F.col("content")))
+    store = IndexStore(spark, f"{ensure_checkpoint_dir(spark)}/index-{uuid.uuid4().hex}")
+    roots = [(f"c{i}", f"/repo/c{i}") for i in range(3)]
+
+    def full(files, chosen):
+        names = spark.createDataFrame(chosen, "project_id string, path string")
+        indexing.analyze(store, files.join(names.select("project_id"), "project_id", "left_semi"), names, ts="2024-01-01 00:00:00")
+
+    for root in roots:
+        full(old, [root])
+    changed = now.filter("k % 5 = 0 or k % 7 = 0 or k % 11 = 0")
+    batch = store.next_batch()
+    for _ in range(2):  # the second time is a retry
+        indexing.update(store, changed, None, batch)
+    full(now, roots[:1])
+    indexing.update(store, now.limit(0), now.filter("k % 13 = 0").select("project_id", "file"))
+    chunks = store.chunks().select(
+        F.lit("chunk").alias("what"), "project_id", "file", "name", "type", F.col("line").cast("string").alias("place"),
+        F.sha2("body", 256).alias("detail"), F.lit(1).cast("bigint").alias("n"))
+    edges = store.edges().select(F.lit("edge"), "project_id", "source_file", "source_symbol", "kind", "target_file", "target_symbol", "n")
+    return chunks.union(edges)
 
 
 def _predicates(spark, folder):
@@ -404,15 +432,23 @@ QUERIES = {
         f"""WITH {CHANGES_SQL} SELECT project_id, file, CAST(len(string_split(content, chr(10))) AS BIGINT) AS lines,
         CAST(length(replace(content, chr(10), '')) AS BIGINT) AS chars FROM files WHERE doc_id % 11 <> 3""",
     ),
-    "d4_replace_edges": (
-        _replaced_edges,
-        f"WITH {T.CODE_SQL} SELECT CAST(sum(n) AS BIGINT) AS edges FROM code_edges WHERE NOT ends_with(source_file, '.go')",
+    "d4_d6_r3_stored_index": (
+        _stored_index,
+        f"""WITH {T.CODE_SQL}, final AS (SELECT * FROM code WHERE k % 13 <> 0),
+        edges AS (SELECT e.* FROM code_edges e JOIN final s ON s.file = e.source_file
+          WHERE e.kind = 'import' OR e.target_file IN (SELECT file FROM final)),
+        kept AS (SELECT project_id, source_file, source_symbol, kind,
+          CASE WHEN kind = 'import' AND target_file NOT IN (SELECT file FROM final) THEN regexp_replace(target_file, '\\.js$', '.ts')
+            ELSE target_file END AS target_file, target_symbol, n FROM edges)
+        SELECT DISTINCT 'chunk' AS what, c.project_id, c.file, c.name, c.type, CAST(c.line AS VARCHAR) AS place, sha256(c.body) AS detail, CAST(1 AS BIGINT) AS n
+        FROM code_chunks c JOIN final f ON f.file = c.file
+        UNION ALL SELECT 'edge', project_id, source_file, source_symbol, kind, target_file, target_symbol, n FROM kept""",
     ),
     "d5_prune_indexed": (
         lambda s, d: incremental.prune_indexed(
-            T.files(s, d).select("project_id", "file"), T.text_chunks(s, d).filter("line >= 4")
+            T.files(s, d).select("project_id", "file"), T.text_chunks(s, d)
         ),
         f"""WITH {T.CHUNKS_SQL} SELECT project_id, file FROM files f WHERE EXISTS (SELECT 1 FROM chunks c
-        WHERE c.project_id = f.project_id AND c.file = f.file AND c.line >= 4)""",
+        WHERE c.project_id = f.project_id AND c.file = f.file)""",
     ),
 }

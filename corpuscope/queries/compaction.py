@@ -188,13 +188,16 @@ QUERIES = {
     "c15_compaction_events": (
         lambda s, d: usage.rollup_by_type(
             K.compaction_events(
-                K.compact(T.tool_outputs(s, d).filter(K.is_compressible("tool_id")), semantic=True),
-                F.col("session_id"),
+                K.compact(
+                    T.tool_outputs(s, d).filter(K.is_compressible("tool_id"))
+                    .withColumn("project_id", F.concat(F.lit("of-"), "session_id")), semantic=True,
+                ),
+                F.col("project_id"),
             ),
             "project_id",
         ),
         f"""WITH {FINAL_CTES}, r AS ({RESULT_SQL} FROM final WHERE tool_id <> 'other')
-        SELECT o.session_id AS project_id, 'compression' AS event_type, count(*) AS n,
+        SELECT 'of-' || o.session_id AS project_id, 'compression' AS event_type, count(*) AS n,
         CAST(sum(r.tokens_saved) AS BIGINT) AS saved
         FROM r JOIN outputs o ON o.call_id = r.call_id WHERE r.tokens_saved > 0 GROUP BY 1""",
     ),

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 from pyspark.sql import functions as F
 
 from corpuscope.functions import columns as C
 from corpuscope.operators import rendering as R
 from corpuscope.operators import search as Q
+from corpuscope.plans.tools import Workspace
 from corpuscope.sources import tables as T
 
 # Query texts asked of every project: (id, text, n).
@@ -33,10 +36,10 @@ DECOMPOSED = (
 )
 
 
-def templates_sql(filters: bool = True, n: int | None = None) -> str:
-    rows = [
-        (*r[:5], *(r[5:8] if filters else ("CAST(NULL AS VARCHAR)",) * 3), n or r[8]) for r in DECOMPOSED
-    ]
+def templates_sql(filters: bool = True, n: int | None = None, scopes: dict | None = None) -> str:
+    none = "CAST(NULL AS VARCHAR)"
+    scope = lambda tid: none if not scopes or not scopes.get(tid) else f"'{scopes[tid]}'"
+    rows = [(*r[:5], *(r[5:8] if filters else (none, scope(r[0]), none)), n or r[8]) for r in DECOMPOSED]
     values = ", ".join("(" + ", ".join(str(v) for v in r) + ")" for r in rows)
     return f"""
 tq(tid, terms, any_mode, dead, words, f_type, f_file, f_lang, n) AS (VALUES {values}),
@@ -127,7 +130,7 @@ RANKED_COLUMNS = """SELECT query_id, file, name, type, CAST(line AS BIGINT) AS l
 def _parsed(spark, folder):
     q = T.table(spark, folder, "conversations").select(
         "conv_id", "turn",
-        F.concat(F.lit('"Two Words" type:Class LANG:"Go" '), F.substring("text", 1, 300), F.lit(" file:src/a.ts 'x y'")).alias("q"),
+        F.concat(F.lit('"Two Words" type:Class LANG:"Go" '), F.col("text"), F.lit(" file:src/a.ts 'x y'")).alias("q"),
     )
     p = Q.parse_queries(q)
     p = p.withColumn("phrases", Q.phrase_query(p)).withColumn("match", Q.match_terms("text"))
@@ -139,7 +142,7 @@ def _parsed(spark, folder):
 
 
 PARSED_SQL = r"""WITH raw AS (SELECT conv_id, turn,
-    '"Two Words" type:Class LANG:"Go" ' || substr(text, 1, 300) || ' file:src/a.ts ''x y''' AS q FROM conversations),
+    '"Two Words" type:Class LANG:"Go" ' || text || ' file:src/a.ts ''x y''' AS q FROM conversations),
 parts AS (SELECT *, regexp_extract_all(q, '(?:[^\s"'']+|"[^"]*"|''[^'']*'')+') AS ps FROM raw),
 t AS (SELECT *, list_filter(list_transform(list_filter(ps, lambda p: NOT regexp_matches(p, '(?i)^(type|file|lang):.')),
     lambda p: lower(CASE WHEN (starts_with(p, '"') AND ends_with(p, '"')) OR (starts_with(p, '''') AND ends_with(p, ''''))
@@ -177,16 +180,17 @@ def _pages(spark, folder):
     return R.result_page(out, F.lit("/work")).select("query_id", F.sha2("text", 256).alias("sha"))
 
 
+# File filters of the snippet search, by query text: none, a directory, an absolute prefix, part of a name.
+SCOPES = ((1, None), (2, "/en/"), (3, None), (4, "/work/src1/"), (5, "d1"), (6, "/work/src0/src"), (7, None), (8, "/fr/d2"))
+
+
 def _snippet_search(spark, folder):
-    """Compact pages with the header line, and the saving each search logs."""
-    queries = queries_for_all(spark, folder).withColumn("n", F.lit(10))
-    out = Q.search(T.text_chunks(spark, folder), queries, payload=("line_end", "lang", "body"), filters=False)
-    text = R.result_page(out, F.lit("/work"), compact=True)
-    return text.join(queries.select("query_id", "q"), "query_id").select(
-        "query_id",
-        F.concat(F.lit('// index search: "'), "q", F.lit('"\n'), "text").alias("text"),
-        C.estimate_tokens(F.length("q") * 10).alias("tokens_saved"),
-    )
+    """Compact pages with the header line, and the saving each search logs; the filter applies before the ranking."""
+    scope = F.create_map(*[F.lit(x) for i, f in SCOPES if f for x in (i, f)])
+    queries = queries_for_all(spark, folder).withColumn(
+        "file_filter", F.try_element_at(scope, F.get(F.split("query_id", ":"), F.lit(1)).cast("int")))
+    work = Workspace(SimpleNamespace(chunks=lambda: T.text_chunks(spark, folder)), None, None)
+    return work.search_snippet(queries, F.lit("/work")).select("query_id", "text", "tokens_saved")
 
 
 SNIP_LINES = r"""CASE WHEN len(bl) <= 12 THEN bl ELSE bl[1:9] || ['… (' || (len(bl) - 12) || ' more lines) …'] || bl[-3:] END"""
@@ -211,9 +215,9 @@ QUERIES = {
         {RANKED_COLUMNS.replace('round(CAST(score AS DOUBLE), 6)', 'CAST(0 AS DOUBLE)')}""",
     ),
     "q9_chunks_of_file": (
-        lambda s, d: T.text_chunks(s, d).filter(F.col("file").endswith(".rs"))
+        lambda s, d: Q.chunks_of_file(T.text_chunks(s, d), T.files(s, d))
         .select("file", F.col("line").cast("bigint").alias("line"), "name", "type"),
-        f"WITH {T.CHUNKS_SQL} SELECT file, CAST(line AS BIGINT) AS line, name, type FROM chunks WHERE ends_with(file, '.rs')",
+        f"WITH {T.CHUNKS_SQL} SELECT file, CAST(line AS BIGINT) AS line, name, type FROM chunks",
     ),
     "q10_line_ranges": (
         lambda s, d: Q.chunks_in_range(T.text_chunks(s, d), _requests(s, d))
@@ -254,7 +258,7 @@ QUERIES = {
     ),
     "q14_search_snippets": (
         _snippet_search,
-        f"""WITH {T.CHUNKS_SQL}, {templates_sql(filters=False, n=10)}, {SEARCH_SQL},
+        f"""WITH {T.CHUNKS_SQL}, {templates_sql(filters=False, n=10, scopes=dict(SCOPES))}, {SEARCH_SQL},
         asked(tid, q) AS (VALUES {", ".join(f"({i}, '{q}')" for i, q, _ in TEMPLATES)}),
         r AS (SELECT ranked.*, a.q, count(*) OVER (PARTITION BY query_id) AS total,
           min(rank) OVER (PARTITION BY query_id, file) AS ff,
@@ -269,7 +273,7 @@ QUERIES = {
     ),
     "q15_files_by_glob": (
         lambda s, d: Q.files_matching(T.text_chunks(s, d), "/work/SRC?/*/en/**_%.md")
-        .unionByName(Q.files_matching(T.text_chunks(s, d), "/work/SRC?/**/en/d?1*.md")),
-        f"WITH {T.CHUNKS_SQL} SELECT DISTINCT file FROM chunks WHERE regexp_matches(lower(file), '^/work/src./.*/en/d.1.*\\.md$')",
+        .unionByName(Q.files_matching(T.text_chunks(s, d), "/work/SRC?/**/d?1*")),
+        f"WITH {T.CHUNKS_SQL} SELECT DISTINCT file FROM chunks WHERE regexp_matches(lower(file), '^/work/src./.*/d.1.*$')",
     ),
 }

@@ -26,7 +26,14 @@ def build_session(app: str = "corpuscope", master: str | None = None, **conf: st
     settings.update(conf)
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return _spread(builder.getOrCreate())
+
+
+def _spread(spark: SparkSession) -> SparkSession:
+    """Local sessions deal small scans over their cores."""
+    if spark.sparkContext.master.startswith("local[") and spark.conf.get("spark.corpuscope.spread", None) is None:
+        spark.conf.set("spark.corpuscope.spread", spark.sparkContext.defaultParallelism)
+    return spark
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -38,7 +45,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     if not checkpoint_folder(spark) and spark.sparkContext.master.startswith("local"):
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return spark
+    return _spread(spark)
 
 
 def checkpoint_folder(spark: SparkSession) -> str | None:

@@ -19,12 +19,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Deal the rows of a scan that feeds heavy per-row work over at least as many tasks as there are cores.
+    """Deal the rows of a scan that feeds heavy per-row work over ``spark.corpuscope.spread`` tasks.
 
-    The given tables may be one file with one row group, hence one task; the rows that move are those of the
-    selected columns. Readers of large, well split tables leave it out.
+    A small table may be one file with one row group, hence one task; local sessions set the number of cores. Without the
+    setting, as on a cluster, the splits of the scan stay and nothing moves.
     """
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
+    tasks = int(df.sparkSession.conf.get("spark.corpuscope.spread", "0"))
+    return df.repartition(tasks, *keys) if tasks else df
 
 
 def usage_events(spark: SparkSession, folder: str) -> DataFrame:

@@ -109,6 +109,32 @@ def _sample(spark):
     return spark.createDataFrame(rows, schemas.CHUNKS)
 
 
+def test_both_ways_of_searching_agree_on_repeated_chunks(spark):
+    """Chunks that share file, line, type and name, repeated rows too, are hits of their own either way."""
+    chunks = _sample(spark)
+    chunks = chunks.unionByName(chunks).unionByName(chunks.withColumn("content", F.concat("content", F.lit(" handleAuth more"))))
+    q = spark.createDataFrame([("a", "p", "handleAuth", 50), ("b", "p", "auth function", 50), ("c", "p", "zz handle", 50)],
+                              "query_id string, project_id string, q string, n int")
+    runs = [
+        sorted((r.query_id, r.rank, r.file, r.name, round(r.score, 9)) for r in search.search(chunks, q, by_gram=g).collect())
+        for g in (False, True)
+    ]
+    assert runs[0] == runs[1] and len(runs[0]) > 3
+
+
+def test_the_scope_applies_before_the_cut(spark):
+    chunks = spark.range(300).select(
+        F.lit("p").alias("project_id"), F.col("id").cast("string").alias("id"),
+        F.concat(F.when(F.col("id") < 250, "/w/a/").otherwise("/w/z/"), "id").alias("file"), F.lit("hit").alias("name"),
+        F.lit("function").alias("type"), F.lit(1).alias("line"), F.lit(2).alias("line_end"), F.lit("hit it").alias("content"),
+        F.lit("hit it").alias("body"), F.lit("go").alias("lang"))
+    q = spark.createDataFrame([("a", "p", "hit", 200, "/w/z/"), ("b", "p", "hit", 200, "/w/z/299"), ("c", "p", "hit", 200, None)],
+                              "query_id string, project_id string, q string, n int, scope string")
+    for by_gram in (False, True):
+        got = search.search(chunks, q, by_gram=by_gram, within="scope").groupBy("query_id").count().collect()
+        assert {r.query_id: r["count"] for r in got} == {"a": 50, "b": 1, "c": 200}
+
+
 @pytest.mark.parametrize("by_gram", [False, True])
 def test_search_limits_filters_and_fallback(spark, by_gram):
     q = spark.createDataFrame(
