@@ -105,15 +105,16 @@ QUERIES = {
         WHERE e.id % 13 = 0 AND e.session_id = r.session_id AND e.path = r.path AND e.sec <= r.sec)""",
     ),
     "j8_reuse": (
-        lambda s, d: sessions.reuse(_reuse_log(s, d), 3_600_000).select("key", "calls", "hits"),
+        lambda s, d: sessions.reuse(_reuse_log(s, d), 3_600_000).select("key", "calls", "hits", "tokens_saved"),
         """WITH RECURSIVE l AS (SELECT 'read:' || user_id % 25 AS key, epoch_ms(ts) AS t, max(event_id // 400 * 7) AS m,
-          count(*) AS n FROM events GROUP BY 1, 2),
+          count(*) AS n, CAST(sum(floor(value)) AS BIGINT) AS v, CAST(arg_min(floor(value), event_id) AS BIGINT) AS f FROM events GROUP BY 1, 2),
         c AS (SELECT key, min(t) AS t, arg_min(m, t) AS m FROM l GROUP BY key
           UNION ALL
           SELECT c.key, x.t, x.m FROM c, LATERAL (SELECT l.t, l.m FROM l WHERE l.key = c.key AND l.t > c.t
             AND (l.t > c.t + 3600000 OR l.m > c.m) ORDER BY l.t LIMIT 1) x)
-        SELECT l.key, CAST(sum(n) AS BIGINT) AS calls, CAST(sum(n) - any_value(k) AS BIGINT) AS hits
-        FROM l JOIN (SELECT key, count(*) AS k FROM c GROUP BY 1) q ON q.key = l.key GROUP BY l.key""",
+        SELECT l.key, CAST(sum(n) AS BIGINT) AS calls, CAST(sum(n) - count(c.t) AS BIGINT) AS hits,
+          CAST(sum(v) - sum(CASE WHEN c.t IS NOT NULL THEN f ELSE 0 END) AS BIGINT) AS tokens_saved
+        FROM l LEFT JOIN c ON c.key = l.key AND c.t = l.t GROUP BY l.key""",
     ),
     "r7_unexpired_edits": (
         lambda s, d: sessions.unexpired(_edits(s, d), "2024-01-02 00:05:00").groupBy("session_id").agg(F.count(F.lit(1)).alias("n")),

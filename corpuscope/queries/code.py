@@ -47,10 +47,48 @@ def _pages(spark, folder):
     return T.spread(T.table(spark, folder, "pages"), "page_id").select(
         F.concat(F.lit("w"), F.col("page_id") % 5).alias("project_id"),
         F.concat(F.lit("/web/p"), "page_id", F.lit(".html")).alias("file"),
-        F.octet_length("html").cast("bigint").alias("length"), F.col("html").alias("content"),
+        F.octet_length("html").cast("bigint").alias("length"),
+        F.replace("html", F.lit("<article>"), F.concat(F.lit('<Article id="a'), "page_id", F.lit('">'))).alias("content"),
     )
 
 
+FORMS = (
+    "import * as ns{k} from './x'\nimport 'side{k}'\nexport { a{k}, b }\nexport * from './y'\nexport default thing{k}\n@Dec{k}(1)\n"
+    "export type T{k} = { x: number };\ntype U{k} =\n  | 'a'\n  | 'b';\nexport enum E{k} {\n  A,\n  B\n}"
+)
+FORM_CHUNKS = (
+    ("import", "ns{k}", 1, 1), ("import", "side{k}", 2, 2), ("export", "a{k}", 3, 3), ("export", "*", 4, 4), ("export", "thing{k}", 5, 5),
+    ("decorator", "Dec{k}", 6, 6), ("type", "T{k}", 7, 7), ("export", "T{k}", 7, 7), ("type", "U{k}", 8, 10), ("enum", "E{k}", 11, 14),
+    ("export", "E{k}", 11, 11),
+)
+
+
+def _forms(spark, folder):
+    """Type aliases, enums, decorators and the rarer import and export forms, one file per part."""
+    k = F.col("p_partkey")
+    files = T.table(spark, folder, "part").select(
+        F.lit("f").alias("project_id"), F.concat(F.lit("/f/p"), k, F.lit(".ts")).alias("file"),
+        F.replace(F.lit(FORMS), F.lit("{k}"), k.cast("string")).alias("content"))
+    return X.dedupe_chunks(X.extract_chunks(files)).select("file", "type", "name", *[F.col(c).cast("bigint").alias(c) for c in LONG])
+
+
+def _config(spark, folder):
+    """Whole documents as JSON, YAML and TOML: every line is the value of a key."""
+    doc = F.col("doc_id")
+    lines = C.lines_of("text")
+    entry = (
+        F.when(doc % 3 == 0, F.transform(lines, lambda t, i: F.concat(F.lit('  "k'), i, F.lit('": "'), F.translate(t, '"', "'"), F.lit('",'))))
+        .when(doc % 3 == 1, F.transform(lines, lambda t, i: F.concat(F.lit("k"), i, F.lit(": '"), F.translate(t, '"', "'"), F.lit("'"))))
+        .otherwise(F.transform(lines, lambda t, i: F.concat(F.lit("[k"), i, F.lit(".v]\nv = '"), F.translate(t, '"', "'"), F.lit("'"))))
+    )
+    files = T.table(spark, folder, "documents").select(
+        F.col("source").alias("project_id"),
+        F.concat(F.lit("/c/d"), doc, F.when(doc % 3 == 0, ".json").when(doc % 3 == 1, ".yaml").otherwise(".toml")).alias("file"),
+        F.array_join(entry, "\n").alias("content"))
+    out = X.flat_chunks(files.withColumn("lang", C.language("file")))
+    return out.select("file", "type", "name", F.col("line").cast("bigint").alias("line"))
+
+
 def _markdown(spark, folder):
     """Documents as markdown files, every fourth line break opening a heading."""
     doc = F.col("doc_id")
@@ -259,8 +297,11 @@ def _registry(spark, folder):
     old = T.projects(spark, folder).filter(F.length("name") < 3).withColumns(
         {"chunks": F.lit(0).cast("bigint"), "files": F.lit(0).cast("bigint")}
     ).withColumn("id", C.project_id("path"))
-    merged = corpus.merge_projects(old, T.projects(spark, folder).select("path", "last_seen"))
-    return corpus.list_projects(merged).select("id", "path", "name", F.unix_micros("last_seen").alias("last_seen"))
+    seen = T.projects(spark, folder)
+    merged = corpus.merge_projects(old, seen.select("path", "last_seen"))
+    counts = seen.select(C.project_id("path").alias("project_id"), F.length("path").cast("bigint").alias("chunks"), F.lit(2).cast("bigint").alias("files"))
+    return corpus.list_projects(corpus.update_project_counts(merged, counts)).select(
+        "id", "path", "name", F.unix_micros("last_seen").alias("last_seen"), "chunks", "files")
 
 
 def _resolved(spark, folder):
@@ -310,12 +351,24 @@ QUERIES = {
     "x21_html_chunks": (
         _inline,
         r"""WITH l AS (SELECT '/web/p' || page_id || '.html' AS file, i AS line, ' ' || parts[i] || ' ' AS t
-          FROM (SELECT page_id, string_split(html, chr(10)) AS parts FROM pages), unnest(range(1, len(parts) + 1)) u(i)),
+          FROM (SELECT page_id, string_split(replace(html, '<article>', '<Article id="a' || page_id || '">'), chr(10)) AS parts FROM pages), unnest(range(1, len(parts) + 1)) u(i)),
         m AS (SELECT file, line, unnest(regexp_extract_all(t, '<[A-Z]\w*[\s>]'))  AS hit FROM l
           UNION ALL SELECT file, line, unnest(regexp_extract_all(t, '\s((?:id|data-testid)=["''][^"'']+["''])', 1)) AS hit FROM l)
         SELECT file, line, trim(hit) AS content, CASE WHEN starts_with(hit, '<') THEN regexp_extract(hit, '<(\w+)', 1)
           ELSE regexp_extract(hit, '["'']([^"'']+)["'']', 1) END AS name FROM m""",
     ),
+    "x8_x11_more_forms": (
+        _forms,
+        f"""SELECT '/f/p' || p_partkey || '.ts' AS file, type, replace(name, '{{k}}', CAST(p_partkey AS VARCHAR)) AS name,
+        CAST(line AS BIGINT) AS line, CAST(line_end AS BIGINT) AS line_end FROM part,
+        (VALUES {", ".join(f"('{t}', '{n}', {a}, {b})" for t, n, a, b in FORM_CHUNKS)}) w(type, name, line, line_end)""",
+    ),
+    "x22_config_keys": (
+        _config,
+        """WITH l AS (SELECT doc_id, i - 1 AS i FROM (SELECT doc_id, len(string_split(text, chr(10))) AS n FROM documents), unnest(range(1, n + 1)) u(i))
+        SELECT '/c/d' || doc_id || CASE doc_id % 3 WHEN 0 THEN '.json' WHEN 1 THEN '.yaml' ELSE '.toml' END AS file, 'config' AS type,
+        'k' || i || CASE WHEN doc_id % 3 = 2 THEN '.v' ELSE '' END AS name, CASE WHEN doc_id % 3 = 2 THEN 2 * i + 1 ELSE i + 1 END AS line FROM l""",
+    ),
     "x24_markdown_headings": (
         _headings,
         r"""WITH d AS (SELECT '/md/d' || doc_id || '.md' AS file, '# T' || doc_id || chr(10) || chr(10) ||
@@ -420,8 +473,8 @@ QUERIES = {
     ),
     "s14_s15_registry": (
         _registry,
-        f"""WITH {T.PROJECTS_SQL} SELECT substr(sha1(path), 1, 16) AS id, path, name, epoch_us(last_seen) AS last_seen
-        FROM projects WHERE NOT starts_with(path, '/tmp/')""",
+        f"""WITH {T.PROJECTS_SQL} SELECT substr(sha1(path), 1, 16) AS id, path, name, epoch_us(last_seen) AS last_seen,
+        CAST(length(path) AS BIGINT) AS chunks, CAST(2 AS BIGINT) AS files FROM projects WHERE NOT starts_with(path, '/tmp/')""",
     ),
     "d1_d2_changes": (
         lambda s, d: _changes(s, d).select("project_id", "file", "status"),

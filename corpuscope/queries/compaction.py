@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from corpuscope import dims
+from corpuscope import dims, schemas
 from corpuscope.functions import columns as C
 from corpuscope.operators import compaction as K
 from corpuscope.operators import usage
+from corpuscope.session import ensure_checkpoint_dir
 from corpuscope.sources import tables as T
+from corpuscope.sources.sinks import append_audit, audit_rows
 
 ANSI_SQL = r"regexp_replace({0}, '\x1b\[[0-9;]*[A-Za-z]|\x1b\][^\x07]*\x07', '', 'g')"
 STACK_SQL = r"""array_to_string(list_transform(string_split({0}, chr(10)), lambda l:
@@ -139,7 +143,55 @@ def _rebuilt(spark, folder):
     )
 
 
+def _audited(spark, folder):
+    """Substitutions written as audit lines and read back; every third touches a sensitive path and is left out."""
+    path = f"{ensure_checkpoint_dir(spark)}/audit-{uuid.uuid4().hex}"
+    out = K.compact(T.tool_outputs(spark, folder), semantic=True)
+    eligible = out.filter(K.is_compressible("tool_id") & K.exceeds_threshold("output", 2000))
+    done = K.substitute(eligible.drop("tokens_saved"), "output", "compacted").withColumn(
+        "path", F.concat(F.lit("/w/"), "call_id", F.when(F.substr("call_id", F.lit(2)).cast("bigint") % 3 == 0, "/.env").otherwise("/a.ts")))
+    append_audit(audit_rows(done, path="path"), path)
+    return spark.read.schema(schemas.AUDIT).json(path).select(
+        "session_id", "tool_name", "path", "original_chars", "substitute_chars", F.unix_micros("ts").alias("ts"))
+
+
+def _rebuilt_shell(spark, folder):
+    """Structured shell responses, their stdout swapped for the compacted text; the other fields stay."""
+    out = K.compact(T.tool_outputs(spark, folder).filter("tool_id = 'bash'"))
+    resp = out.withColumn("resp", F.struct(
+        F.col("output").alias("stdout"), F.col("call_id").alias("stderr"), F.lit(False).alias("interrupted"),
+        F.lit(False).alias("isImage"), F.lit(True).alias("noOutputExpected")))
+    new = resp.select("call_id", K.rebuild_shell_response("resp", "compacted").alias("r"))
+    return new.select("call_id", _sha(F.col("r.stdout")).alias("stdout_sha"), F.col("r.stderr").alias("stderr"), F.col("r.noOutputExpected").alias("quiet"))
+
+
+def _client_tools(spark, folder):
+    """Tools of which a client compacts the output, by tool, variants of the shell included."""
+    tool = F.concat("tool_id", F.when(F.substr("call_id", F.lit(2)).cast("bigint") % 2 == 0, "-x").otherwise(""))
+    out = T.tool_outputs(spark, folder).select(tool.alias("tool"), K.is_client_compressible(tool).alias("client"))
+    return out.groupBy("tool", "client").agg(F.count(F.lit(1)).alias("n"))
+
+
 QUERIES = {
+    "s16_audit_log": (
+        _audited,
+        f"""WITH {FINAL_CTES} SELECT o.session_id, f.tool_id AS tool_name, '/w/' || f.call_id || '/a.ts' AS path,
+        CAST(length(f.output) AS BIGINT) AS original_chars, CAST(length(f.compacted) AS BIGINT) AS substitute_chars,
+        (1704067200 + CAST(substr(f.call_id, 2) AS BIGINT) * 60) * 1000000 AS ts
+        FROM final f JOIN outputs o ON o.call_id = f.call_id WHERE f.tool_id <> 'other' AND length(f.output) > 2000
+          AND length(f.compacted) < length(f.output) AND CAST(substr(f.call_id, 2) AS BIGINT) % 3 <> 0""",
+    ),
+    "c14_rebuild_shell": (
+        _rebuilt_shell,
+        f"""WITH {STRUCT_CTES} SELECT call_id, sha256(compacted) AS stdout_sha, call_id AS stderr, true AS quiet
+        FROM structural WHERE tool_id = 'bash'""",
+    ),
+    "c12_client_tools": (
+        _client_tools,
+        f"""WITH {T.OUTPUTS_SQL}, t AS (SELECT tool_id || CASE WHEN CAST(substr(call_id, 2) AS BIGINT) % 2 = 0 THEN '-x' ELSE '' END AS tool FROM outputs)
+        SELECT tool, tool IN ({", ".join(f"'{t}'" for t in dims.CLIENT_TOOLS)}) OR starts_with(tool, 'bash') OR starts_with(tool, 'sh') AS client,
+        count(*) AS n FROM t GROUP BY 1, 2""",
+    ),
     "c1_strip_ansi": (
         lambda s, d: T.tool_outputs(s, d).select("call_id", _sha(K.strip_ansi("output")).alias("sha")),
         f"WITH {T.OUTPUTS_SQL} SELECT call_id, sha256({ANSI_SQL.format('output')}) AS sha FROM outputs",

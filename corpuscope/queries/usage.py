@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from corpuscope import dims
 from corpuscope.operators import index_stats, usage
+from corpuscope.session import ensure_checkpoint_dir
 from corpuscope.sources import tables as T
+from corpuscope.sources.sinks import append_usage, read_usage
 
 AS_OF = T.AS_OF
 NOW = f"TIMESTAMP '{AS_OF}'"
@@ -136,7 +140,25 @@ def _changes(spark, folder):
     )
 
 
+LOG_SINCE = "2024-01-15 12:00:00"
+
+
+def _usage_log(spark, folder):
+    """The event log appended in two parts and read back for a span."""
+    path = f"{ensure_checkpoint_dir(spark)}/usage-{uuid.uuid4().hex}"
+    events = T.usage_events(spark, folder)
+    append_usage(events.filter("id % 2 = 0"), path)
+    append_usage(events.filter("id % 2 = 1"), path)
+    out = read_usage(spark, path, F.lit(LOG_SINCE).cast("timestamp"))
+    return out.select("project_id", "id", "event_type", "tokens_saved", "tokens_used", F.unix_micros("ts").alias("ts"))
+
+
 QUERIES = {
+    "s13_usage_log": (
+        _usage_log,
+        f"""WITH {T.USAGE_SQL} SELECT project_id, id, event_type, tokens_saved, tokens_used, epoch_us(ts) AS ts FROM usage
+        WHERE ts IS NULL OR ts > TIMESTAMP '{LOG_SINCE}'""",
+    ),
     "a5_event_rollup": (
         lambda s, d: usage.rollup_by_type(T.usage_events(s, d)),
         f"""WITH {T.USAGE_SQL} SELECT event_type, count(*) AS n,

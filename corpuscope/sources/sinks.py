@@ -119,14 +119,15 @@ def append_usage(events: DataFrame, path: str) -> None:
     events.withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("day").parquet(path)
 
 
-def read_usage(spark: SparkSession, path: str, since: Column | None = None, until: Column | None = None) -> DataFrame:
-    """Usage events from ``since`` (inclusive) to ``until`` (exclusive); without both, all of them. The scan
-    reads the days of the span only."""
+def read_usage(spark: SparkSession, path: str, since: Column | None = None) -> DataFrame:
+    """Usage events later than ``since`` (all if not given); those without a time always count, as in ``usage.in_period``.
+
+    The scan reads the days of the span and the null day only.
+    """
     rows = spark.read.schema(schemas.USAGE_EVENTS + ", day DATE").parquet(path)
     if since is not None:
-        rows = rows.filter((F.col("day") >= F.to_date(since)) & (F.col("ts") >= since))
-    if until is not None:
-        rows = rows.filter((F.col("day") <= F.to_date(until)) & (F.col("ts") < until))
+        rows = rows.filter((F.col("day") >= F.to_date(since)) | F.col("day").isNull())
+        rows = rows.filter((F.col("ts") > since) | F.col("ts").isNull())
     return rows.drop("day")
 
 
