@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corpuscope.functions import columns as C
 from corpuscope.operators.ranking import running_total, top_k_per_group
@@ -125,21 +126,27 @@ def reuse(calls: DataFrame, ttl_ms: int = 300_000) -> DataFrame:
     """Hits and saved tokens per key if outputs were kept for ``ttl_ms`` after they were stored.
 
     calls(key, ts, id, mtime_ms, tokens). A hit does not renew an entry, and a newer file
-    modification time ends it. Whether a call hits depends on the calls before it, so each key is
-    walked in order; before that, calls are combined to one row per key and millisecond, which
-    bounds a key's rows by elapsed time, whatever its share of the log is.
+    modification time ends it. Whether a call hits depends on the calls before it, but not across a gap of more than
+    ``ttl_ms``, as no entry lives that long. Such a gap crosses the bound of a block of that length, so blocks (key, time)
+    with their first and last call tell all gaps, and a key is walked in as many parts as it has gaps. Before
+    that, calls are combined to one row per key and millisecond; a part is walked in order with constant memory.
     """
     ticks = calls.groupBy("key", F.unix_millis("ts").alias("tick")).agg(
         F.count(F.lit(1)).alias("n"),
         F.max(F.coalesce("mtime_ms", F.lit(0))).cast("bigint").alias("mtime"),
         F.sum("tokens").alias("tokens"),
         F.min_by("tokens", "id").alias("first_tokens"),
-    )
+    ).withColumn("block", F.floor(F.col("tick") / ttl_ms))
+    spans = ticks.groupBy("key", "block").agg(F.min("tick").alias("lo"), F.max("tick").alias("hi"))
+    order = Window.partitionBy("key").orderBy("block")
+    cut = F.coalesce(F.col("lo") - F.lag("hi").over(order) > ttl_ms, F.lit(True))
+    runs = spans.withColumn("cut", cut.cast("int")).withColumn("run", F.sum("cut").over(order)).select("key", "block", "run")
+    parts = ticks.join(runs, ["key", "block"]).withColumn("part", F.concat_ws("#", "run", "key")).drop("block", "run")
     walked = (
-        ticks.select("key", "tick", "mtime").repartition("key").sortWithinPartitions("key", "tick")
+        parts.select(F.col("part").alias("key"), "tick", "mtime").repartition("key").sortWithinPartitions("key", "tick")
         .mapInPandas(_reuse_pass(ttl_ms), "key string, tick bigint, missed boolean")
     )
-    scored = ticks.join(walked, ["key", "tick"])
+    scored = parts.join(walked.withColumnRenamed("key", "part"), ["part", "tick"])
     miss = F.col("missed").cast("int")
     return scored.groupBy("key").agg(
         F.sum("n").alias("calls"),
