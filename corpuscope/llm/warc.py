@@ -101,16 +101,17 @@ def read_records(source) -> Iterator[bytes]:
     dictionary = source.read(size)
     kept = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
     data = source.read(1 << 20)
-    frame, out = kept.decompressobj(), io.BytesIO()
+    frame, out, within = kept.decompressobj(), io.BytesIO(), False
     while data:
         out.write(frame.decompress(data))
-        if frame.eof:
+        within = not frame.eof
+        if within:
+            data = source.read(1 << 20)
+        else:
             data = frame.unused_data or source.read(1 << 20)
             yield out.getvalue()
             frame, out = kept.decompressobj(), io.BytesIO()
-        else:
-            data = source.read(1 << 20)
-    if out.tell():
+    if within:
         raise ValueError("archive ends within a record")
 
 
