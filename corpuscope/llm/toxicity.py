@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -41,7 +41,7 @@ COUNTERFACTUAL, RIDGE, ROUNDS = 1.0, 1e-4, 250
 RESULT = "score double, predicted int"
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"[.!?\n]+")
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 60_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -68,29 +68,21 @@ def swapped(text: str, turn: int = 0) -> list[str] | None:
 class Model:
     weights: dict[str, float]
     bias: float
-    cache: dict[str, float] = field(default_factory=dict, repr=False)
 
-    def __getstate__(self) -> dict:
-        return {"weights": self.weights, "bias": self.bias, "cache": {}}
-
-    def score(self, text: str | None) -> float:
+    def score(self, text: str | None, seen_words: dict[str, tuple[str, ...]] | None = None) -> float:
+        """0 to 1. ``seen_words`` keeps the features of words between calls, of ``_CACHE_WORDS`` words at most."""
+        cache = {} if seen_words is None else seen_words
+        if len(cache) > _CACHE_WORDS:
+            cache.clear()
         seen: set[str] = set()
-        total = self.bias
         for word in set(words_of(text)):
-            for feature in self.hits(word):
-                if feature not in seen:
-                    seen.add(feature)
-                    total += self.weights[feature]
+            found = cache.get(word)
+            if found is None:
+                found = cache[word] = tuple(f for f in features_of(word) if f in self.weights)
+            seen.update(found)
+        total = self.bias + sum(self.weights[f] for f in sorted(seen))
         return float(1 / (1 + np.exp(-np.clip(total, -500, 500))))
 
-    def hits(self, word: str) -> tuple[str, ...]:
-        found = self.cache.get(word)
-        if found is None:
-            if len(self.cache) > _CACHE_WORDS:
-                self.cache.clear()
-            found = self.cache[word] = tuple(f for f in features_of(word) if f in self.weights)
-        return found
-
 
 def _logits(rows: np.ndarray, cols: np.ndarray, n: int, w: np.ndarray, bias: float) -> np.ndarray:
     return np.bincount(rows, weights=w[cols], minlength=n) + bias
@@ -204,8 +196,9 @@ def classify(docs: DataFrame, model: Model, text: str = "text", into: str = "tox
 
     @F.pandas_udf(RESULT)
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        seen: dict[str, tuple[str, ...]] = {}  # of this task
         for texts in batches:
-            scores = np.array([shared.value.score(t if isinstance(t, str) else None) for t in texts])
+            scores = np.array([shared.value.score(t if isinstance(t, str) else None, seen) for t in texts])
             yield pd.DataFrame({"score": scores, "predicted": (scores >= THRESHOLD).astype(np.int32)})
 
     return docs.withColumn(into, scored(F.col(text)))
