@@ -87,6 +87,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.Table], pa.Table | None], schema
             out = fn(table)
             if out is not None and out.num_rows:
                 yield from out.combine_chunks().to_batches(max_chunksize=1 << 16)
+        pa.default_memory_pool().release_unused()  # workers live on between tasks
 
     return df.mapInArrow(run, schema)
 
@@ -243,8 +244,12 @@ def tokens_as_binary(points: np.ndarray, inside: np.ndarray, starts: np.ndarray)
     """Tokens in UTF-8: each runs from a start to the next; code points outside ``inside`` are left out."""
     kept = points[inside]
     data = kept.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
-    width = 1 + (kept >= 0x80).astype(np.int64) + (kept >= 0x800) + (kept >= 0x10000)
-    ends = np.append(0, np.cumsum(width))
+    width = (kept >= 0x80).astype(np.uint8)
+    width += kept >= 0x800
+    width += kept >= 0x10000
+    width += 1
+    ends = np.zeros(len(kept) + 1, np.int64)
+    np.cumsum(width, out=ends[1:])
     offsets = np.append(ends[np.flatnonzero(starts[inside])], ends[-1]).astype(np.int64)
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
 

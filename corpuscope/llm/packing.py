@@ -32,7 +32,7 @@ END = 0
 GROUP_PIECES = 20_000
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PACKED = _PIECE + ", sequence_id long, offset long"
-_CACHE_WORDS = 300_000
+_CACHE_WORDS = 150_000
 #: Code points up to here are their own normal form; letters have one lower-case letter, but for one of two code points.
 _PLAIN = 0x250
 _DOTTED_I = 0x130
@@ -50,7 +50,7 @@ class WordTokenizer:
         self.specials = tuple(t.content for t in self.library.get_added_tokens_decoder().values())
         self.lower = np.array([ord(chr(c).lower()[0]) if c < _PLAIN else c for c in range(_PLAIN)], np.uint32)
         self.byte_text = self._byte_text(sorted(ByteLevel.alphabet()))
-        self.known: dict[bytes, np.ndarray] = {}
+        self.known: dict[bytes, bytes] = {}
 
     @staticmethod
     def _byte_text(alphabet: list[str]) -> dict[int, str]:
@@ -59,9 +59,10 @@ class WordTokenizer:
         rest = [b for b in range(256) if b not in set(own)]
         return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
-    def _word(self, word: bytes) -> np.ndarray:
+    def _word(self, word: bytes) -> bytes:
+        """Ids of one word, four bytes each."""
         text = word.decode("latin-1").translate(self.byte_text)
-        return np.array([t.id for t in self.library.model.tokenize(text)], np.uint32)
+        return np.array([t.id for t in self.library.model.tokenize(text)], np.uint32).tobytes()
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts and the n + 1 bounds of each."""
@@ -94,8 +95,8 @@ class WordTokenizer:
             if ids is None:
                 ids = self.known[word] = self._word(word)
             found.append(ids)
-        each = np.append(0, np.cumsum([len(x) for x in found])).astype(np.int64)
-        flat = np.concatenate(found) if found else np.zeros(0, np.uint32)
+        each = np.append(0, np.cumsum([len(x) // 4 for x in found])).astype(np.int64)
+        flat = np.frombuffer(b"".join(found), np.uint32)
         ids, at = take_ragged(flat, each, words.indices.to_numpy())
         bounds = at[np.searchsorted(np.flatnonzero(starts), bounds)]
         if not odd:
@@ -130,7 +131,7 @@ def pieces(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str =
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
         return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return map_batches(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), run, _PIECE, most_bytes=4 << 20)
+    return map_batches(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), run, _PIECE, most_bytes=2 << 20)
 
 
 class Bins:
