@@ -6,7 +6,6 @@ from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 
-from corpuscope.functions import columns as C
 from corpuscope.operators import rendering as R
 from corpuscope.operators import search as Q
 from corpuscope.plans.tools import Workspace
