@@ -146,19 +146,26 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def ascii_words(column: pa.ChunkedArray | pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """All words ``[^\\x20\\x09-\\x0D]+`` of the texts, A-Z lower-cased, and the n + 1 bounds of each row's words."""
+def word_bytes(flat: np.ndarray) -> np.ndarray:
+    """Marks the bytes that belong to words ``[^\\x20\\x09-\\x0D]+``."""
+    return ~_IS_BREAK[flat]
+
+
+def ascii_words(column: pa.ChunkedArray | pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray]:
+    """All words ``[^\\x20\\x09-\\x0D]+`` of the texts, A-Z lower-cased if asked for, and the n + 1 bounds of each row's words."""
     flat, bounds = text_bytes(column)
     n = len(flat)
     if not n:
         return pa.array([], pa.large_binary()), np.zeros(len(bounds), np.int64)
-    inside = ~_IS_BREAK[flat]
+    inside = word_bytes(flat)
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     edge = bounds[:-1][bounds[:-1] < n]  # a row's first byte starts a word whatever stands before it
     first[edge] = inside[edge]
     starts = np.flatnonzero(first)
-    kept = _LOWER[flat[inside]]
+    kept = flat[inside]
+    if lower:
+        kept = _LOWER[kept]
     place = np.cumsum(inside)
     offsets = np.append(place[starts] - 1, len(kept)).astype(np.int64)
     words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(kept)])
