@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscope.llm import bpe, fingerprint, hmm, infill, langid, packing, simhash, topk, toxicity, url_filter, warc
+from corpuscope.llm import bpe, fingerprint, hmm, infill, langid, negatives, packing, simhash, topk, toxicity, url_filter, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -110,6 +110,37 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return langid.predict(docs, langid.train(docs)).select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "language.*")
 
 
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(_table(spark, folder, "embeddings"), anchors=F.col("vec_id") % 50 == 0, label=moved)
+
+
+OP12_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+a AS (
+  SELECT vec_id, label, v FROM (
+    SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY label, v) AS k FROM v WHERE vec_id % 50 = 0) WHERE k = 1),
+s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, c.label = a.label AS same, CAST(list_dot_product(a.v, c.v) AS BIGINT) AS score
+  FROM a JOIN v c ON c.vec_id <> a.vec_id AND len(c.v) = len(a.v)),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS place
+  FROM s WHERE same),
+n AS (
+  SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, place ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same
+    AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+  WHERE place <= 5)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
+
 def op13_infill(spark: SparkSession, folder: str) -> DataFrame:
     done = infill.transform(_table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "infill.*")
     return done.select(
@@ -152,5 +183,6 @@ QUERIES = {
     "op8_bpe": (op8_bpe, None),
     "op9_toxicity": (op9_toxicity, None),
     "op10_language_id": (op10_language_id, None),
+    "op12_hard_negatives": (op12_hard_negatives, OP12_SQL),
     "op13_infill": (op13_infill, OP13_SQL),
 }
