@@ -10,17 +10,18 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType, _parse_datatype_string
 
-from corpuscope.llm.common import text_bytes, word_bytes
+from corpuscope.llm.common import map_batches, text_bytes, word_bytes
 
 PREFIX, SUFFIX, MIDDLE = b"<P>", b"<S>", b"<M>"
 PLAIN, PSM, SPM = "plain", "psm", "spm"
 #: Percent of texts that are rearranged, and of these the percent that start with the suffix.
 RATE, SPM_RATE, SEED = 50, 80, 42
 #: Texts of about so many bytes are cut together.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 RESULT = "n long, form string, prefix_chars long, middle_chars long, output string"
 _KIND = pa.struct([("n", pa.int64()), ("form", pa.string()), ("prefix_chars", pa.int64()), ("middle_chars", pa.int64()), ("output", pa.string())])
 
@@ -69,18 +70,6 @@ def restored_bytes(output: bytes, form: str) -> bytearray:
     return out
 
 
-def _slices(sizes: np.ndarray) -> list[tuple[int, int]]:
-    """Runs of rows of about ``SLICE_BYTES`` together; a longer row is one by itself."""
-    ends = np.cumsum(sizes)
-    out, at = [], 0
-    while at < len(sizes):
-        before = ends[at - 1] if at else 0
-        end = max(at + 1, int(np.searchsorted(ends, before + SLICE_BYTES, "right")))
-        out.append((at, end))
-        at = end
-    return out
-
-
 def _digits(seed: int, doc_id) -> tuple[int, int, int, int]:
     digest = hashlib.sha256(f"{seed}:{'' if doc_id is None else doc_id}".encode()).digest()
     return tuple(int.from_bytes(digest[i:i + 4], "big") for i in (0, 4, 8, 12))
@@ -131,22 +120,26 @@ def transform(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", into:
     plain: output is the text, the lengths are null. No shuffle, no state: a lost task is done again alone.
     """
 
-    @F.arrow_udf(RESULT)
-    def decide(ids: pa.Array, texts: pa.Array) -> pa.Array:
-        sizes = np.diff(text_bytes(texts)[1])
-        parts = [_decided(ids.slice(a, z - a).to_pylist(), texts.slice(a, z - a), seed, rate, spm_rate) for a, z in _slices(sizes)]
-        return pa.concat_arrays(parts) if parts else pa.array([], _KIND)
+    kept = [c for c in docs.columns if c != into]
+    given = docs.select(F.col(doc_id).alias("_doc_id"), F.col(text).alias("_text"), *kept)
+
+    def decide(table: pa.Table) -> pa.Table:
+        ids, texts = table.column("_doc_id").to_pylist(), table.column("_text").combine_chunks()
+        return table.drop_columns(["_doc_id", "_text"]).append_column(into, _decided(ids, texts, seed, rate, spm_rate))
 
-    return docs.withColumn(into, decide(F.col(doc_id), F.col(text)))
+    schema = StructType([docs.schema[c] for c in kept] + [StructField(into, _parse_datatype_string(RESULT))])
+    return map_batches(given, decide, schema, most_bytes=SLICE_BYTES)
 
 
-def restored(output: Column, form: Column) -> Column:
-    """The text from which ``transform`` made ``output`` in ``form``; null where one is null."""
+def restore(done: DataFrame, infill: str = "infill", into: str = "restored") -> DataFrame:
+    """``done`` with the text from which ``transform`` made each output as column ``into``, which replaces a column of that name; null
+    where output or form is null. No shuffle."""
+    kept = [c for c in done.columns if c != into]
+    given = done.select(F.col(infill)["output"].alias("_output"), F.col(infill)["form"].alias("_form"), *kept)
 
-    @F.arrow_udf("string")
-    def run(outputs: pa.Array, forms: pa.Array) -> pa.Array:
-        raw = outputs.cast(pa.large_binary())
-        texts = [None if o is None or f is None else bytes(restored_bytes(o, f)) for o, f in zip(raw.to_pylist(), forms.to_pylist(), strict=True)]
-        return pa.array(texts, pa.binary()).cast(pa.string())
+    def back(table: pa.Table) -> pa.Table:
+        pairs = zip(table.column("_output").cast(pa.binary()).to_pylist(), table.column("_form").to_pylist(), strict=True)
+        texts = [None if o is None or f is None else bytes(restored_bytes(o, f)) for o, f in pairs]
+        return table.drop_columns(["_output", "_form"]).append_column(into, pa.array(texts, pa.binary()).cast(pa.string()))
 
-    return run(output, form)
+    return map_batches(given, back, StructType([done.schema[c] for c in kept] + [StructField(into, StringType())]), most_bytes=SLICE_BYTES)

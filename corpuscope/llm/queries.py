@@ -142,10 +142,11 @@ SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, posit
 
 
 def op13_infill(spark: SparkSession, folder: str) -> DataFrame:
-    done = infill.transform(_table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "infill.*")
-    return done.select(
+    done = infill.transform(_table(spark, folder, "documents").select("doc_id", "text"), into="text")
+    back = infill.restore(done, "text").select("doc_id", "text.*", "restored")
+    return back.select(
         "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
-        F.sha2(infill.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+        F.sha2("restored", 256).alias("restored_sha256"))
 
 
 OP13_SQL = r"""

@@ -7,7 +7,6 @@ import re
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from corpuscope.llm import infill
 
@@ -60,7 +59,7 @@ def test_rows_equal_brute_force(spark, monkeypatch):
     docs = spark.createDataFrame([(*r, "old", 1) for r in rows], "doc_id long, text string, infill string, output int")
     got = infill.transform(docs)
     assert got.columns == ["doc_id", "text", "infill", "output"]
-    found = got.select("doc_id", "text", "infill.*", infill.restored(F.col("infill.output"), F.col("infill.form")).alias("back")).collect()
+    found = infill.restore(got, into="back").select("doc_id", "text", "infill.*", "back").collect()
     assert len(found) == len(rows)
     for r in found:
         assert (r.n, r.form, r.prefix_chars, r.middle_chars, r.output) == brute(r.doc_id, r.text)
