@@ -112,7 +112,7 @@ def _decided(ids: list, texts: pa.Array, seed: int, rate: int, spm_rate: int) ->
 
 def transform(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", into: str = "infill", seed: int = SEED,
               rate: int = RATE, spm_rate: int = SPM_RATE) -> DataFrame:
-    """``docs`` with a struct (n, form, prefix_chars, middle_chars, output) as column ``into``, which replaces a column of that
+    """``docs`` with a struct (n, form, prefix_chars, middle_chars, output) as last column ``into``, which replaces a column of that
     name; every row and other column stays, repeated rows get equal results.
 
     Tokens are words with the white space before them, and white space at the end. Cuts and form come from a digest of seed and
@@ -121,11 +121,11 @@ def transform(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", into:
     """
 
     kept = [c for c in docs.columns if c != into]
-    given = docs.select(F.col(doc_id).alias("_doc_id"), F.col(text).alias("_text"), *kept)
+    given = docs.select(F.col(doc_id).alias("infill doc_id"), F.col(text).alias("infill text"), *kept)
 
     def decide(table: pa.Table) -> pa.Table:
-        ids, texts = table.column("_doc_id").to_pylist(), table.column("_text").combine_chunks()
-        return table.drop_columns(["_doc_id", "_text"]).append_column(into, _decided(ids, texts, seed, rate, spm_rate))
+        ids, texts = table.column("infill doc_id").to_pylist(), table.column("infill text").combine_chunks()
+        return table.drop_columns(["infill doc_id", "infill text"]).append_column(into, _decided(ids, texts, seed, rate, spm_rate))
 
     schema = StructType([docs.schema[c] for c in kept] + [StructField(into, _parse_datatype_string(RESULT))])
     return map_batches(given, decide, schema, most_bytes=SLICE_BYTES)
@@ -135,11 +135,11 @@ def restore(done: DataFrame, infill: str = "infill", into: str = "restored") ->
     """``done`` with the text from which ``transform`` made each output as column ``into``, which replaces a column of that name; null
     where output or form is null. No shuffle."""
     kept = [c for c in done.columns if c != into]
-    given = done.select(F.col(infill)["output"].alias("_output"), F.col(infill)["form"].alias("_form"), *kept)
+    given = done.select(F.col(infill)["output"].alias("infill output"), F.col(infill)["form"].alias("infill form"), *kept)
 
     def back(table: pa.Table) -> pa.Table:
-        pairs = zip(table.column("_output").cast(pa.binary()).to_pylist(), table.column("_form").to_pylist(), strict=True)
+        pairs = zip(table.column("infill output").cast(pa.binary()).to_pylist(), table.column("infill form").to_pylist(), strict=True)
         texts = [None if o is None or f is None else bytes(restored_bytes(o, f)) for o, f in pairs]
-        return table.drop_columns(["_output", "_form"]).append_column(into, pa.array(texts, pa.binary()).cast(pa.string()))
+        return table.drop_columns(["infill output", "infill form"]).append_column(into, pa.array(texts, pa.binary()).cast(pa.string()))
 
     return map_batches(given, back, StructType([done.schema[c] for c in kept] + [StructField(into, StringType())]), most_bytes=SLICE_BYTES)

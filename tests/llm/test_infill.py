@@ -56,9 +56,9 @@ def test_rows_equal_brute_force(spark, monkeypatch):
     texts = [None, "", " ", "\t\n", "one", "  one two  ", "a <P> b c d", "été \U0001F600 x y z", "x<S", "> < M>", "long words " * 60_000,
              "a\x0bb\x0cc\x1cd\x85e", "\n\nlead", "trail\r\n"]
     rows = [(i, texts[i % len(texts)]) for i in range(len(texts) * 12)] + [(7, "same row here"), (7, "same row here"), (None, "no id at all"), (None, None)]
-    docs = spark.createDataFrame([(*r, "old", 1) for r in rows], "doc_id long, text string, infill string, output int")
+    docs = spark.createDataFrame([(*r, "old", 1, 2) for r in rows], "doc_id long, text string, infill string, output int, _text int")
     got = infill.transform(docs)
-    assert got.columns == ["doc_id", "text", "infill", "output"]
+    assert got.columns == ["doc_id", "text", "output", "_text", "infill"]
     found = infill.restore(got, into="back").select("doc_id", "text", "infill.*", "back").collect()
     assert len(found) == len(rows)
     for r in found:
