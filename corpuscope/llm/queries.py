@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscope.llm import bpe, fingerprint, hmm, infill, langid, negatives, packing, simhash, topk, toxicity, url_filter, warc
+from corpuscope.llm import bpe, fingerprint, hmm, infill, langid, negatives, packing, repeats, simhash, topk, toxicity, url_filter, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -110,6 +110,27 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return langid.predict(docs, langid.train(docs)).select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "language.*")
 
 
+def op11_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    done = repeats.remove_repeats(_table(spark, folder, "documents"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+t AS (SELECT r, doc_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+g AS (
+  SELECT *, CASE WHEN i + 19 <= n THEN string_agg(word, ' ') OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) END AS passage
+  FROM t),
+s AS (SELECT *, passage IS NOT NULL AND rank() OVER (PARTITION BY passage ORDER BY doc_id, i) > 1 AS again FROM g),
+c AS (SELECT *, bool_or(again) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM s),
+k AS (
+  SELECT r, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM c GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (r)
+"""
+
+
 def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return negatives.mine(_table(spark, folder, "embeddings"), anchors=F.col("vec_id") % 50 == 0, label=moved)
@@ -184,6 +205,7 @@ QUERIES = {
     "op8_bpe": (op8_bpe, None),
     "op9_toxicity": (op9_toxicity, None),
     "op10_language_id": (op10_language_id, None),
+    "op11_repeats": (op11_repeats, OP11_SQL),
     "op12_hard_negatives": (op12_hard_negatives, OP12_SQL),
     "op13_infill": (op13_infill, OP13_SQL),
 }
