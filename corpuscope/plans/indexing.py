@@ -29,32 +29,33 @@ def build_index(files: DataFrame, max_files: int | None = None) -> tuple[DataFra
     return chunks, graph.EdgeTables.of(chunks, kept), incremental.hash_files(kept)
 
 
-def _write_symbols(store: IndexStore, kept: DataFrame, batch: int) -> None:
+def _write_symbols(store: IndexStore, kept: DataFrame, run: str) -> None:
     """Chunks of the files, then references and imports of the written chunks: sources are parsed once."""
-    store.write("chunks", symbols.dedupe_chunks(symbols.extract_chunks(kept)), batch)
-    chunks = store.written("chunks", batch)
-    store.write("references", graph.references(chunks), batch)
-    store.write("imports", graph.import_references(chunks), batch)
+    store.write("chunks", symbols.dedupe_chunks(symbols.extract_chunks(kept)), run)
+    chunks = store.written("chunks", run)
+    store.write("references", graph.references(chunks), run)
+    store.write("imports", graph.import_references(chunks), run)
 
 
 def analyze(
-    store: IndexStore, files: DataFrame, projects: DataFrame, batch: int | None = None, ts=None, max_files: int | None = None
+    store: IndexStore, files: DataFrame, projects: DataFrame, run: str | None = None, ts=None, max_files: int | None = None
 ) -> DataFrame:
     """Index whole projects and return their counts.
 
-    ``batch`` is given to repeat a failed run; else it is the next one. The run closes all earlier ones of its projects: files
-    that are gone leave the index. Other projects are not touched.
+    ``run`` is given to repeat a failed run under its id; a committed one isn't done again. The run closes all earlier ones of its
+    projects: files that are gone leave the index. Other projects are not touched.
     """
-    batch = store.next_batch() if batch is None else batch
-    kept = corpus.scan_corpus(files, max_files=max_files)
-    _write_symbols(store, kept, batch)
-    store.write("files", incremental.hash_files(kept).withColumn("status", F.lit("add")), batch)
-    store.write("meta", _meta(projects, ts), batch)
-    store.commit(projects.select("project_id").union(store.written("files", batch).select("project_id")), "full", batch)
+    if run is None or not store.committed(run):
+        run = store.begin(run)
+        kept = corpus.scan_corpus(files, max_files=max_files)
+        _write_symbols(store, kept, run)
+        store.write("files", incremental.hash_files(kept).withColumn("status", F.lit("add")), run)
+        store.write("meta", _meta(projects, ts), run)
+        store.commit(projects.select("project_id").union(store.written("files", run).select("project_id")), "full", run)
     return index_stats.index_counts(store.chunks(), store.hashes(), store.edge_tables().counts())
 
 
-def discover(store: IndexStore, listing: DataFrame, parent: str, anchor: str, batch: int | None = None, ts=None,
+def discover(store: IndexStore, listing: DataFrame, parent: str, anchor: str, run: str | None = None, ts=None,
              limit: int | None = None) -> DataFrame:
     """Find sibling projects of ``anchor`` and index them all in one job; ``limit`` keeps the first ones by path.
 
@@ -63,28 +64,29 @@ def discover(store: IndexStore, listing: DataFrame, parent: str, anchor: str, ba
     roots = corpus.project_roots(listing, parent, anchor, limit)
     files = corpus.files_of_roots(listing.withColumnRenamed("path", "file"), roots, parent)
     projects = roots.select(corpus.C.project_id("path").alias("project_id"), "path")
-    return analyze(store, files, projects, batch, ts)
+    return analyze(store, files, projects, run, ts)
 
 
-def update(store: IndexStore, current: DataFrame, deleted: DataFrame | None, batch: int | None = None) -> DataFrame:
+def update(store: IndexStore, current: DataFrame, deleted: DataFrame | None, run: str | None = None) -> DataFrame:
     """Re-index the given files; unchanged ones are skipped, deleted ones leave the index.
 
     current(project_id, file, length, content) holds candidate files only, not the whole corpus; a candidate that no
-    longer belongs to a corpus counts as deleted. Changes are found against the batches before this one, so a retry does the same
-    again. Only the states of the given files are read; edges follow by themselves, as they are derived from
-    references and definitions. Returns the (project_id, file, status) that were applied.
+    longer belongs to a corpus counts as deleted. Changes are found against committed runs; a retry under the same ``run`` does the
+    same again, and nothing once the run is committed. Only the states of the given files are read; edges follow by themselves, as they
+    are derived from references and definitions. Returns the (project_id, file, status) that were applied.
     """
-    batch = store.next_batch() if batch is None else batch
-    kept = current.filter(corpus.listing_filter())
-    concerned = current.select("project_id", "file")
-    if deleted is not None:
-        concerned = concerned.unionByName(deleted.select("project_id", "file"))
-    concerned = concerned.distinct()
-    changes = incremental.detect_changes(incremental.hash_files(kept), store.hashes(batch, concerned)).filter(
-        F.col("status") != "unchanged"
-    )
-    store.write("files", changes, batch)
-    changes = store.written("files", batch)
-    _write_symbols(store, kept.join(changes.select("project_id", "file"), ["project_id", "file"], "left_semi"), batch)
-    store.commit(changes, "update", batch)
-    return changes.select("project_id", "file", "status")
+    if run is None or not store.committed(run):
+        run = store.begin(run)
+        kept = current.filter(corpus.listing_filter())
+        concerned = current.select("project_id", "file")
+        if deleted is not None:
+            concerned = concerned.unionByName(deleted.select("project_id", "file"))
+        concerned = concerned.distinct()
+        changes = incremental.detect_changes(incremental.hash_files(kept), store.hashes(concerned)).filter(
+            F.col("status") != "unchanged"
+        )
+        store.write("files", changes, run)
+        changes = store.written("files", run)
+        _write_symbols(store, kept.join(changes.select("project_id", "file"), ["project_id", "file"], "left_semi"), run)
+        store.commit(changes, "update", run)
+    return store.written("files", run).select("project_id", "file", "status")

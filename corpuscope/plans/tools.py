@@ -22,11 +22,11 @@ class Workspace:
     projects: DataFrame  # schemas.PROJECTS
     events: DataFrame  # schemas.USAGE_EVENTS
 
-    def analyze(self, files: DataFrame, projects: DataFrame, batch: int | None = None, ts=None) -> DataFrame:
-        return indexing.analyze(self.store, files, projects, batch, ts)
+    def analyze(self, files: DataFrame, projects: DataFrame, run: str | None = None, ts=None) -> DataFrame:
+        return indexing.analyze(self.store, files, projects, run, ts)
 
-    def discover(self, listing: DataFrame, parent: str, anchor: str, batch: int | None = None, ts=None, limit: int | None = None) -> DataFrame:
-        return indexing.discover(self.store, listing, parent, anchor, batch, ts, limit)
+    def discover(self, listing: DataFrame, parent: str, anchor: str, run: str | None = None, ts=None, limit: int | None = None) -> DataFrame:
+        return indexing.discover(self.store, listing, parent, anchor, run, ts, limit)
 
     def search(self, queries: DataFrame) -> DataFrame:
         """queries(query_id, project_id, q, n)."""

@@ -15,6 +15,7 @@ from corpuscope.plans import indexing
 from corpuscope.session import cut_lineage, ensure_checkpoint_dir
 from corpuscope.sources.sinks import IndexStore
 from corpuscope.sources import tables as T
+from corpuscope.streaming import changes
 
 LONG = ("line", "line_end")
 
@@ -225,9 +226,8 @@ def _stored_index(spark, folder):
     for root in roots:
         full(old, [root])
     changed = now.filter("k % 5 = 0 or k % 7 = 0 or k % 11 = 0")
-    batch = store.next_batch()
     for _ in range(2):  # the second time is a retry
-        indexing.update(store, changed, None, batch)
+        indexing.update(store, changed, None, "changes")
     full(now, roots[:1])
     indexing.update(store, now.limit(0), now.filter("k % 13 = 0").select("project_id", "file"))
     chunks = store.chunks().select(
@@ -237,6 +237,33 @@ def _stored_index(spark, folder):
     return chunks.union(edges)
 
 
+def _full_and_stream(spark, folder):
+    """Full runs and the batches of a file-change stream take turns on one store; what counts is the state each left last.
+
+    The stream indexes an earlier state of one project; a full run of all follows, without every thirteenth file; the stream goes on
+    with changes, additions and deletions; a full run closes that for one project; the stream deletes again, then repeats that batch.
+    """
+    now = T.code_corpus(spark, folder).withColumn("k", F.regexp_extract("file", r"/p(\d+)\.", 1).cast("bigint"))
+    store = IndexStore(spark, f"{ensure_checkpoint_dir(spark)}/index-{uuid.uuid4().hex}")
+    names = [(f"c{i}", f"/repo/c{i}") for i in range(3)]
+    third = now.withColumn("content", F.concat("content", F.lit("\n// third")))
+
+    def changed(number, keys, disk):
+        changes.index_batches(store, lambda asked: disk.join(asked, ["project_id", "file"], "left_semi"), "watch")(keys.select("project_id", "file"), number)
+
+    def full(files, chosen):
+        indexing.analyze(store, files, spark.createDataFrame(chosen, "project_id string, path string"), ts="2024-01-01 00:00:00")
+
+    changed(0, now.filter("project_id = 'c0'"), third)
+    full(now.filter("k % 13 <> 0"), names)
+    changed(1, now.filter("k % 11 = 0 or k % 17 = 0"), third.filter("k % 17 <> 0"))
+    full(now.filter("project_id = 'c1'"), names[1:2])
+    for _ in range(2):
+        changed(2, now.filter("k % 19 = 0"), now.limit(0))
+    chunks = store.chunks().groupBy("project_id", "file").agg(F.count("*").alias("chunks"))
+    return store.hashes().join(chunks, ["project_id", "file"], "left")
+
+
 def _predicates(spark, folder):
     f = T.files(spark, folder)
     return f.select(
@@ -497,6 +524,14 @@ QUERIES = {
         FROM code_chunks c JOIN final f ON f.file = c.file
         UNION ALL SELECT 'edge', project_id, source_file, source_symbol, kind, target_file, target_symbol, n FROM kept""",
     ),
+    "d6_r3_full_and_stream": (
+        _full_and_stream,
+        f"""WITH {T.CODE_SQL}, final AS (
+          SELECT project_id, file, k, CASE WHEN project_id <> 'c1' AND k % 11 = 0 THEN content || chr(10) || '// third' ELSE content END AS content
+          FROM code WHERE k % 19 <> 0 AND (project_id = 'c1' OR (k % 17 <> 0 AND (k % 13 <> 0 OR k % 11 = 0)))),
+        n AS (SELECT file, count(*) AS chunks FROM (SELECT DISTINCT file, name, type, line FROM code_chunks) GROUP BY file)
+        SELECT project_id, file, sha256(content) AS hash, chunks FROM final LEFT JOIN n USING (file)""",
+    ),
     "d5_prune_indexed": (
         lambda s, d: incremental.prune_indexed(
             T.files(s, d).select("project_id", "file"), T.text_chunks(s, d)

@@ -10,7 +10,7 @@ EDGES = (
 )
 REFERENCES = "project_id STRING, source_file STRING, source_symbol STRING, kind STRING, name STRING, n_refs BIGINT"
 IMPORTS = "project_id STRING, source_file STRING, source_symbol STRING, path STRING, n BIGINT"
-COMMITS = "project_id STRING, kind STRING"
+COMMITS = "project_id STRING, kind STRING, seq BIGINT"
 CORPUS = "project_id STRING, file STRING, length BIGINT, content STRING"
 FILE_HASHES = "project_id STRING, file STRING, hash STRING"
 META = "project_id STRING, key STRING, value STRING, ts TIMESTAMP"

@@ -1,14 +1,17 @@
 """Table sinks.
 
-Index tables are logs: every run writes folders of its own, ``batch=<id>``, and publishes them last, by one commit
-row for each of its projects. Rows of a batch without a commit are not seen, and a retried batch replaces its own
-folders. A full run closes everything before it for its projects; else the latest batch of a file counts. A change
-of a few files therefore never rewrites the whole table. ``compact`` folds the log when it is worth it. One writer works at a time.
+Index tables are logs: every run writes folders of its own, ``run=<id>``, and publishes them last, by one commit file with a
+row for each of its projects. A commit takes the next place in the order of runs, so runs of different writers that take turns (a
+stream and full runs, say) never share a folder or a place. Rows of a run without a commit are not seen, and a retried run replaces
+its own folders until it is committed; after that it is left as it is. A full run closes everything before it for its projects; else
+the latest run of a file counts. A change of a few files therefore never rewrites the whole table, and reads open the
+folders of live runs only. ``fold`` makes these one. One run is open at a time.
 """
 
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +23,12 @@ from corpuscope.operators.corpus import is_sensitive
 STATE = "project_id STRING, file STRING, hash STRING, status STRING"
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows of one key in one task, so that a partitioned write gives one file a key; adaptive execution splits keys of many rows
+    and joins small ones."""
+    return rows.sparkSession.sql(f"SELECT /*+ REBALANCE({', '.join(keys)}) */ * FROM {{rows}}", rows=rows)
+
+
 class IndexStore:
     """Chunks, references, imports and file states of an index under one folder."""
 
@@ -34,58 +43,77 @@ class IndexStore:
     def _path(self, name: str) -> str:
         return os.path.join(self.root, name)
 
-    def write(self, name: str, rows: DataFrame, batch: int) -> None:
-        """Idempotent: a retried batch replaces its own folder."""
-        columns = [c.strip().split(" ")[0] for c in self.TABLES[name].split(",")]
-        rows.select(*columns).write.mode("overwrite").partitionBy("project_id").parquet(
-            f"{self._path(name)}/batch={batch}"
-        )
+    def _columns(self, name: str) -> list[str]:
+        return [c.strip().split(" ")[0] for c in self.TABLES[name].split(",")]
+
+    def begin(self, run: str | None = None) -> str:
+        """Id of the run that is about to write; a fresh one if none is given to repeat. A committed run can't begin again."""
+        if run is not None and self.committed(run):
+            raise ValueError(f"run {run} is committed")
+        return run or uuid.uuid4().hex
+
+    def write(self, name: str, rows: DataFrame, run: str) -> None:
+        """Idempotent: a retried run replaces its own folder."""
+        chosen = rows.select(*self._columns(name))
+        dealt(chosen, "project_id").write.mode("overwrite").partitionBy("project_id").parquet(f"{self._path(name)}/run={run}")
+
+    def commit(self, projects: DataFrame, kind: str, run: str) -> None:
+        """Publish what the run has written for projects(project_id); kind is full or update."""
+        self.begin(run)
+        place = (self.log("commits").agg(F.max("seq")).first()[0] or 0) + 1
+        rows = projects.select("project_id", F.lit(kind).alias("kind"), F.lit(place).cast("bigint").alias("seq")).distinct()
+        rows.coalesce(1).write.mode("error").parquet(f"{self._path('commits')}/run={run}")
+
+    def _exists(self, folder: str) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+
+    def log(self, name: str, runs: list[str] | None = None) -> DataFrame:
+        """All rows ever written to a table, or those of ``runs``, whose folders alone are listed and opened."""
+        schema, path = self.TABLES[name] + ", run STRING", self._path(name)
+        folders = [f for f in ([path] if runs is None else [f"{path}/run={r}" for r in runs]) if self._exists(f)]
+        if not folders:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("basePath", path).parquet(*folders)
 
-    def commit(self, projects: DataFrame, kind: str, batch: int) -> None:
-        """Publish what the batch has written for projects(project_id); kind is full or update."""
-        self.write("commits", projects.select("project_id", F.lit(kind).alias("kind")).distinct(), batch)
+    def committed(self, run: str) -> bool:
+        return not self.log("commits", [run]).isEmpty()
 
-    def next_batch(self) -> int:
-        return (self.log("commits").agg(F.max("batch")).first()[0] or 0) + 1
+    def written(self, name: str, run: str) -> DataFrame:
+        """What one run wrote, committed or not."""
+        return self.log(name, [run]).drop("run")
 
-    def log(self, name: str) -> DataFrame:
-        schema = self.TABLES[name] + ", batch BIGINT"
-        try:
-            return self.spark.read.schema(schema).option("basePath", self._path(name)).parquet(self._path(name))
-        except Exception as e:  # nothing written yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return self.spark.createDataFrame([], schema)
+    def live(self) -> DataFrame:
+        """(project_id, run, seq) of the runs since the last full one of each project."""
+        commits = self.log("commits")
+        full = commits.groupBy("project_id").agg(F.max(F.when(F.col("kind") == "full", F.col("seq"))).alias("_full"))
+        open_ = commits.join(full, "project_id").filter(F.col("_full").isNull() | (F.col("seq") >= F.col("_full")))
+        return open_.select("project_id", "run", "seq")
 
-    def written(self, name: str, batch: int) -> DataFrame:
-        """What one batch wrote, committed or not."""
-        return self.log(name).filter(F.col("batch") == batch).drop("batch")
+    def _of_live(self, name: str) -> DataFrame:
+        """Rows in folders of live runs. The driver holds the ids of these runs, which ``fold`` keeps few."""
+        return self.log(name, [r.run for r in self.live().select("run").distinct().collect()])
 
-    def published(self, name: str, before: int | None = None) -> DataFrame:
-        """Log rows of committed batches since the last full run of their project; ``before`` leaves out later batches."""
-        commits = self.log("commits")
-        if before is not None:
-            commits = commits.filter(F.col("batch") < before)
-        full = commits.groupBy("project_id").agg(F.max(F.when(F.col("kind") == "full", F.col("batch"))).alias("_full"))
-        open_ = commits.join(full, "project_id").filter(F.col("_full").isNull() | (F.col("batch") >= F.col("_full")))
-        return self.log(name).join(open_.select("project_id", "batch"), ["project_id", "batch"], "left_semi")
-
-    def states(self, before: int | None = None, concerned: DataFrame | None = None) -> DataFrame:
-        """Latest state per file, with the batch that wrote it; of ``concerned`` (project_id, file) only, if given."""
-        rows = self.published("files", before)
+    def published(self, name: str) -> DataFrame:
+        """Log rows of live runs with the place ``seq`` of their run."""
+        return self._of_live(name).join(self.live(), ["project_id", "run"])
+
+    def states(self, concerned: DataFrame | None = None) -> DataFrame:
+        """Latest state per file, with the run that wrote it; of ``concerned`` (project_id, file) only, if given."""
+        rows = self.published("files")
         if concerned is not None:
             rows = rows.join(concerned, ["project_id", "file"], "left_semi")
-        latest = F.max_by(F.struct("hash", "status", "batch"), "batch").alias("s")
+        latest = F.max_by(F.struct("hash", "status", "run"), "seq").alias("s")
         return rows.groupBy("project_id", "file").agg(latest).select("project_id", "file", "s.*")
 
-    def hashes(self, before: int | None = None, concerned: DataFrame | None = None) -> DataFrame:
-        return self.states(before, concerned).filter(F.col("status") != "delete").select("project_id", "file", "hash")
+    def hashes(self, concerned: DataFrame | None = None) -> DataFrame:
+        return self.states(concerned).filter(F.col("status") != "delete").select("project_id", "file", "hash")
 
     def _current(self, name: str, file_column: str) -> DataFrame:
         live = self.states().filter(F.col("status") != "delete").select(
-            "project_id", F.col("file").alias(file_column), "batch"
+            "project_id", F.col("file").alias(file_column), "run"
         )
-        return self.log(name).join(live, ["project_id", file_column, "batch"], "left_semi").drop("batch")
+        return self._of_live(name).join(live, ["project_id", file_column, "run"], "left_semi").drop("run")
 
     def chunks(self) -> DataFrame:
         return self._current("chunks", "file")
@@ -101,22 +129,32 @@ class IndexStore:
         return self.edge_tables().expand()
 
     def meta(self) -> DataFrame:
-        latest = F.max_by(F.struct("value", "ts"), F.struct("ts", "batch")).alias("v")
+        latest = F.max_by(F.struct("value", "ts"), F.struct("ts", "seq")).alias("v")
         return self.published("meta").groupBy("project_id", "key").agg(latest).select("project_id", "key", "v.*")
 
+    def _copy(self, target: IndexStore, run: str) -> None:
+        """Write the current state as one full run of ``target``."""
+        target.write("chunks", self.chunks(), run)
+        target.write("references", self._current("references", "source_file"), run)
+        target.write("imports", self._current("imports", "source_file"), run)
+        target.write("files", self.states().filter(F.col("status") != "delete"), run)
+        target.write("meta", self.meta(), run)
+        target.commit(self.log("commits"), "full", run)
+
+    def fold(self) -> str:
+        """Make the live runs one full run, in place; readers see the same rows before and after its commit."""
+        run = self.begin()
+        self._copy(self, run)
+        return run
+
     def compact(self, target: IndexStore) -> None:
-        """Write the current state as one full batch of another store."""
-        target.write("chunks", self.chunks(), 1)
-        target.write("references", self._current("references", "source_file"), 1)
-        target.write("imports", self._current("imports", "source_file"), 1)
-        target.write("files", self.states().filter(F.col("status") != "delete"), 1)
-        target.write("meta", self.meta(), 1)
-        target.commit(self.log("commits"), "full", 1)
+        """Write the current state as one full run of another store."""
+        self._copy(target, target.begin())
 
 
 def append_usage(events: DataFrame, path: str) -> None:
     """Append usage events, laid out by day; ``read_usage`` prunes by it. Events without a time have the null day."""
-    events.withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("day").parquet(path)
+    dealt(events.withColumn("day", F.to_date("ts")), "day").write.mode("append").partitionBy("day").parquet(path)
 
 
 def read_usage(spark: SparkSession, path: str, since: Column | None = None) -> DataFrame:

@@ -43,21 +43,25 @@ def settled(changes: DataFrame, quiet: str = SETTLE, late: str = "10 seconds") -
 
 
 def index_batches(
-    store: IndexStore, load_files: Callable[[DataFrame], DataFrame], first_batch: int = 1
+    store: IndexStore, load_files: Callable[[DataFrame], DataFrame], stream: str | None = None
 ) -> Callable[[DataFrame, int], None]:
     """foreachBatch handler that re-indexes the files of a batch.
 
-    ``load_files`` maps (project_id, file) to corpus rows of the files that exist. The batch
-    number names the folder written, so a retried batch replaces itself.
+    ``load_files`` maps (project_id, file) to corpus rows of the files that exist. A batch is a run of its own, named after the
+    stream and the batch number, so a retried batch replaces itself or, once committed, does nothing, and runs of other
+    writers in between stay what they are. ``stream`` is by default the id of the streaming query, which its checkpoint keeps.
     """
 
     def handle(batch: DataFrame, number: int) -> None:
+        name = stream or batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        if not name:
+            raise ValueError("outside a streaming query the handler needs the name of the stream")
         if batch.isEmpty():
             return
         keys = batch.select("project_id", "file").distinct()
         files = load_files(keys)
         # A file that is gone by now counts as deleted.
         gone = keys.join(files.select("project_id", "file"), ["project_id", "file"], "left_anti")
-        update(store, files, gone, first_batch + number)
+        update(store, files, gone, f"{name}-{number}")
 
     return handle

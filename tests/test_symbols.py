@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpuscope import schemas
@@ -13,6 +14,7 @@ from corpuscope.operators.symbols import dedupe_chunks, extract_chunks
 from corpuscope.plans import indexing
 from corpuscope.plans.tools import Workspace
 from corpuscope.sources.sinks import IndexStore, append_audit, append_usage
+from corpuscope.streaming import changes
 
 # file -> (text, [(type, name, line, line_end)])
 SOURCES = {
@@ -214,11 +216,11 @@ def test_the_store_loses_nothing(spark, tmp_path):
     assert names() == [("a", "/a/x.ts", "x"), ("a", "/a/y.ts", "y"), ("b", "/b/z.ts", "z")]
     # a new definition that an unchanged file calls, then the same batch once more
     for _ in range(2):
-        done = indexing.update(store, corpus("a", {"/a/new.ts": "function later(q) {\n}\n", "/a/x.ts": one["/a/x.ts"]}), None, 3)
+        done = indexing.update(store, corpus("a", {"/a/new.ts": "function later(q) {\n}\n", "/a/x.ts": one["/a/x.ts"]}), None, "third")
         assert [tuple(r) for r in done.collect()] == [("a", "/a/new.ts", "add")]
         assert calls() == [("/a/x.ts", "/a/new.ts"), ("/a/y.ts", "/a/x.ts")]
     # what was written but not committed is not seen
-    store.write("files", store.states().withColumn("status", F.lit("delete")), 99)
+    store.write("files", store.states().withColumn("status", F.lit("delete")), "open")
     assert len(names()) == 4
     gone = spark.createDataFrame([("a", "/a/x.ts")], "project_id string, file string")
     indexing.update(store, corpus("a", {}), gone)
@@ -261,6 +263,57 @@ def test_index_runs_are_idempotent(spark, tmp_path):
     assert folded.chunks().count() == 7
 
 
+def test_folding_and_small_files(spark, tmp_path):
+    store = IndexStore(spark, str(tmp_path / "ix"))
+    rows = [(f"p{i % 40:02}", f"/f{i}.ts", 30, f"function f{i}(q) {{\n  f{i + 1}()\n}}\n") for i in range(400)]
+    files = spark.createDataFrame(rows, schemas.CORPUS).repartition(8)
+    names = files.select("project_id", F.concat(F.lit("/"), "project_id").alias("path")).distinct()
+    indexing.analyze(store, files, names)
+    assert len(store.log("chunks").inputFiles()) <= 48
+    for i in range(3):
+        indexing.update(store, files.where(f"file = '/f{i}.ts'").withColumn("content", F.lit(f"function g{i}(q) {{\n}}\n")), None)
+    before = sorted(map(tuple, store.chunks().collect()))
+    assert len(before) == 400 and store.live().select("run").distinct().count() == 4
+    store.fold()
+    assert sorted(map(tuple, store.chunks().collect())) == before and store.live().select("run").distinct().count() == 1
+    assert len(store._of_live("chunks").inputFiles()) <= 48 < len(store.log("chunks").inputFiles())
+    with pytest.raises(ValueError):
+        store.commit(names, "full", store.live().first().run)
+
+
+def test_full_runs_and_stream_batches_take_turns(spark, tmp_path):
+    store = IndexStore(spark, str(tmp_path / "ix"))
+    disk: dict[str, str] = {}
+
+    def load(keys):
+        rows = [("p", f, len(c), c) for f, c in disk.items()]
+        return spark.createDataFrame(rows, schemas.CORPUS).join(keys, ["project_id", "file"], "left_semi")
+
+    def names():
+        return sorted(r.name for r in store.chunks().filter("type = 'function'").collect())
+
+    project = spark.createDataFrame([("p", "/")], "project_id string, path string")
+    handle = changes.index_batches(store, load, "watch")
+    batch = lambda *files: spark.createDataFrame([("p", f) for f in files], "project_id string, file string")
+    disk |= {"/a.ts": "function a(q) {\n}", "/c.ts": "function old(q) {\n}"}
+    handle(batch("/a.ts", "/c.ts"), 0)
+    assert names() == ["a", "old"]
+    del disk["/a.ts"]
+    disk |= {"/b.ts": "function b(q) {\n}", "/c.ts": "function c(q) {\n}", "/d.ts": "function d(q) {\n}"}
+    indexing.analyze(store, load(batch(*disk)), project)
+    assert names() == ["b", "c", "d"]
+    disk["/e.ts"] = "function e(q) {\n}"
+    handle(batch("/e.ts"), 1)
+    assert names() == ["b", "c", "d", "e"]
+    handle(batch("/e.ts"), 1)  # repeated after its commit
+    indexing.analyze(store, load(batch(*disk)), project)
+    del disk["/b.ts"]
+    handle(batch("/b.ts", "/d.ts"), 2)
+    assert names() == ["c", "d", "e"]
+    with pytest.raises(ValueError):
+        changes.index_batches(store, load)(batch("/d.ts"), 0)
+
+
 def test_discovery_indexes_siblings(spark, tmp_path):
     store = IndexStore(spark, str(tmp_path / "ix"))
     rows = [("/all/one/package.json", "{}"), ("/all/one/src/a.ts", "function a(x) {\n}"), ("/all/two/go.mod", "m"),
