@@ -3,8 +3,8 @@
 A window is ``WINDOW`` consecutive words. Each window has an anchor, the phrase of ``PHRASE`` words in it with the least hash, so equal windows
 have equal anchors, and neighbours mostly share one. Only anchors that occur twice are followed: their windows meet by anchor, where
 the earliest start of each is found and recurring windows are confirmed by a second hash of all their words. Each block of
-documents then gets the confirmed passages that it holds, compiles them into Aho-Corasick automata, shard by shard, and streams its
-documents through these to locate every occurrence.
+documents then gets the confirmed passages that it holds, compiles their anchors into Aho-Corasick automata, shard by shard, and streams
+its documents through these; around every phrase that an automaton finds, the windows are compared word by word.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,8 +26,12 @@ from corpuscope.llm.common import ascii_words, map_batches, written
 WINDOW, PHRASE = 20, 8
 #: Texts of a block; a longer text is a block by itself.
 BLOCK_BYTES = 2 << 20
-#: Windows of one automaton: so many times ``WINDOW`` words fit the code points that are its letters.
-SHARD_WINDOWS = 40_000
+#: Phrases of one automaton: the words of so many fit the code points that are its letters.
+SHARD_PHRASES = 100_000
+#: Windows compared at once.
+STEP_WINDOWS = 1 << 15
+#: Bits of a mark for how far its anchor lies behind the start, at most.
+_FAR = 10
 #: The windows of an anchor with more occurrences are dealt one by one.
 HOT = 4096
 SEED = 42
@@ -42,9 +47,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _grams(names: np.ndarray, size: int, start: int) -> np.ndarray:
+def _grams(names: np.ndarray, size: int) -> np.ndarray:
     """Hash of the ``size`` words from each position on."""
-    out = np.full(max(0, len(names) - size + 1), start, np.uint64)
+    out = np.ones(max(0, len(names) - size + 1), np.uint64)
     for k in range(size):
         out = _mix(out * _ODD + names[k:k + len(out)])
     return out
@@ -66,32 +71,41 @@ class Words:
         self.whole = self.place + window <= np.repeat(sizes, sizes)  # a window starts here
 
     def anchored(self, phrase: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each window: its start, its hash and the position of its anchor; and the hash of the phrase at every position."""
+        """Starts of all windows, positions of their anchors, and the hash of the phrase at every position. Of equal least hashes, apart
+        from their last bits, the first counts."""
         digest = xxhash.xxh64_intdigest
         names = np.fromiter((digest(w, SEED) for w in self.distinct.to_pylist()), np.uint64, len(self.distinct))
         names = names[self.codes] if len(names) else np.zeros(0, np.uint64)
         starts = np.flatnonzero(self.whole)
-        phrases = _grams(names, phrase, 1)
+        phrases = _grams(names, phrase)
         if not len(starts):
-            return starts, np.zeros(0, np.uint64), starts, phrases
-        n = len(names) - self.window + 1
-        best, at = phrases[:n].copy(), np.zeros(n, np.uint8)
-        for k in range(1, self.window - phrase + 1):
-            less = phrases[k:k + n] < best
-            best[less] = phrases[k:k + n][less]
-            at[less] = k
-        return starts, _grams(names, self.window, 2)[starts], starts + at[starts], phrases
+            return starts, starts, phrases
+        n, far = len(names) - self.window + 1, self.window - phrase
+        low = np.uint64((1 << far.bit_length()) - 1)
+        rough = phrases & ~low
+        best = rough[:n].copy()
+        for k in range(1, far + 1):
+            np.minimum(best, rough[k:k + n] | np.uint64(k), out=best)
+        return starts, starts + (best[starts] & low).astype(np.int64), phrases
+
+    def windows(self, starts: np.ndarray, phrases: np.ndarray, phrase: int) -> np.ndarray:
+        """Hash of each window: of the phrases side by side in it, and of the last one."""
+        out = np.full(len(starts), 2, np.uint64)
+        for k in [*range(0, self.window - phrase, phrase), self.window - phrase]:
+            out = _mix(out * _ODD + phrases[starts + k])
+        return out
 
 
 def _pack(table: pa.Table) -> pa.Table:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, table.schema) as out:
         out.write_table(table)
-    return pa.table({"block": pa.array([uuid.uuid4().int >> 65], pa.int64()), "payload": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+    payload = zstandard.compress(sink.getvalue(), 3)
+    return pa.table({"block": pa.array([uuid.uuid4().int >> 65], pa.int64()), "payload": pa.array([payload], pa.binary())})
 
 
 def _opened(payload: bytes) -> pa.Table:
-    return pa.ipc.open_stream(payload).read_all()
+    return pa.ipc.open_stream(zstandard.decompress(payload)).read_all()
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -106,7 +120,7 @@ def _anchors(window: int, phrase: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, payload in _rows(batches):
-            _, _, at, phrases = Words(_opened(payload), window).anchored(phrase)
+            _, at, phrases = Words(_opened(payload), window).anchored(phrase)
             hashes, n = np.unique(phrases[np.unique(at)], return_counts=True)
             if len(hashes):
                 yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(np.full(len(n), block)), pa.array(n.astype(np.int64))], ["hash", "block", "n"])
@@ -121,9 +135,10 @@ def _candidates(window: int, phrase: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, payload, recurring, hot in _rows(batches):
             words = Words(_opened(payload), window)
-            starts, windows, at, phrases = words.anchored(phrase)
-            kept = np.isin(phrases[at], np.array(recurring, np.int64).view(np.uint64))
-            starts, windows, at = starts[kept], windows[kept], at[kept]
+            starts, at, phrases = words.anchored(phrase)
+            kept = np.isin(phrases, np.array(recurring, np.int64).view(np.uint64))[at]
+            starts, at = starts[kept], at[kept]
+            windows = words.windows(starts, phrases, phrase)
             order = np.lexsort((words.place[starts], words.ids[words.doc[starts]], windows, phrases[at]))
             a, w = phrases[at][order], windows[order]
             new = np.append(True, (a[1:] != a[:-1]) | (w[1:] != w[:-1]))[:len(a)]
@@ -150,8 +165,8 @@ def _candidates(window: int, phrase: int):
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates by (key, doc_id, place) to (block, mark): marks of the windows that occur again, 2 * start, and 1 more where the earliest
-    start of all is here. A key's state is one entry for each distinct window."""
+    """Candidates by (key, doc_id, place) to (block, mark) of the windows that occur again: position of the anchor, how far before it
+    the window starts, and whether the earliest start of all is here. A key's state is one entry for each distinct window."""
     last, seen = None, {}
     for batch in batches:
         blocks, marks = [], []
@@ -164,53 +179,78 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 first = seen.setdefault(window, own)
                 if first != own or twice:
                     blocks.append(block)
-                    marks.append((at - before) * 2 + (first == own))
+                    marks.append((at << _FAR | before) << 1 | (first == own))
         if marks:
             yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(marks, pa.int64())], ["block", "mark"])
     pa.default_memory_pool().release_unused()
 
 
-def occurrences(codes: np.ndarray, starts: np.ndarray, window: int, shard: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(start, number of the pattern) of every occurrence in ``codes`` of the windows that begin at ``starts``, by one automaton for each
-    ``shard`` of them."""
-    for at in range(0, len(starts), shard or SHARD_WINDOWS):
-        part = starts[at:at + (shard or SHARD_WINDOWS)]
-        used = np.unique(codes[part[:, None] + np.arange(window)])
-        letters = np.zeros(int(codes.max()) + 1, np.uint32)  # 0: in no pattern
+def occurrences(codes: np.ndarray, at: np.ndarray, phrase: int) -> np.ndarray:
+    """Positions in ``codes`` of every occurrence of the phrases that stand at ``at``, by one automaton for each
+    ``SHARD_PHRASES`` of them."""
+    out = [np.zeros(0, np.int64)]
+    for lo in range(0, len(at), SHARD_PHRASES):
+        part = at[lo:lo + SHARD_PHRASES]
+        used = np.unique(codes[part[:, None] + np.arange(phrase)])
+        letters = np.zeros(int(codes.max()) + 1, np.uint32)  # 0: in no phrase
         letters[used] = np.arange(1, len(used) + 1)
         letters[letters >= 0xD800] += 0x800
         text = letters[codes].tobytes().decode("utf-32-le")
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for k, start in enumerate(part.tolist()):
-            automaton.add_word(text[start:start + window], k)
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for start in part.tolist():
+            automaton.add_word(text[start:start + phrase])
         automaton.make_automaton()
-        found = np.array(list(automaton.iter(text)), np.int64).reshape(-1, 2)
-        yield found[:, 0] - (window - 1), found[:, 1] + at
+        out.append(np.fromiter((end for end, _ in automaton.iter(text)), np.int64) - (phrase - 1))
+    return np.unique(np.concatenate(out))
 
 
-def _removed(words: Words, marks: np.ndarray) -> np.ndarray:
+def _spelled(codes: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
+    factors = np.random.default_rng(SEED).integers(0, 2**63, window, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    out = np.zeros(len(starts), np.uint64)
+    for k in range(window):
+        out += _mix(codes[starts + k].astype(np.uint64) + np.uint64(1)) * factors[k]
+    return out
+
+
+def _removed(words: Words, marks: np.ndarray, phrase: int) -> np.ndarray:
     """Marks the words that go."""
     begin = np.zeros(len(words.codes) + 1, np.int32)
-    starts, here = marks >> 1, (marks & 1).astype(bool)
-    for found, which in occurrences(words.codes, starts, words.window):
-        kept = words.whole[found]
-        found, which = found[kept], which[kept]
-        own = starts[which]
-        same = (words.ids[words.doc[found]] == words.ids[words.doc[own]]) & (words.place[found] == words.place[own])
-        later = found[~(here[which] & same)]
+    if not len(marks):
+        return begin[:-1] > 0
+    here, before, at = (marks & 1).astype(bool), marks >> 1 & (1 << _FAR) - 1, marks >> 1 + _FAR
+    names = _spelled(words.codes, at - before, words.window)
+    order = np.argsort(names, kind="stable")
+    names, own, here = names[order], (at - before)[order], here[order]
+    found = occurrences(words.codes, np.unique(at), phrase)
+    near = np.zeros(len(words.codes) + words.window, bool)
+    for k in range(words.window - phrase + 1):  # a window may start so far before its anchor
+        near[np.maximum(found - k, 0)] = True
+    starts = np.flatnonzero(near[:len(words.codes)] & words.whole)
+    for lo in range(0, len(starts), STEP_WINDOWS):
+        part = starts[lo:lo + STEP_WINDOWS]
+        name = _spelled(words.codes, part, words.window)
+        which = np.minimum(np.searchsorted(names, name), len(names) - 1)
+        fits = names[which] == name
+        part, which = part[fits], which[fits]
+        for k in range(words.window):
+            fits = words.codes[part + k] == words.codes[own[which] + k]
+            part, which = part[fits], which[fits]
+        first = own[which]
+        same = (words.ids[words.doc[part]] == words.ids[words.doc[first]]) & (words.place[part] == words.place[first])
+        later = part[~(here[which] & same)]
         begin[later] += 1
         begin[later + words.window] -= 1
     return np.cumsum(begin[:-1]) > 0
 
 
-def _cut(window: int):
+def _cut(window: int, phrase: int):
     """(block, payload, marks) to a row for each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, payload, marks in _rows(batches):
             table = _opened(payload)
             words = Words(table, window)
-            gone = _removed(words, np.sort(np.array(marks or [], np.int64)))
+            gone = _removed(words, np.sort(np.array(marks or [], np.int64)), phrase)
             kept = np.append(0, np.cumsum(~gone))[words.bounds]
             total = np.diff(words.bounds)
             lists = pa.LargeListArray.from_arrays(pa.array(kept), words.words.filter(pa.array(~gone)))
@@ -247,4 +287,4 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     marks = candidates.repartition("key").sortWithinPartitions("key", "doc_id", "place").mapInArrow(_confirmed, "block long, mark long")
     found = blocks.join(marks.groupBy("block").agg(F.collect_list("mark").alias("marks")), "block", "left")
     schema = "doc_id long, n_words long, n_removed long, kept string, removed array<struct<start:long,length:long>>"
-    return found.select("block", "payload", "marks").mapInArrow(_cut(window), schema)
+    return found.select("block", "payload", "marks").mapInArrow(_cut(window, phrase), schema)

@@ -62,7 +62,7 @@ def corpus(rng):
 def test_rows_equal_brute_force(spark, monkeypatch, block, hot, shard):
     monkeypatch.setattr(repeats, "BLOCK_BYTES", block)
     monkeypatch.setattr(repeats, "HOT", hot)
-    monkeypatch.setattr(repeats, "SHARD_WINDOWS", shard)
+    monkeypatch.setattr(repeats, "SHARD_PHRASES", shard)
     rows = corpus(np.random.default_rng(block))
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id int, text string, payload string").repartition(5)
     got = [(r.doc_id, r.n_words, r.n_removed, r.kept, [tuple(s) for s in r.removed]) for r in repeats.remove_repeats(docs).collect()]
@@ -83,14 +83,14 @@ def test_other_lengths_and_a_very_long_text(spark):
         assert got == {r[0]: r[1:4] for r in brute(rows, window)}
 
 
-def test_automata_find_every_occurrence():
+def test_automata_find_every_occurrence(monkeypatch):
     rng = np.random.default_rng(4)
     codes = rng.integers(0, 3, 4000).astype(np.int32)
-    starts = np.sort(rng.choice(3990, 90, replace=False))
-    starts = np.array(list({tuple(codes[s:s + 5]): s for s in starts}.values()))
-    for shard in (0, 11):
-        got = {(int(a), int(b)) for found, which in repeats.occurrences(codes, starts, 5, shard) for a, b in zip(found, which, strict=True)}
-        assert got == {(a, k) for k, s in enumerate(starts) for a in range(3996) if (codes[a:a + 5] == codes[s:s + 5]).all()}
+    at = np.sort(rng.choice(3990, 90, replace=False))
+    phrases = {tuple(codes[s:s + 5]) for s in at}
+    for shard in (100_000, 11):
+        monkeypatch.setattr(repeats, "SHARD_PHRASES", shard)
+        assert repeats.occurrences(codes, at, 5).tolist() == [a for a in range(3996) if tuple(codes[a:a + 5]) in phrases]
 
 
 def test_equal_windows_have_equal_anchors():
@@ -98,7 +98,8 @@ def test_equal_windows_have_equal_anchors():
     body = [f"w{i}" for i in rng.integers(0, 9, 200)]
     table = pa.table({"doc_id": [1, 2], "text": [" ".join(body), "other " + " ".join(body[50:90]) + " end"]})
     words = repeats.Words(table, 20)
-    starts, windows, at, phrases = words.anchored(8)
-    seen = {}
+    starts, at, phrases = words.anchored(8)
+    windows, seen = words.windows(starts, phrases, 8), {}
     for s, w, a in zip(starts.tolist(), windows.tolist(), at.tolist(), strict=True):
-        assert s <= a <= s + 12 and seen.setdefault(w, (a - s, int(phrases[a]))) == (a - s, int(phrases[a]))
+        assert s <= a <= s + 12 and seen.setdefault(tuple(words.codes[s:s + 20]), (a - s, int(phrases[a]), w)) == (a - s, int(phrases[a]), w)
+    assert len({w for _, _, w in seen.values()}) == len(seen)
