@@ -29,16 +29,16 @@ WITH rules(rule_host, rule_path, rule_verdict) AS (
   VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
          ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
 rest AS (
-  SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
+  SELECT row_number() OVER () AS n, page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
 hosts AS (
-  SELECT page_id, url, regexp_extract(r, '^[^/?#]*') AS raw, r FROM rest),
+  SELECT n, page_id, regexp_extract(r, '^[^/?#]*') AS raw, r FROM rest),
 parts AS (
-  SELECT page_id, url,
+  SELECT n, page_id,
     translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     regexp_extract(substr(r, length(raw) + 1), '^[^?#]*') AS path FROM hosts),
 fits AS (
-  SELECT p.page_id, p.url, p.host, p.path, r.*,
-    row_number() OVER (PARTITION BY p.page_id, p.url ORDER BY length(rule_host) + length(rule_path) DESC NULLS LAST) AS k
+  SELECT p.page_id, p.host, p.path, r.*,
+    row_number() OVER (PARTITION BY p.n ORDER BY length(rule_host) + length(rule_path) DESC NULLS LAST) AS k
   FROM parts p LEFT JOIN rules r
     ON (p.host = rule_host OR suffix(p.host, '.' || rule_host)) AND starts_with(p.path, rule_path))
 SELECT page_id, host, path, rule_host || rule_path AS rule, coalesce(rule_verdict, 'allow') AS verdict FROM fits WHERE k = 1
@@ -57,10 +57,12 @@ def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
 OP3_SQL = """
 WITH p AS (
   SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
-f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)
-SELECT page_id, payload_bytes, payload_digest,
-  CASE WHEN payload_bytes >= 100 AND first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN payload_bytes >= 100 AND first_id <> page_id THEN first_id END AS refers_to
+f AS (
+  SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id,
+    payload_bytes >= 100 AND row_number() OVER (PARTITION BY payload_digest ORDER BY page_id) > 1 AS again
+  FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN again THEN first_id END AS refers_to
 FROM f
 """
 
@@ -78,9 +80,10 @@ OP5_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+q AS (SELECT vec_id, v FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY v) AS k FROM v WHERE vec_id % 100 = 0) WHERE k = 1),
 s AS (
   SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
+  FROM q JOIN v c ON c.vec_id <> q.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
 """

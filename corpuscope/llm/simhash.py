@@ -299,14 +299,3 @@ def first_rows(docs: DataFrame, rows: DataFrame, doc_id: str = "doc_id", text: s
     order = Window.partitionBy(*names).orderBy(F.lit(0))
     kept = docs.join(kept_keys, hit).withColumn("_nth", F.row_number().over(order)).where("_nth = 1").select(*docs.columns)
     return kept.union(docs.where(F.col(doc_id).isNull()))
-
-
-def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each group, that of the smallest id; of repeated rows of one id, one stays.
-
-    Rows with a null id can't be named by a group and stay. Texts move once, dealt by id.
-    """
-    groups = near_groups(docs, doc_id, text).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    order = Window.partitionBy("_kept").orderBy(F.xxhash64(text), F.length(text))
-    kept = docs.join(groups, F.col(doc_id) == F.col("_kept")).withColumn("_nth", F.row_number().over(order)).where("_nth = 1").select(*docs.columns)
-    return kept.union(docs.where(F.col(doc_id).isNull()))

@@ -25,17 +25,18 @@ _BEST = "query_id long, shard long, best array<struct<neg:long,vec_id:long>>"
 _BLOCK = "part long, dim int, ids binary, data binary"
 
 
-def quantised(vectors: DataFrame, vec_id: str, embedding: str, scale: int = 1024) -> DataFrame:
-    """(vec_id long, v array<long>): ``floor(scale * x)`` as double. Rows with a null id, a null vector, or a null or
-    non-finite component are left out. Of several rows with one id the smallest vector stands for it."""
+def quantised(vectors: DataFrame, vec_id: str, embedding: str, scale: int = 1024, copies: int = 1) -> DataFrame:
+    """(vec_id long, v array<long>, copy long): ``floor(scale * x)`` as double. Rows with a null id, a null vector, or a null or
+    non-finite component are left out. Rows of one id with different vectors all stay; of equal rows at most ``copies`` do."""
     x = F.transform(F.col(embedding), lambda c: c.cast("double"))
     fine = F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    return (
+    rows = (
         vectors.where(F.col(vec_id).isNotNull() & F.col(embedding).isNotNull())
         .select(F.col(vec_id).cast("long").alias("vec_id"), x.alias("x")).where(fine)
         .select("vec_id", F.transform("x", lambda c: F.floor(c * F.lit(float(scale)))).alias("v"))
-        .groupBy("vec_id").agg(F.min("v").alias("v"))
     )
+    each = F.sequence(F.lit(1).cast("long"), F.least("count", F.lit(copies).cast("long")))
+    return rows.groupBy("vec_id", "v").count().select("vec_id", "v", F.explode(each).alias("copy"))
 
 
 def _blocks(vectors: DataFrame, rows: int, parts: int) -> DataFrame:
@@ -73,7 +74,7 @@ def _blocks(vectors: DataFrame, rows: int, parts: int) -> DataFrame:
         if held:
             yield from cut([_joined(held)])
 
-    dealt = vectors.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)))
+    dealt = vectors.select("vec_id", "v", F.pmod(F.xxhash64(*vectors.columns), F.lit(parts)).alias("part"))  # rows of one id apart
     return dealt.repartition("part").sortWithinPartitions("part", "vec_id").mapInArrow(grouped, _BLOCK)
 
 
@@ -135,8 +136,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int
            tile_rows: int = TILE_ROWS) -> DataFrame:
     """The k best vectors of each query: query_id, rank (from 1), vec_id, score; ties go to the smaller vec_id.
 
-    Both inputs are (vec_id long, v array<long>) with one row for each id, as ``quantised`` gives. A query takes no part in
-    its own list; vectors of another length take none either, so a query without partners has no rows. Empty
+    Both inputs are (vec_id long, v array<long>), as ``quantised`` gives; queries have one row for each id, vectors may have several,
+    which all take part. A query finds no row of its own id; vectors of another length take none either, so a query without partners has no rows. Empty
     tables give no rows. Work is one product for each pair of blocks, which any number of executors share.
     """
     count = vectors.count()
@@ -161,6 +162,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int
 
 
 def search_every(vectors: DataFrame, step: int, k: int = 10, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """Queries are the rows whose id is divisible by ``step``; candidates are all rows but the query's own."""
-    table = written(quantised(vectors, vec_id, embedding), "vectors")
-    return search(table, table.where(F.col("vec_id") % step == 0), k)
+    """Queries are the ids divisible by ``step``; candidates are all rows but the query's own. An id that repeats is asked once, with its
+    smallest vector, and none of its rows is a candidate of its own; for all others each of its rows is one."""
+    table = written(quantised(vectors, vec_id, embedding, copies=k), "vectors")  # k equal rows fill a list
+    asked = table.where(F.col("vec_id") % step == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
+    return search(table, asked, k)

@@ -34,7 +34,9 @@ SAMPLE_BYTES = 4 << 20
 ARCHIVE_BYTES = 256 << 20
 _RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target_uri string, payload binary"
 _MANIFEST = "archive string, records long, bytes long"
-_WANTED = ["page_id", "url", "payload", "digest", "first_id", "first_url"]
+_WANTED = ["page_id", "url", "payload", "size", "digest", "first_id", "first_url", "revisit"]
+#: Equal rows that one task writes, where a row is repeated more often.
+REPEATS = 1000
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -45,11 +47,13 @@ def _line(value: str) -> str:
     return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", value)
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, first_url: str | None, revisit: bool) -> bytes:
-    """One WARC/1.1 record. A revisit carries the HTTP header alone, whose Content-Length is that of the full payload."""
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, first_url: str | None, revisit: bool,
+           size: int | None = None) -> bytes:
+    """One WARC/1.1 record. A revisit carries the HTTP header alone, whose Content-Length is that of the full payload (``size``, where the
+    payload isn't at hand)."""
     name = lambda i: "null" if i is None else str(i)
     uri = lambda u, i: _line(u) if u else f"urn:page:{name(i)}"
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload) if size is None else size}\r\n\r\n".encode()
     block = http if revisit else http + payload
     lines = [
         "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{name(page_id)}>",
@@ -168,14 +172,23 @@ def _write_archives(folder: str, archive_bytes: int):
 
 
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
-    last = None
     for batch in batches:
-        for row in batch.to_pylist():
-            page_id, digest, payload = row["page_id"], row["digest"], (row["payload"] or "").encode()
-            own = (page_id, digest)
-            revisit = len(payload) >= REVISIT_BYTES and (row["first_id"] != page_id or own == last)
-            last = own
-            yield record(page_id, row["url"], payload, digest, row["first_id"], row["first_url"], revisit)
+        for r in batch.to_pylist():
+            yield record(r["page_id"], r["url"], (r["payload"] or "").encode(), r["digest"], r["first_id"], r["first_url"], r["revisit"], r["size"])
+
+
+def _repeated(rows: DataFrame) -> DataFrame:
+    """Rows of the first id of their payload that occur several times: one stays as the response, the others become revisits. Equal
+    rows are counted before the shuffle, and the revisits of a row are dealt in parts."""
+    equal = rows.groupBy("page_id", "digest", "url", "size", "first_id", "first_url").agg(F.first("payload").alias("payload"), F.count("*").alias("n"))
+    one = F.col("url").eqNullSafe(F.col("first_url"))
+    response = equal.where(one).withColumn("revisit", F.lit(False)).select(*_WANTED)
+    rest = equal.withColumn("n", F.col("n") - one.cast("long")).where("n > 0").drop("payload")
+    parts = rest.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / REPEATS))))
+    dealt = parts.repartition("page_id", "digest", "url", "part")
+    each = F.array_repeat(F.lit(1), F.least(F.lit(REPEATS).cast("long"), F.col("n") - F.col("part") * REPEATS).cast("int"))
+    others = dealt.withColumn("one", F.explode(each)).withColumn("revisit", F.lit(True)).withColumn("payload", F.lit(None).cast("string"))
+    return response.union(others.select(*_WANTED))
 
 
 def write_archives(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html",
@@ -183,28 +196,34 @@ def write_archives(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     """Write one record for each row and return the manifest (archive, records, bytes).
 
     Of equal payloads of at least ``REVISIT_BYTES`` bytes the one with the smallest page_id is the response, the others
-    revisit it. A null html is an empty payload. Repeated rows: one is the response, the others revisit its own id.
-    Null page ids come after all others. Digests alone decide who is first: only (id, digest) rows meet there, and a digest
-    that many pages share is counted before the shuffle and split in the join. Payloads are dealt once, by page.
+    revisit it. A null html is an empty payload. Of repeated rows of that id one, with the smallest url, is the response and the others
+    revisit their own id, wherever they stand. Null page ids come after all others. Digests alone decide who is first: only (id, digest)
+    rows meet there, and a digest that many pages share is counted before the shuffle and split in the join. Payloads are dealt
+    once, by page.
     """
     folder = fresh_path(pages.sparkSession, "warc")
     rows = pages.select(
         F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"),
         F.coalesce(F.col(html), F.lit("")).alias("payload"))
-    rows = rows.withColumn("digest", F.sha2("payload", 256))
-    keys = rows.where(F.octet_length("payload") >= REVISIT_BYTES).select("page_id", "digest", "url")
+    rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("size", F.octet_length("payload"))
+    keys = rows.where(F.col("size") >= REVISIT_BYTES).select("page_id", "digest", "url")
     first = keys.groupBy("digest").agg(
         F.count("*").alias("n"),
         F.min(F.struct(F.col("page_id").isNull().alias("last"), "page_id", "url")).alias("first"))
-    copies = (
-        keys.select("page_id", "digest").join(first.where("n > 1").select("digest", "first"), "digest")
-        .select(F.col("page_id").alias("p"), F.col("digest").alias("d"), F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"))
-        .distinct()
-    )
+    counted = keys.groupBy("page_id", "digest").agg(F.count("*").alias("times"))
+    copies = written(
+        counted.join(first.where("n > 1").select("digest", "first"), "digest")
+        .select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "times", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url")),
+        "copies")
     same = rows["page_id"].eqNullSafe(copies["p"]) & (rows["digest"] == copies["d"])
     decided = rows.join(copies, same, "left").withColumn(
         "first_id", F.when(F.col("d").isNull(), F.col("page_id")).otherwise(F.col("first_id")))
-    ordered = decided.select(*_WANTED).sortWithinPartitions("page_id", "digest")
+    own = F.col("page_id").eqNullSafe(F.col("first_id"))
+    often = F.col("d").isNotNull() & own & (F.col("times") > 1)
+    out = decided.where(~often).withColumn("revisit", ~own).select(*_WANTED)
+    if not copies.where(F.col("p").eqNullSafe(F.col("first_id")) & (F.col("times") > 1)).isEmpty():
+        out = out.union(_repeated(decided.where(often)))
+    ordered = out.sortWithinPartitions("page_id", "digest", "revisit")
     return written(ordered.mapInArrow(_write_archives(folder, archive_bytes), _MANIFEST), "manifest")
 
 

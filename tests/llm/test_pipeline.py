@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import corpus_pipeline
 import public_tokenizers
+from test_near import brute_components
 from test_packing import check_rows
-from test_simhash import brute_components, brute_print
 
 from corpuscope.llm import langid, toxicity
 
@@ -20,8 +20,8 @@ def test_run_equals_its_stages_by_brute_force(spark):
     after = spark.createDataFrame(kept, docs.schema)
     judge = toxicity.train(after, spark.read.parquet(f"{FOLDER}/labels.parquet"))
     kept = [r for r in kept if judge.score(r.text) < toxicity.THRESHOLD]
-    group = brute_components([(r.doc_id, brute_print(r.text)) for r in kept])
-    kept = [r for r in kept if group[r.doc_id] == r.doc_id]
+    kept.sort(key=lambda r: r.doc_id)
+    kept = [r for at, (r, group) in enumerate(zip(kept, brute_components([r.text for r in kept]), strict=True)) if group == at]
     result = corpus_pipeline.run(spark, FOLDER).collect()
     bins, total = check_rows(result, [(r.doc_id, r.text) for r in kept])
     assert 0 < len(kept) < len(rows) and bins <= total / 2048 * 1.05 + 1

@@ -43,3 +43,14 @@ def test_odd_rows(spark):
     got = sorted(tuple(r) for r in topk.search_every(frame, 100).collect())
     assert got == brute({0: [1024, 512], 5: [1, -1], 600: [2048, 2048]}, [0, 600], 10)
     assert topk.search_every(frame.limit(0), 100).count() == 0
+
+
+def test_repeated_ids_and_rows(spark):
+    """Each row of a repeated id is a candidate; the id is asked once, with its smallest vector."""
+    rows = [(5, [1.0, 1.0]), (5, [2.0, 2.0]), (100, [3.0, 1.0]), (100, [1.0, 0.0]), *[(7, [0.5, 0.5])] * 5000, (200, [0.0, 1.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got = sorted(tuple(r) for r in topk.search_every(frame, 100, 4).collect())
+    one = 1024 * 1024
+    assert got == [
+        (100, 1, 5, 2 * one), (100, 2, 5, one), (100, 3, 7, one // 2), (100, 4, 7, one // 2),
+        (200, 1, 5, 2 * one), (200, 2, 5, one), (200, 3, 100, one), (200, 4, 7, one // 2)]

@@ -37,6 +37,27 @@ def test_round_trip_and_revisits(spark):
     assert rows[1].target_uri == "http://a/%20%0A2" and rows[3].target_uri == "urn:page:4"
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_repeated_rows_of_several_files(spark, tmp_path, monkeypatch, broadcast):
+    """Whatever task a repeated row is in: one response, and of rows with other urls that of the smallest."""
+    monkeypatch.setattr(warc, "REPEATS", 3)
+    body, other = "<p>" + "words " * 60, "<p>" + "other " * 60
+    for _ in range(4):
+        rows = [(1, "u", body), (2, "v", body), (3, "z", other), (None, "n", body), (4, "w", "short"), (4, "w", "short")]
+        spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.mode("append").parquet(str(tmp_path / "p"))
+    spark.createDataFrame([(3, None, other), (3, "a", other)], "page_id long, url string, html string").coalesce(1).write.mode("append").parquet(str(tmp_path / "p"))
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept if broadcast else "-1")
+    try:
+        _, found = rows_of(spark, spark.read.parquet(str(tmp_path / "p")))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert [(r.page_id, r.record_type, r.refers_to) for r in found] == [
+        (1, "response", None), *[(1, "revisit", 1)] * 3, *[(2, "revisit", 1)] * 4, (3, "response", None), *[(3, "revisit", 3)] * 5,
+        *[(4, "response", None)] * 8, *[(None, "revisit", 1)] * 4]
+    assert {(r.payload_bytes, r.payload_digest) for r in found if r.page_id == 3} == {(len(other), hashlib.sha256(other.encode()).hexdigest())}
+
+
 def test_archives_are_cut_and_hold_a_dictionary(spark, monkeypatch):
     pages = spark.range(400).selectExpr("id as page_id", "'http://h/' as url", "concat('<html>the same words in every page ', id, repeat(' and more', 40)) as html")
     monkeypatch.setattr(warc, "SAMPLE_BYTES", 20_000)
