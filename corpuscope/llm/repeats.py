@@ -25,9 +25,10 @@ from corpuscope.llm.common import ascii_words, map_batches, written
 
 WINDOW, PHRASE = 20, 8
 #: Texts of a block; a longer text is a block by itself.
-BLOCK_BYTES = 2 << 20
-#: Phrases of one automaton: the words of so many fit the code points that are its letters.
-SHARD_PHRASES = 100_000
+BLOCK_BYTES = 1 << 20
+#: Phrases of one automaton, and the letters that spell a word in it.
+SHARD_PHRASES = 50_000
+LETTERS = 2
 #: Windows compared at once.
 STEP_WINDOWS = 1 << 15
 #: Bits of a mark for how far its anchor lies behind the start, at most.
@@ -187,20 +188,27 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def occurrences(codes: np.ndarray, at: np.ndarray, phrase: int) -> np.ndarray:
     """Positions in ``codes`` of every occurrence of the phrases that stand at ``at``, by one automaton for each
-    ``SHARD_PHRASES`` of them."""
+    ``SHARD_PHRASES`` of them. A word is spelled by ``LETTERS`` letters, of which each place has its own, so that no state has many successors
+    and matches begin with words."""
     out = [np.zeros(0, np.int64)]
     for lo in range(0, len(at), SHARD_PHRASES):
         part = at[lo:lo + SHARD_PHRASES]
         used = np.unique(codes[part[:, None] + np.arange(phrase)])
-        letters = np.zeros(int(codes.max()) + 1, np.uint32)  # 0: in no phrase
-        letters[used] = np.arange(1, len(used) + 1)
-        letters[letters >= 0xD800] += 0x800
+        base = 1
+        while base**LETTERS < len(used):
+            base += 1
+        letters = np.zeros((int(codes.max()) + 1, LETTERS), np.uint32)  # 0: in no phrase
+        rank = np.arange(len(used))
+        for k in range(LETTERS):
+            letters[used, k] = 1 + k * base + rank % base
+            rank //= base
         text = letters[codes].tobytes().decode("utf-32-le")
         automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-        for start in part.tolist():
-            automaton.add_word(text[start:start + phrase])
+        for start in (part * LETTERS).tolist():
+            automaton.add_word(text[start:start + phrase * LETTERS])
         automaton.make_automaton()
-        out.append(np.fromiter((end for end, _ in automaton.iter(text)), np.int64) - (phrase - 1))
+        ends = np.fromiter((end for end, _ in automaton.iter(text)), np.int64)
+        out.append((ends + 1) // LETTERS - phrase)
     return np.unique(np.concatenate(out))
 
 
