@@ -4,13 +4,14 @@ A search term consists of letters a-z, digits and underscores, so every occurren
 The index therefore keeps
 
 * ``rows``: the chunks, numbered by (project, length); 512 neighbours are a block,
-* ``postings``: per project, word and block the rows that hold the word, with counts and lengths, the highest count and the least length,
-* ``words``: the two- and three-letter grams of each distinct word,
+* ``postings``: per project, word and block the rows that hold the word, with counts and lengths,
+* ``words``: the two- and three-letter grams of each distinct word, with the number of rows that hold it,
 * ``stats``: chunks and total length per project.
 
-A term looks up its rarest gram, ``contains`` decides which of its words hold the term, and their postings give exact counts. Blocks
-are ranked per query by the best score that any of their rows could have; the first ``WAVE`` are scored, and of the rest only
-those that could still reach the n-th score so far. The result is that of ``search.search``.
+A term looks up its rarest gram, ``contains`` decides which of its words hold the term, and their postings give its rows and exact
+counts, once for all queries of a batch. Blocks are ranked per query by the sum of each term's best gain in them, which no row
+exceeds; the first ``WAVE`` are scored, and of the rest only those that could still reach the n-th score so far. The result is that
+of ``search.search``.
 
 Each ``add`` writes a segment of its own, so an index run never rewrites what others wrote.
 """
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 
 from corpuscope import schemas
 from corpuscope.operators import search as S
+from corpuscope.operators.ranking import top_k_per_group
 from corpuscope.session import cut_lineage
 
 #: Rows of a block: row numbers differ in the last bits only.
@@ -41,9 +43,8 @@ INDEXED, ANYWHERE = "indexed", "anywhere"
 _CHUNK = [c.strip().split(" ")[0] for c in schemas.CHUNKS.split(",")]
 TABLES = {
     "rows": schemas.CHUNKS + ", row BIGINT, len INT",
-    "postings": "project_id STRING, field STRING, word STRING, block BIGINT, entries ARRAY<STRUCT<slot: INT, tf: INT, len: INT>>, "
-                "max_tf INT, min_len INT, part INT",
-    "words": "gram STRING, project_id STRING, field STRING, word STRING, rows BIGINT, part INT",
+    "postings": "project_id STRING, field STRING, word STRING, block BIGINT, entries ARRAY<STRUCT<slot: INT, tf: INT, len: INT>>, part INT",
+    "words": "gram STRING, word STRING, rows BIGINT, part INT",
     "stats": "project_id STRING, n_docs BIGINT, total_len BIGINT",
 }
 
@@ -57,7 +58,7 @@ def _part(key: str) -> Column:
 
 
 def row_postings(rows: DataFrame) -> DataFrame:
-    """(project_id, field, word, block, entries, max_tf, min_len) of numbered rows. Entries of a block are at most its rows."""
+    """(project_id, field, word, block, entries) of numbered rows. Entries of a block are at most its rows."""
     slot = F.col("row").bitwiseAND((1 << BLOCK_BITS) - 1).cast("int")
     base = rows.withColumn("block", F.shiftright("row", BLOCK_BITS)).withColumn("slot", slot)
     place = ["project_id", "block", "slot", "len"]
@@ -66,22 +67,22 @@ def row_postings(rows: DataFrame) -> DataFrame:
     every = F.array_distinct(F.filter(F.concat(_words("name"), _words("content"), _words("body")), lambda w: F.length(w) >= 2))
     anywhere = base.select(*place, F.explode(every).alias("word"), F.lit(0).alias("tf"), F.lit(ANYWHERE).alias("field"))
     return ranked.unionByName(anywhere).groupBy("project_id", "field", "word", "block").agg(
-        F.sort_array(F.collect_list(F.struct("slot", "tf", "len"))).alias("entries"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len"))
+        F.sort_array(F.collect_list(F.struct("slot", "tf", "len"))).alias("entries"))
 
 
 def word_grams(postings: DataFrame) -> DataFrame:
-    """(gram, project_id, field, word, rows): three-letter grams of all words, two-letter ones for the fallback as well."""
-    words = postings.groupBy("project_id", "field", "word").agg(F.sum(F.size("entries")).alias("rows"))
-    pairs = F.when(F.col("field") == ANYWHERE, S.grams(F.col("word"), 2)).otherwise(F.array().cast("array<string>"))
-    grams = F.array_distinct(F.concat(S.grams(F.col("word"), 3), pairs))
-    return words.select(F.explode(grams).alias("gram"), "project_id", "field", "word", "rows")
+    """(gram, word, rows): the two- and three-letter grams of all words; rows that hold the word anywhere."""
+    words = postings.where(F.col("field") == ANYWHERE).groupBy("word").agg(F.sum(F.size("entries")).alias("rows"))
+    grams = F.array_distinct(F.concat(S.grams(F.col("word"), 3), S.grams(F.col("word"), 2)))
+    return words.select(F.explode(grams).alias("gram"), "word", "rows")
 
 
 class PostingIndex:
     """Segments of postings under one folder."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
+    def __init__(self, spark: SparkSession, root: str, segments: list[str] | None = None):
+        """``segments``: those to read; all if not given."""
+        self.spark, self.root, self.segments = spark, root, segments
 
     def add(self, chunks: DataFrame, segment: str) -> None:
         """Index the chunks as one segment; a repeated call replaces it. Rows of one project and like length become neighbours."""
@@ -95,7 +96,7 @@ class PostingIndex:
         rows = self.read("rows", segment)
         for name, df, key in (("postings", row_postings(rows), "word"), ("words", None, "gram")):
             df = word_grams(self.read("postings", segment)) if df is None else df
-            dealt = df.withColumn("part", _part(key)).repartition("part", key).sortWithinPartitions("part", key, "project_id")
+            dealt = df.withColumn("part", _part(key)).repartition("part", key).sortWithinPartitions("part", key)
             dealt.write.mode("overwrite").partitionBy("part").parquet(path(name))
         stats = rows.groupBy("project_id").agg(F.count("*").alias("n_docs"), F.sum("len").alias("total_len"))
         stats.write.mode("overwrite").parquet(path("stats"))
@@ -103,8 +104,11 @@ class PostingIndex:
     def read(self, name: str, segment: str | None = None) -> DataFrame:
         """A table with the column ``segment``, of all segments or one."""
         base = f"{self.root}/{name}"
-        path = base if segment is None else f"{base}/segment={segment}"
-        return self.spark.read.schema(TABLES[name] + ", segment STRING").option("basePath", base).parquet(path)
+        chosen = self.segments if segment is None else [segment]
+        paths = [base] if chosen is None else [f"{base}/segment={s}" for s in chosen]
+        if not paths:
+            return self.spark.createDataFrame([], TABLES[name] + ", segment STRING")
+        return self.spark.read.schema(TABLES[name] + ", segment STRING").option("basePath", base).parquet(*paths)
 
     def _asked(self, name: str, key: str, asked: DataFrame) -> DataFrame:
         """The table without what no row of ``asked`` (with the column ``key``) names, as far as a list of bounded size can say so."""
@@ -115,21 +119,25 @@ class PostingIndex:
         parts = [r[0] for r in self.spark.createDataFrame([(k,) for k in keys], f"{key} string").select(_part(key)).distinct().collect()]
         return table.where(F.col("part").isin(parts) & F.col(key).isin(keys))
 
-    def matched(self, pairs: DataFrame, field: str) -> DataFrame:
-        """(project_id, term, word, occurrences) of the words that hold a term of their project; ``pairs``: distinct (project_id, term)."""
+    def matched(self, terms: DataFrame) -> DataFrame:
+        """(term, word, occurrences) of the words that hold a term; ``terms``: distinct (term). A term reads the words of its rarest gram;
+        one that has a gram no word has matches nothing."""
         size = F.least(F.length("term"), F.lit(3))
         each = F.transform(F.sequence(F.lit(1), F.length("term") - size + 1), lambda i: F.substr(F.col("term"), i, size))
-        asked = pairs.where(F.length("term") >= 2).select("project_id", "term", F.explode(F.array_distinct(each)).alias("gram"))
-        words = self._asked("words", "gram", asked).where(F.col("field") == field).select("gram", "project_id", "word").distinct()
-        counts = words.join(asked.select("project_id", "gram").distinct(), ["project_id", "gram"], "left_semi").groupBy("project_id", "gram").count()
-        known = asked.join(counts, ["project_id", "gram"], "left").withColumn("count", F.coalesce("count", F.lit(0)))
-        rarest = known.groupBy("project_id", "term").agg(F.min(F.struct("count", "gram")).alias("g")).where("g.count > 0")
+        asked = terms.where(F.length("term") >= 2).select("term", F.explode(F.array_distinct(each)).alias("gram"))
+        words = self._asked("words", "gram", asked).select("gram", "word").distinct()
+        counts = words.join(asked.select("gram").distinct(), "gram", "left_semi").groupBy("gram").count()
+        known = asked.join(counts, "gram", "left").withColumn("count", F.coalesce("count", F.lit(0)))
+        rarest = known.groupBy("term").agg(F.min(F.struct("count", "gram")).alias("g")).where("g.count > 0")
         return (
-            rarest.select("project_id", "term", F.col("g.gram").alias("gram")).join(words, ["project_id", "gram"])
-            .where(F.contains("word", "term"))
-            .select("project_id", "term", "word", S._occurrences(F.col("word"), F.col("term"), S._self_overlapping(F.col("term"))).alias("occurrences"))
+            rarest.select("term", F.col("g.gram").alias("gram")).join(words, "gram").where(F.contains("word", "term"))
+            .select("term", "word", S._occurrences(F.col("word"), F.col("term"), S._self_overlapping(F.col("term"))).alias("occurrences"))
         )
 
+    def _words_of(self, terms: DataFrame) -> DataFrame:
+        """(project_id, term, word, occurrences) for terms(project_id, term) of queries."""
+        return cut_lineage(terms.select("project_id", "term").distinct().join(self.matched(terms.select("term").distinct()), "term"))
+
     def _dead(self, live: DataFrame | None) -> DataFrame | None:
         """(segment, block, dead): slots of rows whose file isn't live in their segment."""
         if live is None:
@@ -138,9 +146,9 @@ class PostingIndex:
         return cut_lineage(gone.select("segment", "project_id", "len", F.shiftright("row", BLOCK_BITS).alias("block"),
                                        F.col("row").bitwiseAND((1 << BLOCK_BITS) - 1).cast("int").alias("slot")))
 
-    def _postings(self, matched: DataFrame, field: str, dead: DataFrame | None) -> DataFrame:
-        """Postings of the matched words, without dead rows."""
-        out = self._asked("postings", "word", matched).where(F.col("field") == field).join(matched, ["project_id", "word"])
+    def _postings(self, asked: DataFrame, field: str, dead: DataFrame | None) -> DataFrame:
+        """Postings of asked(project_id, term, word, occurrences), without dead rows."""
+        out = self._asked("postings", "word", asked).where(F.col("field") == field).join(asked, ["project_id", "word"])
         if dead is None:
             return out
         slots = dead.groupBy("segment", "block").agg(F.collect_set("slot").alias("dead"))
@@ -154,37 +162,31 @@ class PostingIndex:
         totals = totals.groupBy("project_id").agg(F.sum("n_docs").alias("n_docs"), F.sum("total_len").alias("total_len"))
         return totals.select("project_id", "n_docs", (F.col("total_len") / F.col("n_docs")).alias("avg_len"))
 
-    def plan_blocks(self, terms: DataFrame, matched: DataFrame, dead: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-        """Term weights, and for each query its blocks in the order of their bounds: (query_id, needed, project_id, segment, block, bound, place).
-
-        No row is scored: document counts come from the union of the words' rows in each block.
-        """
-        hits = self._postings(matched, INDEXED, dead)
-        slots = F.flatten(F.collect_list(F.transform("entries", lambda e: e["slot"])))
-        blocks = cut_lineage(hits.groupBy("segment", "project_id", "term", "block").agg(
-            F.size(F.array_distinct(slots)).alias("rows"), F.sum(F.col("occurrences") * F.col("max_tf")).alias("tf"), F.min("min_len").alias("len")))
-        counts = blocks.groupBy("project_id", "term").agg(F.sum("rows").alias("doc_freq"))
-        weights = (
-            terms.join(counts, ["project_id", "term"]).join(self._stats(dead), "project_id")
-            .withColumn("idf", S._idf(F.col("n_docs"), F.col("doc_freq")))
-            .select("query_id", "project_id", "term", "needed", "idf", "avg_len")
-        )
-        bound = F.sum(F.col("idf") * S._gain(F.col("tf"), F.col("len"), F.col("avg_len")))
-        found = blocks.join(weights, ["project_id", "term"]).groupBy("query_id", "needed", "project_id", "segment", "block").agg(
-            bound.alias("bound"), F.count("*").alias("found")).where("found >= needed").drop("found")
+    def term_rows(self, asked: DataFrame, dead: DataFrame | None = None) -> DataFrame:
+        """(project_id, term, segment, block, slot, gain, n_docs) of the rows that hold a term in name or content."""
+        hits = self._postings(asked, INDEXED, dead).select("project_id", "term", "segment", "block", "occurrences", F.explode("entries").alias("e"))
+        rows = hits.groupBy("project_id", "term", "segment", "block", "e.slot", "e.len").agg(F.sum(F.col("occurrences") * F.col("e.tf")).alias("tf"))
+        return rows.join(self._stats(dead), "project_id").select(
+            "project_id", "term", "segment", "block", "slot", S._gain(F.col("tf"), F.col("len"), F.col("avg_len")).alias("gain"), "n_docs")
+
+    def plan_blocks(self, terms: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Term weights (query_id, project_id, term, needed, idf), and for each query its blocks in the order of their bounds:
+        (query_id, segment, block, bound, place). ``rows``: of ``term_rows``."""
+        blocks = cut_lineage(rows.groupBy("segment", "project_id", "term", "block").agg(
+            F.count("*").alias("rows"), F.max("gain").alias("gain"), F.first("n_docs").alias("n_docs")))
+        counts = blocks.groupBy("project_id", "term").agg(F.sum("rows").alias("doc_freq"), F.first("n_docs").alias("n_docs"))
+        weights = terms.join(counts, ["project_id", "term"]).select(
+            "query_id", "project_id", "term", "needed", S._idf(F.col("n_docs"), F.col("doc_freq")).alias("idf"))
+        found = blocks.join(weights, ["project_id", "term"]).groupBy("query_id", "needed", "segment", "block").agg(
+            F.sum(F.col("idf") * F.col("gain")).alias("bound"), F.count("*").alias("found")).where("found >= needed")
         order = Window.partitionBy("query_id").orderBy(F.desc("bound"), "segment", "block")
-        return cut_lineage(weights), cut_lineage(found.withColumn("place", F.row_number().over(order)))
+        return weights, found.select("query_id", "segment", "block", "bound", F.row_number().over(order).alias("place"))
 
-    def _scored(self, chosen: DataFrame, weights: DataFrame, matched: DataFrame, dead: DataFrame | None) -> DataFrame:
+    def _scored(self, chosen: DataFrame, weights: DataFrame, rows: DataFrame) -> DataFrame:
         """(query_id, segment, row, score) of the rows of the chosen blocks that hold the needed terms."""
-        hits = self._postings(matched, INDEXED, dead).drop("max_tf", "min_len", "field", "part")
         asked = chosen.select("query_id", "segment", "block").join(weights, "query_id")
-        rows = hits.join(asked, ["project_id", "term", "segment", "block"]).select(
-            "query_id", "needed", "segment", "block", "term", "idf", "avg_len", "occurrences", F.explode("entries").alias("e"))
-        by_term = rows.groupBy("query_id", "needed", "segment", "block", "e.slot", "e.len", "term", "idf", "avg_len").agg(
-            F.sum(F.col("occurrences") * F.col("e.tf")).alias("tf"))
-        gain = F.sum(-F.col("idf") * S._gain(F.col("tf"), F.col("len"), F.col("avg_len")))
-        out = by_term.groupBy("query_id", "needed", "segment", "block", "slot").agg(gain.alias("score"), F.count("*").alias("found"))
+        out = rows.join(asked, ["project_id", "term", "segment", "block"]).groupBy("query_id", "needed", "segment", "block", "slot").agg(
+            F.sum(-F.col("idf") * F.col("gain")).alias("score"), F.count("*").alias("found"))
         row = F.shiftleft("block", BLOCK_BITS).bitwiseOR(F.col("slot").cast("bigint"))
         return out.where("found >= needed").select("query_id", "segment", row.alias("row"), "score")
 
@@ -206,9 +208,30 @@ class PostingIndex:
         later = blocks.where(F.col("place") > WAVE).join(bar, "query_id", "left")
         return later.where(F.col("bar").isNull() | (-F.col("bound") <= F.col("bar") + NEAR)).drop("bar")
 
+    def _fallback(self, words: DataFrame, dead: DataFrame | None) -> DataFrame:
+        """(query_id, segment, row, score 0) of the rows that hold any of a query's words(query_id, project_id, n, narrow, term) anywhere.
+
+        Of such rows the first ones by place count. Where no filter of the query comes in between, these are among the first of each word,
+        so a word's rows are cut before its queries are looked at.
+        """
+        most = words.agg(F.max("n")).first()[0]
+        row = F.shiftleft("block", BLOCK_BITS).bitwiseOR(F.col("e.slot").cast("bigint"))
+        held = self._postings(self._words_of(words), ANYWHERE, dead).select("project_id", "term", "segment", "block", F.explode("entries").alias("e"))
+        held = held.select("project_id", "term", "segment", row.alias("row")).distinct()
+        every = held.join(words.where("narrow"), ["project_id", "term"])
+        wide = words.where("not narrow")
+        placed = held.join(wide.select("project_id", "term").distinct(), ["project_id", "term"], "left_semi").join(
+            self.read("rows").select("segment", "row", "file", "line", "type", "name"), ["segment", "row"])
+        first = top_k_per_group(placed, ["project_id", "term"], [F.asc(c) for c in ("file", "line", "type", "name")], most)
+        out = every.select("query_id", "segment", "row").unionByName(first.join(wide, ["project_id", "term"]).select("query_id", "segment", "row"))
+        return out.distinct().withColumn("score", F.lit(0.0))
+
     def search(self, queries: DataFrame, ranked: bool = True, filters: bool = True, payload: tuple[str, ...] = ("line_end", "lang"),
-               within: str | None = None, live: DataFrame | None = None) -> DataFrame:
-        """As ``search.search``. ``live`` (segment, project_id, file): the segment that counts for a file; without it all rows do."""
+               within: str | None = None, live: DataFrame | None = None, segments: list[str] | None = None) -> DataFrame:
+        """As ``search.search``. ``live`` (segment, project_id, file): the segment that counts for a file; without it all rows of the
+        segments do."""
+        if segments is not None:
+            return PostingIndex(self.spark, self.root, segments).search(queries, ranked, filters, payload, within, live)
         if within is None:
             planned = S.plan_queries(queries)
         else:
@@ -220,21 +243,20 @@ class PostingIndex:
         columns = [c for c in payload if c not in S.CHUNK_KEY and c != "body"]
         dead = self._dead(live)
         terms = S._query_terms(planned)
-        matched = cut_lineage(self.matched(terms.select("project_id", "term").distinct(), INDEXED))
-        weights, blocks = self.plan_blocks(terms, matched, dead)
+        held = cut_lineage(self.term_rows(self._words_of(terms), dead))
+        weights, blocks = self.plan_blocks(terms, held)
         if ranked:
-            first = cut_lineage(self._scored(blocks.where(F.col("place") <= WAVE), weights, matched, dead))
+            blocks = cut_lineage(blocks)
+            first = cut_lineage(self._scored(blocks.where(F.col("place") <= WAVE), weights, held))
             more = self.reaching(blocks, self._described(first, planned, filters, []))
-            scored = cut_lineage(first.unionByName(self._scored(more, weights, matched, dead)))
+            scored = cut_lineage(first.unionByName(self._scored(more, weights, held)))
         else:
-            scored = cut_lineage(self._scored(blocks, weights, matched, dead).withColumn("score", F.lit(0.0)))
+            scored = cut_lineage(self._scored(blocks, weights, held).withColumn("score", F.lit(0.0)))
         open_queries = planned.where(F.size("fallback") > 0).join(scored.select("query_id").distinct(), "query_id", "left_anti")
-        words = cut_lineage(open_queries.select("query_id", "project_id", F.explode("fallback").alias("term")))
+        narrow = F.lit(filters) & (F.col("type_filter").isNotNull() | F.col("file_filter").isNotNull() | F.col("lang_filter").isNotNull())
+        words = cut_lineage(open_queries.select("query_id", "project_id", "n", narrow.alias("narrow"), F.explode("fallback").alias("term")))
         if not words.isEmpty():
-            held = self._postings(self.matched(words.select("project_id", "term").distinct(), ANYWHERE), ANYWHERE, dead)
-            row = F.shiftleft("block", BLOCK_BITS).bitwiseOR(F.col("e.slot").cast("bigint"))
-            pairs = held.select("project_id", "term", "segment", "block", F.explode("entries").alias("e")).join(words, ["project_id", "term"])
-            scored = scored.unionByName(pairs.select("query_id", "segment", row.alias("row"), F.lit(0.0).alias("score")).distinct())
+            scored = scored.unionByName(self._fallback(words, dead))
         rows = self._described(scored, planned, filters, columns).select("query_id", *S.CHUNK_KEY, "score", *columns, "n", "segment", "row")
         top = S._top(rows).drop("n")
         if "body" in payload:  # by row number, for results only

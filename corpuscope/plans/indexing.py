@@ -35,6 +35,7 @@ def _write_symbols(store: IndexStore, kept: DataFrame, run: str) -> None:
     chunks = store.written("chunks", run)
     store.write("references", graph.references(chunks), run)
     store.write("imports", graph.import_references(chunks), run)
+    store.index_words(run)
 
 
 def analyze(

@@ -30,7 +30,7 @@ class Workspace:
 
     def search(self, queries: DataFrame) -> DataFrame:
         """queries(query_id, project_id, q, n)."""
-        return search.search(self.store.chunks(), queries)
+        return self.store.search(queries)
 
     def search_events(self, queries: DataFrame, results: DataFrame) -> DataFrame:
         """The usage event each search logs, with its number of hits."""
@@ -47,7 +47,7 @@ class Workspace:
         The filter keeps files whose path holds it, which those equal to it or below it do; it applies before the ranking.
         """
         asked = queries.select("query_id", "project_id", "q", "file_filter", F.lit(search.dims.DEFAULT_RESULTS).alias("n"))
-        found = search.search(self.store.chunks(), asked, payload=("line_end", "lang", "body"), within="file_filter")
+        found = self.store.search(asked, payload=("line_end", "lang", "body"), within="file_filter")
         pages = rendering.result_page(found, root, compact=True)
         return pages.join(queries.select("query_id", "project_id", "q"), "query_id").select(
             "query_id", "project_id",

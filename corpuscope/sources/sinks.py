@@ -17,8 +17,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuscope import schemas
-from corpuscope.operators import graph
+from corpuscope.operators import graph, search
 from corpuscope.operators.corpus import is_sensitive
+from corpuscope.operators.postings import PostingIndex
 
 STATE = "project_id STRING, file STRING, hash STRING, status STRING"
 
@@ -37,8 +38,13 @@ class IndexStore:
         "meta": schemas.META, "commits": schemas.COMMITS,
     }
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
+    def __init__(self, spark: SparkSession, root: str, searchable: bool = False):
+        """``searchable``: every run keeps postings of its chunks, and ``search`` reads these."""
+        self.spark, self.root, self.searchable = spark, root, searchable
+
+    @property
+    def postings(self) -> PostingIndex:
+        return PostingIndex(self.spark, f"{self.root}/postings")
 
     def _path(self, name: str) -> str:
         return os.path.join(self.root, name)
@@ -57,6 +63,11 @@ class IndexStore:
         chosen = rows.select(*self._columns(name))
         dealt(chosen, "project_id").write.mode("overwrite").partitionBy("project_id").parquet(f"{self._path(name)}/run={run}")
 
+    def index_words(self, run: str) -> None:
+        """Keep postings of the chunks that the run has written."""
+        if self.searchable:
+            self.postings.add(self.written("chunks", run), run)
+
     def commit(self, projects: DataFrame, kind: str, run: str) -> None:
         """Publish what the run has written for projects(project_id); kind is full or update."""
         self.begin(run)
@@ -90,9 +101,13 @@ class IndexStore:
         open_ = commits.join(full, "project_id").filter(F.col("_full").isNull() | (F.col("seq") >= F.col("_full")))
         return open_.select("project_id", "run", "seq")
 
+    def _live_runs(self) -> list[str]:
+        """Ids of the live runs, which ``fold`` keeps few."""
+        return [r.run for r in self.live().select("run").distinct().collect()]
+
     def _of_live(self, name: str) -> DataFrame:
-        """Rows in folders of live runs. The driver holds the ids of these runs, which ``fold`` keeps few."""
-        return self.log(name, [r.run for r in self.live().select("run").distinct().collect()])
+        """Rows in folders of live runs."""
+        return self.log(name, self._live_runs())
 
     def published(self, name: str) -> DataFrame:
         """Log rows of live runs with the place ``seq`` of their run."""
@@ -132,9 +147,17 @@ class IndexStore:
         latest = F.max_by(F.struct("value", "ts"), F.struct("ts", "seq")).alias("v")
         return self.published("meta").groupBy("project_id", "key").agg(latest).select("project_id", "key", "v.*")
 
+    def search(self, queries: DataFrame, **options) -> DataFrame:
+        """``search.search`` over the current chunks, by their postings if the store keeps them."""
+        if not self.searchable:
+            return search.search(self.chunks(), queries, **options)
+        live = self.states().filter(F.col("status") != "delete").select("project_id", "file", F.col("run").alias("segment"))
+        return self.postings.search(queries, live=live, segments=self._live_runs(), **options)
+
     def _copy(self, target: IndexStore, run: str) -> None:
         """Write the current state as one full run of ``target``."""
         target.write("chunks", self.chunks(), run)
+        target.index_words(run)
         target.write("references", self._current("references", "source_file"), run)
         target.write("imports", self._current("imports", "source_file"), run)
         target.write("files", self.states().filter(F.col("status") != "delete"), run)
