@@ -45,6 +45,8 @@ class Forest:
 
 #: A forest of so many edges is passed on and a new one begun, so a task's memory has a bound.
 FOREST_EDGES = 500_000
+#: A node with more edges is dealt over several tasks; of such nodes at most so many are broadcast.
+HUB_EDGES, MOST_HUBS = 1024, 100_000
 
 
 def _thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,18 +60,34 @@ def _thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield last
 
 
+def _with_least(edges: DataFrame, least: DataFrame, node: str, other: str) -> DataFrame:
+    """``edges`` with the smallest neighbour m of ``node``; ``least``: (node, m, n), n edges each.
+
+    The edges of a node with more than ``HUB_EDGES`` are dealt over several tasks by ``other``, and its row of ``least`` is repeated for each.
+    There are at most edges / ``HUB_EDGES`` hubs; more than ``MOST_HUBS`` are left to the adaptive skew join.
+    """
+    hubs = least.where(F.col("n") > HUB_EDGES).select(node, F.ceil(F.col("n") / HUB_EDGES).cast("int").alias("k"))
+    known = hubs.limit(MOST_HUBS + 1).collect()
+    if not 0 < len(known) <= MOST_HUBS:
+        return edges.join(least.drop("n"), node)
+    hubs = F.broadcast(edges.sparkSession.createDataFrame(known, hubs.schema))
+    dealt = edges.join(hubs, node, "left").withColumn("part", F.pmod(F.xxhash64(other), F.coalesce("k", F.lit(1)))).drop("k")
+    parts = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("k", F.lit(1)).cast("long") - 1))
+    return dealt.join(least.drop("n").join(hubs, node, "left").withColumn("part", parts).drop("k"), [node, "part"]).drop("part")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of u is linked to the smallest of u and its neighbours."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("a"), F.min("b")).alias("m"))
-    out = both.where("b > a").join(least, "a")
+    least = both.groupBy("a").agg(F.least(F.min("a"), F.min("b")).alias("m"), F.count("*").alias("n"))
+    out = _with_least(both.where("b > a"), least, "a", "b")
     return out.select(F.col("m").alias("a"), "b").where("a < b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """b and its smaller neighbours are linked to the smallest of these."""
-    least = edges.groupBy("b").agg(F.min("a").alias("m"))
-    near = edges.join(least, "b").select("a", "b", "m")
+    least = edges.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("n"))
+    near = _with_least(edges, least, "b", "a").select("a", "b", "m")
     return (
         near.select(F.col("m").alias("x"), F.col("a").alias("y")).where("x < y")
         .union(least.select(F.col("m").alias("x"), F.col("b").alias("y"))).distinct()
@@ -81,12 +99,12 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b); root is the smallest node of its component.
 
     Each round is written to the shared folder. The rounds grow with the logarithm of a component's width. A node with
-    very many edges is counted before the shuffle and its rows are split by the adaptive skew join.
+    very many edges is counted before the shuffle and its rows are dealt over several tasks.
     """
     now = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).mapInArrow(_thin, _EDGE), "edges")
     seen = None
     while True:
-        now = written(_small_star(_large_star(now)), "edges")
+        now = written(_small_star(written(_large_star(now), "edges")), "edges")
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen:
             break

@@ -24,10 +24,9 @@ GRAMS = (1, 2, 3)
 BUCKETS = 1 << 16
 #: Units of the kernel: the buckets that most landmarks hold.
 UNITS = 8192
-LANDMARKS = 192
-#: Bound of the training sample (texts of all languages together), and of the number of languages.
+LANDMARKS, LEAST_LANDMARKS = 192, 2
+#: Bound of the training sample (texts of all languages together), unless so many languages have ``LEAST_PER_LANGUAGE`` texts each.
 SAMPLE = 4096
-LANGUAGES = 1024
 LEAST_PER_LANGUAGE = 8
 RIDGE = 1e-2
 UNDEFINED = "und"
@@ -123,7 +122,7 @@ def fit(packed: np.ndarray, langs: list[str]) -> Model:
     if not names:
         return Model([], np.zeros(0, np.int64), np.zeros((0, 0), np.float32), np.zeros(0), np.zeros((0, 0)))
     label = np.array([names.index(x) for x in langs])
-    each = max(1, LANDMARKS // len(names))
+    each = max(LEAST_LANDMARKS, LANDMARKS // len(names))
     chosen = np.concatenate([np.flatnonzero(label == k)[:each] for k in range(len(names))])
     held = np.unpackbits(packed[chosen], axis=1)
     counts = held.sum(axis=0, dtype=np.int64)
@@ -144,11 +143,11 @@ def fit(packed: np.ndarray, langs: list[str]) -> Model:
 
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """Learn from a sample of at most about ``SAMPLE`` texts (``LEAST_PER_LANGUAGE`` for each language at least) of documents that are not
-    held out and have a language and a letter; the most frequent ``LANGUAGES`` are learned. The sample is drawn
+    held out and have a language and a letter. All languages are learned, with ``LEAST_LANDMARKS`` landmarks each at least. The sample is drawn
     by a hash of the id, with one rate for each language, from counts over all documents."""
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id)))
     known = known.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = known.groupBy("lang").count().orderBy("lang").collect()  # a row for each language
     if not counts:
         return fit(np.zeros((0, BUCKETS // 8), np.uint8), [])
     each = max(LEAST_PER_LANGUAGE, SAMPLE // len(counts))
@@ -175,7 +174,7 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
 def predict(docs: DataFrame, model: Model, text: str = "text", into: str = "language") -> DataFrame:
     """``docs`` with a struct (lang_pred, score) as column ``into``; every row and other column stays. ``und`` with score 0 where
     the text is null or has no letter. No shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by LANDMARKS, UNITS and LANGUAGES
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by LANDMARKS, UNITS and the number of languages
 
     @F.pandas_udf(RESULT)
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

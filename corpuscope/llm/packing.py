@@ -211,7 +211,8 @@ def pack(parts: DataFrame, tokens: int = TOKENS, documents: int = DOCUMENTS, att
                     held.append(batch.slice(int(run_[0]), len(run_)))
         yield from flush()
 
-    ordered = dealt.repartition(groups, "group").sortWithinPartitions("group", "doc_id", "piece")
+    tasks = min(groups, int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # a task takes its groups one after another
+    ordered = dealt.repartition(tasks, "group").sortWithinPartitions("group", "doc_id", "piece")
     return ordered.mapInArrow(run, _PACKED)
 
 

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import random
 
+import pytest
+
 from corpuscope.llm import graph
 
 
-def test_components_of_paths_stars_and_random_edges(spark):
+@pytest.mark.parametrize(("hub", "most"), [(1024, 100_000), (3, 100_000), (3, 2)])
+def test_components_of_paths_stars_and_random_edges(spark, monkeypatch, hub, most):
+    monkeypatch.setattr(graph, "HUB_EDGES", hub)
+    monkeypatch.setattr(graph, "MOST_HUBS", most)
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 50)] + [(-5, -9), (-9, -5), (7, 7)]
     edges += [(rng.randrange(2000, 2100), rng.randrange(2000, 2100)) for _ in range(60)]

@@ -48,6 +48,37 @@ def test_kernel_is_the_normalised_overlap():
     assert model.predict(["the cat", "der Garten", "", "99"])[0] == ["en", "de", "und", "und"]
 
 
+def test_weights_equal_a_dense_solve():
+    """Ridge regression in the Nyström space by its normal equations, from kernel values computed by sets."""
+    rng = np.random.default_rng(3)
+    words = {"en": ["the", "cat", "and", "dog", "sat"], "de": ["der", "Hund", "und", "Katze", "lag"], "fr": ["le", "chat", "et", "chien", "dort"]}
+    langs = [["en", "de", "fr"][i % 3] for i in range(40)]
+    texts = [" ".join(rng.choice(words[x], 6)) for x in langs]
+    model = langid.fit(np.packbits(langid.presence(texts)[0], axis=1), langs)
+    units = set(model.units.tolist())
+    marks = [{int(u) for u, m in zip(model.units, column, strict=True) if m} for column in model.landmarks.T]
+    gram = np.array([[len(buckets(t) & m) / np.sqrt(len(buckets(t) & units) * len(m)) for m in marks] for t in texts])
+    cross = np.array([[len(a & b) / np.sqrt(len(a) * len(b)) for b in marks] for a in marks])
+    values, vectors = np.linalg.eigh(cross)
+    z = gram @ (vectors * np.maximum(values, 1e-6) ** -0.5) @ vectors.T
+    share = np.array([1 / langs.count(x) for x in langs])
+    target = np.array([[1.0 if x == name else -1.0 for name in model.languages] for x in langs])
+    solved = np.linalg.lstsq(np.vstack([np.sqrt(share)[:, None] * z, np.sqrt(langid.RIDGE * share.mean()) * np.eye(z.shape[1])]),
+                             np.vstack([np.sqrt(share)[:, None] * target, np.zeros((z.shape[1], 3))]), rcond=None)[0]
+    plain = z @ solved
+    held = model.kernel(langid.presence(texts)[0]).astype(np.float64) @ model.weights
+    assert np.abs(plain - held).max() < 1e-2 and (plain.argmax(axis=1) == held.argmax(axis=1)).all()
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LANDMARKS", 8)
+    monkeypatch.setattr(langid, "SAMPLE", 40)
+    rows = [(i, f"{'abcdefghijklmnopqrst'[i % 20] * 3} word{'abcdefghijklmnopqrst'[i % 20]}", f"l{i % 20:02}") for i in range(400)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == [f"l{i:02}" for i in range(20)] and model.landmarks.shape[1] == 40
+    assert model.predict([t for _, t, _ in rows[:20]])[0] == model.languages
+
+
 def test_held_out_accuracy(spark):
     lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
     rows = queries.op10_language_id(spark, FOLDER).collect()

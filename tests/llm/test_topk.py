@@ -41,7 +41,7 @@ def test_odd_rows(spark):
             (5, [0.00098, -0.0001], "f"), (5, [0.00098, -0.0001], "f"), (None, [1.0, 1.0], "g"), (500, [], "h"), (6, [1.0], "i"), (600, [2.0, 2.0], "j")]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string")
     got = sorted(tuple(r) for r in topk.search_every(frame, 100).collect())
-    assert got == brute({0: [1024, 512], 5: [1, -1], 600: [2048, 2048]}, [0, 600], 10)
+    assert got == [(0, 1, 600, 3145728), (0, 2, 5, 512), (0, 3, 5, 512), (600, 1, 0, 3145728), (600, 2, 5, 0), (600, 3, 5, 0)]
     assert topk.search_every(frame.limit(0), 100).count() == 0
 
 
