@@ -130,6 +130,15 @@ def _recent_edits(spark, folder):
     return _drain(loops.recent_edits(e, "60 days"), "append").select("session_id", "path")
 
 
+def _unedited(spark, folder):
+    """Every event reads or edits a file; purchases are edits."""
+    e = _stream(spark, folder).select(
+        F.concat(F.lit("s"), F.col("user_id") % 10).alias("session_id"), "event_type",
+        F.concat(F.lit("/f"), (F.get_json_object("props", "$.k").cast("int") / 20).cast("int")).alias("path"), "ts")
+    edit = F.col("event_type") == "purchase"
+    return _drain(loops.unedited_reads(e.where(~edit), e.where(edit)), "append").withColumn("ts", F.unix_micros("ts"))
+
+
 ISLANDS = """
 {name}_o AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY {key} ORDER BY ts) + INTERVAL {gap} THEN 0 ELSE 1 END AS b FROM {src}),
 {name} AS (SELECT *, sum(b) OVER (PARTITION BY {key} ORDER BY ts) AS g FROM {name}_o)"""
@@ -158,6 +167,13 @@ QUERIES = {
         _recent_edits,
         """SELECT DISTINCT 's' || user_id AS session_id, json_extract_string(props, '$.k') AS path FROM events""",
     ),
+    "j7_r7_live_guard": (
+        _unedited,
+        """WITH e AS (SELECT 's' || user_id % 10 AS session_id, '/f' || CAST(json_extract_string(props, '$.k') AS INT) // 20 AS path, ts,
+          event_type = 'purchase' AS edit FROM events)
+        SELECT session_id, path, epoch_us(ts) AS ts FROM e r WHERE NOT edit AND NOT EXISTS (SELECT 1 FROM e x WHERE x.edit
+          AND x.session_id = r.session_id AND x.path = r.path AND x.ts <= r.ts AND x.ts >= r.ts - INTERVAL 24 HOURS)""",
+    ),
     "r4_live_timeline": (
         _live,
         f"""WITH e AS (SELECT ts, CAST(floor(value) AS BIGINT) AS s, CASE event_type WHEN 'click' THEN 'search'

@@ -1,4 +1,4 @@
-"""Live detection of repeated reads, and expiry of session edits."""
+"""Live detection of repeated reads, the read-after-edit guard, and expiry of session edits."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from corpuscope.operators.sessions import LOOP_THRESHOLD
 
 WINDOW_MS = 5 * 60 * 1000
+KEEP_MS = 24 * 60 * 60 * 1000
 OUTPUT = "session_id string, path string, ts timestamp, count bigint, looping boolean"
 
 
@@ -95,17 +96,75 @@ def recent_edits(edits: DataFrame, keep: str = "24 hours") -> DataFrame:
     return edits.withWatermark("ts", keep).dropDuplicatesWithinWatermark(["session_id", "path"])
 
 
-def unedited_reads(reads: DataFrame, edits: DataFrame, keep: str = "24 hours") -> DataFrame:
-    """Stream-stream form of the read-after-edit guard.
+class EditGuard(StatefulProcessor):
+    """Per (session, path): the latest edit, for ``keep_ms``; lets reads pass that no edit came so shortly before.
 
-    A read is withheld if an edit of the same path and session came up to ``keep`` before it.
+    Reads and edits wait until the watermark has passed them and are then taken in order of time, edits of the same instant first, so the
+    result doesn't depend on micro-batches. State is one number for each key that was edited lately, and what is within the lateness.
     """
-    e = recent_edits(edits, keep).select(
-        F.col("session_id").alias("_s"), F.col("path").alias("_p"), F.col("ts").alias("_edited")
-    )
-    joined = reads.withWatermark("ts", "1 minute").join(
-        e,
-        F.expr(f"session_id = _s AND path = _p AND _edited <= ts AND _edited >= ts - INTERVAL {keep}"),
-        "left_outer",
-    )
-    return joined.filter(F.col("_edited").isNull()).drop("_s", "_p", "_edited")
+
+    def __init__(self, keep_ms: int):
+        self.keep_us = keep_ms * 1000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.edited = handle.getValueState("edited", "us bigint")
+        self.waiting = handle.getListState("waiting", "us bigint, is_read boolean")
+
+    def _rows(self, key, micros: list[int]) -> pd.DataFrame:
+        return pd.DataFrame({
+            "session_id": pd.Series([key[0]] * len(micros), dtype="object"), "path": pd.Series([key[1]] * len(micros), dtype="object"),
+            "ts": pd.to_datetime(pd.Series(micros, dtype="int64"), unit="us")})
+
+    def _wake(self, micros: int, timerValues) -> None:
+        self.handle.registerTimer(max(micros // 1000, timerValues.getCurrentWatermarkInMs()) + 1)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        least = None
+        for part in rows:
+            micros = part["ts"].astype("datetime64[us]").astype("int64").tolist()
+            self.waiting.appendList(list(zip(micros, part["is_read"].astype(bool).tolist(), strict=True)))
+            least = min([*micros, *([] if least is None else [least])])
+        if least is not None:
+            self._wake(least, timerValues)
+        yield self._rows(key, [])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        limit = timerValues.getCurrentWatermarkInMs() * 1000
+        held = sorted((us, is_read) for us, is_read in self.waiting.get())
+        due = [r for r in held if r[0] <= limit]
+        rest = held[len(due):]
+        edited = self.edited.get()[0] if self.edited.exists() else None
+        passed = []
+        for us, is_read in due:
+            if not is_read:
+                edited = us
+            elif edited is None or edited < us - self.keep_us:
+                passed.append(us)
+        if rest:
+            self.waiting.put(rest)
+            self._wake(rest[0][0], timerValues)
+        else:
+            self.waiting.clear()
+        if edited is not None and (rest or limit <= edited + self.keep_us):
+            self.edited.update((edited,))
+            if not rest:
+                self._wake(edited + self.keep_us, timerValues)
+        else:
+            self.edited.clear()
+        yield self._rows(key, passed)
+
+    def close(self) -> None:
+        pass
+
+
+def unedited_reads(reads: DataFrame, edits: DataFrame, keep_ms: int = KEEP_MS, late: str = "1 minute") -> DataFrame:
+    """The read-after-edit guard on streams of (session_id, path, ts): a read is withheld if the latest edit of the same path and session
+    before it, or at the same time, came at most ``keep_ms`` earlier.
+
+    Needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``).
+    """
+    columns = ["session_id", "path", "ts"]
+    both = reads.select(*columns, F.lit(True).alias("is_read")).union(edits.select(*columns, F.lit(False).alias("is_read")))
+    return both.withWatermark("ts", late).groupBy("session_id", "path").transformWithStateInPandas(
+        EditGuard(keep_ms), outputStructType="session_id string, path string, ts timestamp", outputMode="Append", timeMode="EventTime")

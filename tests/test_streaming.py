@@ -123,18 +123,17 @@ def test_live_loops_match_batch(spark, tmp_path, files):
     assert sorted(c for s, p, _, c, _ in live if (s, p) == ("s", "/a.ts")) == [1, 1, 1, 2, 3, 4]
 
 
-def test_unedited_reads_stream(spark, tmp_path):
-    reads = spark.createDataFrame(
-        [("s", "/a", T0 + timedelta(minutes=5)), ("s", "/b", T0 + timedelta(minutes=5)), ("t", "/a", T0), ("z", "/z", T0 + timedelta(days=4))],
-        "session_id string, path string, ts timestamp",
-    )
-    edits = spark.createDataFrame(
-        [("s", "/a", T0), ("z", "/q", T0 + timedelta(days=4))], "session_id string, path string, ts timestamp"
-    )
-    reads.coalesce(1).write.parquet(str(tmp_path / "r"))
-    edits.coalesce(1).write.parquet(str(tmp_path / "e"))
-    r = spark.readStream.schema(reads.schema).parquet(str(tmp_path / "r"))
-    e = spark.readStream.schema(edits.schema).parquet(str(tmp_path / "e"))
-    out = {(x.session_id, x.path) for x in _drain(loops.unedited_reads(r, e), "unedited", tmp_path)}
-    assert ("s", "/a") not in out
-    assert {("s", "/b"), ("t", "/a")} <= out
+@pytest.mark.parametrize("files", [1, 100])
+def test_guard_keeps_the_latest_edit(spark, tmp_path, files):
+    """Edits at 00:00 and 23:00: a read at 01:00 of the next day comes two hours after an edit. The state is freed a day after the last one."""
+    hour = lambda h: T0 + timedelta(hours=h)
+    schema = "session_id string, path string, ts timestamp"
+    edits = [[("s", "/a", hour(0))], [("s", "/a", hour(23))], [("s", "/late", hour(30))], [("z", "/q", hour(300))]]
+    reads = [[("s", "/a", hour(-1)), ("s", "/a", hour(0)), ("t", "/a", hour(1))], [("s", "/a", hour(25)), ("s", "/b", hour(25))],
+             [("s", "/a", hour(47)), ("s", "/late", hour(30)), ("s", "/a", hour(47.1))], [("s", "/a", hour(100)), ("z", "/z", hour(300))]]
+    for name, parts in (("edits", edits), ("reads", reads)):
+        for rows in parts:
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+    streams = [spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(str(tmp_path / n)) for n in ("reads", "edits")]
+    out = [(r.session_id, r.path, (r.ts - T0).total_seconds() / 3600) for r in _drain(loops.unedited_reads(*streams), f"guard{files}", tmp_path)]
+    assert sorted(out) == [("s", "/a", -1), ("s", "/a", 47.1), ("s", "/a", 100), ("s", "/b", 25), ("t", "/a", 1)]
