@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from corpuscope import dims
 from corpuscope.functions import columns as C
+from corpuscope.session import cut_lineage
 
 # How references look.
 CALL_RE = r"[^\w.](\w+)\s*\("
@@ -213,6 +214,41 @@ class EdgeTables:
         return impacted(named.unionByName(resolve_imports(self.imports, self.listing)), files)
 
 
+    def _referrers(self, files: DataFrame, imported: DataFrame) -> DataFrame:
+        """(project_id, target_file, n): how many files refer to each of files(project_id, target_file)."""
+        target = ["project_id", "target_file"]
+        defined = self.definitions.select(*target, "name").join(files, target, "left_semi")
+        named = defined.join(self.references.select("project_id", "name", "source_file").distinct(), ["project_id", "name"])
+        named = named.filter(F.col("source_file") != F.col("target_file")).select(*target, "source_file")
+        every = named.unionByName(imported.join(files, target, "left_semi"))
+        return every.distinct().groupBy(*target).agg(F.count(F.lit(1)).alias("n"))
+
+    def fan_in_bounds(self) -> tuple[DataFrame, DataFrame]:
+        """(project_id, target_file, bound): no more files refer to it, as those that refer to each of its names, and those that import
+        it, may overlap; and the distinct (project_id, target_file, source_file) of imports. No reference is paired with a definition."""
+        target = ["project_id", "target_file"]
+        imported = resolve_imports(self.imports, self.listing).select(*target, "source_file").distinct()
+        users = self.references.select("project_id", "name", "source_file").distinct().groupBy("project_id", "name").agg(F.count(F.lit(1)).alias("b"))
+        parts = self.definitions.select(*target, "name").distinct().join(users, ["project_id", "name"]).select(*target, "b")
+        parts = parts.unionByName(imported.groupBy(*target).agg(F.count(F.lit(1)).alias("b")))
+        return parts.groupBy(*target).agg(F.sum("b").alias("bound")), imported
+
+    def fan_in(self, k: int = 10, wave: int = 4) -> DataFrame:
+        """Files referenced from the most other files, the first ``k``; exact.
+
+        The ``wave * k`` files with the highest bounds are counted first. Of the others only those are, whose bound reaches the k-th count.
+        """
+        bounds, imported = self.fan_in_bounds()
+        bounds, imported = cut_lineage(bounds), cut_lineage(imported)
+        order = [F.desc("bound"), F.asc("project_id"), F.asc("target_file")]
+        first = cut_lineage(bounds.orderBy(*order).limit(wave * k))
+        counted = cut_lineage(self._referrers(first.drop("bound"), imported))
+        best = sorted((r.n for r in counted.collect()), reverse=True)[:k]  # at most wave * k rows
+        bar = best[-1] if len(best) == k else 0
+        rest = bounds.filter(F.col("bound") >= bar).join(first, ["project_id", "target_file"], "left_anti").drop("bound")
+        return counted.unionByName(self._referrers(rest, imported)).orderBy(F.desc("n"), "project_id", "target_file").limit(k)
+
+
 # ---------------------------------------------------------------- lookups in edge rows
 
 

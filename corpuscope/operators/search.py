@@ -501,21 +501,36 @@ def chunks_of_file(chunks: DataFrame, files: DataFrame) -> DataFrame:
     return chunks.join(files.select("project_id", "file").distinct(), ["project_id", "file"], "left_semi")
 
 
+#: Lines of a bin in which requests and chunks meet.
+BIN_LINES = 64
+
+
 def chunks_in_range(chunks: DataFrame, requests: DataFrame) -> DataFrame:
-    """Chunks that overlap the requested lines: requests(request_id, project_id, file, offset, limit)."""
+    """Chunks that overlap the requested lines: requests(request_id, project_id, file, offset, limit).
+
+    Lines are cut into bins, and a request meets a chunk by file and bin, so the requests of one file spread over its bins. A pair is
+    taken in the first bin that both have, hence once. Open requests end with the last line of the file's chunks.
+    """
+    span = chunks.groupBy("project_id", "file").agg(F.min("line").alias("_low"), F.max(F.greatest("line", "line_end")).alias("_high"))
     start = F.greatest(F.lit(1), F.coalesce("offset", F.lit(0)))
     whole = (F.coalesce("offset", F.lit(0)) == 0) & (F.coalesce("limit", F.lit(0)) == 0)
-    end = F.when(F.coalesce("limit", F.lit(0)) > 0, start + F.col("limit") - 1).otherwise(F.lit(2**31 - 1))
-    req = requests.select(
-        "request_id", "project_id", "file", start.alias("_from"), end.alias("_to"), whole.alias("_whole")
-    )
-    return (
-        chunks.join(req, ["project_id", "file"])
-        .filter(F.col("_whole") | ((F.col("line_end") >= F.col("_from")) & (F.col("line") <= F.col("_to"))))
-        .drop("_from", "_to", "_whole")
-    )
+    end = F.when(F.coalesce("limit", F.lit(0)) > 0, F.least(start.cast("bigint") + F.col("limit") - 1, F.col("_high"))).otherwise(F.col("_high"))
+    req = requests.join(span, ["project_id", "file"]).select(
+        "request_id", "project_id", "file", F.when(whole, F.col("_low")).otherwise(F.greatest(start, F.col("_low"))).cast("bigint").alias("_from"),
+        end.cast("bigint").alias("_to")).filter("_from <= _to")
 
+    def bins(low: Column, high: Column) -> Column:
+        return F.sequence(F.floor(low / BIN_LINES), F.floor(high / BIN_LINES))
 
+    low, high = F.col("line").cast("bigint"), F.greatest("line", "line_end").cast("bigint")
+    spread = chunks.withColumn("_bin", F.explode(bins(low, high)))
+    asked = req.withColumn("_bin", F.explode(bins(F.col("_from"), F.col("_to"))))
+    return (
+        spread.join(asked, ["project_id", "file", "_bin"])
+        .filter((F.col("line_end") >= F.col("_from")) & (F.col("line") <= F.col("_to")))
+        .filter(F.col("_bin") == F.floor(F.greatest(low, F.col("_from")) / BIN_LINES))
+        .drop("_from", "_to", "_bin")
+    )
 
 
 def files_matching(chunks: DataFrame, pattern: str) -> DataFrame:

@@ -416,7 +416,7 @@ QUERIES = {
         f"WITH {T.CODE_SQL} SELECT CAST(sum(n) AS BIGINT) AS edges FROM code_edges",
     ),
     "g9_fan_in": (
-        lambda s, d: index_stats.fan_in(_edges(s, d)),
+        lambda s, d: _edge_tables(s, d).fan_in(),
         f"""WITH {T.CODE_SQL} SELECT project_id, target_file, count(DISTINCT source_file) AS n FROM code_edges
         GROUP BY 1, 2 ORDER BY n DESC, project_id, target_file LIMIT 10""",
     ),

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuscope import schemas
-from corpuscope.operators import graph, symbols
+from corpuscope.operators import graph, index_stats, search, symbols
 from corpuscope.operators.symbols import dedupe_chunks, extract_chunks
 from corpuscope.plans import indexing
 from corpuscope.plans.tools import Workspace
@@ -195,6 +195,53 @@ def test_stored_edges_of_a_hot_name_grow_linearly(spark):
     assert tables(100).impacted(asked.select("project_id", "file")).count() == 99
 
 
+def test_fan_in_counts_only_files_that_may_win(spark):
+    rng = random.Random(4)
+    refs, defs, imports = [], [], []
+    for i in range(120):
+        for name in {f"n{int(rng.paretovariate(0.7)) % 90}" for _ in range(6)}:
+            refs.append(("p", f"/f{i}", "s", "call", name, 1 + i % 2))
+        if i % 3 == 0:
+            imports.append(("p", f"/f{i}", "s", f"/f{rng.randrange(20)}.ts", 1))
+    for i in range(90):
+        defs += [("p", f"/f{i % 50}", f"n{i}", 1), ("q", "/f1", f"n{i}", 1)]
+    tables = graph.EdgeTables(
+        spark.createDataFrame(refs, "project_id string, source_file string, source_symbol string, kind string, name string, n_refs bigint"),
+        spark.createDataFrame(defs, "project_id string, target_file string, name string, n_defs bigint"),
+        spark.createDataFrame(imports, "project_id string, source_file string, source_symbol string, path string, n bigint"),
+        spark.createDataFrame([("p", f"/f{i}") for i in range(120)], "project_id string, file string"))
+    want = [tuple(r) for r in index_stats.fan_in(tables.expand(), 5).collect()]
+    counted = []
+    plain = graph.EdgeTables._referrers
+
+    def watched(self, files, imported):
+        counted.append(files.count())
+        return plain(self, files, imported)
+
+    graph.EdgeTables._referrers = watched
+    try:
+        assert [tuple(r) for r in tables.fan_in(5, 2).collect()] == want
+    finally:
+        graph.EdgeTables._referrers = plain
+    assert counted[0] == 10 and sum(counted) < tables.fan_in_bounds()[0].count()
+
+
+def test_line_ranges_meet_in_bins(spark, monkeypatch):
+    monkeypatch.setattr(search, "BIN_LINES", 8)
+    rng = random.Random(5)
+    chunks = [("p", f"/f{i % 3}", a, a + rng.choice([0, 0, 3, 40]), i) for i in range(150) for a in [rng.randint(1, 90)]]
+    asked = [(i, "p", f"/f{i % 4}", rng.choice([None, 0, 1, 17, 60, 500]), rng.choice([None, 0, 1, 9, 200])) for i in range(60)]
+    got = search.chunks_in_range(
+        spark.createDataFrame(chunks, "project_id string, file string, line int, line_end int, k int"),
+        spark.createDataFrame(asked, "request_id int, project_id string, file string, offset int, limit int"))
+    want = []
+    for i, _, file, offset, limit in asked:
+        low = max(1, offset or 0)
+        high = low + limit - 1 if limit else 2**31
+        want += [(i, k) for _, f, a, z, k in chunks if f == file and ((not offset and not limit) or (z >= low and a <= high))]
+    assert sorted((r.request_id, r.k) for r in got.collect()) == sorted(want)
+
+
 def test_the_store_loses_nothing(spark, tmp_path):
     store = IndexStore(spark, str(tmp_path / "ix"))
 
