@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from corpuscope import dims, schemas
 from corpuscope.functions import columns as C
 from corpuscope.operators import compaction as K
-from corpuscope.operators import usage
+from corpuscope.operators import log_parts, usage
 from corpuscope.session import ensure_checkpoint_dir
 from corpuscope.sources import tables as T
 from corpuscope.sources.sinks import append_audit, audit_rows
@@ -105,6 +105,15 @@ def _shape(df):
     )
 
 
+def _in_parts(spark, folder):
+    """Every output as a log in parts of three lines."""
+    lines = C.lines_of("output")
+    parts = C.let(lines, lambda x: F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(x) - 1) / 3).cast("int")), lambda i: F.array_join(F.slice(x, i * 3 + 1, F.lit(3)), "\n")))
+    cut = T.tool_outputs(spark, folder).select("call_id", "tool_id", F.posexplode(parts).alias("part", "text"))
+    return _shape(log_parts.compact_parts(cut, log="call_id"))
+
+
 def _sha(column):
     return F.sha2(column, 256)
 
@@ -214,6 +223,10 @@ QUERIES = {
         lambda s, d: _shape(K.compact(T.tool_outputs(s, d))),
         f"WITH {STRUCT_CTES} {RESULT_SQL} FROM structural",
     ),
+    "c2_c5_compact_parts": (
+        _in_parts,
+        f"WITH {STRUCT_CTES} {RESULT_SQL} FROM structural",
+    ),
     "c8_c10_summaries": (
         lambda s, d: C.pinned(
             T.tool_outputs(s, d), summary=C.let(K.strip_ansi("output"), lambda t: K.semantic_summary("tool_id", t))
