@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import tempfile
 import unicodedata
@@ -87,11 +88,20 @@ def map_batches(df: DataFrame, fn: Callable[[pa.Table], pa.Table | None], schema
             out = fn(table)
             if out is not None and out.num_rows:
                 yield from out.combine_chunks().to_batches(max_chunksize=1 << 16)
-        pa.default_memory_pool().release_unused()  # workers live on between tasks
+        give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Return unused memory at the end of a task: workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not this C library
+        pass
+
+
 def regroup(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[pa.Table]:
     held, size = [], 0
     for batch in batches:

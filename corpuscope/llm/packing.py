@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuscope.llm.common import (
+from corpuscope.llm.common import give_back, (
     character_classes, code_points, map_batches, row_starts, split_contractions, take_ragged, tokens_as_binary, written,
 )
 
@@ -210,6 +210,7 @@ def pack(parts: DataFrame, tokens: int = TOKENS, documents: int = DOCUMENTS, att
                         group = int(names[run_[0]])
                     held.append(batch.slice(int(run_[0]), len(run_)))
         yield from flush()
+        give_back()
 
     tasks = min(groups, int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # a task takes its groups one after another
     ordered = dealt.repartition(tasks, "group").sortWithinPartitions("group", "doc_id", "piece")

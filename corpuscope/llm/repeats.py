@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuscope.llm.common import ascii_words, map_batches, written
+from corpuscope.llm.common import ascii_words, give_back, map_batches, written
 
 WINDOW, PHRASE = 20, 8
 #: Texts of a block; a longer text is a block by itself.
@@ -113,7 +113,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
         for at in range(batch.num_rows):
             yield tuple(c[at].as_py() for c in batch.columns)
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def _anchors(window: int, phrase: int):
@@ -183,7 +183,7 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     marks.append((at << _FAR | before) << 1 | (first == own))
         if marks:
             yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(marks, pa.int64())], ["block", "mark"])
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def occurrences(codes: np.ndarray, at: np.ndarray, phrase: int) -> np.ndarray:

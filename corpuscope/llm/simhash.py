@@ -21,7 +21,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from corpuscope.llm.common import map_batches, written
 from corpuscope.llm.graph import FOREST_EDGES, Forest, components
@@ -283,19 +282,3 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     table = named.join(least, "root").select("fp", "component_id")
     return prints.join(table, "fp").select("doc_id", "fp", "component_id")
-
-
-def first_rows(docs: DataFrame, rows: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each component, that of the smallest (id, text hash); ``rows``: (doc_id, text_hash, text_size, component) of
-    each row. One id's unlike texts belong to their own components.
-
-    Rows with a null id can't be named by a group and stay. Texts move once, dealt by id and hash.
-    """
-    key = F.struct("doc_id", "text_hash", "text_size")
-    least = rows.where("doc_id is not null").groupBy("component").agg(F.min(key).alias("_k"))
-    kept_keys = least.select(F.col("_k.doc_id").alias("_kept"), F.col("_k.text_hash").alias("_hash"), F.col("_k.text_size").alias("_size")).distinct()
-    names = [F.col("_kept"), F.col("_hash"), F.col("_size")]
-    hit = (F.col(doc_id).cast("long") == names[0]) & F.xxhash64(text).eqNullSafe(names[1]) & F.length(text).eqNullSafe(names[2])
-    order = Window.partitionBy(*names).orderBy(F.lit(0))
-    kept = docs.join(kept_keys, hit).withColumn("_nth", F.row_number().over(order)).where("_nth = 1").select(*docs.columns)
-    return kept.union(docs.where(F.col(doc_id).isNull()))
