@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuscope.llm.common import give_back, (
-    character_classes, code_points, map_batches, row_starts, split_contractions, take_ragged, tokens_as_binary, written,
+from corpuscope.llm.common import (
+    character_classes, code_points, give_back, map_batches, row_starts, split_contractions, take_ragged, tokens_as_binary, written,
 )
 
 TOKENS = 2048
