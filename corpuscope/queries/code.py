@@ -53,6 +53,45 @@ def _pages(spark, folder):
     )
 
 
+def _document_code(spark, folder):
+    """Every document as a source file: a function for each line, named after its first word, calling one named after its last word.
+
+    Files are as long as the documents, and frequent words are defined and called in very many files.
+    """
+    body = F.transform(C.lines_of(F.translate("text", "\r", " ")), lambda t: F.concat(
+        F.lit("function f_"), F.regexp_extract(t, "[A-Za-z]+", 0), F.lit("(q) {\n  // "), t, F.lit("\n  f_"),
+        F.regexp_extract(t, "([A-Za-z]+)[^A-Za-z]*$", 1), F.lit("(q)\n}")))
+    doc = F.col("doc_id")
+    content = F.array_join(body, "\n")
+    return T.spread(T.table(spark, folder, "documents"), "doc_id").select(
+        F.concat(F.lit("d"), doc % 3).alias("project_id"), F.concat(F.lit("/d"), doc % 3, F.lit("/f"), doc, F.lit(".js")).alias("file"),
+        F.octet_length(content).cast("bigint").alias("length"), content.alias("content"))
+
+
+def _document_chunks(spark, folder):
+    out = X.dedupe_chunks(X.extract_chunks(_document_code(spark, folder)))
+    return out.select("project_id", "file", "name", "type", *[F.col(c).cast("bigint").alias(c) for c in LONG], F.sha2("body", 256).alias("body_sha"))
+
+
+def _document_edges(spark, folder):
+    """Edges per project, and the ten files that most others refer to; no edge is made as a row."""
+    corpus_rows = _document_code(spark, folder)
+    chunks = cut_lineage(X.dedupe_chunks(X.extract_chunks(corpus_rows)))
+    tables = graph.EdgeTables.of(chunks, corpus_rows)
+    edges = tables.counts().select(F.lit("edges").alias("what"), "project_id", F.lit("").alias("file"), "n")
+    return edges.unionByName(tables.fan_in().select(F.lit("fan_in").alias("what"), "project_id", F.col("target_file").alias("file"), "n"))
+
+
+DOCUMENT_SQL = r"""
+src AS (SELECT 'd' || doc_id % 3 AS project_id, '/d' || doc_id % 3 || '/f' || doc_id || '.js' AS file,
+    string_split(replace(text, chr(13), ' '), chr(10)) AS parts FROM documents),
+ln AS (SELECT project_id, file, i, parts[i] AS t, 'f_' || regexp_extract(parts[i], '[A-Za-z]+') AS w1,
+    'f_' || regexp_extract(parts[i], '([A-Za-z]+)[^A-Za-z]*$', 1) AS w2 FROM src, unnest(range(1, len(parts) + 1)) u(i)),
+refs AS (SELECT project_id, file, w AS name, count(*) AS r FROM (
+    SELECT project_id, file, w1 AS w FROM ln UNION ALL SELECT project_id, file, w2 FROM ln) GROUP BY 1, 2, 3),
+defs AS (SELECT project_id, file, w1 AS name, count(*) AS d FROM ln GROUP BY 1, 2, 3)"""
+
+
 FORMS = (
     "import * as ns{k} from './x'\nimport 'side{k}'\nexport { a{k}, b }\nexport * from './y'\nexport default thing{k}\n@Dec{k}(1)\n"
     "export type T{k} = { x: number };\ntype U{k} =\n  | 'a'\n  | 'b';\nexport enum E{k} {\n  A,\n  B\n}"
@@ -112,7 +151,7 @@ def _headings(spark, folder):
 
 def _braces(spark, folder):
     counts = X.brace_counts("content", C.language("file") == "rust")
-    return T.code_corpus(spark, folder).filter(~F.col("file").rlike(r"\.(py|rb|sql)$")).select(
+    return T.code_corpus(spark, folder).select(
         "file", F.posexplode(counts).alias("pos", "c")
     ).filter((F.col("c.open") > 0) | (F.col("c.close") > 0)).select(
         "file", (F.col("pos") + 1).cast("bigint").alias("line"), F.col("c.open").cast("bigint").alias("n_open"),
@@ -367,11 +406,26 @@ QUERIES = {
         f"""WITH {T.CODE_SQL} SELECT project_id, file, name, type, CAST(line AS BIGINT) AS line,
         CAST(line_end AS BIGINT) AS line_end, content, sha256(body) AS body_sha FROM code_chunks""",
     ),
+    "x_document_chunks": (
+        _document_chunks,
+        rf"""WITH {DOCUMENT_SQL} SELECT project_id, file, w1 AS name, 'function' AS type, CAST(i * 4 - 3 AS BIGINT) AS line, CAST(i * 4 AS BIGINT) AS line_end,
+          sha256('function ' || w1 || '(q) {{' || chr(10) || '  // ' || t || chr(10) || '  ' || w2 || '(q)' || chr(10) || '}}') AS body_sha FROM ln""",
+    ),
+    "g8_g9_document_edges": (
+        _document_edges,
+        rf"""WITH {DOCUMENT_SQL},
+        every AS (SELECT project_id, name, sum(r) AS r FROM refs GROUP BY 1, 2), each AS (SELECT project_id, name, sum(d) AS d FROM defs GROUP BY 1, 2),
+        n AS (SELECT project_id, sum(n) AS n FROM (SELECT project_id, r * d AS n FROM every JOIN each USING (project_id, name)
+          UNION ALL SELECT project_id, -r * d FROM refs JOIN defs USING (project_id, file, name)) GROUP BY 1),
+        f AS (SELECT d.project_id, d.file, count(DISTINCT r.file) AS n FROM defs d JOIN refs r ON r.project_id = d.project_id AND r.name = d.name AND r.file <> d.file
+          GROUP BY 1, 2)
+        SELECT 'edges' AS what, project_id, '' AS file, CAST(n AS BIGINT) AS n FROM n WHERE n > 0
+        UNION ALL SELECT * FROM (SELECT 'fan_in', project_id, file, n FROM f ORDER BY n DESC, project_id, file LIMIT 10)""",
+    ),
     "x7_brace_counts": (
         _braces,
         rf"""WITH {T.CODE_SQL}, l AS (SELECT file, i AS line,
-          regexp_replace(parts[i], '''[^'']*''|//.*|^import \{{[^}}]*\}}', '', 'g') AS t FROM (SELECT file, string_split(content, chr(10)) AS parts FROM code
-                WHERE NOT regexp_matches(file, '\.(py|rb|sql)$')), unnest(range(1, len(parts) + 1)) u(i))
+          regexp_replace(parts[i], '''[^'']*''|//.*|^import \{{[^}}]*\}}', '', 'g') AS t FROM (SELECT file, string_split(content, chr(10)) AS parts FROM code), unnest(range(1, len(parts) + 1)) u(i))
         SELECT file, line, length(t) - length(replace(t, '{{', '')) AS n_open,
           length(t) - length(replace(t, '}}', '')) AS n_close FROM l WHERE contains(t, '{{') OR contains(t, '}}')""",
     ),
