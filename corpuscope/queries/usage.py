@@ -7,10 +7,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from corpuscope import dims
-from corpuscope.operators import index_stats, usage
+from corpuscope.operators import index_stats, rollups, usage
 from corpuscope.session import ensure_checkpoint_dir
 from corpuscope.sources import tables as T
 from corpuscope.sources.sinks import append_usage, read_usage
+from corpuscope.sources.usage_log import UsageLog
 
 AS_OF = T.AS_OF
 NOW = f"TIMESTAMP '{AS_OF}'"
@@ -153,6 +154,24 @@ def _usage_log(spark, folder):
     return out.select("project_id", "id", "event_type", "tokens_saved", "tokens_used", F.unix_micros("ts").alias("ts"))
 
 
+_LOGS: dict[tuple[str, str], UsageLog] = {}
+
+
+def usage_log(spark, folder) -> UsageLog:
+    """The event log in three batches of interleaved times, kept for all reports of an application."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _LOGS:
+        log = UsageLog(spark, f"{ensure_checkpoint_dir(spark)}/log-{uuid.uuid4().hex}")
+        for i in range(3):
+            log.append(T.usage_events(spark, folder).filter(f"id % 3 = {i}"))
+        _LOGS[key] = log
+    return _LOGS[key]
+
+
+def _rolled_timeline(period):
+    return lambda s, d: rollups.timeline(usage_log(s, d).partials(period, AS_OF), period, AS_OF)
+
+
 QUERIES = {
     "s13_usage_log": (
         _usage_log,
@@ -212,6 +231,35 @@ QUERIES = {
         count(*) FILTER (event_type = 'file_read') AS file_reads,
         CAST(sum(tokens_saved) FILTER (event_type = 'turn_savings') AS BIGINT) AS turn_savings FROM e""",
     ),
+    **{
+        f"a9_rollup_timeline_{p}": (_rolled_timeline(p), _timeline_sql(p)) for p in ("year", "month", "week", "day")
+    },
+    "a10_rollup_period": (
+        lambda s, d: rollups.by_type(usage_log(s, d).partials("week", AS_OF), "project_id"),
+        f"""WITH {T.USAGE_SQL} SELECT project_id, event_type, count(*) AS n, CAST(sum(tokens_saved) AS BIGINT) AS saved
+        FROM usage WHERE {_in_period('week')} GROUP BY 1, 2""",
+    ),
+    "a11_rollup_queries": (
+        lambda s, d: rollups.top_queries(usage_log(s, d).partials("month", AS_OF)),
+        f"""WITH {T.USAGE_SQL} SELECT m_query AS query,
+        count(*) FILTER (event_type IN ('search', 'index_substitute')) AS count,
+        CAST(sum(CASE WHEN event_type <> 'search' THEN tokens_saved ELSE 0 END) AS BIGINT) AS saved
+        FROM usage WHERE {_in_period('month')} AND m_query IS NOT NULL
+        AND event_type IN ('search', 'search_savings', 'index_substitute')
+        GROUP BY 1 ORDER BY count DESC, query LIMIT 10""",
+    ),
+    "a12_rollup_totals": (
+        lambda s, d: rollups.global_totals(usage_log(s, d).partials("month", AS_OF)),
+        f"""WITH {T.USAGE_SQL}, e AS (SELECT * FROM usage WHERE {_in_period('month')})
+        SELECT count(*) AS total_events, CAST(sum(tokens_saved) AS BIGINT) AS total_saved_tokens,
+        count(*) FILTER (event_type = 'index_substitute') AS index_substitutions,
+        CAST(sum(tokens_saved) FILTER (event_type = 'index_substitute') AS BIGINT) AS index_substitution_saved,
+        count(*) FILTER (event_type IN ('search', 'search_savings')) AS search_substitutions,
+        count(*) FILTER (event_type = 'compression') AS compressed_outputs,
+        CAST(sum(tokens_saved) FILTER (event_type = 'compression') AS BIGINT) AS compression_saved,
+        count(*) FILTER (event_type = 'file_read') AS file_reads,
+        CAST(sum(tokens_saved) FILTER (event_type = 'turn_savings') AS BIGINT) AS turn_savings FROM e""",
+    ),
     "a13_dashboard": (
         lambda s, d: index_stats.dashboard(
             T.projects(s, d), T.file_hashes(s, d), _files_with_chunks(s, d), T.usage_events(s, d)
