@@ -58,6 +58,53 @@ def test_digest_depends_on_its_text_alone():
     assert fp.likeness(alone[2], half) == fp.likeness(half, alone[2])
 
 
+def plain_filters(features: list[int]) -> list[set[int]]:
+    """Bit numbers of each filter of the chain."""
+    out = []
+    for k, h in enumerate(features):
+        if k % 160 == 0:
+            out.append(set())
+        out[-1] |= {h >> 11 * i & 2047 for i in range(5)}
+    return out
+
+
+def plain_likeness(a: list[set[int]], b: list[set[int]]) -> float:
+    if a == b:
+        return 1.0
+    if not a or not b:
+        return 0.0
+    total = weight = 0.0
+    for one in a:
+        best = 0.0
+        for two in b:
+            m, n, common, least = len(one), len(two), len(one & two), min(len(one), len(two))
+            chance = m * n / 2048
+            cut = chance + max(0.1 * (least - chance), 3 * math.sqrt(chance * (1 - m / 2048) * (1 - n / 2048)))
+            value = 1.0 if common >= least else (common - cut) / (least - cut) if common > cut else 0.0
+            best = max(best, min(1.0, max(0.0, value)))
+        total += len(one) * best
+        weight += len(one)
+    return total / weight
+
+
+def test_filters_and_likeness_equal_plain_sets():
+    rng = np.random.default_rng(4)
+    texts = [bytes(rng.choice(list(b"etaoin shrdlu,.ABC"), n).tolist()) for n in (9000, 4000, 700, 12000)]
+    texts += [texts[0][:6000] + texts[1], texts[3][2000:11000], b"short", b""]
+    chains = []
+    for text, found in zip(texts, fp.digests(texts, RANKS), strict=True):
+        bits = [set(np.flatnonzero(np.unpackbits(row)).tolist()) for row in found]
+        if len(text) >= 64:
+            views = np.array([list(text[p:p + 64]) for p in plain_features(text, RANKS)], np.uint8).reshape(-1, 64)
+            assert bits == plain_filters([int(h) for h in fp._mixed(views)])
+        chains.append((found, bits))
+    assert max(len(b) for _, b in chains) > 1
+    for found, bits in chains:
+        for other, more in chains:
+            if len(bits) < len(more) or (len(bits) == len(more) and found.tobytes() <= other.tobytes()):
+                assert abs(fp.likeness(found, other) - plain_likeness(bits, more)) < 1e-9
+
+
 def test_query_pairs_each_document_with_the_next(spark):
     docs = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").collect())
     rows = {r.doc_id: r for r in queries.op2_fingerprint(spark, FOLDER).collect()}
