@@ -107,20 +107,19 @@ def _directory(path: C.ColumnLike) -> Column:
     return F.regexp_replace(C.col(path), r"/?[^/]*$", "")
 
 
-def probe(requests: DataFrame, base: str, listing: DataFrame, suffixes: tuple[str, ...], out: str) -> DataFrame:
-    """First existing ``base + suffix`` per request, in suffix order (null if none exists).
+def stems(listing: DataFrame, suffixes: tuple[str, ...]) -> DataFrame:
+    """(project_id, stem, file): what names each file of listing(project_id, file) once a suffix is put after them; of several files of one
+    stem that of the first suffix. A file ends in few of the suffixes, so it gives few rows."""
+    file = F.col("file")
+    cut = [F.struct(F.when(file.endswith(s), F.left(file, F.length(file) - len(s))).alias("stem"), F.lit(i).alias("pos")) for i, s in enumerate(suffixes)]
+    each = listing.select("project_id", "file", F.explode(F.filter(F.array(*cut), lambda x: x["stem"].isNotNull())).alias("s"))
+    return each.groupBy("project_id", F.col("s.stem").alias("stem")).agg(F.min_by("file", "s.pos").alias("file"))
 
-    Each request becomes one row per suffix, which meets the listing in an equi-join.
-    """
-    key = [c for c in requests.columns]
-    tries = requests.select(
-        "*", F.posexplode(F.array(*[F.concat(F.col(base), F.lit(s)) for s in suffixes])).alias("_pos", "_try")
-    )
-    have = listing.select("project_id", F.col("file").alias("_try"), F.lit(True).alias("_have"))
-    found = tries.join(have, ["project_id", "_try"], "left")
-    return found.groupBy(*key).agg(
-        F.min_by("_try", F.when(F.col("_have"), F.col("_pos"))).alias(out)
-    )
+
+def probe(requests: DataFrame, base: str, listing: DataFrame, suffixes: tuple[str, ...], out: str) -> DataFrame:
+    """First existing ``base + suffix`` per request, in suffix order (null if none exists): one equi-join with the stems of the listing."""
+    known = stems(listing, suffixes).select("project_id", F.col("stem").alias(base), F.col("file").alias(out))
+    return requests.join(known, ["project_id", base], "left").select(*requests.columns, out)
 
 
 def import_references(chunks: DataFrame) -> DataFrame:
