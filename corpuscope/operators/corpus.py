@@ -78,6 +78,13 @@ def read_corpus(
     )
 
 
+def read_listed(listing: DataFrame, max_bytes: int = dims.MAX_FILE_BYTES) -> DataFrame:
+    """Corpus rows of a listing(project_id, file, length, ...), of ``sources.tree`` for one; only files that the filters keep are opened."""
+    kept = listing.filter(listing_filter(max_bytes))
+    content = F.make_valid_utf8(_read_file(F.when(F.col("file").startswith("/"), F.concat(F.lit("file:"), "file")).otherwise(F.col("file"))).cast("string"))
+    return kept.select("project_id", "file", "length", content.alias("content"))
+
+
 @F.pandas_udf(BinaryType())
 def _read_file(paths: pd.Series) -> pd.Series:
     def content(uri: str) -> bytes:

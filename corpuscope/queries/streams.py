@@ -8,8 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from corpuscope.operators import corpus
+from corpuscope.queries.code import PRED_SQL
 from corpuscope.queries.usage import MECH_SQL
 from corpuscope.session import ensure_checkpoint_dir
+from corpuscope.sources import tables as T
+from corpuscope.sources import tree
 from corpuscope.streaming import changes, loops, usage
 
 EVENTS = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
@@ -139,6 +143,49 @@ def _unedited(spark, folder):
     return _drain(loops.unedited_reads(e.where(~edit), e.where(edit)), "append").withColumn("ts", F.unix_micros("ts"))
 
 
+def _tree(spark, folder):
+    """(base, roots) of a fresh folder for the documents as files, one tree for each project."""
+    base = f"{ensure_checkpoint_dir(spark)}/tree-{uuid.uuid4().hex}"
+    sources = spark.read.parquet(f"{folder}/documents.parquet").select("source").distinct().collect()  # one row a project
+    return base, {f"p{r.source[3:]}": f"{base}/work/{r.source}" for r in sources if r.source}
+
+
+def _below(column):
+    return F.regexp_replace(column, "^.*/tree-[0-9a-f]{32}", "")
+
+
+def _read_tree(spark, folder):
+    """Documents written as files, listed by the source and read."""
+    base, roots = _tree(spark, folder)
+    tree.write_tree(T.files(spark, folder), base)
+    out = corpus.read_listed(tree.list_tree(spark, roots))
+    return out.select("project_id", _below("file").alias("file"), "length", F.sha2("content", 256).alias("sha"))
+
+
+def _tree_changes(spark, folder):
+    """The tree without a fifth of the files; then a seventh of all is written anew and an eleventh removed."""
+    base, roots = _tree(spark, folder)
+    files, doc = T.files(spark, folder), F.col("doc_id")
+    state, out = f"{base}-state", f"{base}-out"
+
+    def run(number):
+        stream = tree.tree_changes(spark, roots, f"{state}/snapshots")
+        query = (
+            stream.writeStream.option("checkpointLocation", f"{state}/query").trigger(availableNow=True)
+            .foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/run={number}/batch={n}")).start()
+        )
+        query.awaitTermination()
+
+    tree.write_tree(files.where(doc % 5 != 0), base)
+    run(0)
+    anew = files.where((doc % 7 == 0) & (doc % 11 != 3)).withColumn("content", F.concat("content", F.lit("x")))
+    gone = files.where((doc % 5 != 0) & (doc % 11 == 3)).withColumn("content", F.lit(None).cast("string"))
+    tree.write_tree(anew.unionByName(gone), base)
+    run(1)
+    rows = spark.read.schema(tree.CHANGES + ", run INT, batch INT").parquet(out)
+    return rows.select(F.col("run").cast("bigint").alias("run"), "project_id", _below("file").alias("file"), "action", "length")
+
+
 ISLANDS = """
 {name}_o AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY {key} ORDER BY ts) + INTERVAL {gap} THEN 0 ELSE 1 END AS b FROM {src}),
 {name} AS (SELECT *, sum(b) OVER (PARTITION BY {key} ORDER BY ts) AS g FROM {name}_o)"""
@@ -163,6 +210,17 @@ QUERIES = {
           CASE event_type WHEN 'error' THEN 'delete' WHEN 'signup' THEN 'add' ELSE 'change' END AS action, epoch_us(ts) AS ts
           FROM events WHERE event_id % 5 <> 0 AND event_id % 7 <> 0""",
     ),
+    "s1_source_tree": (
+        _read_tree,
+        f"WITH {PRED_SQL} SELECT project_id, file, length, sha256(content) AS sha FROM kept",
+    ),
+    "r1_tree_changes": (
+        _tree_changes,
+        f"""WITH {PRED_SQL}, f AS (SELECT *, doc_id % 5 <> 0 AS was, (doc_id % 5 <> 0 OR doc_id % 7 = 0) AND doc_id % 11 <> 3 AS is_ FROM pred WHERE NOT ignored)
+        SELECT CAST(0 AS BIGINT) AS run, project_id, file, 'add' AS action, length FROM f WHERE was
+        UNION ALL SELECT 1, project_id, file, CASE WHEN NOT is_ THEN 'delete' WHEN NOT was THEN 'add' ELSE 'change' END,
+          CASE WHEN is_ THEN length + 1 END FROM f WHERE (was AND NOT is_) OR (is_ AND NOT was) OR (is_ AND doc_id % 7 = 0)""",
+    ),
     "r7_recent_edits": (
         _recent_edits,
         """SELECT DISTINCT 's' || user_id AS session_id, json_extract_string(props, '$.k') AS path FROM events""",
