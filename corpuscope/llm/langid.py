@@ -30,7 +30,10 @@ SAMPLE = 4096
 LEAST_PER_LANGUAGE = 8
 RIDGE = 1e-2
 UNDEFINED = "und"
-RESULT = "lang_pred string, score double"
+RESULT = "lang_pred string, score double, known boolean"
+#: A text is in none of the learned languages if the share of its n-grams that are units is below ``COVER`` times that which all but
+#: one in a thousand of the sample's texts reach.
+COVER, COVER_QUANTILE = 0.75, 0.001
 _BLOCK_ROWS, _BLOCK_CHARS = 64, 1 << 20
 
 
@@ -102,8 +105,13 @@ class Model:
         own = np.maximum(x.sum(axis=1), 1)
         return (x @ self.landmarks) * self.scale[None, :] / np.sqrt(own)[:, None]
 
-    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        names, scores = [], np.zeros(len(texts))
+    def covered(self, held: np.ndarray) -> np.ndarray:
+        """Share of each text's n-grams that are units."""
+        return held[:, self.units].sum(axis=1, dtype=np.int64) / np.maximum(held.sum(axis=1, dtype=np.int64), 1)
+
+    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Languages, scores, and whether the text is in a learned language at all."""
+        names, scores, known = [], np.zeros(len(texts)), np.zeros(len(texts), bool)
         for at in range(0, len(texts), _BLOCK_ROWS):
             held, lettered = presence(texts[at:at + _BLOCK_ROWS])
             if not self.languages:
@@ -113,7 +121,8 @@ class Model:
             best = values.argmax(axis=1)
             names += [self.languages[b] if ok else UNDEFINED for b, ok in zip(best, lettered, strict=True)]
             scores[at:at + len(held)] = np.where(lettered, np.clip((values.max(axis=1) + 1) / 2, 0, 1), 0)
-        return names, scores
+            known[at:at + len(held)] = lettered & (self.covered(held) >= self.least_cover)
+        return names, scores, known
 
 
 def fit(packed: np.ndarray, langs: list[str]) -> Model:
@@ -130,7 +139,13 @@ def fit(packed: np.ndarray, langs: list[str]) -> Model:
     marks = held[:, units].astype(np.float32).T
     scale = 1 / np.sqrt(np.maximum(marks.sum(axis=0), 1))
     model = Model(names, units, marks, scale, np.zeros((len(chosen), len(names))))
-    gram = np.concatenate([model.kernel(np.unpackbits(packed[at:at + 128], axis=1)) for at in range(0, len(packed), 128)]).astype(np.float64)
+    parts, covers = [], []
+    for at in range(0, len(packed), 128):
+        held = np.unpackbits(packed[at:at + 128], axis=1)
+        parts.append(model.kernel(held))
+        covers.append(model.covered(held))
+    gram = np.concatenate(parts).astype(np.float64)
+    model.least_cover = COVER * float(np.quantile(np.concatenate(covers), COVER_QUANTILE))
     values, vectors = np.linalg.eigh(gram[chosen])
     root = vectors / np.sqrt(np.maximum(values, 1e-6)) @ vectors.T
     z = gram @ root
@@ -172,14 +187,15 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", into: str = "language") -> DataFrame:
-    """``docs`` with a struct (lang_pred, score) as column ``into``; every row and other column stays. ``und`` with score 0 where
-    the text is null or has no letter. No shuffle."""
+    """``docs`` with a struct (lang_pred, score, known) as column ``into``; every row and other column stays. ``und`` with score 0 where
+    the text is null or has no letter. ``known`` is false for these, and where too few of the n-grams occur in the learned languages. No
+    shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by LANDMARKS, UNITS and the number of languages
 
     @F.pandas_udf(RESULT)
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            names, scores = shared.value.predict([t if isinstance(t, str) else "" for t in texts])
-            yield pd.DataFrame({"lang_pred": np.array(names, object), "score": scores})
+            names, scores, known = shared.value.predict([t if isinstance(t, str) else "" for t in texts])
+            yield pd.DataFrame({"lang_pred": np.array(names, object), "score": scores, "known": known})
 
     return docs.withColumn(into, scored(F.col(text)))

@@ -70,6 +70,15 @@ def test_weights_equal_a_dense_solve():
     assert np.abs(plain - held).max() < 1e-2 and (plain.argmax(axis=1) == held.argmax(axis=1)).all()
 
 
+def test_texts_in_other_languages_are_not_known(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    model = langid.train(docs)
+    odd = ["Это русский текст о погоде и природе. " * 5, "これは日本語の文章です" * 10, "xkq zzv qwp jjx vvk qqz wxk zzx kkq vzx " * 20, "12 34", ""]
+    assert model.predict(odd)[2].tolist() == [False] * 5
+    own = [r.text for r in docs.where("text is not null").collect() if any(unicodedata.category(c).startswith("L") for c in r.text)]
+    assert model.predict(own)[2].all()
+
+
 def test_every_language_is_learned(spark, monkeypatch):
     monkeypatch.setattr(langid, "LANDMARKS", 8)
     monkeypatch.setattr(langid, "SAMPLE", 40)
@@ -98,4 +107,4 @@ def test_odd_rows(spark):
     assert (got[1], got[2], got[3], got[None], got[5], got[6]) == ("und", "und", "und", "en", "en", "de")
     empty = docs.limit(0)
     assert langid.predict(empty, langid.train(empty)).count() == 0
-    assert {r.language.lang_pred for r in langid.predict(docs, langid.train(empty)).collect()} == {"und"}
+    assert {(r.language.lang_pred, r.language.known) for r in langid.predict(docs, langid.train(empty)).collect()} == {("und", False)}
