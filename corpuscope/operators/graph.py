@@ -207,10 +207,15 @@ class EdgeTables:
         return out.unionByName(into).unionByName(related(near, symbols, keys))
 
     def impacted(self, files: DataFrame) -> DataFrame:
-        """Dependents of the given files(project_id, file); only their definitions are paired with references."""
+        """Dependents of the given files(project_id, file); only their definitions are paired with references, and only imports of a path
+        that can mean one of them are resolved: the path itself, or that without a suffix."""
         asked = files.select("project_id", F.col("file").alias("target_file")).distinct()
         named = symbol_edges(self.references, self.definitions.join(asked, ["project_id", "target_file"], "left_semi"))
-        return impacted(named.unionByName(resolve_imports(self.imports, self.listing)), files)
+        file = F.col("target_file")
+        cut = F.array(file, *[F.when(file.endswith(s), F.left(file, F.length(file) - len(s))) for s in dims.IMPORT_SUFFIXES])
+        meant = asked.select("project_id", F.explode(F.array_compact(cut)).alias("path")).distinct()
+        near = self.imports.join(meant, ["project_id", "path"], "left_semi")
+        return impacted(named.unionByName(resolve_imports(near, self.listing)), files)
 
 
     def _referrers(self, files: DataFrame, imported: DataFrame) -> DataFrame:
