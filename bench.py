@@ -23,7 +23,7 @@ HEADLINE = (
     "a6_usage_summary", "a9_timeline_month", "a11_top_queries", "w1_cumulative_savings",
     "w1_cumulative_by_project", "j1_index_health", "w4_hot_files", "a2_chunks_by_lang_and_type",
     "c2_collapse_runs", "c7_compact_structural", "c11_compact_semantic",
-    "q8_search_ranked", "q8_search_benchmark_batch", "q11_file_snippets", "q13_result_pages",
+    "q8_search_ranked", "q8_search_benchmark_batch", "q8_search_stored", "q11_file_snippets", "q13_result_pages",
     "x_symbol_chunks", "x21_html_chunks", "x24_markdown_headings", "g1_g4_edges", "g10_related_text",
     "d1_d2_changes", "d3_replace_by_file", "s1_corpus_scan", "p1_classify_calls", "w6_loop_detection",
     "w7_conversation_terms", "j8_reuse",
