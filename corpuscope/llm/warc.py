@@ -198,7 +198,7 @@ def write_archives(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     Of equal payloads of at least ``REVISIT_BYTES`` bytes the one with the smallest page_id is the response, the others
     revisit it. A null html is an empty payload. Of repeated rows of that id one, with the smallest url, is the response and the others
     revisit their own id, wherever they stand. Null page ids come after all others. Digests alone decide who is first: only (id, digest)
-    rows meet there, and a digest that many pages share is counted before the shuffle and split in the join. Payloads are dealt
+    rows meet there, and a digest that many pages share is counted before the shuffle and split in the join. Payloads are dealt at most
     once, by page.
     """
     folder = fresh_path(pages.sparkSession, "warc")
