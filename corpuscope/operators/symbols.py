@@ -25,6 +25,8 @@ from corpuscope.functions import columns as C
 from corpuscope.operators import rules as R
 
 FILE = ["project_id", "file"]
+#: Text of a task: events of a file take many times its own size in memory. Fewer bytes than ``LEAST_TEXT`` aren't worth a task.
+TASK_TEXT, LEAST_TEXT = 2 << 20, 64 << 10
 FLAT = ("css", "scss", "json", "yaml", "toml", "markdown")
 BLOCK = tuple(name for name in R.LANGUAGES if name not in FLAT)
 # Separators of the marked-up text: before a line, before a rule, before a field.
@@ -453,9 +455,21 @@ def _named(decls: DataFrame) -> DataFrame:
 IMPL_RULE = [i for i, r in enumerate(RULES) if r.content == "impl {name}"]
 
 
+def file_partitions(corpus: DataFrame) -> int | None:
+    """Tasks that the texts of a corpus are dealt to, by their size; one pass over them. Adaptive execution would go by the compressed size
+    and the number of cores, so that a task's events grow with the corpus."""
+    if corpus.isStreaming:
+        return None
+    size = int(corpus.agg(F.sum(F.octet_length("content").cast("bigint"))).first()[0] or 0)
+    cores = corpus.sparkSession.sparkContext.defaultParallelism
+    return max(1, min(cores, size // LEAST_TEXT), size // TASK_TEXT)
+
+
 def block_chunks(corpus: DataFrame, partitions: int | None = None) -> DataFrame:
     """Chunks of the languages whose declarations span blocks."""
     langs = corpus.filter(F.col("lang").isin(*BLOCK)).select(*FILE, "lang", "content")
+    # A constant project would drop out of the windows' keys, and all events would be shuffled again to meet these.
+    langs = langs.withColumn("project_id", F.concat("project_id", F.left("file", F.lit(0))))
     by_file = langs.repartition(partitions, *FILE) if partitions else langs.repartition(*FILE)
     rows = by_file.select(
         *FILE, "lang", C.line_count("content").alias("n_lines"), F.explode(file_events(corpus)).alias("e")
@@ -468,7 +482,7 @@ def block_chunks(corpus: DataFrame, partitions: int | None = None) -> DataFrame:
         "id", "name", "type", "line", "end", "content", "rule", sliced.alias("sliced")
     )
     per_file = decls.groupBy(*FILE).agg(F.collect_list(item).alias("_decls"))
-    joined = by_file.join(per_file, FILE)
+    joined = by_file.join(per_file.hint("merge"), FILE)  # both are dealt by file; neither is bounded
 
     def bodies(lines: Column) -> Column:
         return F.transform(
@@ -561,16 +575,25 @@ def extract_chunks(corpus: DataFrame, partitions: int | None = None) -> DataFram
     ``seq`` orders chunks that share a place, as the rules are ordered.
     """
     df = corpus if "lang" in corpus.columns else corpus.withColumn("lang", C.language("file"))
+    partitions = partitions or file_partitions(corpus)
     return (
         block_chunks(df, partitions).unionByName(flat_chunks(df)).unionByName(inline_chunks(df))
     )
 
 
-def dedupe_chunks(chunks: DataFrame) -> DataFrame:
-    """One chunk per (file, name, type, line), the first rule's, with the stored content cut."""
+def dedupe_chunks(chunks: DataFrame, partitions: int | None = None) -> DataFrame:
+    """One chunk per (file, name, type, line), the first rule's, with the stored content cut. ``partitions``: tasks that the files are dealt to."""
     key = ["project_id", "file", "name", "type", "line"]
     first = Window.partitionBy(*key).orderBy("seq")
+    if partitions:
+        chunks = chunks.withColumn("project_id", F.concat("project_id", F.left("file", F.lit(0)))).repartition(partitions, *FILE)
     return (
         chunks.withColumn("_rn", F.row_number().over(first)).filter(F.col("_rn") == 1).drop("_rn", "seq")
         .withColumn("content", C.truncate("content"))
     )
+
+
+def corpus_chunks(corpus: DataFrame) -> DataFrame:
+    """The chunks of a corpus as they are stored: one for each (file, name, type, line)."""
+    partitions = file_partitions(corpus)
+    return dedupe_chunks(extract_chunks(corpus, partitions), partitions)

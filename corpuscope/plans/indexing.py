@@ -25,13 +25,13 @@ def _meta(projects: DataFrame, ts) -> DataFrame:
 def build_index(files: DataFrame, max_files: int | None = None) -> tuple[DataFrame, graph.EdgeTables, DataFrame]:
     """(chunks, edge tables, hashes) of a listing with contents, as one lazy lineage."""
     kept = corpus.scan_corpus(files, max_files=max_files)
-    chunks = symbols.dedupe_chunks(symbols.extract_chunks(kept))
+    chunks = symbols.corpus_chunks(kept)
     return chunks, graph.EdgeTables.of(chunks, kept), incremental.hash_files(kept)
 
 
 def _write_symbols(store: IndexStore, kept: DataFrame, run: str) -> None:
     """Chunks of the files, then references and imports of the written chunks: sources are parsed once."""
-    store.write("chunks", symbols.dedupe_chunks(symbols.extract_chunks(kept)), run)
+    store.write("chunks", symbols.corpus_chunks(kept), run)
     chunks = store.written("chunks", run)
     store.write("references", graph.references(chunks), run)
     store.write("imports", graph.import_references(chunks), run)

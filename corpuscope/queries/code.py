@@ -35,7 +35,7 @@ def _chunk_rows(spark, folder):
 def _edge_tables(spark, folder):
     """Edges from a stored chunk table, as the index job derives them: the corpus is parsed once."""
     corpus_rows = T.code_corpus(spark, folder)
-    chunks = cut_lineage(X.dedupe_chunks(X.extract_chunks(corpus_rows)))
+    chunks = cut_lineage(X.corpus_chunks(corpus_rows))
     return graph.EdgeTables.of(chunks, corpus_rows)
 
 
@@ -69,14 +69,14 @@ def _document_code(spark, folder):
 
 
 def _document_chunks(spark, folder):
-    out = X.dedupe_chunks(X.extract_chunks(_document_code(spark, folder)))
+    out = X.corpus_chunks(_document_code(spark, folder))
     return out.select("project_id", "file", "name", "type", *[F.col(c).cast("bigint").alias(c) for c in LONG], F.sha2("body", 256).alias("body_sha"))
 
 
 def _document_edges(spark, folder):
     """Edges per project, and the ten files that most others refer to; no edge is made as a row."""
     corpus_rows = _document_code(spark, folder)
-    chunks = cut_lineage(X.dedupe_chunks(X.extract_chunks(corpus_rows)))
+    chunks = cut_lineage(X.corpus_chunks(corpus_rows))
     tables = graph.EdgeTables.of(chunks, corpus_rows)
     edges = tables.counts().select(F.lit("edges").alias("what"), "project_id", F.lit("").alias("file"), "n")
     return edges.unionByName(tables.fan_in().select(F.lit("fan_in").alias("what"), "project_id", F.col("target_file").alias("file"), "n"))
@@ -109,7 +109,7 @@ def _forms(spark, folder):
     files = T.table(spark, folder, "part").select(
         F.lit("f").alias("project_id"), F.concat(F.lit("/f/p"), k, F.lit(".ts")).alias("file"),
         F.replace(F.lit(FORMS), F.lit("{k}"), k.cast("string")).alias("content"))
-    return X.dedupe_chunks(X.extract_chunks(files)).select("file", "type", "name", *[F.col(c).cast("bigint").alias(c) for c in LONG])
+    return X.corpus_chunks(files).select("file", "type", "name", *[F.col(c).cast("bigint").alias(c) for c in LONG])
 
 
 def _config(spark, folder):
@@ -161,8 +161,10 @@ def _braces(spark, folder):
 
 def _sinks(spark, folder):
     """Each chunk inserted twice: the sink keeps one."""
-    twice = _code_chunks(spark, folder)
-    kept = X.dedupe_chunks(twice.unionByName(twice))
+    code = T.code_corpus(spark, folder)
+    partitions = X.file_partitions(code)
+    twice = X.extract_chunks(code, partitions)
+    kept = X.dedupe_chunks(twice.unionByName(twice), partitions)
     return kept.groupBy("project_id", "type").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -388,7 +390,7 @@ def _paths(spark, folder):
 def _indexed(spark, folder):
     """Whole index of the code corpus: chunks, hashed files and edges per project."""
     kept = corpus.scan_corpus(T.code_corpus(spark, folder), max_files=None)
-    chunks = cut_lineage(X.dedupe_chunks(X.extract_chunks(kept)))
+    chunks = cut_lineage(X.corpus_chunks(kept))
     return index_stats.index_counts(chunks, incremental.hash_files(kept), graph.EdgeTables.of(chunks, kept).counts())
 
 

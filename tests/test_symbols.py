@@ -404,3 +404,18 @@ def test_brace_counts(spark):
     df = spark.createDataFrame([("a { '}' } // {\n}\n",)], "t string")
     counts = df.select(symbols.brace_counts("t").alias("c")).first().c
     assert [(c.open, c.close) for c in counts] == [(1, 1), (0, 1), (0, 0)]
+
+
+def test_a_constant_project_moves_only_texts(spark):
+    """Events stay where their file went, in as many tasks as the texts need, and neither side of the join with the texts is broadcast."""
+    text = "export function f(a) {\n  return g(a)\n}\n" * 400
+    files = spark.range(300).select(F.lit("f").alias("project_id"), F.concat(F.lit("/f"), "id", F.lit(".ts")).alias("file"), F.lit(text).alias("content"))
+    parts = symbols.file_partitions(files)
+    out = symbols.corpus_chunks(files)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert parts >= 300 * len(text) // symbols.TASK_TEXT and "Broadcast" not in plan
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert dealt and all(f", {parts}), REPARTITION_BY_NUM" in line for line in dealt)
+    assert symbols.file_partitions(files.limit(1)) == 1
+    few = symbols.corpus_chunks(files.limit(3))
+    assert few.filter("type = 'function'").count() == 3 * 400
