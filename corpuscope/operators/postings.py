@@ -4,7 +4,7 @@ A search term consists of letters a-z, digits and underscores, so every occurren
 The index therefore keeps
 
 * ``rows``: the chunks, numbered by (project, length); 512 neighbours are a block,
-* ``postings``: per project, word and block the rows that hold the word, with counts and lengths,
+* ``postings``: per project, word and block the rows that hold the word anywhere, with lengths and the counts in name and content,
 * ``words``: the two- and three-letter grams of each distinct word, with the number of rows that hold it,
 * ``stats``: chunks and total length per project.
 
@@ -38,12 +38,12 @@ LIST_LIMIT = 2_000
 NEAR = 1e-9
 
 WORD_RE = "[a-z0-9_]+"
-#: Which text a posting is about: name and content (ranked search), or these and the body (fallback).
-INDEXED, ANYWHERE = "indexed", "anywhere"
+#: Bytes of content and body of a task that numbers rows or gathers words, and of one that writes postings; fewer than the last aren't worth one.
+TASK_TEXT, WRITE_TEXT, LEAST_TEXT = 8 << 20, 32 << 20, 64 << 10
 _CHUNK = [c.strip().split(" ")[0] for c in schemas.CHUNKS.split(",")]
 TABLES = {
     "rows": schemas.CHUNKS + ", row BIGINT, len INT",
-    "postings": "project_id STRING, field STRING, word STRING, block BIGINT, entries ARRAY<STRUCT<slot: INT, tf: INT, len: INT>>, part INT",
+    "postings": "project_id STRING, word STRING, block BIGINT, entries ARRAY<STRUCT<slot: INT, tf: INT, len: INT>>, part INT",
     "words": "gram STRING, word STRING, rows BIGINT, part INT",
     "stats": "project_id STRING, n_docs BIGINT, total_len BIGINT",
 }
@@ -57,22 +57,40 @@ def _part(key: str) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(PARTS)).cast("int")
 
 
-def row_postings(rows: DataFrame) -> DataFrame:
-    """(project_id, field, word, block, entries) of numbered rows. Entries of a block are at most its rows."""
+def text_tasks(chunks: DataFrame, task_bytes: int) -> int:
+    """Tasks that chunks are dealt to by the size of their texts, so that a task's words don't grow with the corpus."""
+    size = sum(F.coalesce(F.octet_length(c), F.lit(0)).cast("bigint") for c in ("content", "body"))
+    total = int(chunks.agg(F.sum(size)).first()[0] or 0)
+    return max(1, min(chunks.sparkSession.sparkContext.defaultParallelism, total // LEAST_TEXT), total // task_bytes)
+
+
+def row_postings(rows: DataFrame, tasks: int | None = None) -> DataFrame:
+    """(project_id, word, block, entries) of numbered rows: each row that holds the word anywhere, with its occurrences in name and content
+    (0: in the body only, or too short a word to rank). Entries of a block are at most its rows.
+
+    Texts are dealt by block once; words are counted and gathered where their block is."""
     slot = F.col("row").bitwiseAND((1 << BLOCK_BITS) - 1).cast("int")
-    base = rows.withColumn("block", F.shiftright("row", BLOCK_BITS)).withColumn("slot", slot)
-    place = ["project_id", "block", "slot", "len"]
-    ranked = base.select(*place, F.explode(F.filter(F.concat(_words("name"), _words("content")), lambda w: F.length(w) >= 3)).alias("word"))
-    ranked = ranked.groupBy(*place, "word").agg(F.count("*").cast("int").alias("tf")).withColumn("field", F.lit(INDEXED))
-    every = F.array_distinct(F.filter(F.concat(_words("name"), _words("content"), _words("body")), lambda w: F.length(w) >= 2))
-    anywhere = base.select(*place, F.explode(every).alias("word"), F.lit(0).alias("tf"), F.lit(ANYWHERE).alias("field"))
-    return ranked.unionByName(anywhere).groupBy("project_id", "field", "word", "block").agg(
-        F.sort_array(F.collect_list(F.struct("slot", "tf", "len"))).alias("entries"))
+    base = rows.select("project_id", F.shiftright("row", BLOCK_BITS).alias("block"), slot.alias("slot"), "len", "name", "content", "body")
+    base = base.repartition(tasks, "block") if tasks else base.repartition("block")
+    held = F.filter(F.concat(_words("name"), _words("content")), lambda w: F.length(w) >= 2)
+    more = F.when(F.col("content").eqNullSafe(F.col("body")), F.array().cast("array<string>")).otherwise(
+        F.array_distinct(F.filter(_words("body"), lambda w: F.length(w) >= 2)))
+    each = F.concat(
+        F.transform(held, lambda w: F.struct(w.alias("word"), F.when(F.length(w) >= 3, 1).otherwise(0).alias("n"))),
+        F.transform(more, lambda w: F.struct(w.alias("word"), F.lit(0).alias("n"))))
+    found = base.select("project_id", "block", "slot", "len", F.inline(each)).groupBy("project_id", "block", "word", "slot", "len").agg(
+        F.sum("n").cast("int").alias("tf"))
+    return found.groupBy("project_id", "word", "block").agg(F.sort_array(F.collect_list(F.struct("slot", "tf", "len"))).alias("entries"))
+
+
+def indexed(entries: Column | str) -> Column:
+    """Entries of the rows that hold the word in name or content."""
+    return F.filter(entries, lambda e: e["tf"] > 0)
 
 
 def word_grams(postings: DataFrame) -> DataFrame:
     """(gram, word, rows): the two- and three-letter grams of all words; rows that hold the word anywhere."""
-    words = postings.where(F.col("field") == ANYWHERE).groupBy("word").agg(F.sum(F.size("entries")).alias("rows"))
+    words = postings.groupBy("word").agg(F.sum(F.size("entries")).alias("rows"))
     grams = F.array_distinct(F.concat(S.grams(F.col("word"), 3), S.grams(F.col("word"), 2)))
     return words.select(F.explode(grams).alias("gram"), "word", "rows")
 
@@ -88,15 +106,16 @@ class PostingIndex:
         """Index the chunks as one segment; a repeated call replaces it. Rows of one project and like length become neighbours."""
         path = lambda name: f"{self.root}/{name}/segment={segment}"
         order = ["project_id", "len", "file", "line"]
+        tasks, writers = (text_tasks(chunks, size) for size in (TASK_TEXT, WRITE_TEXT))
         numbered = (
-            chunks.select(*_CHUNK).withColumn("len", S._doc_length().cast("int")).repartitionByRange(*order)
+            chunks.select(*_CHUNK).withColumn("len", S._doc_length().cast("int")).repartitionByRange(tasks, *order)
             .sortWithinPartitions(*order).withColumn("row", F.monotonically_increasing_id())
         )
         numbered.write.mode("overwrite").parquet(path("rows"))
         rows = self.read("rows", segment)
-        for name, df, key in (("postings", row_postings(rows), "word"), ("words", None, "gram")):
+        for name, df, key in (("postings", row_postings(rows, tasks), "word"), ("words", None, "gram")):
             df = word_grams(self.read("postings", segment)) if df is None else df
-            dealt = df.withColumn("part", _part(key)).repartition("part", key).sortWithinPartitions("part", key)
+            dealt = df.withColumn("part", _part(key)).repartition(writers, "part", key).sortWithinPartitions("part", key)
             dealt.write.mode("overwrite").partitionBy("part").parquet(path(name))
         stats = rows.groupBy("project_id").agg(F.count("*").alias("n_docs"), F.sum("len").alias("total_len"))
         stats.write.mode("overwrite").parquet(path("stats"))
@@ -146,9 +165,12 @@ class PostingIndex:
         return cut_lineage(gone.select("segment", "project_id", "len", F.shiftright("row", BLOCK_BITS).alias("block"),
                                        F.col("row").bitwiseAND((1 << BLOCK_BITS) - 1).cast("int").alias("slot")))
 
-    def _postings(self, asked: DataFrame, field: str, dead: DataFrame | None) -> DataFrame:
-        """Postings of asked(project_id, term, word, occurrences), without dead rows."""
-        out = self._asked("postings", "word", asked).where(F.col("field") == field).join(asked, ["project_id", "word"])
+    def _postings(self, asked: DataFrame, ranked: bool, dead: DataFrame | None) -> DataFrame:
+        """Postings of asked(project_id, term, word, occurrences), without dead rows. ``ranked``: of words in name and content only."""
+        out = self._asked("postings", "word", asked)
+        if ranked:
+            out = out.withColumn("entries", indexed("entries")).where(F.size("entries") > 0)
+        out = out.join(asked, ["project_id", "word"])
         if dead is None:
             return out
         slots = dead.groupBy("segment", "block").agg(F.collect_set("slot").alias("dead"))
@@ -164,7 +186,7 @@ class PostingIndex:
 
     def term_rows(self, asked: DataFrame, dead: DataFrame | None = None) -> DataFrame:
         """(project_id, term, segment, block, slot, gain, n_docs) of the rows that hold a term in name or content."""
-        hits = self._postings(asked, INDEXED, dead).select("project_id", "term", "segment", "block", "occurrences", F.explode("entries").alias("e"))
+        hits = self._postings(asked, True, dead).select("project_id", "term", "segment", "block", "occurrences", F.explode("entries").alias("e"))
         rows = hits.groupBy("project_id", "term", "segment", "block", "e.slot", "e.len").agg(F.sum(F.col("occurrences") * F.col("e.tf")).alias("tf"))
         return rows.join(self._stats(dead), "project_id").select(
             "project_id", "term", "segment", "block", "slot", S._gain(F.col("tf"), F.col("len"), F.col("avg_len")).alias("gain"), "n_docs")
@@ -216,7 +238,7 @@ class PostingIndex:
         """
         most = words.agg(F.max("n")).first()[0]
         row = F.shiftleft("block", BLOCK_BITS).bitwiseOR(F.col("e.slot").cast("bigint"))
-        held = self._postings(self._words_of(words), ANYWHERE, dead).select("project_id", "term", "segment", "block", F.explode("entries").alias("e"))
+        held = self._postings(self._words_of(words), False, dead).select("project_id", "term", "segment", "block", F.explode("entries").alias("e"))
         held = held.select("project_id", "term", "segment", row.alias("row")).distinct()
         every = held.join(words.where("narrow"), ["project_id", "term"])
         wide = words.where("not narrow")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from corpuscope.operators import rendering as R
 from corpuscope.operators import search as Q
-from corpuscope.operators.postings import INDEXED, PostingIndex
+from corpuscope.operators.postings import PostingIndex, indexed
 from corpuscope.plans.tools import Workspace
 from corpuscope.session import ensure_checkpoint_dir
 from corpuscope.sources import tables as T
@@ -149,7 +149,7 @@ def _stored(queries, **options):
 
 def _posting_table(spark, folder):
     """Rows and occurrences of each word of each project, from the stored postings."""
-    held = stored_index(spark, folder).read("postings").where(F.col("field") == INDEXED)
+    held = stored_index(spark, folder).read("postings").withColumn("entries", indexed("entries")).where(F.size("entries") > 0)
     return held.groupBy("project_id", "word").agg(
         F.sum(F.size("entries").cast("bigint")).alias("docs"),
         F.sum(F.aggregate("entries", F.lit(0).cast("bigint"), lambda acc, e: acc + e["tf"])).alias("occurrences"))

@@ -99,3 +99,19 @@ def test_a_searchable_store_follows_its_runs(spark, tmp_path):
     assert len(want) == 27 and found(store.search(queries)) == want
     store.fold()
     assert found(store.search(queries)) == want
+
+
+def test_words_are_gathered_where_their_block_is(spark, tmp_path):
+    """Texts move once, by block; a row is held once per word, with its occurrences in name and content."""
+    index = postings.PostingIndex(spark, str(tmp_path))
+    index.add(spark.createDataFrame([
+        ("p", "0", "f", "Needle", "function", 1, 1, "needle ab needle", "needle ab needle", "go"),
+        ("p", "1", "f", "x", "function", 2, 2, "cut", "cut needle needle ab", "go")], schemas.CHUNKS), "one")
+    rows = index.read("rows")
+    plan = postings.row_postings(rows, 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "hashpartitioning(block" in plan
+    held = {(r.word, e.tf) for r in index.read("postings").collect() for e in r.entries}
+    assert held == {("needle", 3), ("needle", 0), ("ab", 0), ("cut", 1)}
+    assert {r.word: r.rows for r in index.read("words").filter("length(gram) = 2").collect()} == {"needle": 2, "ab": 2, "cut": 1}
+    texts = index.read("rows").select("content", F.repeat("body", 1 << 20).alias("body"))
+    assert postings.text_tasks(texts, postings.TASK_TEXT) >= (36 << 20) // postings.TASK_TEXT
