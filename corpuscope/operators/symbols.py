@@ -471,9 +471,9 @@ def block_chunks(corpus: DataFrame, partitions: int | None = None) -> DataFrame:
     # A constant project would drop out of the windows' keys, and all events would be shuffled again to meet these.
     langs = langs.withColumn("project_id", F.concat("project_id", F.left("file", F.lit(0))))
     by_file = langs.repartition(partitions, *FILE) if partitions else langs.repartition(*FILE)
-    rows = by_file.select(
-        *FILE, "lang", C.line_count("content").alias("n_lines"), F.explode(file_events(corpus)).alias("e")
-    ).select(*FILE, "lang", "n_lines", "e.*")
+    # Beside a generator a column is worked out for every row that it gives, from the whole text each time.
+    whole = C.pinned(by_file, n_lines=C.line_count("content"), events=file_events(corpus))
+    rows = whole.select(*FILE, "lang", "n_lines", F.explode("events").alias("e")).select(*FILE, "lang", "n_lines", "e.*")
     decls = _named(with_scope(with_extents(rows)))
     # Rust: an impl without a name declares nothing; a bodiless type is its own line.
     decls = decls.filter(~(F.col("rule").isin(IMPL_RULE) & (F.col("name") == "file")))

@@ -419,3 +419,12 @@ def test_a_constant_project_moves_only_texts(spark):
     assert symbols.file_partitions(files.limit(1)) == 1
     few = symbols.corpus_chunks(files.limit(3))
     assert few.filter("type = 'function'").count() == 3 * 400
+
+
+def test_text_is_not_read_again_for_every_event(spark):
+    """Line counts are worked out before the events of a file are exploded: beside the generator they'd cost a pass over the text each."""
+    files = spark.createDataFrame([("p", "/a.ts", "class A {\n}")], "project_id string, file string, content string")
+    plan = symbols.block_chunks(files.withColumn("lang", F.lit("typescript")), 2)._jdf.queryExecution().optimizedPlan().toString()
+    exploded = [line for line in plan.splitlines() if "Generate explode(" in line and "[e#" in line]
+    assert exploded and all("explode(events#" in line for line in exploded)
+    assert not any("length(content" in line and "e#" in line for line in plan.splitlines() if line.lstrip("+- :").startswith("Project"))
