@@ -2,8 +2,8 @@
 
 Words are emitted in two steps, so that the model stays small while the vocabulary grows with the corpus: a hidden state emits a
 word class, the class emits the word by its exact training count. The most frequent words are classes of their own, the others share
-one by their ending. Baum-Welch counts (starts, transitions, emissions) are gathered by every task over all training
-texts and summed by Spark; scoring is the scaled forward recursion over the whole text, which is its exact likelihood.
+one by their ending. The start values come from the counts of neighbouring tokens, Baum-Welch counts (starts, transitions, emissions) from
+the recursions; both are gathered by every task over all training texts and summed by Spark. Scoring is the scaled forward recursion over the whole text, which is its exact likelihood.
 
 Counts of all words stay in a table. Only the most frequent ones travel to the tasks; occurrences of the rest are joined with it.
 """
@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuscope.llm.common import ascii_words, map_batches, most_frequent, regroup, segment_sum, take_ragged, written
+from corpuscope.llm.common import ascii_words, give_back, map_batches, most_frequent, regroup, segment_sum, take_ragged, written
 
 STATES = 12
 #: Classes: this many frequent words have their own, the endings share so many others; the end of a text has one.
@@ -33,8 +33,12 @@ ENDING_BYTES = 3
 END = b"\n"
 #: Baum-Welch: rounds over all training texts, tokens of a block (forward values are kept at block ends), pseudo-counts.
 ROUNDS, BLOCK, PSEUDO = 2, 512, 0.01
-#: The start values come from a sample of so many to twice as many blocks of training texts of any length, and so many rounds.
-START_BLOCKS, START_ROUNDS = 1500, 6
+#: Forward values that are held at once, in tokens; a block of fewer texts may be shorter.
+CELLS = 1 << 17
+#: The start values come from the counts of all neighbouring tokens, in so many coarse classes: frequent words, then the others' classes by remainder.
+COARSE, COARSE_OWN = 512, 255
+#: Random starts for these counts and their rounds, and the rounds of the best one.
+PAIR_STARTS, PAIR_ROUNDS, MORE_ROUNDS = 4, 40, 160
 COUNT_ROWS = 600_000
 _SCORED = (
     "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, log_counts double, log_classes double, log_states double, "
@@ -148,42 +152,49 @@ class Chain:
         order, live = _by_length(bounds)
         begin, k = bounds[:-1][order], len(self.start)
         first = np.ones(len(order), bool) if first is None else first[order]
-        start = np.where(first[:, None], self.start, self.usual())
+        start = np.where(first[:, None], self.start, self.usual()) if not first.all() else np.broadcast_to(self.start, (len(order), k))
+        back = np.ascontiguousarray(self.move.T)
 
-        def onward(at: int, alpha: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-            alphas, scales = [], []
+        def onward(at: int, alpha: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+            alphas, scales, emitted = [], [], []
             for t in range(at, min(at + BLOCK, len(live))):
                 n = live[t]
-                alpha = (alpha[:n] @ self.move if t else start[:n]) * self.emit[classes[begin[:n] + t]]
-                scale = alpha.sum(axis=1)
-                alpha = alpha / scale[:, None]
+                seen = self.emit.take(classes[begin[:n] + t], axis=0)
+                alpha = (alpha[:n] @ self.move if t else start[:n]) * seen
+                scale = 1 / alpha.sum(axis=1, keepdims=True)
+                alpha *= scale
                 alphas.append(alpha)
                 scales.append(scale)
-            return alphas, scales
+                emitted.append(seen)
+            return alphas, scales, emitted
 
         heads = [start]
         cuts = range(0, len(live), BLOCK)
         for at in cuts[:-1]:
             heads.append(onward(at, heads[-1])[0][-1])
-        beta, after = np.ones((0, k)), np.ones(0)
+        ahead, pairs = np.ones((0, k)), np.zeros((k, k))
         for at, head in zip(reversed(cuts), reversed(heads), strict=False):
-            alphas, scales = onward(at, head)
+            alphas, scales, emitted = onward(at, head)
             gammas, places = [], []
             for t in range(at + len(alphas) - 1, at - 1, -1):
-                n, m, alpha = live[t], len(beta), alphas[t - at]
-                whole = np.ones((n, k))  # sequences that end here
+                n, m, alpha = live[t], len(ahead), alphas[t - at]
+                beta = np.ones((n, k))  # sequences that end here
                 if m:
-                    ahead = self.emit[classes[begin[:m] + t + 1]] * beta / after[:, None]
-                    counts.move += self.move * (alpha[:m].T @ ahead)
-                    whole[:m] = ahead @ self.move.T
-                beta, after = whole, scales[t - at]
+                    pairs += alpha[:m].T @ ahead
+                    np.matmul(ahead, back, out=beta[:m])
                 gammas.append(alpha * beta)
                 places.append(classes[begin[:n] + t])
+                ahead = emitted[t - at]
+                ahead *= beta
+                ahead *= scales[t - at]
             if at == 0:
                 counts.start += gammas[-1][first[:live[0]]].sum(axis=0)
-            gamma, place = np.concatenate(gammas), np.concatenate(places)
-            for s in range(k):
-                counts.emit[:, s] += np.bincount(place, weights=gamma[:, s], minlength=CLASSES)
+            place = np.concatenate(places)
+            by_class = np.argsort(place, kind="stable")
+            place = place[by_class]
+            heads_of = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+            counts.emit[place[heads_of]] += np.add.reduceat(np.concatenate(gammas).take(by_class, axis=0), heads_of, axis=0)
+        counts.move += self.move * pairs
 
 
 @dataclass
@@ -210,37 +221,48 @@ def _by_length(bounds: np.ndarray) -> tuple[np.ndarray, list[int]]:
     return order, live.tolist()
 
 
-def start_chain(sample: list[np.ndarray], states: int = STATES, first: np.ndarray | None = None) -> Chain:
-    """Start values: blocks are clustered by their classes (a mixture of unigrams), then a few Baum-Welch rounds follow. ``first`` marks
-    the blocks that begin a text; by default all do."""
-    first = np.ones(len(sample), bool) if first is None else first
+def coarse(classes: np.ndarray) -> np.ndarray:
+    """Coarse class of each class: frequent words have their own, the others share the rest."""
+    return np.where(classes < COARSE_OWN, classes, COARSE_OWN + classes % (COARSE - COARSE_OWN))
+
+
+def start_chain(pairs: np.ndarray, mass: np.ndarray, states: int = STATES) -> Chain:
+    """Start values from the counts of all neighbouring tokens of all texts. ``pairs`` (COARSE + 1, COARSE): how often a coarse class
+    follows another; the last row counts the first tokens of texts. ``mass``: tokens of each class.
+
+    Expectation maximization over the pairs, each a sequence of two; the best of a few random starts goes on. Within a coarse class the
+    classes keep their shares."""
+    follows, begins = pairs[:-1], pairs[-1]
+    share = lambda x, axis: (x + PSEUDO) / (x + PSEUDO).sum(axis=axis, keepdims=True)
+    either = follows.sum(axis=0) + follows.sum(axis=1) + begins
+
+    def rounds(usual: np.ndarray, move: np.ndarray, emit: np.ndarray, n: int) -> tuple[float, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        value = 0.0
+        for _ in range(n):
+            left = emit * usual  # (COARSE, states): class and state of the first token
+            after = left @ move
+            likely = after @ emit.T
+            value = float((follows * np.log(likely)).sum())
+            ratio = follows / likely
+            back = ratio @ emit
+            moved = move * (left.T @ back)
+            first, second = left * (back @ move.T), emit * (ratio.T @ after)
+            usual, move, emit = share(first.sum(axis=0), 0), share(moved, 1), share(first + second, 0)
+        return value, (usual, move, emit)
+
     rng = np.random.default_rng(0)
-    counts = Counts.zero(states)
-    if sample:
-        seen = np.zeros((len(sample), CLASSES), np.float32)
-        for i, row in enumerate(sample):
-            np.add.at(seen[i], row, 1)
-        belongs = np.zeros((len(sample), states))
-        belongs[np.arange(len(sample)), rng.integers(0, states, len(sample))] = 1
-        for _ in range(15):
-            emit = seen.T @ belongs + 0.05
-            values = seen @ np.log(emit / emit.sum(axis=0)) + np.log(belongs.sum(axis=0) + 1)
-            values -= values.max(axis=1, keepdims=True)
-            belongs = np.exp(values)
-            belongs /= belongs.sum(axis=1, keepdims=True)
-        counts.emit += seen.T @ belongs + rng.random((CLASSES, states)) * 0.01
-        counts.start += belongs[first].sum(axis=0)
-        counts.move += 0.95 * np.eye(states) * counts.emit.sum() / states + 0.05 * counts.emit.sum() / states**2
-    chain = counts.chain()
-    flat = np.concatenate(sample) if sample else np.zeros(0, np.int64)
-    bounds = np.append(0, np.cumsum([len(r) for r in sample])).astype(np.int64)
-    for _ in range(START_ROUNDS if sample else 0):
-        counts = Counts.zero(states)
-        for at in range(0, len(bounds) - 1, 256):
-            own = bounds[at:at + 257]
-            chain.expect(flat[own[0]:own[-1]], own - own[0], counts, first[at:at + 256])
-        chain = counts.chain()
-    return chain
+    best = None
+    for _ in range(PAIR_STARTS):
+        emit = share((either[:, None] + 1) * rng.random((COARSE, states)), 0)
+        move = share(0.5 * np.eye(states) + 0.5 / states, 1)
+        found = rounds(np.full(states, 1 / states), move, emit, PAIR_ROUNDS)
+        best = found if best is None or found[0] > best[0] else best
+    usual, move, emit = rounds(*best[1], MORE_ROUNDS)[1]
+    own = coarse(np.arange(CLASSES))
+    part = (mass + PSEUDO) / np.bincount(own, weights=mass + PSEUDO, minlength=COARSE)[own]
+    belongs = emit * usual
+    start = begins @ (belongs / belongs.sum(axis=1, keepdims=True))
+    return Chain(share(start, 0), move, share(emit[own] * part[:, None] * max(1.0, mass.sum()), 0))
 
 
 @dataclass
@@ -257,26 +279,67 @@ def _classes_of(words: Words, column) -> tuple[np.ndarray, np.ndarray]:
     return words.classes(distinct)[numbers], bounds
 
 
-def round_counts(docs: DataFrame, words: Words, chain: Chain) -> Counts:
-    """Expected counts over all texts of ``docs``: each task adds its own up, Spark sums them by class."""
+def classed(docs: DataFrame, words: Words) -> DataFrame:
+    """All texts of ``docs`` as the classes of their tokens, written once for all rounds: (classes binary, 16 bits a token). Beside them
+    rows (a, b, n) without classes: how often coarse class b follows a in a task's texts; a is COARSE where b begins a text."""
+    shared = docs.sparkSession.sparkContext.broadcast(words)  # bounded by FREQUENT
+    names = ["classes", "a", "b", "n"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = np.zeros((COARSE + 1) * COARSE, np.int64)
+        for table in regroup(batches, 2 << 20):
+            classes, bounds = _classes_of(shared.value, table.column("text"))
+            near = coarse(classes)
+            before = np.append(COARSE, near[:-1])
+            before[bounds[:-1]] = COARSE  # every text has its end as a token
+            pairs += np.bincount(before * COARSE + near, minlength=len(pairs))
+            held = pa.LargeBinaryArray.from_buffers(
+                pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(2 * bounds), pa.py_buffer(classes.astype("<i2"))]).cast(pa.binary())
+            none = pa.nulls(len(held), pa.int64())
+            yield pa.RecordBatch.from_arrays([held, none.cast(pa.int32()), none.cast(pa.int32()), none], names)
+        seen = np.flatnonzero(pairs)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(seen), pa.binary()), pa.array((seen // COARSE).astype(np.int32)),
+                                          pa.array((seen % COARSE).astype(np.int32)), pa.array(pairs[seen])], names)
+
+    return written(docs.select("text").mapInArrow(run, "classes binary, a int, b int, n long"), "classes")
+
+
+def pair_counts(texts: DataFrame) -> np.ndarray:
+    """(COARSE + 1, COARSE) counts of ``classed`` texts; so many rows at most come to the driver."""
+    found = texts.where("classes is null").groupBy("a", "b").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros((COARSE + 1, COARSE))
+    out[found.column("a").to_numpy(), found.column("b").to_numpy()] = found.column("n").to_numpy()
+    return out
+
+
+def round_counts(texts: DataFrame, chain: Chain) -> Counts:
+    """Expected counts over all ``classed`` texts: each task adds its own up, Spark sums them by class."""
     states = len(chain.start)
-    shared = docs.sparkSession.sparkContext.broadcast((words, chain))  # bounded by FREQUENT, CLASSES and STATES
+    shared = texts.sparkSession.sparkContext.broadcast(chain)  # bounded by CLASSES and STATES
     columns = [f"s{k}" for k in range(states)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own_words, own_chain = shared.value
+        own_chain = shared.value
         total = Counts.zero(states)
-        for table in regroup(batches, 2 << 20):
-            classes, bounds = _classes_of(own_words, table.column("text"))
+        for table in regroup(batches, 1 << 20):
+            held = table.column("classes").combine_chunks().cast(pa.large_binary())
+            bounds = np.frombuffer(held.buffers()[1], np.int64)[held.offset:held.offset + len(held) + 1] // 2
+            classes = np.frombuffer(held.buffers()[2], "<i2")[bounds[0]:bounds[-1]].astype(np.int64)
+            bounds = bounds - bounds[0]
             order = np.argsort(-np.diff(bounds), kind="stable")  # texts of like length go together
-            for at in range(0, len(order), 256):
-                own_chain.expect(*take_ragged(classes, bounds, order[at:at + 256]), total)
+            at = 0
+            while at < len(order):
+                step = max(64, CELLS // min(BLOCK, int(bounds[order[at] + 1] - bounds[order[at]])))
+                own_chain.expect(*take_ragged(classes, bounds, order[at:at + step]), total)
+                at += step
         rows = np.concatenate([total.emit, total.move, total.start[None, :]])
         seen = np.flatnonzero(rows.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), *(pa.array(rows[seen, k]) for k in range(states))], ["row", *columns])
+        give_back()
 
     kinds = "row int, " + ", ".join(f"{c} double" for c in columns)
-    summed = docs.select("text").mapInArrow(run, kinds).groupBy("row").agg(*(F.sum(c).alias(c) for c in columns)).collect()
+    found = texts.where("classes is not null").select("classes").mapInArrow(run, kinds)
+    summed = found.groupBy("row").agg(*(F.sum(c).alias(c) for c in columns)).collect()
     rows = np.zeros((CLASSES + states + 1, states))
     for r in summed:
         rows[r["row"]] = [r[c] for c in columns]
@@ -301,25 +364,11 @@ def train(docs: DataFrame, counts: DataFrame, states: int = STATES, rounds: int
     for r in mass:
         n[r["class"]], v[r["class"]] = r["n"], r["v"]
 
-    # a block is drawn by a hash of its text's id and its number; a text of c characters has at most (c + 1) / 2 words and an end
     total = int(n.sum())
-    share = int(min(1.0, START_BLOCKS / max(1, docs.count(), total // BLOCK)) * (1 << 40))
-    last = F.floor((F.length("text") + 1) / (2 * BLOCK)).cast("int")
-    draw = F.filter(F.sequence(F.lit(0), last), lambda k: F.pmod(F.xxhash64("_seed", k), F.lit(1 << 40)) < share)
-    drawn = docs.select("text", F.xxhash64("doc_id", "text").alias("_seed")).select("text", draw.alias("drawn")).where(F.size("drawn") > 0)
-
-    def classed(table: pa.Table) -> pa.Table:
-        classes, bounds = _classes_of(shared.value, table.column("text"))
-        rows = [(k == 0, classes[at:min(at + BLOCK, hi)].astype("<i2").tobytes())
-                for lo, hi, own in zip(bounds[:-1].tolist(), bounds[1:].tolist(), table.column("drawn").to_pylist(), strict=True)
-                for k in own if (at := lo + k * BLOCK) < hi]
-        return pa.table({"first": pa.array([f for f, _ in rows], pa.bool_()), "classes": pa.array([c for _, c in rows], pa.binary())})
-
-    found = map_batches(drawn, classed, "first boolean, classes binary").limit(4 * START_BLOCKS).collect()
-    sample = sorted((bytes(r["classes"]), r["first"]) for r in found)
-    chain = start_chain([np.frombuffer(c, "<i2").astype(np.int64) for c, _ in sample], states, np.array([f for _, f in sample], bool))
+    texts = classed(docs, words)
+    chain = start_chain(pair_counts(texts), n, states)
     for _ in range(rounds):
-        chain = round_counts(docs, words, chain).chain()
+        chain = round_counts(texts, chain).chain()
     return Model(words, chain, np.log10(n + 0.5 * (v + 1)), total, float(np.log10(total + 0.5 * (v.sum() + 1))))
 
 

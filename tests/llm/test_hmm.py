@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from corpuscope.llm import hmm, queries
 
@@ -104,8 +105,6 @@ def test_probabilities_sum_to_one(spark):
     model = hmm.train(learned, counts)
     c = {bytes(r["word"]): r["c"] for r in counts.collect()}
     first = model.chain.emit @ model.chain.start
-    import pyarrow as pa
-
     words = list(c)
     classes = model.words.classes(pa.array(words, pa.large_binary()))
     known = sum(first[k] * (c[w] + 0.5) / 10 ** model.log_class[k] for w, k in zip(words, classes, strict=True))
@@ -139,3 +138,18 @@ def test_only_long_texts_still_teach_states(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for r in hmm.train_and_score(docs).collect():
         assert (r.score - r.base_score) / r.n_tokens > 0.2
+
+
+def test_start_values_come_from_all_texts(spark):
+    """Neighbouring tokens of every text are counted, however many texts there are: none is drawn."""
+    texts = [" ".join(f"w{(k * j) % 700}" for j in range(1 + k % 5)) for k in range(7000)] + [None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    counted = hmm.count_words(docs).collect()
+    words = hmm.Words(pa.array([bytes(r["word"]) for r in sorted(counted, key=lambda r: (-r["c"], bytes(r["word"])))], pa.large_binary()), np.ones(len(counted)))
+    found = hmm.pair_counts(hmm.classed(docs, words))
+    want = np.zeros_like(found)
+    for t in texts:
+        seen = hmm.coarse(words.classes(pa.array([w.encode() for w in split(t)], pa.large_binary())))
+        for a, b in zip([hmm.COARSE, *seen], seen, strict=False):
+            want[a, b] += 1
+    assert (found == want).all() and want.sum() == sum(len(split(t)) for t in texts)
