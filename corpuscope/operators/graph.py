@@ -11,8 +11,9 @@ chunks), so repeats cost no rows: edge counts are sums of ``n``.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuscope import dims
@@ -27,6 +28,10 @@ REQUIRE_RE = r"(?:const|let|var)\s+(\w+)\s*=\s*require\s*\(\s*['\"](\.[^'\"]+)['
 EXTENDS_RE = r"(?:^|\n)\s*(?:export\s+)?(?:abstract\s+)?class\s+\w+\s+extends\s+(\w+)"
 IMPLEMENTS_RE = r"(?:^|\n)\s*(?:export\s+)?(?:abstract\s+)?class\s+\w+(?:\s+extends\s+\w+)?\s+implements\s+([\w,\s]+)"
 
+#: Files of a block, whose references to a name are bits of a few longs.
+BLOCK_FILES = 512
+MASKS = [f"m{i}" for i in range(BLOCK_FILES // 64)]
+
 EDGE_KEY = ["project_id", "source_file", "source_symbol", "target_file", "target_symbol", "kind"]
 
 
@@ -155,6 +160,12 @@ def resolve_imports(imports: DataFrame, listing: DataFrame) -> DataFrame:
     )
 
 
+def _bit(slot: str, mask: int) -> Column:
+    """The bit of a file's place in its block, in the long number ``mask``."""
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.col(slot), F.lit(64)).cast("int"))
+    return F.when(F.floor(F.col(slot) / 64) == mask, one).otherwise(F.lit(0).cast("bigint"))
+
+
 @dataclass(frozen=True)
 class EdgeTables:
     """All edges of an index, factored: what each file refers to, what each file defines, and the files there are."""
@@ -168,6 +179,10 @@ class EdgeTables:
     def of(cls, chunks: DataFrame, listing: DataFrame) -> EdgeTables:
         return cls(references(chunks), definitions(chunks), import_references(chunks), listing)
 
+    def stored(self) -> EdgeTables:
+        """The same tables, written: for work that reads them often, as bodies are searched for references each time otherwise."""
+        return EdgeTables(cut_lineage(self.references), cut_lineage(self.definitions), cut_lineage(self.imports), self.listing)
+
     def expand(self) -> DataFrame:
         """Every edge as a row."""
         return symbol_edges(self.references, self.definitions).unionByName(resolve_imports(self.imports, self.listing))
@@ -218,14 +233,44 @@ class EdgeTables:
         return impacted(named.unionByName(resolve_imports(near, self.listing)), files)
 
 
+    @cached_property
+    def _sources(self) -> DataFrame:
+        """(project_id, source_file, block, slot): the files that refer to others, in blocks of at most ``BLOCK_FILES`` drawn by a hash."""
+        each = self.references.select("project_id", "source_file").unionByName(self.imports.select("project_id", "source_file")).distinct()
+        most = each.groupBy("project_id").agg(F.ceil(F.count(F.lit(1)) / (BLOCK_FILES * 7 / 8)).alias("_blocks"))
+        drawn = F.floor(F.pmod(F.xxhash64("source_file"), F.lit(1 << 31)) * F.col("_blocks") / (1 << 31))
+        place = F.row_number().over(Window.partitionBy("project_id", "_drawn").orderBy("source_file")) - 1
+        placed = each.join(most, "project_id").withColumn("_drawn", drawn).withColumn("_place", place)
+        return cut_lineage(placed.select(
+            "project_id", "source_file", (F.col("_drawn") + F.col("_blocks") * F.floor(F.col("_place") / BLOCK_FILES)).alias("block"),
+            (F.col("_place") % BLOCK_FILES).alias("slot")))
+
+    @cached_property
+    def _users(self) -> DataFrame:
+        """(project_id, name, block, m0, m1, ...): the files of a block that refer to a name, one bit each."""
+        each = self.references.select("project_id", "name", "source_file").distinct().join(self._sources, ["project_id", "source_file"])
+        return cut_lineage(each.groupBy("project_id", "name", "block").agg(*[F.bit_or(_bit("slot", i)).alias(m) for i, m in enumerate(MASKS)]))
+
+    def _block_referrers(self, files: DataFrame, imported: DataFrame, low: int = 0, high: int | None = None) -> DataFrame:
+        """(project_id, target_file, n): how many files of the blocks from ``low`` to below ``high`` refer to each of files(project_id, target_file).
+
+        A definition meets each block once, not each file of it."""
+        target = ["project_id", "target_file"]
+        among = (F.col("block") >= low) if high is None else (F.col("block") >= low) & (F.col("block") < high)
+        own = self._sources.select("project_id", F.col("source_file").alias("target_file"), F.col("block").alias("_block"), F.col("slot").alias("_slot"))
+        defined = self.definitions.select(*target, "name").join(files.select(*target), target, "left_semi").join(own, target, "left")
+        itself = F.coalesce(F.col("block") == F.col("_block"), F.lit(False))
+        named = defined.join(self._users.filter(among), ["project_id", "name"]).select(*target, "block", *[
+            F.when(itself, F.col(m).bitwiseAND(F.bitwise_not(_bit("_slot", i)))).otherwise(F.col(m)).alias(m) for i, m in enumerate(MASKS)])
+        brought = imported.join(files.select(*target), target, "left_semi").join(self._sources.filter(among), ["project_id", "source_file"]).select(
+            *target, "block", *[_bit("slot", i).alias(m) for i, m in enumerate(MASKS)])
+        each = named.unionByName(brought).groupBy(*target, "block").agg(*[F.bit_or(m).alias(m) for m in MASKS])
+        counts = each.groupBy(*target).agg(F.sum(sum(F.bit_count(m) for m in MASKS)).cast("bigint").alias("n"))
+        return counts.filter("n > 0")
+
     def _referrers(self, files: DataFrame, imported: DataFrame) -> DataFrame:
         """(project_id, target_file, n): how many files refer to each of files(project_id, target_file)."""
-        target = ["project_id", "target_file"]
-        defined = self.definitions.select(*target, "name").join(files, target, "left_semi")
-        named = defined.join(self.references.select("project_id", "name", "source_file").distinct(), ["project_id", "name"])
-        named = named.filter(F.col("source_file") != F.col("target_file")).select(*target, "source_file")
-        every = named.unionByName(imported.join(files, target, "left_semi"))
-        return every.distinct().groupBy(*target).agg(F.count(F.lit(1)).alias("n"))
+        return self._block_referrers(files, imported)
 
     def fan_in_bounds(self) -> tuple[DataFrame, DataFrame]:
         """(project_id, target_file, bound): no more files refer to it, as those that refer to each of its names, and those that import
@@ -241,16 +286,39 @@ class EdgeTables:
         """Files referenced from the most other files, the first ``k``; exact.
 
         The ``wave * k`` files with the highest bounds are counted first. Of the others only those are, whose bound reaches the k-th count.
+        Where names are so common that most bounds do, these are counted in one block of referring files, then in eight times as many,
+        and so on; a file goes as soon as it couldn't reach the k-th count if all files of the other blocks referred to it.
         """
         bounds, imported = self.fan_in_bounds()
         bounds, imported = cut_lineage(bounds), cut_lineage(imported)
         order = [F.desc("bound"), F.asc("project_id"), F.asc("target_file")]
         first = cut_lineage(bounds.orderBy(*order).limit(wave * k))
         counted = cut_lineage(self._referrers(first.drop("bound"), imported))
-        best = sorted((r.n for r in counted.collect()), reverse=True)[:k]  # at most wave * k rows
-        bar = best[-1] if len(best) == k else 0
-        rest = bounds.filter(F.col("bound") >= bar).join(first, ["project_id", "target_file"], "left_anti").drop("bound")
-        return counted.unionByName(self._referrers(rest, imported)).orderBy(F.desc("n"), "project_id", "target_file").limit(k)
+        best = sorted((-r.n, r.project_id, r.target_file) for r in counted.collect())[:k]  # at most wave * k rows
+        may_win = F.lit(True)
+        if len(best) == k:
+            n, project, file = best[-1]
+            before = (F.col("project_id") < project) | ((F.col("project_id") == project) & (F.col("target_file") < file))
+            may_win = (F.col("bound") > -n) | ((F.col("bound") == -n) & before)
+        rest = cut_lineage(bounds.filter(may_win).join(first, ["project_id", "target_file"], "left_anti"))
+        if len(best) == k:
+            rest = self._narrowed(rest, imported, may_win, wave * k)
+        return counted.unionByName(self._referrers(rest.drop("bound"), imported)).orderBy(F.desc("n"), "project_id", "target_file").limit(k)
+
+    def _narrowed(self, rest: DataFrame, imported: DataFrame, may_win: Column, few: int) -> DataFrame:
+        """Those of rest(project_id, target_file, bound) that still ``may_win`` after more and more blocks; ``few`` of them are left alone."""
+        blocks = int(self._sources.agg(F.max("block")).first()[0] or 0) + 1
+        low, high = 0, 1
+        rest = rest.withColumn("_seen", F.lit(0).cast("bigint"))
+        while low < blocks and rest.count() > few:
+            unseen = self._sources.groupBy("project_id").agg(F.count_if(F.col("block") >= high).alias("_unseen"))
+            found = self._block_referrers(rest, imported, low, high)
+            more = rest.join(found, ["project_id", "target_file"], "left").join(unseen, "project_id", "left")
+            seen = F.col("_seen") + F.coalesce("n", F.lit(0))
+            least = F.least("bound", seen + F.coalesce("_unseen", F.lit(0)))
+            rest = cut_lineage(more.select("project_id", "target_file", least.alias("bound"), seen.alias("_seen")).filter(may_win))
+            low, high = high, 8 * high
+        return rest.drop("_seen")
 
 
 # ---------------------------------------------------------------- lookups in edge rows

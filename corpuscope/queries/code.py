@@ -77,7 +77,7 @@ def _document_edges(spark, folder):
     """Edges per project, and the ten files that most others refer to; no edge is made as a row."""
     corpus_rows = _document_code(spark, folder)
     chunks = cut_lineage(X.corpus_chunks(corpus_rows))
-    tables = graph.EdgeTables.of(chunks, corpus_rows)
+    tables = graph.EdgeTables.of(chunks, corpus_rows).stored()
     edges = tables.counts().select(F.lit("edges").alias("what"), "project_id", F.lit("").alias("file"), "n")
     return edges.unionByName(tables.fan_in().select(F.lit("fan_in").alias("what"), "project_id", F.col("target_file").alias("file"), "n"))
 
@@ -472,7 +472,7 @@ QUERIES = {
         f"WITH {T.CODE_SQL} SELECT CAST(sum(n) AS BIGINT) AS edges FROM code_edges",
     ),
     "g9_fan_in": (
-        lambda s, d: _edge_tables(s, d).fan_in(),
+        lambda s, d: _edge_tables(s, d).stored().fan_in(),
         f"""WITH {T.CODE_SQL} SELECT project_id, target_file, count(DISTINCT source_file) AS n FROM code_edges
         GROUP BY 1, 2 ORDER BY n DESC, project_id, target_file LIMIT 10""",
     ),

@@ -226,6 +226,32 @@ def test_fan_in_counts_only_files_that_may_win(spark):
     assert counted[0] == 10 and sum(counted) < tables.fan_in_bounds()[0].count()
 
 
+def test_fan_in_of_common_names_narrows_by_blocks(spark, monkeypatch):
+    """Every file uses common names, so all bounds reach the k-th count; a few blocks of referring files tell most files off."""
+    monkeypatch.setattr(graph, "BLOCK_FILES", 16)
+    rng = random.Random(8)
+    refs = [("p", f"/f{i}", "s", "call", f"n{j}", 1) for i in range(150) for j in rng.sample(range(40), 4)]
+    refs += [("p", f"/f{i}", "s", "call", "hot", 1) for i in range(75)]
+    # most files define names that the same files use, a few define names of different ones
+    defs = [("p", f"/f{i}", "hot", 1) for i in range(150)] + [("p", f"/f{i}", f"n{j}", 1) for i in range(150) for j in rng.sample(range(40), 30 if i < 12 else 7)]
+    tables = graph.EdgeTables(
+        spark.createDataFrame(refs, "project_id string, source_file string, source_symbol string, kind string, name string, n_refs bigint"),
+        spark.createDataFrame(defs, "project_id string, target_file string, name string, n_defs bigint"),
+        spark.createDataFrame([("p", "/f3", "s", "/f140.ts", 1)], "project_id string, source_file string, source_symbol string, path string, n bigint"),
+        spark.createDataFrame([("p", f"/f{i}") for i in range(150)], "project_id string, file string"))
+    want = [tuple(r) for r in index_stats.fan_in(tables.expand(), 4).collect()]
+    counted, plain = [], graph.EdgeTables._referrers
+
+    def watched(self, files, imported):
+        counted.append(files.count())
+        return plain(self, files, imported)
+
+    monkeypatch.setattr(graph.EdgeTables, "_referrers", watched)
+    assert [tuple(r) for r in tables.fan_in(4, 2).collect()] == want
+    reach = tables.fan_in_bounds()[0].filter(F.col("bound") >= want[-1][2]).count()
+    assert sum(counted) < 30 < reach
+
+
 def test_line_ranges_meet_in_bins(spark, monkeypatch):
     monkeypatch.setattr(search, "BIN_LINES", 8)
     rng = random.Random(5)
