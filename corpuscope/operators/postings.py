@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from corpuscope import schemas
 from corpuscope.operators import search as S
-from corpuscope.operators.ranking import top_k_per_group
+from corpuscope.operators.ranking import MAP_SIDE_LIMIT, top_k_per_group
 from corpuscope.session import cut_lineage
 
 #: Rows of a block: row numbers differ in the last bits only.
@@ -34,10 +34,15 @@ PARTS = 16
 WAVE = 4
 #: A list of at most so many grams or words is handed to the scan as a filter.
 LIST_LIMIT = 2_000
+#: Rows of a project, first ones by place, that are looked at for queries without a ranked match before any postings are; in parts so many.
+FRONT, SLICES = (100, MAP_SIDE_LIMIT), 16
+#: At most so many row numbers are handed to all tasks of a scan.
+ROW_LIMIT = 200_000
 #: Scores are compared after rounding; a bound so close to the n-th score still counts.
 NEAR = 1e-9
 
 WORD_RE = "[a-z0-9_]+"
+PLACE = ("file", "line", "type", "name")
 #: Bytes of content and body of a task that numbers rows or gathers words, and of one that writes postings; fewer than the last aren't worth one.
 TASK_TEXT, WRITE_TEXT, LEAST_TEXT = 8 << 20, 32 << 20, 64 << 10
 _CHUNK = [c.strip().split(" ")[0] for c in schemas.CHUNKS.split(",")]
@@ -230,12 +235,49 @@ class PostingIndex:
         later = blocks.where(F.col("place") > WAVE).join(bar, "query_id", "left")
         return later.where(F.col("bar").isNull() | (-F.col("bound") <= F.col("bar") + NEAR)).drop("bar")
 
+    def _front(self, wide: DataFrame, dead: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """(query_id, segment, row) for wide(query_id, project_id, n, term) that the first rows of their projects settle, and their query_id.
+
+        Rows without a score count in order of place. So a query is settled if n rows among the first ones hold a word of it, or if these
+        are all rows of the project, whatever else the index holds: frequent words, whose postings are long, end here.
+        """
+        lean = self.read("rows").select("project_id", "segment", "row", *PLACE)
+        if dead is not None:
+            gone = F.shiftleft("block", BLOCK_BITS).bitwiseOR(F.col("slot").cast("bigint"))
+            lean = lean.join(dead.select("segment", gone.alias("row")), ["segment", "row"], "left_anti")
+        first = cut_lineage(top_k_per_group(lean, ["project_id"], [F.asc(c) for c in PLACE], FRONT[-1], "place").select("project_id", "segment", "row", "place"))
+        sizes = first.groupBy("project_id").agg(F.count("*").alias("size"))
+        keys = first.select("segment", "row", "place")
+        keys = F.broadcast(keys) if keys.count() <= ROW_LIMIT else keys
+        texts = S._lowered(self.read("rows").select("project_id", "segment", "row", "name", "content", "body").join(keys, ["segment", "row"]), body=True)
+        texts = cut_lineage(texts.select("project_id", "segment", "row", "place", "_name", "_content", "_body").withColumn("_slice", F.col("place") % SLICES))
+        # Short words are held by most rows, so they come first.
+        asked = wide.groupBy("query_id", "project_id", "n").agg(F.sort_array(F.collect_list(F.struct(F.length("term").alias("len"), "term"))).alias("words"))
+        left = cut_lineage(asked.select("query_id", "project_id", "n", F.col("words.term").alias("words")).join(sizes, "project_id"))
+        rows = settled = None
+        for places in FRONT:
+            spread = left.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
+            hits = texts.where(F.col("place") <= places).join(spread, ["project_id", "_slice"]).where(F.exists("words", S._inside(("_name", "_content", "_body"))))
+            hits = hits.select("query_id", "n", "segment", "row", "place")
+            top = cut_lineage(top_k_per_group(hits, ["query_id"], [F.asc("place")], MAP_SIDE_LIMIT).where("rank <= n"))
+            full = top.groupBy("query_id", "n").agg(F.count("*").alias("found")).where("found = n").select("query_id")
+            done = cut_lineage(full.union(left.where(F.col("size") < places).select("query_id")).distinct())
+            got = top.join(done, "query_id", "left_semi").select("query_id", "segment", "row")
+            rows, settled = (got, done) if rows is None else (rows.unionByName(got), settled.unionByName(done))
+            left = cut_lineage(left.join(done, "query_id", "left_anti"))
+        return rows, settled
+
     def _fallback(self, words: DataFrame, dead: DataFrame | None) -> DataFrame:
         """(query_id, segment, row, score 0) of the rows that hold any of a query's words(query_id, project_id, n, narrow, term) anywhere.
 
-        Of such rows the first ones by place count. Where no filter of the query comes in between, these are among the first of each word,
-        so a word's rows are cut before its queries are looked at.
+        Of such rows the first ones by place count. Where no filter of the query comes in between, the first rows of the project settle most
+        queries; for the others, these are among the first of each word, so a word's rows are cut before its queries are looked at.
         """
+        settled, ids = self._front(words.where("not narrow"), dead)
+        settled = settled.withColumn("score", F.lit(0.0))
+        words = cut_lineage(words.join(ids, "query_id", "left_anti"))
+        if words.isEmpty():
+            return settled
         most = words.agg(F.max("n")).first()[0]
         row = F.shiftleft("block", BLOCK_BITS).bitwiseOR(F.col("e.slot").cast("bigint"))
         held = self._postings(self._words_of(words), False, dead).select("project_id", "term", "segment", "block", F.explode("entries").alias("e"))
@@ -243,10 +285,10 @@ class PostingIndex:
         every = held.join(words.where("narrow"), ["project_id", "term"])
         wide = words.where("not narrow")
         placed = held.join(wide.select("project_id", "term").distinct(), ["project_id", "term"], "left_semi").join(
-            self.read("rows").select("segment", "row", "file", "line", "type", "name"), ["segment", "row"])
-        first = top_k_per_group(placed, ["project_id", "term"], [F.asc(c) for c in ("file", "line", "type", "name")], most)
+            self.read("rows").select("segment", "row", *PLACE), ["segment", "row"])
+        first = top_k_per_group(placed, ["project_id", "term"], [F.asc(c) for c in PLACE], most)
         out = every.select("query_id", "segment", "row").unionByName(first.join(wide, ["project_id", "term"]).select("query_id", "segment", "row"))
-        return out.distinct().withColumn("score", F.lit(0.0))
+        return out.distinct().withColumn("score", F.lit(0.0)).unionByName(settled)
 
     def search(self, queries: DataFrame, ranked: bool = True, filters: bool = True, payload: tuple[str, ...] = ("line_end", "lang"),
                within: str | None = None, live: DataFrame | None = None, segments: list[str] | None = None) -> DataFrame:

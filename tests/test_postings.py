@@ -115,3 +115,23 @@ def test_words_are_gathered_where_their_block_is(spark, tmp_path):
     assert {r.word: r.rows for r in index.read("words").filter("length(gram) = 2").collect()} == {"needle": 2, "ab": 2, "cut": 1}
     texts = index.read("rows").select("content", F.repeat("body", 1 << 20).alias("body"))
     assert postings.text_tasks(texts, postings.TASK_TEXT) >= (36 << 20) // postings.TASK_TEXT
+
+
+def test_first_rows_settle_queries_of_frequent_words(spark, tmp_path, monkeypatch):
+    """Postings are read only for words of queries that the first rows of a project leave open; results are those of the plain search."""
+    monkeypatch.setattr(postings, "FRONT", (4, 20))
+    texts = [f"of{' is' * (i % 9 == 8)} x{' needle' * (i in (3, 333))}" for i in range(400)]
+    rows = [("p", str(i), f"f{i:03}", "name", "function", 1, 1, t, t, "go") for i, t in enumerate(texts)]
+    rows += [("q", "0", "f", "name", "function", 1, 1, "un", "un", "go")]
+    chunks = spark.createDataFrame(rows, schemas.CHUNKS)
+    index = postings.PostingIndex(spark, str(tmp_path))
+    index.add(chunks, "one")
+    queries = spark.createDataFrame(
+        [("a", "p", "of zz", 4), ("b", "p", "is zz", 2), ("c", "p", "zz needle", 3), ("d", "q", "un zz", 5), ("e", "p", "type:class of zz", 2)],
+        "query_id string, project_id string, q string, n int")
+    read, plain = [], postings.PostingIndex._words_of
+    monkeypatch.setattr(postings.PostingIndex, "_words_of", lambda self, terms: read.append({r.term for r in terms.collect()}) or plain(self, terms))
+    got = found(index.search(queries))
+    assert got == found(search.search(chunks, queries)) and {r[0] for r in got} == {"a", "b", "c", "d"}
+    assert read[-1] == {"zz", "needle", "of"}  # of: the query with a filter
+    assert len(read) == 2
