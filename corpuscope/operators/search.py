@@ -144,11 +144,8 @@ def corpus_stats(chunks: DataFrame) -> DataFrame:
 
 
 def grams(text: Column, n: int) -> Column:
-    """All substrings of length n."""
-    return F.when(
-        F.length(text) >= n,
-        F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substr(text, i, F.lit(n))),
-    ).otherwise(F.array().cast("array<string>"))
+    """All substrings of n word characters, the only ones that terms have. One pass: a substring by its place would count characters from the start."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"(?=([a-z0-9_]{{{n}}}))"), F.lit(1))
 
 
 def _self_overlapping(term: Column) -> Column:
@@ -369,26 +366,39 @@ def _score_postings(hits: DataFrame, chunks: DataFrame, terms: DataFrame, payloa
         terms.join(doc_freq, ["project_id", "term"])
         .join(n_docs, "project_id")
         .withColumn("idf", _idf(F.col("n_docs"), F.col("doc_freq")))
-        .select("query_id", "project_id", "term", "needed", "idf", "avg_len")
+        .select("query_id", F.col("project_id").alias("_project"), F.col("term").alias("_term"), "needed", "idf", "avg_len")
     )
+    # At most a row per term of the batch. The columns of a row depend on its number; as keys they need no sort.
     return (
-        hits.join(weights, ["project_id", "term"])
-        .groupBy("query_id", "needed", "_row")
+        hits.join(F.broadcast(weights), (F.col("project_id") == F.col("_project")) & (F.col("term") == F.col("_term")))
+        .groupBy("query_id", "needed", "_row", *CHUNK_KEY, *[c for c in payload if c not in CHUNK_KEY])
         .agg(
-            *[F.first(c).alias(c) for c in CHUNK_KEY],
             F.sum(-F.col("idf") * _gain(F.col("tf"), F.col("doc_len"), F.col("avg_len"))).alias("score"),
             F.count(F.lit(1)).alias("_found"),
-            *[F.first(c).alias(c) for c in payload if c not in CHUNK_KEY],
         )
         .filter(F.col("_found") >= F.col("needed"))
         .drop("_found", "needed", "_row")
     )
 
 
+def _admitted(rows: DataFrame, planned: DataFrame, filters: bool) -> DataFrame:
+    """Rows with the limit of their query, without those that its filters reject."""
+    rows = rows.join(F.broadcast(planned.select("query_id", "n", "type_filter", "file_filter", "lang_filter")), "query_id")
+    if filters:
+        rows = rows.filter(
+            (F.col("type_filter").isNull() | (F.col("type") == F.col("type_filter")))
+            & (F.col("file_filter").isNull() | F.contains("file", "file_filter"))
+            & (F.col("lang_filter").isNull() | (F.col("lang") == F.col("lang_filter")))
+        )
+    return rows.drop("type_filter", "file_filter", "lang_filter")
+
+
 def _fallback(
-    chunks: DataFrame, planned: DataFrame, answered: DataFrame, payload: list[str]
+    chunks: DataFrame, planned: DataFrame, answered: DataFrame, payload: list[str], filters: bool
 ) -> DataFrame:
-    """Queries without a ranked match: any word anywhere in name, content or body, score 0.
+    """Queries without a ranked match: the first n rows that hold any word anywhere in name, content or body, score 0.
+
+    They are among the first n of each word, which each task cuts before rows move.
 
     With no such query the join side is empty and adaptive execution skips the scan.
     """
@@ -399,14 +409,15 @@ def _fallback(
     anchors = open_queries.select("query_id", "project_id", F.explode("fallback").alias("word"))
     anchors = F.broadcast(anchors.withColumn("gram", F.substring("word", 1, 2)))
     pieces = F.array_distinct(F.concat(*[grams(F.col(c), 2) for c in ("_name", "_content", "_body")]))
-    return (
+    hits = (
         texts.withColumn("gram", F.explode(pieces))
         .join(anchors, ["project_id", "gram"])
         .filter(inside(F.col("word")))
-        .groupBy("query_id", "_row")
-        .agg(F.lit(0.0).alias("score"), *[F.first(c).alias(c) for c in (*CHUNK_KEY, *extra)])
-        .select("query_id", *CHUNK_KEY, "score", *extra)
+        .select("query_id", "word", "_row", *CHUNK_KEY, *{"lang", *extra})
     )
+    order = [F.asc(c) for c in ("file", "line", "type", "name")]
+    first = top_k_per_group(_admitted(hits, planned, filters), ["query_id", "word"], order, dims.MAX_RESULTS).filter("rank <= n")
+    return first.dropDuplicates(["query_id", "_row"]).select("query_id", *CHUNK_KEY, F.lit(0.0).alias("score"), *extra, "n")
 
 
 def batch_terms(planned: DataFrame) -> int:
@@ -476,21 +487,14 @@ def _search_large(
     lean = chunks.select(*CHUNK_KEY, *{"content", *columns})
     terms = _query_terms(planned)
     # Read twice, for document frequencies and for scores; far smaller than the chunks.
-    hits = cut_lineage(postings(lean, terms.select("project_id", "term").distinct()))
+    hits = cut_lineage(postings(lean, terms.select("project_id", "term").distinct()).drop(*{"content"}.difference(columns)))
     found = cut_lineage(_score_postings(hits, lean, terms, columns))
-    rest = _fallback(chunks, planned, found.select("query_id").distinct(), columns)
-    rows = found.unionByName(rest).join(
-        F.broadcast(planned.select("query_id", "n", "type_filter", "file_filter", "lang_filter")), "query_id"
-    )
-    if filters:
-        rows = rows.filter(
-            (F.col("type_filter").isNull() | (F.col("type") == F.col("type_filter")))
-            & (F.col("file_filter").isNull() | F.contains("file", "file_filter"))
-            & (F.col("lang_filter").isNull() | (F.col("lang") == F.col("lang_filter")))
-        )
+    rest = _fallback(chunks, planned, found.select("query_id").distinct(), columns, filters)
+    rows = _admitted(found, planned, filters)
+    rows = rows.select("query_id", *CHUNK_KEY, "score", *columns, "n").unionByName(rest)
     if not ranked:
         rows = rows.withColumn("score", F.lit(0.0))
-    return _top(rows).drop("n", "type_filter", "file_filter", "lang_filter")
+    return _top(rows).drop("n")
 
 
 # ---------------------------------------------------------------- lookups

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 from datetime import datetime
 
 import pytest
@@ -298,3 +299,25 @@ def test_upsert_and_meta(spark):
 def test_normalize_path(spark):
     got = [one(spark, graph.normalize_path("p"), p=p) for p in ("/a/b/../c/./d", "/../x", "a/../../b", "a//b/")]
     assert got == ["/a/c/d", "/x", "../b", "a/b"]
+
+
+def test_grams_of_a_long_line_take_one_pass(spark):
+    """A line of 400,000 characters, in which a substring by its place would be found by counting from the start."""
+    text = "é" + "ab_ c9" * 66_000
+    rows = spark.createDataFrame([(text,), ("Xab",), (None,)], "t string").select(F.array_sort(F.array_distinct(search.grams(F.col("t"), 2))).alias("g"))
+    start = time.monotonic()
+    assert [r.g for r in rows.collect()] == [["9a", "ab", "b_", "c9"], ["ab"], []]
+    assert time.monotonic() - start < 10
+
+
+def test_unranked_rows_are_cut_before_they_move(spark):
+    """Words of a query that has no ranked match: each task keeps the first n rows of a word."""
+    chunks = spark.createDataFrame(
+        [("p", str(i), f"f{i:03}", "name", "function", 1, 1, "of un", "of un", "go") for i in range(300)], schemas.CHUNKS).repartition(2)
+    planned = search.plan_queries(spark.createDataFrame([("a", "p", "of un", 3)], "query_id string, project_id string, q string, n int"))
+    none = planned.select("query_id").limit(0)
+    rest = search._fallback(chunks, planned, none, ["lang"], True)
+    assert sorted(r.file for r in rest.collect()) == ["f000", "f001", "f002"]
+    assert "WindowGroupLimit" in rest._jdf.queryExecution().executedPlan().toString()
+    got = search.search(chunks, spark.createDataFrame([("a", "p", "of un", 3)], "query_id string, project_id string, q string, n int"), by_gram=True)
+    assert [r.file for r in got.orderBy("rank").collect()] == ["f000", "f001", "f002"]
