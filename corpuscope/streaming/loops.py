@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,9 +14,22 @@ from corpuscope.operators.sessions import LOOP_THRESHOLD
 
 WINDOW_MS = 5 * 60 * 1000
 KEEP_MS = 24 * 60 * 60 * 1000
+#: Numbers of an entry of a waiting list: state is read and written entry by entry.
+PACK = 1 << 16
+NEVER = -(1 << 62)
 OUTPUT = "session_id string, path string, ts timestamp, count bigint, looping boolean"
 
 
+def _pack(numbers: np.ndarray) -> list[tuple[bytes]]:
+    """Entries of a waiting list that hold the numbers."""
+    return [(numbers[i:i + PACK].astype("<i8").tobytes(),) for i in range(0, len(numbers), PACK)]
+
+
+def _unpack(entries) -> np.ndarray:
+    """The numbers of a waiting list, in order."""
+    return np.sort(np.concatenate([np.empty(0, "<i8"), *(np.frombuffer(bytes(e[0]), "<i8") for e in entries)]))
+
+
 class ReadCounter(StatefulProcessor):
     """Per (session, path): time of the first read and the number of reads near it.
 
@@ -30,47 +44,47 @@ class ReadCounter(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("reads", "first_ms bigint, seen bigint")
-        self.waiting = handle.getListState("waiting", "us bigint")
+        self.waiting = handle.getListState("waiting", "packed binary")
 
-    def _rows(self, key, micros: list[int], counts: list[int]) -> pd.DataFrame:
+    def _rows(self, key, micros: np.ndarray, counts: np.ndarray) -> pd.DataFrame:
         return pd.DataFrame({
             "session_id": pd.Series([key[0]] * len(micros), dtype="object"), "path": pd.Series([key[1]] * len(micros), dtype="object"),
             "ts": pd.to_datetime(pd.Series(micros, dtype="int64"), unit="us"), "count": pd.Series(counts, dtype="int64"),
-            "looping": pd.Series([c >= self.threshold for c in counts], dtype="bool"),
+            "looping": pd.Series(counts >= self.threshold, dtype="bool"),
         })
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         least = None
         for part in rows:
-            micros = part["ts"].astype("datetime64[us]").astype("int64").tolist()
-            self.waiting.appendList([(m,) for m in micros])
-            least = min([*micros, *([] if least is None else [least])])
+            micros = part["ts"].astype("datetime64[us]").astype("int64").to_numpy()
+            if len(micros):
+                self.waiting.appendList(_pack(micros))
+                least = int(micros.min()) if least is None else min(least, int(micros.min()))
         if least is not None:
             self.handle.registerTimer(max(least // 1000, timerValues.getCurrentWatermarkInMs()) + 1)
-        yield self._rows(key, [], [])
+        yield self._rows(key, np.empty(0, "int64"), np.empty(0, "int64"))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         limit = timerValues.getCurrentWatermarkInMs() * 1000
-        held = sorted(r[0] for r in self.waiting.get())
-        due = [m for m in held if m <= limit]
-        rest = held[len(due):]
-        if rest:
-            self.waiting.put([(m,) for m in rest])
-            self.handle.registerTimer(max(rest[0] // 1000, limit // 1000) + 1)
+        held = _unpack(self.waiting.get())
+        due, rest = np.split(held, [np.searchsorted(held, limit, "right")])
+        if len(rest):
+            self.waiting.put(_pack(rest))
+            self.handle.registerTimer(max(int(rest[0]) // 1000, limit // 1000) + 1)
         else:
             self.waiting.clear()
         first, seen = self.state.get() if self.state.exists() else (None, 0)
-        counts = []
-        for micros in due:
-            millis = micros // 1000
-            if first is None or (self.keep_ms is not None and millis - first >= self.keep_ms):
-                first, seen = millis, 0
-            near = millis - first < WINDOW_MS
-            seen += near
-            counts.append(seen if near else 1)
-        if due:
+        millis, counts, at = due // 1000, np.ones(len(due), "int64"), 0
+        while at < len(due):  # one turn for each first read
+            if first is None or (self.keep_ms is not None and millis[at] - first >= self.keep_ms):
+                first, seen = int(millis[at]), 0
+            end = len(due) if self.keep_ms is None else max(at + 1, int(np.searchsorted(millis, first + self.keep_ms)))
+            near = millis[at:end] - first < WINDOW_MS
+            counts[at:end] = np.where(near, seen + np.cumsum(near), 1)
+            seen, at = seen + int(near.sum()), end
+        if len(due):
             self.state.update((first, seen))
-        if self.keep_ms is not None and first is not None and not rest and limit // 1000 - first >= self.keep_ms:
+        if self.keep_ms is not None and first is not None and not len(rest) and limit // 1000 - first >= self.keep_ms:
             self.state.clear()
         yield self._rows(key, due, counts)
 
@@ -109,9 +123,9 @@ class EditGuard(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.edited = handle.getValueState("edited", "us bigint")
-        self.waiting = handle.getListState("waiting", "us bigint, is_read boolean")
+        self.waiting = handle.getListState("waiting", "packed binary")  # 2 * microseconds, and one more for a read
 
-    def _rows(self, key, micros: list[int]) -> pd.DataFrame:
+    def _rows(self, key, micros: np.ndarray) -> pd.DataFrame:
         return pd.DataFrame({
             "session_id": pd.Series([key[0]] * len(micros), dtype="object"), "path": pd.Series([key[1]] * len(micros), dtype="object"),
             "ts": pd.to_datetime(pd.Series(micros, dtype="int64"), unit="us")})
@@ -122,33 +136,33 @@ class EditGuard(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         least = None
         for part in rows:
-            micros = part["ts"].astype("datetime64[us]").astype("int64").tolist()
-            self.waiting.appendList(list(zip(micros, part["is_read"].astype(bool).tolist(), strict=True)))
-            least = min([*micros, *([] if least is None else [least])])
+            micros = part["ts"].astype("datetime64[us]").astype("int64").to_numpy()
+            if len(micros):
+                self.waiting.appendList(_pack(2 * micros + part["is_read"].astype(bool).to_numpy()))
+                least = int(micros.min()) if least is None else min(least, int(micros.min()))
         if least is not None:
             self._wake(least, timerValues)
-        yield self._rows(key, [])
+        yield self._rows(key, np.empty(0, "int64"))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         limit = timerValues.getCurrentWatermarkInMs() * 1000
-        held = sorted((us, is_read) for us, is_read in self.waiting.get())
-        due = [r for r in held if r[0] <= limit]
-        rest = held[len(due):]
+        held = _unpack(self.waiting.get())
+        due, rest = np.split(held, [np.searchsorted(held, 2 * limit + 1, "right")])
         edited = self.edited.get()[0] if self.edited.exists() else None
-        passed = []
-        for us, is_read in due:
-            if not is_read:
-                edited = us
-            elif edited is None or edited < us - self.keep_us:
-                passed.append(us)
-        if rest:
-            self.waiting.put(rest)
-            self._wake(rest[0][0], timerValues)
+        us, is_read = due >> 1, (due & 1).astype(bool)
+        last = np.maximum.accumulate(np.where(is_read, NEVER, us))
+        last = np.where(last == NEVER, NEVER if edited is None else edited, last)
+        passed = us[is_read & (last < us - self.keep_us)]
+        if len(due) and last[-1] != NEVER:
+            edited = int(last[-1])
+        if len(rest):
+            self.waiting.put(_pack(rest))
+            self._wake(int(rest[0]) >> 1, timerValues)
         else:
             self.waiting.clear()
-        if edited is not None and (rest or limit <= edited + self.keep_us):
+        if edited is not None and (len(rest) or limit <= edited + self.keep_us):
             self.edited.update((edited,))
-            if not rest:
+            if not len(rest):
                 self._wake(edited + self.keep_us, timerValues)
         else:
             self.edited.clear()

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -137,3 +139,52 @@ def test_guard_keeps_the_latest_edit(spark, tmp_path, files):
     streams = [spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(str(tmp_path / n)) for n in ("reads", "edits")]
     out = [(r.session_id, r.path, (r.ts - T0).total_seconds() / 3600) for r in _drain(loops.unedited_reads(*streams), f"guard{files}", tmp_path)]
     assert sorted(out) == [("s", "/a", -1), ("s", "/a", 47.1), ("s", "/a", 100), ("s", "/b", 25), ("t", "/a", 1)]
+
+
+class _Held:
+    """A state variable of one key, kept in memory."""
+
+    def __init__(self):
+        self.value, self.entries = None, []
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return iter(self.entries) if self.value is None else self.value
+
+    def update(self, value):
+        self.value = value
+
+    def appendList(self, entries):  # noqa: N802
+        self.entries += entries
+
+    def put(self, entries):
+        self.entries = list(entries)
+
+    def clear(self):
+        self.value, self.entries = None, []
+
+
+def test_waiting_reads_are_packed():
+    """Reads of a key wait in few entries of state, not in one each; they count as they do one by one."""
+    for keep in (None, 400_000):
+        counter = loops.ReadCounter(keep_ms=keep)
+        counter.handle = SimpleNamespace(registerTimer=lambda ms: None)
+        counter.state, counter.waiting = _Held(), _Held()
+        micros = [(i * 7919) % 100_003 * 20_000 for i in range(100_003)]
+        times = SimpleNamespace(getCurrentWatermarkInMs=lambda: 0)
+        list(counter.handleInputRows(("s", "f"), iter([pd.DataFrame({"ts": pd.to_datetime(pd.Series(micros), unit="us")})]), times))
+        assert len(counter.waiting.entries) == 2
+        got = []
+        for mark in (700_000, 900_000, 3_000_000):
+            times = SimpleNamespace(getCurrentWatermarkInMs=lambda mark=mark: mark)
+            got += pd.concat(counter.handleExpiredTimer(("s", "f"), times, None))["count"].tolist()
+        first, seen, want = None, 0, []
+        for us in sorted(micros):
+            if first is None or (keep is not None and us // 1000 - first >= keep):
+                first, seen = us // 1000, 0
+            near = us // 1000 - first < loops.WINDOW_MS
+            seen += near
+            want.append(seen if near else 1)
+        assert got == want
