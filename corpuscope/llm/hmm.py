@@ -33,6 +33,8 @@ ENDING_BYTES = 3
 END = b"\n"
 #: Baum-Welch: rounds over all training texts, tokens of a block (forward values are kept at block ends), pseudo-counts.
 ROUNDS, BLOCK, PSEUDO = 2, 512, 0.01
+#: Forward values are scaled once in so many steps: a step takes them down by less than 1e-30, so they stay well within a double.
+SCALED = 8
 #: Forward values that are held at once, in tokens; a block of fewer texts may be shorter.
 CELLS = 1 << 17
 #: The start values come from the counts of all neighbouring tokens, in so many coarse classes: frequent words, then the others' classes by remainder.
@@ -129,12 +131,15 @@ class Chain:
         order, live = _by_length(bounds)
         begin, out = bounds[:-1][order], np.zeros(len(order))
         alpha = np.empty((0, len(self.start)))
-        for t, n in enumerate(live):
-            seen = self.emit[classes[begin[:n] + t]]
+        for t, (n, m) in enumerate(zip(live, [*live[1:], 0], strict=False)):
+            seen = self.emit.take(classes[begin[:n] + t], axis=0)
             alpha = (alpha[:n] @ self.move if t else self.start) * seen
-            scale = alpha.sum(axis=1)
-            alpha /= scale[:, None]
-            out[order[:n]] += np.log(scale)
+            if t % SCALED == SCALED - 1:
+                scale = alpha.sum(axis=1)
+                alpha /= scale[:, None]
+                out[order[:n]] += np.log(scale)
+            if m < n:  # sequences that end here
+                out[order[m:n]] += np.log(alpha[m:].sum(axis=1))
         return out
 
     def usual(self) -> np.ndarray:
@@ -155,45 +160,55 @@ class Chain:
         start = np.where(first[:, None], self.start, self.usual()) if not first.all() else np.broadcast_to(self.start, (len(order), k))
         back = np.ascontiguousarray(self.move.T)
 
-        def onward(at: int, alpha: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
-            alphas, scales, emitted = [], [], []
-            for t in range(at, min(at + BLOCK, len(live))):
-                n = live[t]
-                seen = self.emit.take(classes[begin[:n] + t], axis=0)
-                alpha = (alpha[:n] @ self.move if t else start[:n]) * seen
-                scale = 1 / alpha.sum(axis=1, keepdims=True)
-                alpha *= scale
-                alphas.append(alpha)
-                scales.append(scale)
-                emitted.append(seen)
-            return alphas, scales, emitted
+        def onward(at: int, alpha: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+            """Classes, emissions and forward values of a block, step by step, and the bounds of its steps. Forward values are scaled at every
+            ``SCALED``-th step, whose emissions hold the scale too."""
+            sizes = np.array(live[at:at + BLOCK])
+            ends = np.append(0, np.cumsum(sizes))
+            row = np.arange(ends[-1]) - np.repeat(ends[:-1], sizes)
+            place = classes[begin[row] + np.repeat(np.arange(at, at + len(sizes)), sizes)]
+            seen = self.emit.take(place, axis=0)
+            alphas, ends = np.empty_like(seen), ends.tolist()
+            for t, (lo, hi) in enumerate(zip(ends[:-1], ends[1:], strict=True), at):
+                now, emitted = alphas[lo:hi], seen[lo:hi]
+                if t:
+                    np.matmul(alpha[:hi - lo], self.move, out=now)
+                    now *= emitted
+                else:
+                    np.multiply(start[:hi - lo], emitted, out=now)
+                if t % SCALED == SCALED - 1:
+                    scale = 1 / now.sum(axis=1, keepdims=True)
+                    now *= scale
+                    emitted *= scale
+                alpha = now
+            return place, seen, alphas, ends
 
         heads = [start]
         cuts = range(0, len(live), BLOCK)
         for at in cuts[:-1]:
-            heads.append(onward(at, heads[-1])[0][-1])
+            _, _, alphas, ends = onward(at, heads[-1])
+            heads.append(alphas[ends[-2]:].copy())
         ahead, pairs = np.ones((0, k)), np.zeros((k, k))
         for at, head in zip(reversed(cuts), reversed(heads), strict=False):
-            alphas, scales, emitted = onward(at, head)
-            gammas, places = [], []
-            for t in range(at + len(alphas) - 1, at - 1, -1):
-                n, m, alpha = live[t], len(ahead), alphas[t - at]
-                beta = np.ones((n, k))  # sequences that end here
+            place, seen, alphas, ends = onward(at, head)
+            for lo, hi in zip(reversed(ends[:-1]), reversed(ends[1:]), strict=True):
+                n, m, alpha = hi - lo, len(ahead), alphas[lo:hi]
+                beta = np.empty((n, k))
                 if m:
                     pairs += alpha[:m].T @ ahead
                     np.matmul(ahead, back, out=beta[:m])
-                gammas.append(alpha * beta)
-                places.append(classes[begin[:n] + t])
-                ahead = emitted[t - at]
+                if m < n:  # sequences that end here
+                    beta[m:] = 1 / alpha[m:].sum(axis=1, keepdims=True)
+                ahead = seen[lo:hi]
                 ahead *= beta
-                ahead *= scales[t - at]
+                alpha *= beta  # from here on the share of each state
             if at == 0:
-                counts.start += gammas[-1][first[:live[0]]].sum(axis=0)
-            place = np.concatenate(places)
-            by_class = np.argsort(place, kind="stable")
+                counts.start += alphas[:ends[1]][first[:live[0]]].sum(axis=0)
+            by_class = np.argsort(place.astype(np.uint16), kind="stable")
             place = place[by_class]
             heads_of = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
-            counts.emit[place[heads_of]] += np.add.reduceat(np.concatenate(gammas).take(by_class, axis=0), heads_of, axis=0)
+            counts.emit[place[heads_of]] += np.add.reduceat(alphas.take(by_class, axis=0), heads_of, axis=0)
+            ahead = ahead.copy()  # not the block it lies in
         counts.move += self.move * pairs
 
 
@@ -321,10 +336,10 @@ def round_counts(texts: DataFrame, chain: Chain) -> Counts:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_chain = shared.value
         total = Counts.zero(states)
-        for table in regroup(batches, 1 << 20):
+        for table in regroup(batches, 8 << 20):  # of many texts few are alone at their last tokens
             held = table.column("classes").combine_chunks().cast(pa.large_binary())
             bounds = np.frombuffer(held.buffers()[1], np.int64)[held.offset:held.offset + len(held) + 1] // 2
-            classes = np.frombuffer(held.buffers()[2], "<i2")[bounds[0]:bounds[-1]].astype(np.int64)
+            classes = np.frombuffer(held.buffers()[2], "<i2")[bounds[0]:bounds[-1]]
             bounds = bounds - bounds[0]
             order = np.argsort(-np.diff(bounds), kind="stable")  # texts of like length go together
             at = 0

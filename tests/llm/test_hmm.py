@@ -153,3 +153,33 @@ def test_start_values_come_from_all_texts(spark):
         for a, b in zip([hmm.COARSE, *seen], seen, strict=False):
             want[a, b] += 1
     assert (found == want).all() and want.sum() == sum(len(split(t)) for t in texts)
+
+
+def test_rare_scaling_keeps_every_digit(monkeypatch):
+    """Scaling at every step or at each 8th gives the same counts and likelihoods, also where every word is all but impossible."""
+    chain, rng = small_chain(), np.random.default_rng(8)
+    chain.emit = chain.emit * 1e-12
+    classes, bounds = rng.integers(0, 30, 5000).astype("<i2"), np.array([0, 1, 9, 9, 25, 3000, 5000])
+    found = []
+    for scaled in (1, 8):
+        monkeypatch.setattr(hmm, "SCALED", scaled)
+        counts = hmm.Counts.zero(3)
+        chain.expect(classes, bounds, counts)
+        found.append(np.concatenate([counts.start, counts.move.ravel(), counts.emit.ravel(), chain.forward(classes, bounds)]))
+        assert np.isclose(counts.start.sum(), 5) and np.isclose(counts.emit.sum(), 5000)
+    assert np.allclose(found[0], found[1], rtol=1e-11, atol=1e-11)
+
+
+def test_most_steps_are_not_scaled(monkeypatch):
+    """Scaling took most of a round's time: sums over the states are few beside the tokens."""
+    chain, rng = small_chain(), np.random.default_rng(9)
+    classes, bounds, sums = rng.integers(0, 30, 4000), np.arange(0, 4001, 400), []
+
+    class Counted(np.ndarray):
+        def sum(self, *args, **kwargs):
+            sums.append(len(self))
+            return np.asarray(self).sum(*args, **kwargs)
+
+    chain.emit = chain.emit.view(Counted)
+    chain.expect(classes, bounds, hmm.Counts.zero(3))
+    assert 0 < sum(sums) < 1000
