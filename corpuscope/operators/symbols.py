@@ -455,12 +455,17 @@ def _named(decls: DataFrame) -> DataFrame:
 IMPL_RULE = [i for i, r in enumerate(RULES) if r.content == "impl {name}"]
 
 
-def file_partitions(corpus: DataFrame) -> int | None:
-    """Tasks that the texts of a corpus are dealt to, by their size; one pass over them. Adaptive execution would go by the compressed size
+def text_size(corpus: DataFrame) -> int:
+    """Bytes of the texts of a corpus; one pass over them."""
+    return int(corpus.agg(F.sum(F.octet_length("content").cast("bigint"))).first()[0] or 0)
+
+
+def file_partitions(corpus: DataFrame, size: int | None = None) -> int | None:
+    """Tasks that the texts of a corpus are dealt to, by their ``size``. Adaptive execution would go by the compressed size
     and the number of cores, so that a task's events grow with the corpus."""
     if corpus.isStreaming:
         return None
-    size = int(corpus.agg(F.sum(F.octet_length("content").cast("bigint"))).first()[0] or 0)
+    size = text_size(corpus) if size is None else size
     cores = corpus.sparkSession.sparkContext.defaultParallelism
     return max(1, min(cores, size // LEAST_TEXT), size // TASK_TEXT)
 
@@ -593,7 +598,7 @@ def dedupe_chunks(chunks: DataFrame, partitions: int | None = None) -> DataFrame
     )
 
 
-def corpus_chunks(corpus: DataFrame) -> DataFrame:
-    """The chunks of a corpus as they are stored: one for each (file, name, type, line)."""
-    partitions = file_partitions(corpus)
+def corpus_chunks(corpus: DataFrame, size: int | None = None) -> DataFrame:
+    """The chunks of a corpus as they are stored: one for each (file, name, type, line). ``size``: bytes of its texts, if known."""
+    partitions = file_partitions(corpus, size)
     return dedupe_chunks(extract_chunks(corpus, partitions), partitions)

@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuscope.operators import corpus, graph, incremental, index_stats, symbols
+from corpuscope.session import cut_lineage
 from corpuscope.sources.sinks import IndexStore
 
 SCHEMA_VERSION = 3
+#: Text of the sources whose symbols one task writes.
+WRITTEN_TEXT = 4 << 20
 
 
 def _meta(projects: DataFrame, ts) -> DataFrame:
@@ -30,29 +33,38 @@ def build_index(files: DataFrame, max_files: int | None = None) -> tuple[DataFra
 
 
 def _write_symbols(store: IndexStore, kept: DataFrame, run: str) -> None:
-    """Chunks of the files, then references and imports of the written chunks: sources are parsed once."""
-    store.write("chunks", symbols.corpus_chunks(kept), run)
+    """Chunks of the files, then references and imports of the written chunks: sources are parsed once. ``kept`` is read several times."""
+    size = symbols.text_size(kept)
+    tasks = max(1, size // WRITTEN_TEXT)
+    store.write("chunks", symbols.corpus_chunks(kept, size), run, tasks)
     chunks = store.written("chunks", run)
-    store.write("references", graph.references(chunks), run)
-    store.write("imports", graph.import_references(chunks), run)
+    store.write("references", graph.references(chunks), run, tasks)
+    store.write("imports", graph.import_references(chunks), run, tasks)
     store.index_words(run)
 
 
-def analyze(
+def index(
     store: IndexStore, files: DataFrame, projects: DataFrame, run: str | None = None, ts=None, max_files: int | None = None
-) -> DataFrame:
-    """Index whole projects and return their counts.
+) -> None:
+    """Index whole projects.
 
     ``run`` is given to repeat a failed run under its id; a committed one isn't done again. The run closes all earlier ones of its
     projects: files that are gone leave the index. Other projects are not touched.
     """
     if run is None or not store.committed(run):
         run = store.begin(run)
-        kept = corpus.scan_corpus(files, max_files=max_files)
+        kept = cut_lineage(corpus.scan_corpus(files, max_files=max_files))
         _write_symbols(store, kept, run)
         store.write("files", incremental.hash_files(kept).withColumn("status", F.lit("add")), run)
         store.write("meta", _meta(projects, ts), run)
         store.commit(projects.select("project_id").union(store.written("files", run).select("project_id")), "full", run)
+
+
+def analyze(
+    store: IndexStore, files: DataFrame, projects: DataFrame, run: str | None = None, ts=None, max_files: int | None = None
+) -> DataFrame:
+    """``index`` whole projects and return the counts of all."""
+    index(store, files, projects, run, ts, max_files)
     return index_stats.index_counts(store.chunks(), store.hashes(), store.edge_tables().counts())
 
 
@@ -88,6 +100,7 @@ def update(store: IndexStore, current: DataFrame, deleted: DataFrame | None, run
         )
         store.write("files", changes, run)
         changes = store.written("files", run)
-        _write_symbols(store, kept.join(changes.select("project_id", "file"), ["project_id", "file"], "left_semi"), run)
+        touched = kept.join(changes.select("project_id", "file"), ["project_id", "file"], "left_semi")
+        _write_symbols(store, cut_lineage(touched), run)
         store.commit(changes, "update", run)
     return store.written("files", run).select("project_id", "file", "status")

@@ -262,7 +262,7 @@ def _stored_index(spark, folder):
 
     def full(files, chosen):
         names = spark.createDataFrame(chosen, "project_id string, path string")
-        indexing.analyze(store, files.join(names.select("project_id"), "project_id", "left_semi"), names, ts="2024-01-01 00:00:00")
+        indexing.index(store, files.join(names.select("project_id"), "project_id", "left_semi"), names, ts="2024-01-01 00:00:00")
 
     for root in roots:
         full(old, [root])
@@ -293,7 +293,7 @@ def _full_and_stream(spark, folder):
         changes.index_batches(store, lambda asked: disk.join(asked, ["project_id", "file"], "left_semi"), "watch")(keys.select("project_id", "file"), number)
 
     def full(files, chosen):
-        indexing.analyze(store, files, spark.createDataFrame(chosen, "project_id string, path string"), ts="2024-01-01 00:00:00")
+        indexing.index(store, files, spark.createDataFrame(chosen, "project_id string, path string"), ts="2024-01-01 00:00:00")
 
     changed(0, now.filter("project_id = 'c0'"), third)
     full(now.filter("k % 13 <> 0"), names)

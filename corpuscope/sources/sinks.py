@@ -41,6 +41,7 @@ class IndexStore:
     def __init__(self, spark: SparkSession, root: str, searchable: bool = False):
         """``searchable``: every run keeps postings of its chunks, and ``search`` reads these."""
         self.spark, self.root, self.searchable = spark, root, searchable
+        self._live_of: tuple[list[str], list[str]] | None = None
 
     @property
     def postings(self) -> PostingIndex:
@@ -58,10 +59,16 @@ class IndexStore:
             raise ValueError(f"run {run} is committed")
         return run or uuid.uuid4().hex
 
-    def write(self, name: str, rows: DataFrame, run: str) -> None:
-        """Idempotent: a retried run replaces its own folder."""
+    def write(self, name: str, rows: DataFrame, run: str, tasks: int = 1) -> None:
+        """Idempotent: a retried run replaces its own folder. ``tasks``: how many share the rows of a project, by file; adaptive execution would
+        leave them to one up to its size of a partition, and so those who read the one file."""
         chosen = rows.select(*self._columns(name))
-        dealt(chosen, "project_id").write.mode("overwrite").partitionBy("project_id").parquet(f"{self._path(name)}/run={run}")
+        file = next((c for c in ("file", "source_file") if c in chosen.columns), None)
+        if tasks > 1 and file:
+            placed = chosen.repartition(tasks, "project_id", file)
+        else:
+            placed = dealt(chosen, "project_id")
+        placed.write.mode("overwrite").partitionBy("project_id").parquet(f"{self._path(name)}/run={run}")
 
     def index_words(self, run: str) -> None:
         """Keep postings of the chunks that the run has written."""
@@ -101,9 +108,18 @@ class IndexStore:
         open_ = commits.join(full, "project_id").filter(F.col("_full").isNull() | (F.col("seq") >= F.col("_full")))
         return open_.select("project_id", "run", "seq")
 
+    def _commit_files(self) -> list[str]:
+        """Files of the commits that are done; each commit adds one and none changes."""
+        pattern = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self._path('commits')}/run=*/*.parquet")
+        found = pattern.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(pattern)
+        return sorted(f.getPath().toString() for f in found or [])
+
     def _live_runs(self) -> list[str]:
-        """Ids of the live runs, which ``fold`` keeps few."""
-        return [r.run for r in self.live().select("run").distinct().collect()]
+        """Ids of the live runs, which ``fold`` keeps few; found again when there is a new commit, whoever wrote it."""
+        files = self._commit_files()
+        if self._live_of is None or self._live_of[0] != files:
+            self._live_of = files, [r.run for r in self.live().select("run").distinct().collect()]
+        return self._live_of[1]
 
     def _of_live(self, name: str) -> DataFrame:
         """Rows in folders of live runs."""

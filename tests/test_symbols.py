@@ -454,3 +454,50 @@ def test_text_is_not_read_again_for_every_event(spark):
     exploded = [line for line in plan.splitlines() if "Generate explode(" in line and "[e#" in line]
     assert exploded and all("explode(events#" in line for line in exploded)
     assert not any("length(content" in line and "e#" in line for line in plan.splitlines() if line.lstrip("+- :").startswith("Project"))
+
+
+def test_a_run_reads_its_sources_once(spark, tmp_path):
+    """Texts are loaded once for a full run, not again for each of its tables."""
+    loaded = spark.sparkContext.accumulator(0)
+
+    def load(k):
+        loaded.add(1)
+        return f"function f{k}(q) {{\n  f{k + 1}()\n}}\n"
+
+    files = spark.range(40).select(
+        F.lit("a").alias("project_id"), F.concat(F.lit("/a/f"), "id", F.lit(".ts")).alias("file"), F.lit(40).cast("bigint").alias("length"),
+        F.udf(load)("id").alias("content"))
+    store = IndexStore(spark, str(tmp_path / "ix"))
+    indexing.index(store, files, spark.createDataFrame([("a", "/a")], "project_id string, path string"))
+    assert loaded.value == 40
+    assert store.edges().count() == 39
+
+
+def test_symbols_of_many_texts_are_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    """A project's rows are shared out by file, so neither their writer nor their reader is one task; the rows are the same."""
+    files = spark.range(60).select(
+        F.lit("a").alias("project_id"), F.concat(F.lit("/a/f"), "id", F.lit(".ts")).alias("file"), F.lit(40).cast("bigint").alias("length"),
+        F.concat(F.lit("import { x } from './f1'\nfunction f"), "id", F.lit("(q) {\n  f1()\n}\n")).alias("content"))
+    names, found = spark.createDataFrame([("a", "/a")], "project_id string, path string"), []
+    for tasks in (1, 4):
+        monkeypatch.setattr(indexing, "WRITTEN_TEXT", symbols.text_size(files) // tasks)
+        store = IndexStore(spark, str(tmp_path / f"ix{tasks}"))
+        indexing.index(store, files, names, "r")
+        found.append(sorted(map(tuple, store.chunks().collect())) + sorted(map(tuple, store.edges().collect())))
+        for table in ("chunks", "references", "imports"):
+            assert len(list((tmp_path / f"ix{tasks}" / table / "run=r" / "project_id=a").glob("*.parquet"))) == tasks
+    assert found[0] == found[1]
+
+
+def test_live_runs_are_found_once_a_commit(spark, tmp_path, monkeypatch):
+    """Reads between two commits share the list of live runs; a commit through another object is seen."""
+    one, other, asked = IndexStore(spark, str(tmp_path / "ix")), IndexStore(spark, str(tmp_path / "ix")), []
+    live = IndexStore.live
+    monkeypatch.setattr(IndexStore, "live", lambda self: (asked.append(self), live(self))[1])
+    assert one._live_runs() == []
+    names = spark.createDataFrame([("a",)], "project_id string")
+    other.commit(names, "full", "first")
+    asked.clear()
+    assert one._live_runs() == one._live_runs() == ["first"] and len(asked) == 1
+    other.commit(names, "update", "second")
+    assert sorted(one._live_runs()) == ["first", "second"] and len(asked) == 2
