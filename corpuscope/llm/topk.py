@@ -14,15 +14,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuscope.llm.blocks import block_pairs, cut_blocks, each_row, ints
 from corpuscope.llm.common import written
 
 SHARD_ROWS = 4096
-TILE_ROWS = 1024
+TILE_ROWS = 16384
+#: Queries of a tile that are multiplied at once, so that the scores of a step stay small.
+STEP_ROWS = 1024
 FAN_IN = 16
-#: A block of long vectors holds fewer rows.
-BLOCK_BYTES = 16 << 20
 _BEST = "query_id long, shard long, best array<struct<neg:long,vec_id:long>>"
-_BLOCK = "part long, dim int, ids binary, data binary"
 
 
 def quantised(vectors: DataFrame, vec_id: str, embedding: str, scale: int = 1024, copies: int = 1) -> DataFrame:
@@ -39,49 +39,6 @@ def quantised(vectors: DataFrame, vec_id: str, embedding: str, scale: int = 1024
     return rows.groupBy("vec_id", "v").count().select("vec_id", "v", F.explode(each).alias("copy"))
 
 
-def _blocks(vectors: DataFrame, rows: int, parts: int) -> DataFrame:
-    """Blocks of at most ``rows`` vectors of one length, in id order within a block; ids and components as int64."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("vec_id").to_numpy()
-            lists = batch.column("v")
-            lengths = np.diff(np.frombuffer(lists.buffers()[1], np.int32)[lists.offset:lists.offset + len(lists) + 1])
-            for dim in np.unique(lengths):
-                here = np.flatnonzero(lengths == dim)
-                here = here[np.argsort(ids[here], kind="stable")]
-                data = lists.take(pa.array(here)).flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(here), dim)
-                yield pa.RecordBatch.from_pydict({
-                    "part": pa.array([batch.column("part")[int(here[0])].as_py()], pa.int64()),
-                    "dim": pa.array([int(dim)], pa.int32()),
-                    "ids": pa.array([ids[here].astype(np.int64).tobytes()], pa.binary()),
-                    "data": pa.array([data.tobytes()], pa.binary()),
-                })
-
-    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:  # sorted by part: cut where the part changes or a block is full
-            part = batch.column("part").to_numpy()
-            for piece in np.split(np.arange(len(part)), np.flatnonzero(np.diff(part)) + 1):
-                if held and held[0].column("part")[0].as_py() != part[piece[0]]:
-                    yield from cut([_joined(held)])
-                    held = []
-                for at in range(0, len(piece), rows):
-                    held.append(batch.slice(int(piece[at]), len(piece[at:at + rows])))
-                    if sum(b.num_rows for b in held) >= rows or sum(b.nbytes for b in held) >= BLOCK_BYTES:
-                        yield from cut([_joined(held)])
-                        held = []
-        if held:
-            yield from cut([_joined(held)])
-
-    dealt = vectors.select("vec_id", "v", F.pmod(F.xxhash64(*vectors.columns), F.lit(parts)).alias("part"))  # rows of one id apart
-    return dealt.repartition("part").sortWithinPartitions("part", "vec_id").mapInArrow(grouped, _BLOCK)
-
-
-def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
-    return pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
-
-
 def products(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     """Exact integer inner products. Float64 matrix products are exact below 2^53; larger values go through
     Python integers and are held to the range of a long."""
@@ -113,13 +70,13 @@ def select_tile(scores: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray
 
 def _multiply(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                dim = row["dim"]
-                qid, vid = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["ids"], np.int64)
-                q = np.frombuffer(row["q_data"], np.int64).reshape(len(qid), dim)
-                v = np.frombuffer(row["data"], np.int64).reshape(len(vid), dim)
-                scores = products(q, v)
+        for row in each_row(batches):
+            asked, vid = ints(row["a_ids"]), ints(row["ids"])
+            queries = ints(row["a_data"], len(asked), row["dim"], width=row["a_width"])
+            vectors = ints(row["data"], len(vid), row["dim"], width=row["width"])
+            for at in range(0, len(asked), STEP_ROWS):
+                qid = asked[at:at + STEP_ROWS]
+                scores = products(queries[at:at + STEP_ROWS], vectors)
                 columns, counts = select_tile(scores, qid[:, None] == vid[None, :], k)
                 kept = np.arange(columns.shape[1])[None, :] < counts[:, None]
                 best = pa.StructArray.from_arrays(
@@ -138,17 +95,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int
 
     Both inputs are (vec_id long, v array<long>), as ``quantised`` gives; queries have one row for each id, vectors may have several,
     which all take part. A query finds no row of its own id; vectors of another length take none either, so a query without partners has no rows. Empty
-    tables give no rows. Work is one product for each pair of blocks, which any number of executors share.
+    tables give no rows. Work is one product for each pair of blocks, which any number of executors share; neither side is broadcast.
     """
     count = vectors.count()
     shards = max(1, -(-count // shard_rows))
     tiles = max(1, -(-queries.count() // tile_rows))
-    base = _blocks(vectors, shard_rows * 2, shards).select("*", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("tile"))
-    asked = _blocks(queries, tile_rows * 2, tiles).select(
-        F.col("part").cast("int").alias("tile"), "dim", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("part"))
-    pairs = base.join(asked, ["tile", "part", "dim"])
-    best = pairs.mapInArrow(_multiply(k), _BEST)
+    base, asked = cut_blocks(vectors, shard_rows * 2, shards), cut_blocks(queries, tile_rows * 2, tiles)
+    best = block_pairs(base, shards, asked, tiles).mapInArrow(_multiply(k), _BEST)
     while True:
         shards = -(-shards // FAN_IN)
         best = (

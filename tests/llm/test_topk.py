@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from corpuscope.llm import topk
+from corpuscope.llm import blocks, topk
 
 
 def brute(vectors, queries, k):
@@ -54,3 +54,20 @@ def test_repeated_ids_and_rows(spark):
     assert got == [
         (100, 1, 5, 2 * one), (100, 2, 5, one), (100, 3, 7, one // 2), (100, 4, 7, one // 2),
         (200, 1, 5, 2 * one), (200, 2, 5, one), (200, 3, 100, one), (200, 4, 7, one // 2)]
+
+
+def test_no_block_is_broadcast(spark):
+    """Blocks are repeated for their pairs; a broadcast of these would grow with the square of the table, in the driver."""
+    frame = spark.createDataFrame([(i, [i % 7, i % 5, 1]) for i in range(300)], "vec_id long, v array<long>")
+    found = topk.search(frame, frame.where("vec_id % 10 = 0"), 4, 16, 8)
+    assert len(found.collect()) == 120
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan and "SortMergeJoin [tile" in plan
+
+
+def test_components_take_no_more_bytes_than_they_need(spark):
+    rows = [(0, [1, -1]), (1, [200, 1]), (2, [1 << 20, 1]), (3, [1 << 40, 1])]
+    for row, width in zip(rows, (1, 2, 4, 8), strict=True):
+        block = blocks.cut_blocks(spark.createDataFrame([row], "vec_id long, v array<long>"), 8, 1).first()
+        assert (block.width, len(block.data)) == (width, 2 * width)
+        assert blocks.ints(block.data, 1, 2, width=block.width).tolist() == [row[1]]
