@@ -14,15 +14,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuscope.llm.blocks import BLOCK_BYTES, block_pairs, cut_blocks, each_row, ints
 from corpuscope.llm.common import written
 
 POSITIVES, NEGATIVES = 5, 3
 #: A negative's score lies between these percentages of the positive's.
 LOW, HIGH = 50, 95
 SCALE = 256
-TILE_ROWS, SHARD_ROWS = 2048, 4096
-#: Blocks of long vectors hold fewer rows.
-BLOCK_BYTES = 16 << 20
+TILE_ROWS, SHARD_ROWS = 8192, 4096
 #: Anchors of a tile that are multiplied at once, so that the scores of a step stay small.
 STEP_ROWS = 512
 #: A product with a side of at most so many cells is not split further.
@@ -117,45 +116,18 @@ def quantised(vectors: DataFrame, vec_id: str, embedding: str, label: Column, sc
     return counted.select("vec_id", "label", "v", F.explode(each).alias("copy"))
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part, dim, rows in zip(batch.column("part"), batch.column("dim"), batch.column("rows"), strict=True):
-            cells = rows.values
-            yield pa.RecordBatch.from_pydict({
-                "part": pa.array([part.as_py()], pa.int64()), "dim": pa.array([dim.as_py()], pa.int32()),
-                "ids": pa.array([cells.field("vec_id").to_numpy().tobytes()], pa.binary()),
-                "labels": pa.array([cells.field("label").to_numpy().tobytes()], pa.binary()),
-                "data": pa.array([cells.field("v").flatten().to_numpy().tobytes()], pa.binary()),
-                "windows": pa.array([cells.field("windows").flatten().to_numpy().tobytes()], pa.binary()),
-            })
-
-
-def _blocks(rows: DataFrame, parts: int) -> DataFrame:
-    """Blocks of vectors of one length, by id within a block. Rows are dealt by a hash of the whole row, of which few copies exist, so
-    a block holds about as many rows as any other."""
-    dealt = rows.withColumn("part", F.pmod(F.xxhash64("vec_id", "label", "v", "copy"), F.lit(parts)))
-    row = F.struct("vec_id", "label", "v", "windows")
-    gathered = dealt.groupBy("part", F.size("v").alias("dim")).agg(F.sort_array(F.collect_list(row)).alias("rows"))
-    return gathered.mapInArrow(_packed, "part long, dim int, ids binary, labels binary, data binary, windows binary")
-
-
-def _ints(raw: bytes, *shape: int) -> np.ndarray:
-    return np.frombuffer(raw, np.int64).reshape(shape) if shape else np.frombuffer(raw, np.int64)
-
-
 def _steps(batches: Iterator[pa.RecordBatch], width: int):
     """For each step of each pair of blocks: shard, anchor ids and windows, candidate ids, scores, and which cells are other rows of the
     same or another label."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            dim, ids, labels = row["dim"], _ints(row["ids"]), _ints(row["labels"])
-            data, asked, own = _ints(row["data"], len(ids), dim), _ints(row["a_ids"]), _ints(row["a_labels"])
-            anchors, windows = _ints(row["a_data"], len(asked), dim), _ints(row["a_windows"], len(asked), width)
-            for at in range(0, len(asked), STEP_ROWS):
-                part = slice(at, at + STEP_ROWS)
-                other = asked[part, None] != ids[None, :]
-                same = own[part, None] == labels[None, :]
-                yield row["part"], asked[part], windows[part], ids, scores_of(anchors[part], data), other & same, other & ~same
+    for row in each_row(batches):
+        dim, ids, labels = row["dim"], ints(row["ids"]), ints(row["label"])
+        data, asked, own = ints(row["data"], len(ids), dim, width=row["width"]), ints(row["a_ids"]), ints(row["a_label"])
+        anchors, windows = ints(row["a_data"], len(asked), dim, width=row["a_width"]), ints(row["a_windows"], len(asked), width)
+        for at in range(0, len(asked), STEP_ROWS):
+            part = slice(at, at + STEP_ROWS)
+            other = asked[part, None] != ids[None, :]
+            same = own[part, None] == labels[None, :]
+            yield row["part"], asked[part], windows[part], ids, scores_of(anchors[part], data), other & same, other & ~same
 
 
 def _positives(most: int):
@@ -187,11 +159,7 @@ def _windows(most: int, width: int, low: int, high: int):
 
 
 def _pairs(base: DataFrame, shards: int, anchors: DataFrame, tiles: int) -> DataFrame:
-    asked = _blocks(anchors, tiles).select(
-        F.col("part").alias("tile"), "dim", *[F.col(c).alias(f"a_{c}") for c in ("ids", "labels", "data", "windows")],
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("part"))
-    tiled = base.drop("windows").withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tiles - 1).cast("long"))))
-    return tiled.join(asked, ["tile", "part", "dim"])
+    return block_pairs(base, shards, cut_blocks(anchors, 2 * TILE_ROWS, tiles, ("label", "windows")), tiles)
 
 
 def _merged(heaps: DataFrame, shards: int, most: int) -> DataFrame:
@@ -213,7 +181,7 @@ def mine(vectors: DataFrame, anchors: Column, vec_id: str = "vec_id", embedding:
     negatives for a positive the first rows of another label with ``low`` to ``high`` percent of the positive's score. Rows
     with nulls or non-finite components take no part; vectors of different lengths none with each other. Repeated rows all take
     part. An id that repeats among the anchors is asked once, with its smallest (label, vector), and rows of the anchor's own id are
-    never its partners. Empty tables give no rows. Work is two products for each pair of blocks, which any number of executors share.
+    never its partners. Empty tables give no rows. Work is two products for each pair of blocks, which any number of executors share; no block is broadcast.
     """
     label = F.col(label) if isinstance(label, str) else label
     table = written(quantised(vectors, vec_id, embedding, label, scale, max(positives, negatives)), "vectors")
@@ -225,7 +193,7 @@ def mine(vectors: DataFrame, anchors: Column, vec_id: str = "vec_id", embedding:
     asked = asked.select("vec_id", "own.*", F.lit(1).cast("long").alias("copy"))
     tiles = max(1, -(-asked.count() // min(TILE_ROWS, fits)))
     none = F.array(F.lit(_LEAST).cast("long"))
-    base = written(_blocks(table.withColumn("windows", none), shards), "blocks")
+    base = written(cut_blocks(table, 2 * SHARD_ROWS, shards, ("label",)), "blocks")
     first = _pairs(base, shards, asked.withColumn("windows", none), tiles).mapInArrow(_positives(positives), kinds)
     found = written(_merged(first, shards, positives), "positives")
     values = F.transform("heap", lambda c: -c["neg"])

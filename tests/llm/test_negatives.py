@@ -76,3 +76,14 @@ def test_hot_label_and_other_limits(spark):
     docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     got = negatives.mine(docs, F.col("vec_id") < 4, positives=2, negatives=4, low=10, high=100, scale=3)
     assert sorted(tuple(r) for r in got.collect()) == brute(rows, lambda i: i < 4, 2, 4, 10, 100, 3)
+
+
+def test_no_block_is_broadcast(spark, monkeypatch):
+    """Blocks are repeated for their pairs; a broadcast of these would grow with the square of the table, in the driver."""
+    monkeypatch.setattr(negatives, "SHARD_ROWS", 16)
+    monkeypatch.setattr(negatives, "TILE_ROWS", 8)
+    rows = [(i, [float(i % 7), float(i % 5), 1.0], i % 2) for i in range(200)]
+    found = negatives.mine(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), F.col("vec_id") % 10 == 0)
+    assert found.count() and found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [tile" not in plan and "SortMergeJoin [tile" in plan
