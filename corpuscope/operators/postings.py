@@ -3,7 +3,7 @@
 A search term consists of letters a-z, digits and underscores, so every occurrence of it lies within one word of the lowered text.
 The index therefore keeps
 
-* ``rows``: the chunks, numbered by (project, length); 512 neighbours are a block,
+* ``rows``: the chunks, numbered by (project, length), a body that equals the content kept once; 512 neighbours are a block,
 * ``postings``: per project, word and block the rows that hold the word anywhere, with lengths and the counts in name and content,
 * ``words``: the two- and three-letter grams of each distinct word, with the number of rows that hold it,
 * ``stats``: chunks and total length per project.
@@ -47,7 +47,7 @@ PLACE = ("file", "line", "type", "name")
 TASK_TEXT, WRITE_TEXT, LEAST_TEXT = 8 << 20, 32 << 20, 64 << 10
 _CHUNK = [c.strip().split(" ")[0] for c in schemas.CHUNKS.split(",")]
 TABLES = {
-    "rows": schemas.CHUNKS + ", row BIGINT, len INT",
+    "rows": schemas.CHUNKS + ", row BIGINT, len INT, whole BOOLEAN",
     "postings": "project_id STRING, word STRING, block BIGINT, entries ARRAY<STRUCT<slot: INT, tf: INT, len: INT>>, part INT",
     "words": "gram STRING, word STRING, rows BIGINT, part INT",
     "stats": "project_id STRING, n_docs BIGINT, total_len BIGINT",
@@ -75,11 +75,11 @@ def row_postings(rows: DataFrame, tasks: int | None = None) -> DataFrame:
 
     Texts are dealt by block once; words are counted and gathered where their block is."""
     slot = F.col("row").bitwiseAND((1 << BLOCK_BITS) - 1).cast("int")
-    base = rows.select("project_id", F.shiftright("row", BLOCK_BITS).alias("block"), slot.alias("slot"), "len", "name", "content", "body")
+    other = F.when(~F.col("content").eqNullSafe(F.col("body")), F.col("body"))  # has no word that the content hasn't, if null
+    base = rows.select("project_id", F.shiftright("row", BLOCK_BITS).alias("block"), slot.alias("slot"), "len", "name", "content", other.alias("body"))
     base = base.repartition(tasks, "block") if tasks else base.repartition("block")
     held = F.filter(F.concat(_words("name"), _words("content")), lambda w: F.length(w) >= 2)
-    more = F.when(F.col("content").eqNullSafe(F.col("body")), F.array().cast("array<string>")).otherwise(
-        F.array_distinct(F.filter(_words("body"), lambda w: F.length(w) >= 2)))
+    more = F.array_distinct(F.filter(_words("body"), lambda w: F.length(w) >= 2))
     each = F.concat(
         F.transform(held, lambda w: F.struct(w.alias("word"), F.when(F.length(w) >= 3, 1).otherwise(0).alias("n"))),
         F.transform(more, lambda w: F.struct(w.alias("word"), F.lit(0).alias("n"))))
@@ -88,6 +88,17 @@ def row_postings(rows: DataFrame, tasks: int | None = None) -> DataFrame:
     return found.groupBy("project_id", "word", "block").agg(F.sort_array(F.collect_list(F.struct("slot", "tf", "len"))).alias("entries"))
 
 
+def _packed(entries: str) -> Column:
+    """Entries as numbers in a row, so that few bytes are shuffled."""
+    return F.flatten(F.transform(entries, lambda e: F.array(e["slot"], e["tf"], e["len"])))
+
+
+def _unpacked(packed: str) -> Column:
+    at = lambda i, k: F.get(F.col(packed), 3 * i + k)
+    return F.transform(F.sequence(F.lit(0), (F.size(packed) / 3 - 1).cast("int")),
+                       lambda i: F.struct(at(i, 0).alias("slot"), at(i, 1).alias("tf"), at(i, 2).alias("len")))
+
+
 def indexed(entries: Column | str) -> Column:
     """Entries of the rows that hold the word in name or content."""
     return F.filter(entries, lambda e: e["tf"] > 0)
@@ -112,18 +123,20 @@ class PostingIndex:
         path = lambda name: f"{self.root}/{name}/segment={segment}"
         order = ["project_id", "len", "file", "line"]
         tasks, writers = (text_tasks(chunks, size) for size in (TASK_TEXT, WRITE_TEXT))
+        write = lambda df, *parts: df.write.mode("overwrite").option("compression", "zstd").partitionBy(*parts).parquet
+        whole = F.col("content").eqNullSafe(F.col("body"))
         numbered = (
-            chunks.select(*_CHUNK).withColumn("len", S._doc_length().cast("int")).repartitionByRange(tasks, *order)
+            chunks.select(*_CHUNK, whole.alias("whole")).withColumn("body", F.when(~F.col("whole"), F.col("body")))
+            .withColumn("len", S._doc_length().cast("int")).repartitionByRange(tasks, *order)
             .sortWithinPartitions(*order).withColumn("row", F.monotonically_increasing_id())
         )
-        numbered.write.mode("overwrite").parquet(path("rows"))
+        write(numbered)(path("rows"))
         rows = self.read("rows", segment)
-        for name, df, key in (("postings", row_postings(rows, tasks), "word"), ("words", None, "gram")):
-            df = word_grams(self.read("postings", segment)) if df is None else df
-            dealt = df.withColumn("part", _part(key)).repartition(writers, "part", key).sortWithinPartitions("part", key)
-            dealt.write.mode("overwrite").partitionBy("part").parquet(path(name))
-        stats = rows.groupBy("project_id").agg(F.count("*").alias("n_docs"), F.sum("len").alias("total_len"))
-        stats.write.mode("overwrite").parquet(path("stats"))
+        dealt = row_postings(rows, tasks).withColumn("entries", _packed("entries")).repartition(writers, "word")
+        write(dealt.withColumn("part", _part("word")).sortWithinPartitions("part", "word").withColumn("entries", _unpacked("entries")), "part")(path("postings"))
+        dealt = word_grams(self.read("postings", segment)).repartition(writers, "gram")
+        write(dealt.withColumn("part", _part("gram")).sortWithinPartitions("part", "gram", "word"), "part")(path("words"))
+        write(rows.groupBy("project_id").agg(F.count("*").alias("n_docs"), F.sum("len").alias("total_len")))(path("stats"))
 
     def read(self, name: str, segment: str | None = None) -> DataFrame:
         """A table with the column ``segment``, of all segments or one."""
@@ -132,7 +145,9 @@ class PostingIndex:
         paths = [base] if chosen is None else [f"{base}/segment={s}" for s in chosen]
         if not paths:
             return self.spark.createDataFrame([], TABLES[name] + ", segment STRING")
-        return self.spark.read.schema(TABLES[name] + ", segment STRING").option("basePath", base).parquet(*paths)
+        found = self.spark.read.schema(TABLES[name] + ", segment STRING").option("basePath", base).parquet(*paths)
+        # A body that equals the content is kept once.
+        return found.withColumn("body", F.when(F.col("whole"), F.col("content")).otherwise(F.col("body"))) if name == "rows" else found
 
     def _asked(self, name: str, key: str, asked: DataFrame) -> DataFrame:
         """The table without what no row of ``asked`` (with the column ``key``) names, as far as a list of bounded size can say so."""

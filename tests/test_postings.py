@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -135,3 +136,37 @@ def test_first_rows_settle_queries_of_frequent_words(spark, tmp_path, monkeypatc
     assert got == found(search.search(chunks, queries)) and {r[0] for r in got} == {"a", "b", "c", "d"}
     assert read[-1] == {"zz", "needle", "of"}  # of: the query with a filter
     assert len(read) == 2
+
+
+def test_a_body_that_equals_its_content_is_stored_once(spark, tmp_path):
+    rows = [("p", "0", "f", "a", "function", 1, 1, "same", "same", "go"), ("p", "1", "f", "b", "function", 2, 2, "cut", "cut off", "go"),
+            ("p", "2", "f", "c", "function", 3, 3, "none", None, "go"), ("p", "3", "f", "d", "function", 4, 4, None, None, "go")]
+    index = postings.PostingIndex(spark, str(tmp_path))
+    index.add(spark.createDataFrame(rows, schemas.CHUNKS), "one")
+    stored = spark.read.parquet(f"{tmp_path}/rows/segment=one")
+    assert sorted((r.name, r.body) for r in stored.collect()) == [("a", None), ("b", "cut off"), ("c", None), ("d", None)]
+    assert sorted((r.name, r.body) for r in index.read("rows").collect()) == [("a", "same"), ("b", "cut off"), ("c", None), ("d", None)]
+
+
+def test_entries_are_shuffled_as_numbers(spark):
+    entries = [(0, 1, 2), (511, 1 << 30, (1 << 31) - 1)]
+    df = spark.createDataFrame([(entries,), ([(7, 0, 5)],)], "entries array<struct<slot:int,tf:int,len:int>>")
+    packed = df.withColumn("entries", postings._packed("entries"))
+    assert packed.first().entries == [x for e in entries for x in e]
+    back = packed.withColumn("entries", postings._unpacked("entries"))
+    assert back.schema["entries"].dataType.simpleString() == df.schema["entries"].dataType.simpleString()
+    assert sorted(map(str, back.collect())) == sorted(map(str, df.collect()))
+
+
+def test_shuffles_of_ended_steps_are_freed(spark):
+    """Files of a shuffle go with the action that wrote it, not when the driver collects its garbage."""
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: {f for f in map(str, (files.getAllFiles().apply(i) for i in range(files.getAllFiles().size()))) if "/shuffle_" in f}
+    before = held()
+    left = [cut_lineage(spark.range(10_000).repartition(5, "id").groupBy("id").count()) for _ in range(2)]
+    assert sum(df.count() for df in left) == 20_000
+    for _ in range(100):
+        if not held() - before:
+            return
+        time.sleep(0.1)
+    raise AssertionError(held() - before)
