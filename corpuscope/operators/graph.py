@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from corpuscope import dims
 from corpuscope.functions import columns as C
+from corpuscope.operators.ranking import top_k_per_group
 from corpuscope.session import cut_lineage
 
 # How references look.
@@ -31,6 +32,10 @@ IMPLEMENTS_RE = r"(?:^|\n)\s*(?:export\s+)?(?:abstract\s+)?class\s+\w+(?:\s+exte
 #: Files of a block, whose references to a name are bits of a few longs.
 BLOCK_FILES = 512
 MASKS = [f"m{i}" for i in range(BLOCK_FILES // 64)]
+#: Definitions times blocks that are counted at once: what a wave shuffles doesn't grow with the corpus.
+WAVE_ROWS = 1 << 26
+#: The names of a project that most files refer to, whose overlaps are known exactly.
+HOT_NAMES = 10
 
 EDGE_KEY = ["project_id", "source_file", "source_symbol", "target_file", "target_symbol", "kind"]
 
@@ -286,8 +291,7 @@ class EdgeTables:
         """Files referenced from the most other files, the first ``k``; exact.
 
         The ``wave * k`` files with the highest bounds are counted first. Of the others only those are, whose bound reaches the k-th count.
-        Where names are so common that most bounds do, these are counted in one block of referring files, then in eight times as many,
-        and so on; a file goes as soon as it couldn't reach the k-th count if all files of the other blocks referred to it.
+        Where names are so common that many bounds do, these are tightened, and files that still may win are counted in waves of blocks.
         """
         bounds, imported = self.fan_in_bounds()
         bounds, imported = cut_lineage(bounds), cut_lineage(imported)
@@ -301,24 +305,58 @@ class EdgeTables:
             before = (F.col("project_id") < project) | ((F.col("project_id") == project) & (F.col("target_file") < file))
             may_win = (F.col("bound") > -n) | ((F.col("bound") == -n) & before)
         rest = cut_lineage(bounds.filter(may_win).join(first, ["project_id", "target_file"], "left_anti"))
-        if len(best) == k:
-            rest = self._narrowed(rest, imported, may_win, wave * k)
-        return counted.unionByName(self._referrers(rest.drop("bound"), imported)).orderBy(F.desc("n"), "project_id", "target_file").limit(k)
+        if len(best) == k and rest.count() > wave * k:
+            rest = cut_lineage(self._tightened(rest, imported).filter(may_win))
+        return counted.unionByName(self._counted(rest, imported, may_win)).orderBy(F.desc("n"), "project_id", "target_file").limit(k)
+
+    def _tightened(self, rest: DataFrame, imported: DataFrame) -> DataFrame:
+        """rest(project_id, target_file, bound) with bounds that know how the ``HOT_NAMES`` most common names of a project overlap.
 
-    def _narrowed(self, rest: DataFrame, imported: DataFrame, may_win: Column, few: int) -> DataFrame:
-        """Those of rest(project_id, target_file, bound) that still ``may_win`` after more and more blocks; ``few`` of them are left alone."""
+        A file counts those that refer to any of its hot names once; a file that refers to another of its names only where it refers to none of these.
+        So what is added up are counts of files by name and by the set of hot names they refer to, never pairs of files.
+        """
+        target, name = ["project_id", "target_file"], ["project_id", "name"]
+        used = self.references.select(*name, "source_file").distinct()
+        users = used.groupBy(*name).agg(F.count(F.lit(1)).alias("b"))
+        hot = cut_lineage(top_k_per_group(users, ["project_id"], [F.desc("b"), F.asc("name")], HOT_NAMES).select(
+            *name, F.call_function("shiftleft", F.lit(1), F.col("rank").cast("int") - 1).alias("bit")))
+        refers = used.join(hot, name, "left").groupBy("project_id", "source_file").agg(F.coalesce(F.bit_or("bit"), F.lit(0)).alias("set"))
+        refers = cut_lineage(refers)
+        sets = lambda df, *keys: df.groupBy(*keys, "set").agg(F.count(F.lit(1)).alias("n")).groupBy(*keys).agg(
+            F.collect_list(F.struct("set", "n")).alias("sets"))  # at most 2^HOT_NAMES
+        added = lambda found: F.aggregate(F.filter("sets", found), F.lit(0).cast("bigint"), lambda acc, x: acc + x["n"])
+        defined = self.definitions.select(*target, "name").distinct().join(rest.select(*target), target, "left_semi").join(hot, name, "left")
+        own = defined.groupBy(*target).agg(F.coalesce(F.bit_or("bit"), F.lit(0)).alias("own"))
+        every = own.select("project_id", "own").distinct().join(sets(refers, "project_id"), "project_id").select(
+            "project_id", "own", added(lambda x: x["set"].bitwiseAND(F.col("own")) != 0).alias("hot"))
+        cold = defined.filter("bit is null").select(*target, "name").join(own, target)
+        cold = cold.join(sets(used.join(refers, ["project_id", "source_file"]), *name), name).select(
+            *target, added(lambda x: x["set"].bitwiseAND(F.col("own")) == 0).alias("n"))
+        parts = own.join(every, ["project_id", "own"]).select(*target, F.col("hot").alias("n")).unionByName(cold).unionByName(
+            imported.groupBy(*target).agg(F.count(F.lit(1)).alias("n")))
+        least = parts.groupBy(*target).agg(F.sum("n").alias("least"))
+        return rest.join(least, target, "left").select(*target, F.least("bound", "least").alias("bound"))
+
+    def _counted(self, rest: DataFrame, imported: DataFrame, may_win: Column) -> DataFrame:
+        """(project_id, target_file, n) of those of rest(project_id, target_file, bound) that ``may_win``: counted in one block of referring
+        files, then in eight times as many, and so on. Files go as soon as those of the blocks to come couldn't make up for what they lack.
+        Of many files fewer blocks are counted at once."""
+        target = ["project_id", "target_file"]
         blocks = int(self._sources.agg(F.max("block")).first()[0] or 0) + 1
-        low, high = 0, 1
+        low = 0
         rest = rest.withColumn("_seen", F.lit(0).cast("bigint"))
-        while low < blocks and rest.count() > few:
+        while low < blocks and not rest.isEmpty():
+            names = self.definitions.join(rest.select(*target), target, "left_semi").count()
+            most = WAVE_ROWS // max(1, names)
+            high = blocks if low + most >= blocks else low + max(1, min(7 * low or 1, most))
             unseen = self._sources.groupBy("project_id").agg(F.count_if(F.col("block") >= high).alias("_unseen"))
             found = self._block_referrers(rest, imported, low, high)
-            more = rest.join(found, ["project_id", "target_file"], "left").join(unseen, "project_id", "left")
+            more = rest.join(found, target, "left").join(unseen, "project_id", "left")
             seen = F.col("_seen") + F.coalesce("n", F.lit(0))
             least = F.least("bound", seen + F.coalesce("_unseen", F.lit(0)))
-            rest = cut_lineage(more.select("project_id", "target_file", least.alias("bound"), seen.alias("_seen")).filter(may_win))
-            low, high = high, 8 * high
-        return rest.drop("_seen")
+            rest = cut_lineage(more.select(*target, least.alias("bound"), seen.alias("_seen")).filter(may_win))
+            low = high
+        return rest.select(*target, F.col("_seen").alias("n")).filter("n > 0")
 
 
 # ---------------------------------------------------------------- lookups in edge rows

@@ -12,7 +12,7 @@ from corpuscope.operators import corpus, graph, incremental, index_stats
 from corpuscope.operators import rendering as R
 from corpuscope.operators import symbols as X
 from corpuscope.plans import indexing
-from corpuscope.session import cut_lineage, ensure_checkpoint_dir
+from corpuscope.session import cut_lineage, ensure_checkpoint_dir, stored
 from corpuscope.sources.sinks import IndexStore
 from corpuscope.sources import tables as T
 from corpuscope.streaming import changes
@@ -76,7 +76,7 @@ def _document_chunks(spark, folder):
 def _document_edges(spark, folder):
     """Edges per project, and the ten files that most others refer to; no edge is made as a row."""
     corpus_rows = _document_code(spark, folder)
-    chunks = cut_lineage(X.corpus_chunks(corpus_rows))
+    chunks = stored(X.corpus_chunks(corpus_rows))
     tables = graph.EdgeTables.of(chunks, corpus_rows).stored()
     edges = tables.counts().select(F.lit("edges").alias("what"), "project_id", F.lit("").alias("file"), "n")
     return edges.unionByName(tables.fan_in().select(F.lit("fan_in").alias("what"), "project_id", F.col("target_file").alias("file"), "n"))

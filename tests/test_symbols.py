@@ -252,6 +252,59 @@ def test_fan_in_of_common_names_narrows_by_blocks(spark, monkeypatch):
     assert sum(counted) < 30 < reach
 
 
+def _tables(spark, refs, defs, imports, files):
+    return graph.EdgeTables(
+        spark.createDataFrame(refs, "project_id string, source_file string, source_symbol string, kind string, name string, n_refs bigint"),
+        spark.createDataFrame(defs, "project_id string, target_file string, name string, n_defs bigint"),
+        spark.createDataFrame(imports, "project_id string, source_file string, source_symbol string, path string, n bigint"),
+        spark.createDataFrame([("p", f"/f{i}") for i in range(files)], "project_id string, file string"))
+
+
+def test_fan_in_knows_how_common_names_overlap(spark, monkeypatch):
+    """Most files define names that the same files use: the bounds add up to more than any count, and their files are never paired."""
+    monkeypatch.setattr(graph, "BLOCK_FILES", 16)
+    refs = [("p", f"/f{i}", "s", "call", f"hot{j}", 1) for i in range(100) for j in range(8)]
+    refs += [("p", f"/f{i}", "s", "call", f"own{i % 4}", 1) for i in range(160)]
+    defs = [("p", f"/f{i}", f"hot{j}", 1) for i in range(150) for j in range(8)]
+    defs += [("p", f"/f{i}", f"{name}{j}", 1) for i in range(150, 156) for name in ("own", "hot") for j in range(4)]
+    tables = _tables(spark, refs, defs, [("p", "/f3", "s", "/f140.ts", 1)], 160)
+    want = [tuple(r) for r in index_stats.fan_in(tables.expand(), 4).collect()]
+    volume, plain = [], graph.EdgeTables._block_referrers
+
+    def watched(self, files, imported, low=0, high=None):
+        volume.append(files.count())
+        return plain(self, files, imported, low, high)
+
+    monkeypatch.setattr(graph.EdgeTables, "_block_referrers", watched)
+    assert [tuple(r) for r in tables.fan_in(4, 10).collect()] == want
+    assert volume[0] == 40 and sum(volume[1:]) < 20
+
+
+@pytest.mark.parametrize("hot", [1, 3, 10])
+def test_fan_in_in_waves_of_few_rows(spark, monkeypatch, hot):
+    monkeypatch.setattr(graph, "BLOCK_FILES", 16)
+    monkeypatch.setattr(graph, "WAVE_ROWS", 700)
+    monkeypatch.setattr(graph, "HOT_NAMES", hot)
+    rng = random.Random(hot)
+    names = [f"n{int(rng.paretovariate(0.8)) % 60}" for _ in range(900)]
+    refs = [(f"p{i % 2}" if i % 5 else "p", f"/f{i}", "s", "call", name, 1) for i in range(150) for name in set(rng.sample(names, 5))]
+    defs = [(f"p{i % 2}" if i % 3 else "p", f"/f{i}", name, 1) for i in range(150) for name in set(rng.sample(names, 8))]
+    imports = [("p", f"/f{i}", "s", f"/f{rng.randrange(9)}.ts", 1) for i in range(0, 150, 4)]
+    tables = _tables(spark, refs, defs, imports, 150)
+    want = [tuple(r) for r in index_stats.fan_in(tables.expand(), 6).collect()]
+    volume, plain = [], graph.EdgeTables._block_referrers
+
+    def watched(self, files, imported, low=0, high=None):
+        if high is not None:
+            rows = self.definitions.join(files, ["project_id", "target_file"], "left_semi").count()
+            volume.append((rows * (high - low), high - low))
+        return plain(self, files, imported, low, high)
+
+    monkeypatch.setattr(graph.EdgeTables, "_block_referrers", watched)
+    assert [tuple(r) for r in tables.fan_in(6, 2).collect()] == want
+    assert volume and all(rows <= 700 or blocks == 1 for rows, blocks in volume)
+
+
 def test_line_ranges_meet_in_bins(spark, monkeypatch):
     monkeypatch.setattr(search, "BIN_LINES", 8)
     rng = random.Random(5)
