@@ -99,3 +99,47 @@ def test_sets_equal_brute_force():
     texts = edited_texts()[:20] + ["one two", "", None, "a b c d e f a b c d e f"]
     sets, bounds = near.shingle_sets(pa.chunked_array([pa.array(texts, pa.string())]))
     assert np.diff(bounds).tolist() == [len(brute_set(t)) for t in texts]
+
+
+def test_no_similar_pair_is_left_to_chance(spark, monkeypatch):
+    """Candidates are found whatever MinHash makes of the sets."""
+    monkeypatch.setattr(near, "BANDS", 1)
+    texts = edited_texts()
+    want = brute_components(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component for r in near.near_rows(docs, "doc_id", "text", 5, 0.8).collect()}
+    assert len({(w, got[i]) for i, w in enumerate(want)}) == len(set(want)) == len(set(got.values()))
+
+
+@pytest.mark.parametrize("similarity", [0.5, 0.8, 0.95, 1.0])
+def test_similar_sets_share_a_key_in_any_order(similarity):
+    """Levels may be wrong in any way, as long as shingles of several texts have one: all sets are held against all."""
+    rng = np.random.default_rng(3)
+    parts = []
+    for n in [*range(1, 40), 100, 333]:
+        base = rng.integers(0, 2**64, n, dtype=np.uint64)
+        for _ in range(6):
+            own = rng.integers(0, 2**64, n, dtype=np.uint64)
+            parts.append(np.unique(np.where(rng.random(n) < (1 - similarity) * rng.random(), own, base)))
+    sets, bounds = np.concatenate(parts), np.append(0, np.cumsum([len(p) for p in parts]))
+    for low in (1, 15):
+        levels = rng.integers(low, 16, 1 << 15, dtype=np.uint8) | rng.integers(low, 16, 1 << 15, dtype=np.uint8) << 4
+        keys, ends = near.prefix_keys(sets, bounds, levels, 16, similarity)
+        own = [set(keys[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        similar = 0
+        for i, j in combinations(range(len(parts)), 2):
+            shared = len(np.intersect1d(parts[i], parts[j]))
+            if shared and shared / (len(parts[i]) + len(parts[j]) - shared) >= similarity:
+                similar += 1
+                assert own[i] & own[j]
+        assert similar > 100
+
+
+def test_levels_are_those_of_shingles_in_several_texts(spark):
+    texts = [("a b c d e f",), ("a b c d e x",), ("q r s t u",), (None,), ("",)]
+    name, bits = near.shingle_levels(spark.createDataFrame(texts, "text string").repartition(3), 5)
+    levels = np.fromfile(near.published(name), np.uint8)
+    assert bits == near.LEAST_BITS and len(levels) == 1 << (bits - 1)
+    sets, _ = near.shingle_sets(pa.chunked_array([pa.array(["a b c d e"])]))
+    place = int(sets[0] >> np.uint64(64 - bits))
+    assert np.flatnonzero(levels).tolist() == [place >> 1] and levels[place >> 1] == 1 << (place & 1) * 4
